@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe
+from lexmill.llm import bpe, langid, media, urls
 from lexmill.sources.tables import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -15,5 +15,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_table(read_table(spark, sf_dir, "documents"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    dictionaries = langid.learn_dictionaries(docs.where(~langid.held_out()))
+    return langid.predict(docs.withColumn("held_out", langid.held_out()), dictionaries, keep=("held_out",))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op8_media": op8_media, "op9_langid": op9_langid, "op10_urls": op10_urls}
+ORACLE_SQL = {"op10_urls": urls.oracle_sql()}
