@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, langid, media, urls
+from lexmill.llm import bpe, langid, media, secret_scan, sharding, topk, urls
 from lexmill.sources.tables import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -15,6 +15,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(read_table(spark, sf_dir, "documents"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k_table(read_table(spark, sf_dir, "embeddings"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_table(read_table(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(read_table(spark, sf_dir, "documents"))
 
@@ -29,5 +41,18 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_media": op8_media, "op9_langid": op9_langid, "op10_urls": op10_urls}
-ORACLE_SQL = {"op10_urls": urls.oracle_sql()}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_sharding": op3_sharding,
+    "op5_topk": op5_topk,
+    "op6_secrets": op6_secrets,
+    "op8_media": op8_media,
+    "op9_langid": op9_langid,
+    "op10_urls": op10_urls,
+}
+ORACLE_SQL = {
+    "op3_sharding": sharding.oracle_sql(),
+    "op5_topk": topk.ORACLE_SQL,
+    "op6_secrets": secret_scan.oracle_sql(),
+    "op10_urls": urls.oracle_sql(),
+}
