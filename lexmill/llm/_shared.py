@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 #: White space of the word contracts: space and the bytes 9 to 13.
@@ -64,3 +65,46 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
     raw = (total[end] - total[start]) * down[start]
     return mix64(raw ^ ((end - start).astype(U) * U(0xD6E8FEB86659FD93)))
+
+
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts laid end to end: the bytes, starts and ends of all words, and each text's number of words."""
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    text_end = np.cumsum([len(t) + 1 for t in texts])
+    upto = np.searchsorted(start, text_end)
+    return data, start, end, np.diff(np.concatenate(([0], upto)))
+
+
+def rolling(words: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """A 64-bit hash of every k consecutive hashes, a sum with independent odd factors; empty if there are fewer."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    total = np.full(n, U(seed & 0xFFFFFFFFFFFFFFFF))
+    factor = (seed * 2 + 1) & 0xFFFFFFFFFFFFFFFF
+    for j in range(k):
+        factor = (factor * 0x5851F42D4C957F2D + 0x14057B7EF767814E) & 0xFFFFFFFFFFFFFFFF
+        total += words[j : j + n] * U(factor | 1)
+    return mix64(total)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable, for every node of links (a, b).
+
+    Labels are lowered to the least of the neighbours' and then to the label's own label, which halves
+    long paths; each round is written to the checkpoint folder. Only the count of changed labels
+    reaches the driver.
+    """
+    edges = saved(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
+    while True:
+        near = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
+        lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "low").alias("low"))
+        target = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
+        new = saved(lower.join(target, "low").select("node", "was", F.least("low", "far").alias("component")))
+        labels = new.select("node", "component")
+        if new.where("component <> was").isEmpty():
+            return labels

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, langid, media, secret_scan, sharding, topk, urls
+from lexmill.llm import bpe, langid, media, ngram_join, secret_scan, sharding, topk, urls
 from lexmill.sources.tables import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_table(read_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op5_topk": op5_topk,
     "op6_secrets": op6_secrets,
+    "op7_ngram_join": op7_ngram_join,
     "op8_media": op8_media,
     "op9_langid": op9_langid,
     "op10_urls": op10_urls,
@@ -54,5 +59,6 @@ ORACLE_SQL = {
     "op3_sharding": sharding.oracle_sql(),
     "op5_topk": topk.ORACLE_SQL,
     "op6_secrets": secret_scan.oracle_sql(),
+    "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op10_urls": urls.oracle_sql(),
 }
