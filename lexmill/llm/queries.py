@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, langid, media, ngram_join, secret_scan, sharding, topk, urls
+from lexmill.llm import bpe, langid, media, ngram_join, secret_scan, sharding, substring_dedup, topk, urls
 from lexmill.sources.tables import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(read_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_sharding": op3_sharding,
     "op5_topk": op5_topk,
     "op6_secrets": op6_secrets,
@@ -56,6 +61,7 @@ QUERIES = {
     "op10_urls": op10_urls,
 }
 ORACLE_SQL = {
+    "op2_substring_dedup": substring_dedup.ORACLE_SQL,
     "op3_sharding": sharding.oracle_sql(),
     "op5_topk": topk.ORACLE_SQL,
     "op6_secrets": secret_scan.oracle_sql(),
