@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, langid, media, ngram_join, secret_scan, sharding, substring_dedup, topk, urls
+from lexmill.llm import bpe, langid, media, mixing, ngram_join, secret_scan, sharding, substring_dedup, topk, urls
 from lexmill.sources.tables import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -23,6 +23,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(read_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_table(read_table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_sharding": op3_sharding,
+    "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
     "op6_secrets": op6_secrets,
     "op7_ngram_join": op7_ngram_join,

@@ -132,6 +132,13 @@ def redact(text: Column, found: Column) -> Column:
     return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
+def redacted(docs: DataFrame, text_column: str = "text", **columns) -> DataFrame:
+    """The rows of docs with all spans of the text replaced by their class; null texts stay null."""
+    found = scan(docs.withColumn("_all", F.struct(*docs.columns)), text_column=text_column, keep=("_all",), **columns)
+    text = F.col(f"_all.{text_column}")
+    return found.select(*[redact(text, F.col("found")).alias(c) if c == text_column else F.col(f"_all.{c}").alias(c) for c in docs.columns])
+
+
 def oracle_sql() -> str:
     literal = lambda s: "'" + s.replace("'", "''") + "'"
 
