@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import record_queries, text_queries  # noqa: F401
+from lexmill.plans import graph_queries, record_queries, retrieval_queries, text_queries  # noqa: F401
 from lexmill.plans._registering import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["quality_audit_counts"](spark, sf_dir)
+    return QUERIES["hybrid_retrieval"](spark, sf_dir)
