@@ -74,8 +74,8 @@ def _strength(counts: DataFrame, name: str) -> DataFrame:
     )
     m = F.col("bad") / F.col("n")
     spread = F.col("bb") - F.col("n") * m * m - (F.col("k") - 1) * m * (1 - m)
-    v = spread / (F.col("n") - F.col("nn") / F.col("n"))
-    fitted = F.when((v > 0) & (m > 0) & (m < 1), F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), m * (1 - m) / v - 1))).otherwise(F.lit(STRONGEST))
+    v = F.try_divide(spread, F.col("n") - F.col("nn") / F.col("n"))  # null for a single group
+    fitted = F.when((v > 0) & (m > 0) & (m < 1), F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), F.try_divide(m * (1 - m), v) - 1))).otherwise(F.lit(STRONGEST))
     return sums.select(F.coalesce(fitted, F.lit(STRONGEST)).alias(name))
 
 
@@ -116,7 +116,7 @@ def oracle_sql() -> str:
     group = ", ".join(f"by_{k} AS (SELECT {e} AS k, count(*) AS n, sum(bad)::BIGINT AS bad FROM labelled GROUP BY 1)" for k, e in levels.items())
     strength = ", ".join(
         f"s_{k} AS (SELECT coalesce(CASE WHEN v > 0 AND m > 0 AND m < 1 THEN least({STRONGEST}, greatest({WEAKEST}, m * (1 - m) / v - 1)) ELSE {STRONGEST} END, {STRONGEST}) AS s"
-        f" FROM (SELECT m, (bb - n * m * m - (k - 1) * m * (1 - m)) / (n - nn / n) AS v FROM (SELECT sum(n)::DOUBLE AS n, sum(bad)::DOUBLE / sum(n)::DOUBLE AS m, count(*) AS k, sum(n * n)::DOUBLE AS nn, sum(round(bad * bad / n, 9)::DECIMAL(38, 9))::DOUBLE AS bb FROM by_{k})))"
+        f" FROM (SELECT m, (bb - n * m * m - (k - 1) * m * (1 - m)) / nullif(n - nn / n, 0) AS v FROM (SELECT sum(n)::DOUBLE AS n, sum(bad)::DOUBLE / sum(n)::DOUBLE AS m, count(*) AS k, sum(n * n)::DOUBLE AS nn, sum(round(bad * bad / n, 9)::DECIMAL(38, 9))::DOUBLE AS bb FROM by_{k})))"
         for k in levels
     )
     order = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r))

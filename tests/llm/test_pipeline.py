@@ -1,0 +1,44 @@
+"""The pipeline's stages, each against what it must keep, drop or change."""
+
+import random
+
+import corpus_pipeline
+from lexmill.llm import langid
+from tests.llm.test_operators import DOCS, documents, prose
+
+
+def columns(df):
+    return [c for c, _ in df.dtypes]
+
+
+def test_stages_keep_columns_and_clean_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert columns(out) == columns(docs), name
+    kept = corpus_pipeline.identify_language(spark, docs, sf).count()
+    assert kept > 0.97 * docs.count()
+
+
+def test_language_stage_rejects(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(10_001, None, None, "s", 0), (10_002, "123", "en", "s", 3)], docs.schema)
+    out = corpus_pipeline.identify_language(spark, docs.union(odd), "")
+    assert out.where("doc_id > 10000").count() == 0
+    assert langid.UNDETERMINED == "und"
+
+
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(1)
+    base = prose(rng, 200, 5000)
+    docs = documents(spark, [base, base + " end", base, prose(rng, 50, 5000), "x", None], [3, 4, 3, 7, None, None])
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted((r.doc_id or -1) for r in out.collect()) == [-1, -1, 3, 7]
+
+
+def test_empty_table(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.createDataFrame([], DOCS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0
