@@ -29,7 +29,7 @@ def breaker(events: DataFrame) -> DataFrame:
     return S.breaker_runs(events, ["user_id"], ["ts", "event_id"], F.col("event_type") == "view", 3).select("user_id", "event_id", "failures", "trips")
 
 
-@register("rate_gap_violations", "SELECT user_id, event_id FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) WHERE gap < 3600 * 1000000", "events")
+@register("rate_gap_violations", "SELECT user_id, event_id FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) WHERE gap < 3600000000", "events")
 def rate_gaps(events: DataFrame) -> DataFrame:
     return S.rate_gaps(events, ["user_id"], ["ts", "event_id"], "ts", 3600).select("user_id", "event_id")
 
