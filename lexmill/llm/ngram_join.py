@@ -5,17 +5,19 @@ Documents with equal sets are one node. Nodes meet in groups under a key:
 * Small sets enumerate fixed-size subsets. Two sets of n and m shingles that link share at least
   c = ceil(t (n + m) / (1 + t)) of them, hence a subset of c; a small set emits a key for each of its
   subsets of every such size.
-* Large sets are scanned by inverted lists. Sets that link share one of their first
-  n - ceil(t n) + 1 shingles in any common order; here the order is by hash, with shingles that are
-  frequent in the corpus last, so that lists stay short.
+* Large sets are scanned by inverted lists, whose keys are pairs of shingles that are neighbours when a set is
+  sorted by hash. Between sets that link, every shingle that only one of them has spoils one pair of common
+  neighbours at most, so an unspoilt one stands among the first 2 (n - c) + (m - c) + 2 shingles of the set of n.
+  Shingles that many documents share seldom have the same neighbours, so lists stay short.
 
 The boundary between the two is the one whose measured cost (keys against list rows and the pairs
 that the lists would hold) is least; sets near it take part in both ways.
 
-A group is not expanded into its pairs at once. First each member meets the group's smallest member and
-its neighbour by size; what links is joined into components. Then only members of different
-components meet. Before either, set sizes and 256-bit parity maps, whose difference never exceeds that of
-the sets, rule pairs out exactly. What is left is verified on the whole texts.
+A group is not expanded into its pairs at once. First each member meets the group's most central member, by
+the majority of the parity maps, and its neighbour by size; what links is joined into components. Then only members of different
+components meet. Before either, set sizes and parity maps, whose difference never exceeds that of
+the sets, rule pairs out exactly: 256 bits beside every row, and for the pairs left some bits per shingle.
+What is left is verified on the whole texts.
 
 A null or empty text and one without words has no shingles, size 0, and is linked with nothing, not
 even with its like. A document of fewer words than a shingle is one shingle. Repeated rows of a doc_id are in
@@ -26,6 +28,7 @@ named columns are read. Shingles and sets are identified by 64-bit digests.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -39,10 +42,11 @@ from lexmill.llm._shared import U, components, mix64, rolling, saved, span_hashe
 SHINGLE, PERCENT = 4, 85
 #: Upper ends of the size classes between which the boundary is chosen; subsets of more would be too many.
 BOUNDARIES = (6, 13, 19)
-#: A shingle counts as frequent from this share of the documents, or this count.
-SHARE, LEAST = 0.0005, 16
+#: So many ids at most are broadcast to fetch texts; beyond, texts are shuffled.
+FETCHED = 1 << 19
 CHUNK_BYTES = 1 << 21
 SPELL_DOCS = 8192
+SLAB = 4096
 _SUBSET = 0x9E6C63D0876A9A47
 
 
@@ -78,23 +82,55 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
             yield ids, texts
 
 
-def prefix_length(n, percent: int = PERCENT):
-    return n - (percent * n + 99) // 100 + 1
+def overlap(n, m, percent: int = PERCENT):
+    """How many shingles sets of n and m share at least if they link."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def reach(n, m, percent: int = PERCENT):
+    """How far into a set of n the first unspoilt pair of neighbours shared with a set of m can end."""
+    c = overlap(n, m, percent)
+    return 2 * (n - c) + (m - c) + 2
+
+
+@lru_cache(maxsize=1 << 16)
+def longest_reach(n: int, percent: int = PERCENT) -> int:
+    """The reach towards partners of any size; the smallest partners need most, up to rounding."""
+    low = (percent * n + 99) // 100
+    return min(n, max(reach(n, m, percent) for m in range(low, low + 4)))
+
+
+def list_keys(members: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Key i stands for the neighbours i and i + 1."""
+    own = members[: longest_reach(len(members), percent)]
+    return mix64(own[:-1] * U(0x9FB21C651E98DF25) + own[1:])
 
 
 def subset_sizes(n: int, most: int, percent: int = PERCENT) -> list[int]:
     """Every overlap that a set of n must reach with some set of at most ``most``."""
     low, high = (percent * n + 99) // 100, min(most, 100 * n // percent)
-    return sorted({-(-percent * (n + m) // (100 + percent)) for m in range(low, high + 1)})
+    return sorted({overlap(n, m, percent) for m in range(low, high + 1)})
 
 
 def _set_key(members: np.ndarray) -> int:
     return int(mix64(mix64(members ^ U(_SUBSET)).sum(dtype=U)[None] + U(len(members)))[0])
 
 
-def _parity(members: np.ndarray) -> bytes:
-    spots = (mix64(members ^ U(0xC2B2AE3D27D4EB4F)) & U(255)).astype(np.int64)
-    return np.packbits((np.bincount(spots, minlength=256) & 1).astype(np.uint8)).tobytes()
+def _parity(members: np.ndarray, size: int = 256) -> bytes:
+    """For each of size places (a power of two) whether an odd number of members falls there."""
+    spots = (mix64(members ^ U(0xC2B2AE3D27D4EB4F)) & U(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(spots, minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def _fine_parity(members: np.ndarray) -> bytes:
+    return _parity(members, max(256, 1 << int(2 * len(members) - 1).bit_length()))
+
+
+def _parity_gap(a: bytes, b: bytes) -> int:
+    """In how many places two maps differ, the longer one folded to the shorter."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    folded = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ folded).sum())
 
 
 def _subset_count(n: int, most: int) -> int:
@@ -112,44 +148,45 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (id, set key, size, parity map); 1: (shingle, -, count); 2: (class, list rows, pairs per mille of the documents, subset keys)."""
+    """kind 0: (id, set key, size, parity maps); 1: (class, 0 to 2, list rows, pairs per mille of the documents, subset keys)."""
 
     def spell(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        found, counts = np.unique(np.concatenate(sets), return_counts=True)
-        often = counts >= max(4, 2 * SHARE * len(sets))
-        yield out(1, found[often].view(np.int64), np.zeros(often.sum(), np.int64), counts[often], None)
         low = 0
         for number, high in enumerate(BOUNDARIES):
             own = [s for s in sets if low < len(s) <= high]
             if own:
-                tokens = np.concatenate([s[: prefix_length(len(s))] for s in own])
+                tokens = np.concatenate([list_keys(s) for s in own])
                 together = np.unique(tokens, return_counts=True)[1].astype(np.int64)
                 pairs = int((together * (together - 1)).sum()) * 500 // len(sets)
                 keys = sum(_subset_count(len(s), high) for s in own)
-                yield out(2, np.array([number] * 3), np.arange(3), np.array([len(tokens), pairs, keys]), None)
+                yield out(1, [number] * 3, [0, 1, 2], [len(tokens), pairs, keys], [None] * 3, [None] * 3)
             low = high
 
-    def out(kind: int, ids, keys, sizes, bits) -> pa.RecordBatch:
-        n = len(sizes)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits if bits else [None] * n, pa.binary())], ["kind", "id", "key", "n", "bits"])
+    def out(kind: int, ids, keys, sizes, bits, fine) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(sizes), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "id", "key", "n", "bits", "fine"])
 
     held: list[np.ndarray] = []
+    count = 0
     for ids, texts in _chunks(batches):
         sets = shingle_sets(texts)
         keys = np.array([_set_key(s) for s in sets], U).view(np.int64)
-        yield out(0, ids, keys, np.array([len(s) for s in sets], np.int64), [_parity(s) for s in sets])
-        held += [s for s in sets if len(s)]
-        if len(held) >= SPELL_DOCS:
+        yield out(0, ids, keys, [len(s) for s in sets], [_parity(s) for s in sets], [_fine_parity(s) for s in sets])
+        held += [s if len(s) <= BOUNDARIES[-1] else s[:0] for s in sets if len(s)]
+        count += len(sets)
+        if count >= SPELL_DOCS:
             yield from spell(held)
-            held = []
+            held, count = [], 0
     if held:
         yield from spell(held)
 
 
-def _emitter(boundary: int, frequent: np.ndarray, percent: int):
+def _emitter(boundary: int, percent: int):
+    """(key, node, n, place): subset keys at place 0, list keys at that of their second shingle, from 1."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _chunks(batches):
-            keys, nodes, sizes, seen = [], [], [], set()
+            keys, nodes, sizes, places, seen = [], [], [], [], set()
             for members in shingle_sets(texts):
                 n = len(members)
                 if not n or (node := _set_key(members)) in seen:
@@ -162,18 +199,17 @@ def _emitter(boundary: int, frequent: np.ndarray, percent: int):
                     values = mixed.tolist()
                     own += [np.array([(total - sum(gone) + c * _SUBSET) & 0xFFFFFFFFFFFFFFFF for gone in combinations(values, n - c)], U) for c in subset_sizes(n, boundary, percent)]
                     own = [mix64(x) for x in own]
+                    places += [np.zeros(len(x), np.int32) for x in own]
                 if 100 * n > percent * boundary:
-                    often = np.zeros(n, bool)
-                    if len(frequent):
-                        often = frequent[np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)] == members
-                    own.append(np.concatenate((members[~often], members[often]))[: prefix_length(n, percent)])
+                    own.append(list_keys(members, percent))
+                    places.append(np.arange(2, len(own[-1]) + 2, dtype=np.int32))
                 if own:
                     keys += own
                     count = sum(map(len, own))
                     nodes.append(np.full(count, node, U))
                     sizes.append(np.full(count, n, np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), _signed(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], ["key", "node", "n"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), _signed(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["key", "node", "n", "place"])
 
     return emit
 
@@ -185,48 +221,60 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if last is not None:
-            key, node, n = (np.concatenate(([x], c)) for x, c in zip(last, (key, node, n), strict=True))
+            columns = [np.concatenate(([x], c)) for x, c in zip(last, columns, strict=True)]
+        key, node = columns[:2]
         keep = np.ones(len(key), bool)
         keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, n = key[keep], node[keep], n[keep]
+        columns = [c[keep] for c in columns]
+        key = columns[0]
         same = key[1:] == key[:-1]
         show = np.concatenate(([False], same)) | np.concatenate((same, [False]))
         if last is not None and shown:
             show[0] = False
         if show.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[show]), pa.array(node[show]), pa.array(n[show])], ["key", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[show]) for c in columns], ["key", "node", "n", "place"])
         shown = bool(show[-1]) or (len(key) == 1 and last is not None and shown)
-        last = (key[-1], node[-1], n[-1])
+        last = tuple(c[-1] for c in columns)
 
 
 class _Group:
     """Rows of whole keys, sorted by key and n, as arrays."""
 
     def __init__(self, batch: pa.RecordBatch, percent: int):
-        self.key, self.node, self.n, self.component = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
-        bits = batch.column(3).to_pylist()
+        self.key, self.node, self.n, self.place, self.component = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5))
+        bits = batch.column(4).to_pylist()
         self.bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), 4)
         self.percent = percent
 
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether sizes and parity maps leave the pair possible; n[a] <= n[b]."""
-        least = -(-self.percent * (self.n[a].astype(np.int64) + self.n[b]) // (100 + self.percent))
-        apart = self.n[a].astype(np.int64) + self.n[b] - 2 * np.minimum(least, self.n[a])
-        ok = (least <= self.n[a]) & (self.node[a] != self.node[b])
+        """Whether sizes, places and parity maps leave the pair possible; n[a] <= n[b]."""
+        n, m = self.n[a].astype(np.int64), self.n[b].astype(np.int64)
+        least = overlap(n, m, self.percent)
+        apart = n + m - 2 * np.minimum(least, n)
+        ok = (least <= n) & (self.place[a] <= reach(n, m, self.percent)) & (self.place[b] <= reach(m, n, self.percent)) & (self.node[a] != self.node[b])
         at = np.flatnonzero(ok)
         ok[at] = np.bitwise_count(self.bits[a[at]] ^ self.bits[b[at]]).sum(1) <= apart[at]
         return ok
 
     def near(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Each member with the group's smallest, and with the one before it."""
+        """Each member with the group's most central one, and with the one before it."""
         new = np.concatenate(([True], self.key[1:] != self.key[:-1]))
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        at = np.flatnonzero(~new)
-        for other in (first[at], at - 1):
-            ok = self.fits(other, at)
-            yield other[ok], at[ok]
+        start, group = np.flatnonzero(new), np.cumsum(new) - 1
+        every = np.arange(len(self.key))
+        centre = np.empty(len(start), np.int64)
+        for at in range(0, len(start), SLAB):
+            lo, hi = start[at], start[at + SLAB] if at + SLAB < len(start) else len(self.key)
+            votes = np.add.reduceat(np.unpackbits(self.bits[lo:hi].view(np.uint8), axis=1).astype(np.int32), start[at : at + SLAB] - lo, axis=0)
+            most = np.packbits(2 * votes > np.diff(np.append(start[at : at + SLAB], hi))[:, None], axis=1).view(np.uint64)
+            gap = np.bitwise_count(self.bits[lo:hi] ^ most[group[lo:hi] - at]).sum(1)
+            order = np.lexsort((every[lo:hi], gap, group[lo:hi]))
+            centre[at : at + SLAB] = order[start[at : at + SLAB] - lo] + lo
+        mid = centre[group]
+        for a, b in ((np.minimum(mid, every), np.maximum(mid, every)), (every[~new] - 1, every[~new])):
+            ok = self.fits(a, b)
+            yield a[ok], b[ok]
 
     def across(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Members of different components; sizes ascend, so those too large for a member end its search."""
@@ -275,7 +323,20 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         texts = [press.compress((t.as_py() or "").encode()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["rep", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["node", "packed"])
+
+
+def _finer(percent: int):
+    """Pairs whose fine parity maps leave them possible."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            apart = n + m - 2 * overlap(n, m, percent)
+            ok = np.fromiter((_parity_gap(batch.column(4)[i].as_py(), batch.column(5)[i].as_py()) <= apart[i] for i in range(len(a))), bool, len(a))
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+
+    return sift
 
 
 def _verify(percent: int):
@@ -301,14 +362,13 @@ def _verify(percent: int):
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id, and n_links: how many different sets the document's own is linked with directly, as far as they were needed to connect the component."""
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    digest = saved(texts.mapInArrow(_digest, "kind int, id long, key long, n long, bits binary"))
-    rows = digest.where("kind = 0").select("id", F.col("key").alias("node"), "n", "bits")
-    nodes = saved(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("bits").alias("bits")))
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    digest = saved(texts.mapInArrow(_digest, "kind int, id long, key long, n long, bits binary, fine binary"))
+    rows = digest.where("kind = 0").select("id", F.col("key").alias("node"), "n")
+    nodes = saved(digest.where("kind = 0 AND n > 0").groupBy(F.col("key").alias("node")).agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fine").alias("fine")))
     total = rows.count()
-    # Bounded: at most 1 / SHARE times the mean size of a set.
-    frequent = digest.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST, SHARE * total))
-    heavy = np.sort(np.array([r[0] for r in frequent.select("id").collect()], np.int64).view(U))
-    costs = {(r[0], r[1]): r[2] for r in digest.where("kind = 2").groupBy("id", "key").agg(F.sum("n")).collect()}
+    costs = {(r[0], r[1]): r[2] for r in digest.where("kind = 1").groupBy("id", "key").agg(F.sum("n")).collect()}
     boundary, cost, best = 0, 0.0, 0.0
     for number, high in enumerate(BOUNDARIES):
         lists = costs.get((number, 0), 0) + costs.get((number, 1), 0) * total / 1000
@@ -316,21 +376,24 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if cost < best:
             boundary, best = high, cost
 
-    emitted = texts.select("id", "text").mapInArrow(_emitter(boundary, heavy, percent), "key long, node long, n int")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = saved(emitted.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_shared_keys, "key long, node long, n int"))
+    emitted = texts.select("id", "text").mapInArrow(_emitter(boundary, percent), "key long, node long, n int, place int")
+    lists = saved(emitted.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_shared_keys, "key long, node long, n int, place int"))
     mapped = lists.join(nodes.select("node", "bits"), "node")
 
     def candidates(way: str, labelled: DataFrame) -> DataFrame:
-        ordered = labelled.select("key", "node", "n", "bits", "component").repartition(parts, "key").sortWithinPartitions("key", "n", "node")
+        ordered = labelled.select("key", "node", "n", "place", "bits", "component").repartition(parts, "key").sortWithinPartitions("key", "n", "node")
         return ordered.mapInArrow(_pairs(way, percent), "a long, b long").distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
-        found = texts.where("id is not null").mapInArrow(_packed, "rep long, packed binary").join(wanted, "rep").dropDuplicates(["node"])
-        held = saved(found.select("node", "packed"))
-        second = pairs.join(held.select(F.col("node").alias("b"), F.col("packed").alias("p_b")), "b")
-        both = second.join(held.select(F.col("node").alias("a"), F.col("packed").alias("p_a")), "a").select("a", "b", "p_a", "p_b")
+        side = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("fine").alias(f"f_{end}"))
+        mapped_pairs = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "f_a", "f_b")
+        left = saved(mapped_pairs.mapInArrow(_finer(percent), "a long, b long"))
+        wanted = saved(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(nodes.select("node", "rep"), "node"))
+        keys = F.broadcast(wanted) if wanted.count() <= FETCHED else wanted
+        packed = texts.where("id is not null").withColumnRenamed("id", "rep").join(keys, "rep").select("node", "text").dropDuplicates(["node"])
+        kept = saved(packed.mapInArrow(_packed, "node long, packed binary"))
+        second = left.join(kept.select(F.col("node").alias("b"), F.col("packed").alias("p_b")), "b")
+        both = second.join(kept.select(F.col("node").alias("a"), F.col("packed").alias("p_a")), "a").select("a", "b", "p_a", "p_b")
         return saved(both.mapInArrow(_verify(percent), "a long, b long"))
 
     near = saved(candidates("near", mapped.withColumn("component", F.col("node"))))
