@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from lexmill.llm import bpe, langid, mixing, ngram_join, secret_scan
 from lexmill.llm._shared import saved
 
+#: Words of a shingle and least Jaccard percentage of near duplicates; op7_ngram_join keeps its own contract.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose language cannot be told: no letters, or a margin that is too narrow."""
@@ -23,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one of the smallest id stays, once."""
-    groups = ngram_join.similar_groups(docs)
+    groups = ngram_join.similar_groups(docs, percent=NEAR_PERCENT, k=NEAR_SHINGLE)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     known = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -133,9 +133,9 @@ def _parity_gap(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ folded).sum())
 
 
-def _subset_count(n: int, most: int) -> int:
+def _subset_count(n: int, most: int, percent: int) -> int:
     total = 0
-    for c in subset_sizes(n, most):
+    for c in subset_sizes(n, most, percent):
         ways = 1
         for i in range(n - c):
             ways = ways * (n - i) // (i + 1)
@@ -147,7 +147,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(percent: int, k: int):
     """kind 0: (id, set key, size, parity maps); 1: (class, 0 to 2, list rows, pairs per mille of the documents, subset keys)."""
 
     def spell(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +155,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, high in enumerate(BOUNDARIES):
             own = [s for s in sets if low < len(s) <= high]
             if own:
-                tokens = np.concatenate([list_keys(s) for s in own])
+                tokens = np.concatenate([list_keys(s, percent) for s in own])
                 together = np.unique(tokens, return_counts=True)[1].astype(np.int64)
                 pairs = int((together * (together - 1)).sum()) * 500 // len(sets)
-                keys = sum(_subset_count(len(s), high) for s in own)
+                keys = sum(_subset_count(len(s), high, percent) for s in own)
                 yield out(1, [number] * 3, [0, 1, 2], [len(tokens), pairs, keys], [None] * 3, [None] * 3)
             low = high
 
@@ -166,28 +166,31 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [pa.array(np.full(len(sizes), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["kind", "id", "key", "n", "bits", "fine"])
 
-    held: list[np.ndarray] = []
-    count = 0
-    for ids, texts in _chunks(batches):
-        sets = shingle_sets(texts)
-        keys = np.array([_set_key(s) for s in sets], U).view(np.int64)
-        yield out(0, ids, keys, [len(s) for s in sets], [_parity(s) for s in sets], [_fine_parity(s) for s in sets])
-        held += [s if len(s) <= BOUNDARIES[-1] else s[:0] for s in sets if len(s)]
-        count += len(sets)
-        if count >= SPELL_DOCS:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        count = 0
+        for ids, texts in _chunks(batches):
+            sets = shingle_sets(texts, k)
+            keys = np.array([_set_key(s) for s in sets], U).view(np.int64)
+            yield out(0, ids, keys, [len(s) for s in sets], [_parity(s) for s in sets], [_fine_parity(s) for s in sets])
+            held += [s if len(s) <= BOUNDARIES[-1] else s[:0] for s in sets if len(s)]
+            count += len(sets)
+            if count >= SPELL_DOCS:
+                yield from spell(held)
+                held, count = [], 0
+        if held:
             yield from spell(held)
-            held, count = [], 0
-    if held:
-        yield from spell(held)
 
+    return digest
 
-def _emitter(boundary: int, percent: int):
+
+def _emitter(boundary: int, percent: int, k: int):
     """(key, node, n, place): subset keys at place 0, list keys at that of their second shingle, from 1."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _chunks(batches):
             keys, nodes, sizes, places, seen = [], [], [], [], set()
-            for members in shingle_sets(texts):
+            for members in shingle_sets(texts, k):
                 n = len(members)
                 if not n or (node := _set_key(members)) in seen:
                     continue
@@ -339,7 +342,7 @@ def _finer(percent: int):
     return sift
 
 
-def _verify(percent: int):
+def _verify(percent: int, k: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         kept: tuple = (None, None)
@@ -348,8 +351,8 @@ def _verify(percent: int):
             for i in range(batch.num_rows):
                 left, right = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 if kept[0] != left:
-                    kept = (left, shingle_sets([unpress.decompress(batch.column(2)[i].as_py())])[0])
-                one, two = kept[1], shingle_sets([unpress.decompress(batch.column(3)[i].as_py())])[0]
+                    kept = (left, shingle_sets([unpress.decompress(batch.column(2)[i].as_py())], k)[0])
+                one, two = kept[1], shingle_sets([unpress.decompress(batch.column(3)[i].as_py())], k)[0]
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 if 100 * both >= percent * (len(one) + len(two) - both):
                     a.append(left)
@@ -359,12 +362,12 @@ def _verify(percent: int):
     return verify
 
 
-def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """id, n_shingles, component_id, and n_links: how many different sets the document's own is linked with directly, as far as they were needed to connect the component."""
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    digest = saved(texts.mapInArrow(_digest, "kind int, id long, key long, n long, bits binary, fine binary"))
+    digest = saved(texts.mapInArrow(_digest(percent, k), "kind int, id long, key long, n long, bits binary, fine binary"))
     rows = digest.where("kind = 0").select("id", F.col("key").alias("node"), "n")
     nodes = saved(digest.where("kind = 0 AND n > 0").groupBy(F.col("key").alias("node")).agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fine").alias("fine")))
     total = rows.count()
@@ -376,7 +379,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if cost < best:
             boundary, best = high, cost
 
-    emitted = texts.select("id", "text").mapInArrow(_emitter(boundary, percent), "key long, node long, n int, place int")
+    emitted = texts.select("id", "text").mapInArrow(_emitter(boundary, percent, k), "key long, node long, n int, place int")
     lists = saved(emitted.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_shared_keys, "key long, node long, n int, place int"))
     mapped = lists.join(nodes.select("node", "bits"), "node")
 
@@ -394,7 +397,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         kept = saved(packed.mapInArrow(_packed, "node long, packed binary"))
         second = left.join(kept.select(F.col("node").alias("b"), F.col("packed").alias("p_b")), "b")
         both = second.join(kept.select(F.col("node").alias("a"), F.col("packed").alias("p_a")), "a").select("a", "b", "p_a", "p_b")
-        return saved(both.mapInArrow(_verify(percent), "a long, b long"))
+        return saved(both.mapInArrow(_verify(percent, k), "a long, b long"))
 
     near = saved(candidates("near", mapped.withColumn("component", F.col("node"))))
     links = linked(near)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from lexmill.llm import langid
+from lexmill.llm import langid, ngram_join
 from tests.llm.test_operators import DOCS, documents, prose
 
 
@@ -37,6 +37,26 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id or -1) for r in out.collect()) == [-1, -1, 3, 7]
 
 
+def edited(rng, n, places):
+    words = [f"v{i}" for i in rng.sample(range(10**6), n)]
+    return " ".join(words), " ".join("z" if i in places else w for i, w in enumerate(words))
+
+
+def test_near_copies_of_five_words_go(spark):
+    """5-word Jaccard from 0.80, 4-word Jaccard under 0.85; the last pair is just under 0.80 and stays."""
+    rng = random.Random(2)
+    texts = [*edited(rng, 50, {25}), *edited(rng, 100, {30, 60}), *edited(rng, 500, range(20, 460, 40)), *edited(rng, 500, range(20, 500, 40))]
+    out = corpus_pipeline.drop_near_duplicates(spark, documents(spark, texts), "")
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2, 4, 6, 7]
+
+
+def test_reach_at_eighty_percent():
+    """The reach for the smallest partners is the longest, and subsets of every owed overlap are there."""
+    for n in range(1, 1500):
+        partners = range(-(-80 * n // 100), 100 * n // 80 + 1)
+        assert ngram_join.longest_reach(n, 80) == min(n, max(ngram_join.reach(n, m, 80) for m in partners))
+
+
 def test_empty_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.createDataFrame([], DOCS)
