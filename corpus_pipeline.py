@@ -25,11 +25,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one of the smallest id stays, once."""
-    groups = ngram_join.similar_groups(docs, percent=NEAR_PERCENT, k=NEAR_SHINGLE)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each group of similar documents the one of the smallest id stays, once; different texts of one id are documents of their own."""
+    groups = ngram_join.similar_groups(docs, percent=NEAR_PERCENT, k=NEAR_SHINGLE, join_ids=False)
+    stay = groups.where("kept").select("doc_id", F.col("text_key").alias("_text_key")).distinct()
+    known = docs.withColumn("_text_key", ngram_join.text_key(F.col("text"))).join(stay, ["doc_id", "_text_key"], "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return known.select(*docs.columns).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,8 +21,9 @@ What is left is verified on the whole texts.
 
 A null or empty text and one without words has no shingles, size 0, and is linked with nothing, not
 even with its like. A document of fewer words than a shingle is one shingle. Repeated rows of a doc_id are in
-one component. A null doc_id has a null component unless its set occurs with an id. Only the two
-named columns are read. Shingles and sets are identified by 64-bit digests.
+one component, whatever their texts, unless join_ids is off. A null doc_id has a null component unless its set
+occurs with an id. Only the two named columns are read. Shingles, sets and texts are identified by 64-bit digests;
+a set's text is fetched by id and text digest, as an id can have several texts.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm._shared import U, components, mix64, rolling, saved, span_hashes, word_spans
@@ -67,10 +68,10 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts of a few megabytes at a time."""
+    """(id, text key) and text of rows (id, text, text key), a few megabytes at a time."""
     for batch in batches:
         ids, texts, size = [], [], 0
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for key, text in zip(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True), batch.column(1), strict=True):
             raw = (text.as_py() or "").encode()
             ids.append(key)
             texts.append(raw)
@@ -148,7 +149,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _digest(percent: int, k: int):
-    """kind 0: (id, set key, size, parity maps); 1: (class, 0 to 2, list rows, pairs per mille of the documents, subset keys)."""
+    """kind 0: (id, text key, set key, size, parity maps); 1: (class, 0 to 2, list rows, pairs per mille of the documents, subset keys)."""
 
     def spell(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         low = 0
@@ -159,12 +160,12 @@ def _digest(percent: int, k: int):
                 together = np.unique(tokens, return_counts=True)[1].astype(np.int64)
                 pairs = int((together * (together - 1)).sum()) * 500 // len(sets)
                 keys = sum(_subset_count(len(s), high, percent) for s in own)
-                yield out(1, [number] * 3, [0, 1, 2], [len(tokens), pairs, keys], [None] * 3, [None] * 3)
+                yield out(1, [number] * 3, [None] * 3, [0, 1, 2], [len(tokens), pairs, keys], [None] * 3, [None] * 3)
             low = high
 
-    def out(kind: int, ids, keys, sizes, bits, fine) -> pa.RecordBatch:
-        columns = [pa.array(np.full(len(sizes), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["kind", "id", "key", "n", "bits", "fine"])
+    def out(kind: int, ids, texts, keys, sizes, bits, fine) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(sizes), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "id", "text_key", "key", "n", "bits", "fine"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -172,7 +173,7 @@ def _digest(percent: int, k: int):
         for ids, texts in _chunks(batches):
             sets = shingle_sets(texts, k)
             keys = np.array([_set_key(s) for s in sets], U).view(np.int64)
-            yield out(0, ids, keys, [len(s) for s in sets], [_parity(s) for s in sets], [_fine_parity(s) for s in sets])
+            yield out(0, *zip(*ids, strict=True), keys, [len(s) for s in sets], [_parity(s) for s in sets], [_fine_parity(s) for s in sets])
             held += [s if len(s) <= BOUNDARIES[-1] else s[:0] for s in sets if len(s)]
             count += len(sets)
             if count >= SPELL_DOCS:
@@ -362,14 +363,19 @@ def _verify(percent: int, k: int):
     return verify
 
 
-def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """id, n_shingles, component_id, and n_links: how many different sets the document's own is linked with directly, as far as they were needed to connect the component."""
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+def text_key(text: Column) -> Column:
+    """What tells the texts of one id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, k: int = SHINGLE, join_ids: bool = True) -> DataFrame:
+    """id, text_key, n_shingles, component_id, kept (whether the row's id and text are the first of its component) and n_links: how many different sets the document's own is linked with directly, as far as they were needed to connect the component."""
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), text_key(F.col(text_column)).alias("text_key"))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    digest = saved(texts.mapInArrow(_digest(percent, k), "kind int, id long, key long, n long, bits binary, fine binary"))
-    rows = digest.where("kind = 0").select("id", F.col("key").alias("node"), "n")
-    nodes = saved(digest.where("kind = 0 AND n > 0").groupBy(F.col("key").alias("node")).agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fine").alias("fine")))
+    digest = saved(texts.mapInArrow(_digest(percent, k), "kind int, id long, text_key long, key long, n long, bits binary, fine binary"))
+    rows = digest.where("kind = 0").select("id", "text_key", F.col("key").alias("node"), "n")
+    nodes = saved(digest.where("kind = 0 AND n > 0").groupBy(F.col("key").alias("node")).agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "text_key"))).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fine").alias("fine")))
     total = rows.count()
     costs = {(r[0], r[1]): r[2] for r in digest.where("kind = 1").groupBy("id", "key").agg(F.sum("n")).collect()}
     boundary, cost, best = 0, 0.0, 0.0
@@ -379,7 +385,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if cost < best:
             boundary, best = high, cost
 
-    emitted = texts.select("id", "text").mapInArrow(_emitter(boundary, percent, k), "key long, node long, n int, place int")
+    emitted = texts.mapInArrow(_emitter(boundary, percent, k), "key long, node long, n int, place int")
     lists = saved(emitted.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_shared_keys, "key long, node long, n int, place int"))
     mapped = lists.join(nodes.select("node", "bits"), "node")
 
@@ -391,9 +397,9 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         side = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("fine").alias(f"f_{end}"))
         mapped_pairs = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "f_a", "f_b")
         left = saved(mapped_pairs.mapInArrow(_finer(percent), "a long, b long"))
-        wanted = saved(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(nodes.select("node", "rep"), "node"))
+        wanted = saved(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(nodes.select("node", "rep.id", "rep.text_key"), "node"))
         keys = F.broadcast(wanted) if wanted.count() <= FETCHED else wanted
-        packed = texts.where("id is not null").withColumnRenamed("id", "rep").join(keys, "rep").select("node", "text").dropDuplicates(["node"])
+        packed = texts.where("id is not null").join(keys, ["id", "text_key"]).select("node", "text").dropDuplicates(["node"])
         kept = saved(packed.mapInArrow(_packed, "node long, packed binary"))
         second = left.join(kept.select(F.col("node").alias("b"), F.col("packed").alias("p_b")), "b")
         both = second.join(kept.select(F.col("node").alias("a"), F.col("packed").alias("p_a")), "a").select("a", "b", "p_a", "p_b")
@@ -405,13 +411,22 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     labelled = mapped.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     far = saved(candidates("across", labelled).join(near, ["a", "b"], "left_anti"))
     links = links.union(linked(far))
-    labels = components(links)
+    # Ids with different sets, the empty one included; first is one of the others.
+    several = rows.where("id is not null").groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.when(F.col("n") > 0, F.col("node"))).alias("first"))
+    several = saved(several.where("low <> high").select("id", "first")) if join_ids else None
+    joined = several is not None and not several.isEmpty()
+    same_id = several.join(rows.where("n > 0"), "id").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct() if joined else None
+    labels = components(links.union(same_id) if joined else links)
     by_node = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    lowest = by_node.groupBy("component").agg(F.min("rep").alias("component_id"))
+    lowest = by_node.groupBy("component").agg(F.min("rep").alias("lowest"))
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    final = by_node.join(lowest, "component").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = rows.where("n > 0").join(final, "node").select("id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    none = rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    final = by_node.join(lowest, "component").join(degree, "node", "left").select("node", "lowest", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    kept = (F.col("id") == F.col("lowest.id")) & (F.col("text_key") == F.col("lowest.text_key"))
+    out = rows.where("n > 0").join(final, "node").select("id", "text_key", F.col("n").alias("n_shingles"), F.col("lowest.id").alias("component_id"), kept.alias("kept"), "n_links")
+    none = rows.where("n = 0").select("id", "text_key", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_links"))
+    if joined:
+        known = several.join(final.select(F.col("node").alias("first"), F.col("lowest.id").alias("known")), "first").select("id", "known")
+        none = none.join(known, "id", "left").withColumn("component_id", F.coalesce("known", "component_id")).withColumn("kept", F.col("known").isNull()).select(*out.columns)
     return out.unionByName(none).withColumnRenamed("id", id_column)
 
 

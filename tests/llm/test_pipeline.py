@@ -50,6 +50,24 @@ def test_near_copies_of_five_words_go(spark):
     assert sorted(r.doc_id for r in out.collect()) == [0, 2, 4, 6, 7]
 
 
+def test_texts_of_one_id_are_judged_apart(spark):
+    """Ids 5 and 6 have several texts; each text keeps its own copies from staying, and only those."""
+    rng = random.Random(3)
+    a, b, c, d = (prose(rng, 100, 10**6) for _ in range(4))
+    texts = [a, b, f"{a} end", f"{b} end", c, f"{c} end", d, "", f"{d} end"]
+    ids = [5, 5, 7, 8, 6, 6, 6, 6, 2]
+    docs = documents(spark, texts, ids)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert len(out) == 5
+    assert {(r.doc_id, r.text) for r in out} - {(6, c), (6, f"{c} end")} == {(5, a), (5, b), (2, f"{d} end"), (6, "")}
+    links = {(r.doc_id, r.component_id) for r in ngram_join.similar_groups(docs).collect()}
+    assert links == {(5, 5), (7, 5), (8, 5), (6, 2), (2, 2)}
+    many = documents(spark, [prose(rng, 60, 10**6) for _ in range(60)], [1] * 60)
+    copies = many.selectExpr("doc_id + 10 + monotonically_increasing_id() AS doc_id", "concat(text, ' end') AS text", *many.columns[2:])
+    stay = corpus_pipeline.drop_near_duplicates(spark, many.union(copies), "").collect()
+    assert [r.doc_id for r in stay] == [1] * 60
+
+
 def test_reach_at_eighty_percent():
     """The reach for the smallest partners is the longest, and subsets of every owed overlap are there."""
     for n in range(1, 1500):
