@@ -15,7 +15,8 @@ that the lists would hold) is least; sets near it take part in both ways.
 
 A group is not expanded into its pairs at once. First each member meets the group's most central member, by
 the majority of the parity maps, and its neighbour by size; what links is joined into components. Then only members of different
-components meet. Before either, set sizes and parity maps, whose difference never exceeds that of
+components meet. With count_links all members meet in a further pass, so every link is found; its rows are as many as
+the pairs that may link. Before any of these, set sizes and parity maps, whose difference never exceeds that of
 the sets, rule pairs out exactly: 256 bits beside every row, and for the pairs left some bits per shingle.
 What is left is verified on the whole texts.
 
@@ -48,6 +49,8 @@ FETCHED = 1 << 19
 CHUNK_BYTES = 1 << 21
 SPELL_DOCS = 8192
 SLAB = 4096
+#: So many pairs of a task are held at once.
+HELD_PAIRS = 1 << 20
 _SUBSET = 0x9E6C63D0876A9A47
 
 
@@ -281,16 +284,24 @@ class _Group:
             yield a[ok], b[ok]
 
     def across(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Members of different components; sizes ascend, so those too large for a member end its search."""
+        """Members of different components."""
         new = np.concatenate(([True], self.key[1:] != self.key[:-1]))
         group = np.cumsum(new) - 1
         mixed = np.zeros(group[-1] + 1, bool)
         mixed[group[1:][(self.key[1:] == self.key[:-1]) & (self.component[1:] != self.component[:-1])]] = True
-        a, step = np.flatnonzero(mixed[group]), 1
+        return self._meet(np.flatnonzero(mixed[group]), lambda a, b: self.component[a] != self.component[b])
+
+    def every(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All members."""
+        return self._meet(np.arange(len(self.key)), lambda a, b: np.ones(len(a), bool))
+
+    def _meet(self, a: np.ndarray, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each of a with the later members of its group; sizes ascend, so those too large for a member end its search."""
+        step = 1
         while len(a):
             a = a[a + step < len(self.key)]
             a = a[(self.key[a + step] == self.key[a]) & (100 * self.n[a].astype(np.int64) >= self.percent * self.n[a + step].astype(np.int64))]
-            other = a[self.component[a] != self.component[a + step]]
+            other = a[wanted(a, a + step)]
             ok = self.fits(other, other + step)
             yield other[ok], other[ok] + step
             step += 1
@@ -315,10 +326,20 @@ def _pairs(way: str, percent: int):
         if not batch.num_rows:
             return
         group = _Group(batch, percent)
-        got = [np.stack((np.minimum(group.node[a], group.node[b]), np.maximum(group.node[a], group.node[b])), 1) for a, b in getattr(group, way)() if len(a)]
+        got, held = [], 0
+        for a, b in getattr(group, way)():
+            if len(a):
+                got.append(np.stack((np.minimum(group.node[a], group.node[b]), np.maximum(group.node[a], group.node[b])), 1))
+                held += len(a)
+            if held >= HELD_PAIRS:
+                yield distinct(got)
+                got, held = [], 0
         if got:
-            both = np.unique(np.concatenate(got), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
+            yield distinct(got)
+
+    def distinct(got: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(got), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
 
     return pair
 
@@ -368,8 +389,11 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, k: int = SHINGLE, join_ids: bool = True) -> DataFrame:
-    """id, text_key, n_shingles, component_id, kept (whether the row's id and text are the first of its component) and n_links: how many different sets the document's own is linked with directly, as far as they were needed to connect the component."""
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, k: int = SHINGLE, join_ids: bool = True, count_links: bool = False) -> DataFrame:
+    """id, text_key, n_shingles, component_id, and kept: whether the row's id and text are the first of its component.
+
+    With count_links also n_links: with how many different sets the document's own is linked directly. Only sets that occur with an id count.
+    """
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), text_key(F.col(text_column)).alias("text_key"))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -411,6 +435,9 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     labelled = mapped.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     far = saved(candidates("across", labelled).join(near, ["a", "b"], "left_anti"))
     links = links.union(linked(far))
+    if count_links:
+        met = near.union(far)
+        links = links.union(linked(saved(candidates("every", mapped.withColumn("component", F.col("node"))).join(met, ["a", "b"], "left_anti"))))
     # Ids with different sets, the empty one included; first is one of the others.
     several = rows.where("id is not null").groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.when(F.col("n") > 0, F.col("node"))).alias("first"))
     several = saved(several.where("low <> high").select("id", "first")) if join_ids else None
@@ -419,11 +446,13 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     labels = components(links.union(same_id) if joined else links)
     by_node = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     lowest = by_node.groupBy("component").agg(F.min("rep").alias("lowest"))
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    final = by_node.join(lowest, "component").join(degree, "node", "left").select("node", "lowest", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    final = by_node.join(lowest, "component").select("node", "lowest")
+    if count_links:
+        degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+        final = final.join(degree, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
     kept = (F.col("id") == F.col("lowest.id")) & (F.col("text_key") == F.col("lowest.text_key"))
-    out = rows.where("n > 0").join(final, "node").select("id", "text_key", F.col("n").alias("n_shingles"), F.col("lowest.id").alias("component_id"), kept.alias("kept"), "n_links")
-    none = rows.where("n = 0").select("id", "text_key", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_links"))
+    out = rows.where("n > 0").join(final, "node").select("id", "text_key", F.col("n").alias("n_shingles"), F.col("lowest.id").alias("component_id"), kept.alias("kept"), *["n_links"] * count_links)
+    none = rows.where("n = 0").select("id", "text_key", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("kept"), *[F.lit(0).cast("long").alias("n_links")] * count_links)
     if joined:
         known = several.join(final.select(F.col("node").alias("first"), F.col("lowest.id").alias("known")), "first").select("id", "known")
         none = none.join(known, "id", "left").withColumn("component_id", F.coalesce("known", "component_id")).withColumn("kept", F.col("known").isNull()).select(*out.columns)

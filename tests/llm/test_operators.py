@@ -280,6 +280,23 @@ def test_ngram_join_equals_brute_force(spark):
     assert got == slow_groups(rows)
 
 
+def test_ngram_join_counts_every_link(spark):
+    rng = random.Random(11)
+    texts = ["", "", "a b", "A b"]
+    for n, edits in ((14, 1), (18, 1), (60, 1), (300, 6), (300, 9)):
+        base = prose(rng, n, 5000).split()
+        for _ in range(25):
+            own = list(base)
+            for _ in range(rng.randrange(1 + edits)):
+                own[rng.choice((0, n - 1)) if n < 60 else rng.randrange(n)] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    sets = [frozenset(w[i : i + 4] for i in range(max(1, len(w) - 3)) if w) for w in (tuple(t.lower().split()) for t in texts)]
+    different = set(sets)
+    want = {i: sum(100 * len(s & o) >= 85 * len(s | o) for o in different if s and o and o != s) for i, s in enumerate(sets)}
+    assert max(want.values()) >= 15
+    assert {r.doc_id: r.n_links for r in ngram_join.similar_groups(documents(spark, texts), count_links=True).collect()} == want
+
+
 def test_ngram_join_odd_tables(spark):
     assert ngram_join.similar_groups(documents(spark, [])).count() == 0
     got = ngram_join.similar_groups(documents(spark, ["a b c d", "a b c d", "a b c d", "q"], [4, 4, None, None])).collect()
