@@ -6,6 +6,10 @@ hold it: a value that several owners hold is a copied example, one that a single
 live. Live-looking tokens are added as spans of kind ``owned`` where no base span overlaps them; base
 spans always stay.
 
+That is the contract of op6_secrets' SQL. A whole scan, which redaction uses, goes further: tokens whose kinds of
+characters change as often as in random base64 are candidates too, every value is either copied or live, a value of
+one owner is copied if several repositories hold it, and no token is left out that fewer than COPIED_OWNERS hold.
+
 DataFrame functions only. Positions follow from the pieces between matches. Texts are scanned once into
 a table of spans, which is written; counting and judging read that. A value found in a third of all
 documents costs one row per task and owner when counted, and its rows may be split where they meet its
@@ -33,6 +37,10 @@ LEAST_DIGITS, LEAST_LETTERS = 4, 4
 KINDS = ("assign", "access", "hex", "owned")
 #: A value that so many owners hold is a copied example.
 COPIED_OWNERS = 3
+#: In a whole scan also a value that one owner has in so many repositories.
+COPIED_REPOSITORIES = 3
+#: In a whole scan, percentage of a token's letters and digits after which lower case, upper case and digits change; random base64 has 64.
+LEAST_CHANGES = 30
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -61,10 +69,17 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, _matches(text, ACCESS, 1, whole), _matches(text, HEX, 2, whole)))
 
 
-def token_spans(text: Column, base: Column) -> Column:
+def _random_like(m: Column) -> Column:
+    plain = F.regexp_replace(m, "[^A-Za-z0-9]", "")
+    runs = F.size(F.regexp_extract_all(plain, F.lit("[a-z]+|[A-Z]+|[0-9]+"), F.lit(0)))
+    return (F.length(plain) > 0) & (100 * (runs - 1) >= LEAST_CHANGES * F.length(plain))
+
+
+def token_spans(text: Column, base: Column, whole: bool = False) -> Column:
     """Long tokens of letters and digits that no base span overlaps; the value is hashed as it stands."""
     found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    mixed = F.transform(found, lambda m: (F.length(F.regexp_replace(m, "[^0-9]", "")) >= LEAST_DIGITS) & (F.length(F.regexp_replace(m, "[^A-Za-z]", "")) >= LEAST_LETTERS))
+    digits = lambda m: (F.length(F.regexp_replace(m, "[^0-9]", "")) >= LEAST_DIGITS) & (F.length(F.regexp_replace(m, "[^A-Za-z]", "")) >= LEAST_LETTERS)
+    mixed = F.transform(found, lambda m: digits(m) | _random_like(m) if whole else digits(m))
     spans = F.zip_with(_matches(text, TOKEN, 3, lambda m: m), mixed, lambda s, ok: F.when(ok, s))
     apart = lambda s: s.isNotNull() & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     return F.when(text.rlike(TOKEN), F.filter(spans, apart)).otherwise(F.array().cast(_SPAN))
@@ -82,23 +97,27 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner: Column | None = None, repository: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner: Column | None = None, repository: Column | None = None, keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """One row per document: id, the columns of keep, found (array of start, kind, end, live, copied; in order).
 
-    owner defaults to the column source, the repository to source and lang.
+    whole: as the module says; else as op6_secrets' SQL. owner defaults to the column source, the repository to source and lang.
     """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     read = docs.select(F.col(id_column).alias("_id"), text.alias("_text"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep"))
-    spans = read.withColumn("base", base_spans(F.col("_text"))).withColumn("tokens", token_spans(F.col("_text"), F.col("base")))
+    spans = read.withColumn("base", base_spans(F.col("_text"))).withColumn("tokens", token_spans(F.col("_text"), F.col("base"), whole))
     kept = ["_id", "owner", "repository", "base", "tokens", *["_keep"] * bool(keep)]
     # Written rows, so the row number is the same whenever it is read again.
     table = saved(spans.select(*kept).withColumn("_row", F.monotonically_increasing_id()))
     candidates = table.select("_row", "owner", "repository", F.explode(F.concat("base", "tokens")).alias("s")).select("_row", "owner", "repository", "s.*")
     judged = candidates.join(ownership(candidates), "value")
     live, copied = F.col("owners") == 1, F.col("owners") >= COPIED_OWNERS
-    wanted = judged.where((F.col("kind") < 3) | live)
+    known = live
+    if whole:
+        copied = copied | ((F.col("owners") == 1) & (F.col("repositories") >= COPIED_REPOSITORIES))
+        live, known = ~copied, F.col("owners") < COPIED_OWNERS
+    wanted = judged.where((F.col("kind") < 3) | known)
     rows = wanted.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", live.alias("live"), copied.alias("copied")))).alias("found"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,copied:boolean>>")
     back = table.join(rows, "_row", "left")
@@ -134,7 +153,7 @@ def redact(text: Column, found: Column) -> Column:
 
 def redacted(docs: DataFrame, text_column: str = "text", **columns) -> DataFrame:
     """The rows of docs with all spans of the text replaced by their class; null texts stay null."""
-    found = scan(docs.withColumn("_all", F.struct(*docs.columns)), text_column=text_column, keep=("_all",), **columns)
+    found = scan(docs.withColumn("_all", F.struct(*docs.columns)), text_column=text_column, keep=("_all",), whole=True, **columns)
     text = F.col(f"_all.{text_column}")
     return found.select(*[redact(text, F.col("found")).alias(c) if c == text_column else F.col(f"_all.{c}").alias(c) for c in docs.columns])
 

@@ -235,6 +235,27 @@ def test_secrets_by_owner(spark):
     assert red == {0: "a [EXAMPLE] [SECRET].", 1: "[EXAMPLE]", 2: "[EXAMPLE]", 3: None}
 
 
+def test_redaction_misses_no_random_token(spark):
+    rng = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    tokens = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (20, 24, 32, 40) for _ in range(250)]
+    names = ["InternationalizationServiceFactory", "usr/share/python/site-packages", "--------------------", "a-long_name-of-many_small-words"]
+    red = {r.doc_id: r.text for r in secret_scan.redacted(documents(spark, [f"is {t} so" for t in tokens + names])).collect()}
+    kept = [i for i in range(len(tokens)) if tokens[i] in red[i]]
+    assert len(kept) <= 10
+    assert [red[i + len(tokens)] for i in range(len(names))] == [f"is {t} so" for t in names]
+
+
+def test_redaction_of_shared_values(spark):
+    """Two owners: live. Three repositories of one owner: copied. Tokens of three owners stay."""
+    two, several, three = "tok9Q8r7S6t5U4v3W2x1Y0z", "wJalrXUtnFEMI/K7MDENG/bPxRfiCY", "abc1D2e3F4g5H6i7J8k9L0m"
+    rows = [(0, f"{two}.", "en", "s0"), (1, f"{two}.", "en", "s1"), *[(2 + i, f"{three}!", "en", f"s{i}") for i in range(3)]]
+    rows += [(5 + i, f"{several} password=hunter22", lang, "s5") for i, lang in enumerate(("en", "de", "fr"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    red = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    assert red == {0: "[SECRET].", 1: "[SECRET].", 2: f"{three}!", 3: f"{three}!", 4: f"{three}!", **dict.fromkeys((5, 6, 7), "[EXAMPLE] [EXAMPLE]")}
+
+
 # --- 7 ---
 
 
