@@ -57,14 +57,15 @@ def term_hits(docs: DataFrame, key: str, text: Column, terms: list[str], k: int)
     return docs.select(F.col(key).alias("item"), hits.alias("hits")).where(F.col("hits") >= (1 if len(terms) < 3 else 2)).orderBy(F.desc("hits"), "item").limit(k)
 
 
-def cosine_topk(points: DataFrame, queries: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
-    """Exact cosine of stated queries (query, q) against all points (item, v).
+def cosine_topk(points: DataFrame, queries: DataFrame, k: int | None, threshold: float = -1.0) -> DataFrame:
+    """Exact cosine of stated queries (query, q) against all points (item, v); without k all hits, unranked.
 
     Queries are few and stated, so they are joined as one array to each row and ranked per task first.
     """
     packed = queries.agg(F.collect_list(F.struct("query", "q")).alias("_qs"))
     scored = points.join(F.broadcast(packed)).select("item", "v", F.explode("_qs").alias("x")).select(F.col("x.query").alias("query"), "item", F.round(L.cosine(F.col("x.q"), F.col("v")), 9).alias("score"))
-    return top_per(scored.where(F.col("score") >= threshold), ["query"], [F.desc("score"), F.asc("item")], k)
+    hits = scored.where(F.col("score") >= threshold)
+    return hits if k is None else top_per(hits, ["query"], [F.desc("score"), F.asc("item")], k)
 
 
 def rrf(lists: DataFrame, k: int = RRF_K, weight: Column | None = None) -> DataFrame:

@@ -98,7 +98,7 @@ def missing_steps(part: DataFrame) -> DataFrame:
 
 @register("cleaning_diff", None, "documents")
 def cleaning_diff(docs: DataFrame) -> DataFrame:
-    return docs.where("n_chars < 3000").select("doc_id", F.size(E.line_diff("text", T.drop_repeated_lines(F.col("text")))).alias("changes"))
+    return docs.select("doc_id", F.size(E.line_diff("text", T.drop_repeated_lines(F.col("text")))).alias("changes"))
 
 
 @register("cleaned_documents", None, "documents")

@@ -77,7 +77,7 @@ def cosine_top(emb: DataFrame) -> DataFrame:
 @register("dense_threshold", f"""SELECT a.vec_id AS query, b.vec_id AS item FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND b.label = 1 AND {_COS} >= 0.3""", "embeddings")
 def dense_threshold(emb: DataFrame) -> DataFrame:
     queries = emb.where("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return R.cosine_topk(emb.where("label = 1").select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), queries, 1_000_000, 0.3).select("query", "item")
+    return R.cosine_topk(emb.where("label = 1").select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), queries, None, 0.3).select("query", "item")
 
 
 _ARMS = """arms AS (SELECT o_custkey AS query, 'a' AS arm, o_orderkey % 50 AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS rank FROM orders UNION ALL
@@ -245,7 +245,7 @@ def highlight_exact(pages: DataFrame) -> DataFrame:
 
 @register("fuzzy_scores", None, "conversations")
 def fuzzy_scores(conv: DataFrame) -> DataFrame:
-    a, b = F.substring("ta", 1, 60), F.substring("tb", 1, 120)
+    a, b = F.col("ta"), F.col("tb")
     return turns(conv).select("conv_id", "turn", L.ratio(a, b).alias("ratio"), L.partial_ratio(a, b).alias("partial"), L.token_set_ratio(a, b).alias("token_set"), L.field_score(a, b).alias("field"), L.partial_alignment(a, b).alias("at"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from lexmill.operators import graph as G
 from lexmill.operators import retrieval as R
 from lexmill.operators.rules import Registry, Rule, SeenHashes, Stage, evaluate, run_stages
+from lexmill.plans import registry
 from lexmill.sources import readers, sinks
 from lexmill.streaming import state, windows
 
@@ -108,3 +109,24 @@ def test_rules_and_registry(spark):
     hashes = rows.select(F.col("id").cast("string").alias("hash"))
     new, seen = SeenHashes(hashes.where("hash < '2'")).split(hashes)
     assert (new.count(), seen.count()) == (2, 2)
+
+
+def test_cleaning_diff_reads_every_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = registry.QUERIES["cleaning_diff"](spark, "/root/testdata/sf0.001")
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_cosine_hits_without_bound(spark):
+    points = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(8)], "item long, v array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0])], "query long, q array<double>")
+    hits = R.cosine_topk(points, queries, None, 0.9).collect()
+    assert sorted(r.item for r in hits) == [0, 1, 2, 3, 4]
+
+
+def test_fuzzy_scores_read_whole_turns(spark, tmp_path):
+    """60 of 120 characters are common, all of them in front."""
+    rows = [("c", 0, "user", "x" * 60 + "a" * 60), ("c", 1, "user", "x" * 60 + "b" * 60)]
+    spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    (row,) = registry.QUERIES["fuzzy_scores"](spark, str(tmp_path)).collect()
+    assert row.ratio == pytest.approx(50)
