@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where it is unset, a folder of this machine."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where it is unset, a local master gets a folder of this machine; a cluster raises."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexmill-"))
     return jsc.getCheckpointDir().get()
 
@@ -28,7 +31,16 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the rows that ``saved`` wrote for this very DataFrame, once nothing reads them any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -55,16 +67,39 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES = Powers(0x9E3779B97F4A7C15)
+#: Spans of more bytes are hashed by BLAKE2b, one by one.
+LONG_SPAN = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every data[start:end] (uint8), from one prefix sum over the whole array."""
-    up, down = _BYTES.upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
-    raw = (total[end] - total[start]) * down[start]
-    return mix64(raw ^ ((end - start).astype(U) * U(0xD6E8FEB86659FD93)))
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of every data[start:end] (uint8); other seeds give unrelated hashes.
+
+    Eight bytes a round, each round scrambled before the next: spans of equal length up to eight bytes never collide, and no
+    pattern of letters cancels itself out, as it would in a polynomial modulo 2**64.
+    """
+    length = end - start
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
+    h = mix64(length.astype(U) + U((seed * 0x9E3779B97F4A7C15 + 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF))
+    long = length > LONG_SPAN
+    live, at, left = None, start, np.where(long, 0, length) if long.any() else length
+    while True:
+        part = eight[at] & _MASKS[np.minimum(left, 8)]
+        if live is None:
+            h = mix64(h ^ part)
+            live = np.flatnonzero(left > 8)
+            at, left = at[live], left[live]
+        else:
+            h[live] = mix64(h[live] ^ part)
+            more = left > 8
+            live, at, left = live[more], at[more], left[more]
+        at, left = at + 8, left - 8
+        if not len(live):
+            break
+    for i in np.flatnonzero(long).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
 
 
 def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +139,9 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
         lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "low").alias("low"))
         target = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
-        new = saved(lower.join(target, "low").select("node", "was", F.least("low", "far").alias("component")))
-        labels = new.select("node", "component")
-        if new.where("component <> was").isEmpty():
-            return labels
+        new = saved(lower.join(target, "low").select("node", F.least("low", "far").alias("component"), "was"))
+        forget(labels)
+        labels = new
+        if labels.where("component <> was").isEmpty():
+            forget(edges)
+            return labels.select("node", "component")

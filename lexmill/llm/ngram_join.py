@@ -6,25 +6,27 @@ Documents with equal sets are one node. Nodes meet in groups under a key:
   c = ceil(t (n + m) / (1 + t)) of them, hence a subset of c; a small set emits a key for each of its
   subsets of every such size.
 * Large sets are scanned by inverted lists, whose keys are pairs of shingles that are neighbours when a set is
-  sorted by hash. Between sets that link, every shingle that only one of them has spoils one pair of common
-  neighbours at most, so an unspoilt one stands among the first 2 (n - c) + (m - c) + 2 shingles of the set of n.
-  Shingles that many documents share seldom have the same neighbours, so lists stay short.
+  sorted: rare shingles by hash, then common ones (of a share of the sets that is at least ``COMMON``) by hash. Between
+  sets that link, every shingle that only one of them has spoils one pair of common neighbours at most, so, whatever the
+  order, an unspoilt one stands among the first 2 (n - c) + (m - c) + 2 shingles of the set of n. Passages that many
+  documents share stand last and seldom come into reach, and chance neighbours are few, so lists stay short.
 
 The boundary between the two is the one whose measured cost (keys against list rows and the pairs
 that the lists would hold) is least; sets near it take part in both ways.
 
 A group is not expanded into its pairs at once. First each member meets the group's most central member, by
 the majority of the parity maps, and its neighbour by size; what links is joined into components. Then only members of different
-components meet. With count_links all members meet in a further pass, so every link is found; its rows are as many as
-the pairs that may link. Before any of these, set sizes and parity maps, whose difference never exceeds that of
-the sets, rule pairs out exactly: 256 bits beside every row, and for the pairs left some bits per shingle.
-What is left is verified on the whole texts.
+components meet, in those groups that have such. With count_links all members meet in a further pass, so every link is found; its
+rows are as many as the pairs that may link. Set sizes and parity maps, whose difference never exceeds that of
+the sets, rule pairs out exactly: 256 bits beside every row, and some bits per shingle where members of different components
+meet and for the pairs that are left. What remains is verified on the whole texts.
 
 A null or empty text and one without words has no shingles, size 0, and is linked with nothing, not
 even with its like. A document of fewer words than a shingle is one shingle. Repeated rows of a doc_id are in
 one component, whatever their texts, unless join_ids is off. A null doc_id has a null component unless its set
-occurs with an id. Only the two named columns are read. Shingles, sets and texts are identified by 64-bit digests;
-a set's text is fetched by id and text digest, as an id can have several texts.
+occurs with an id. Only the two named columns are read. Shingles, sets and texts are identified by 64-bit digests: words
+by a hash that no pattern of letters cancels out, of which shingles and sets are scrambled sums. Two texts are taken for one
+only if all of that collides by chance. A set's text is fetched by id and text digest, as an id can have several texts.
 """
 
 from __future__ import annotations
@@ -47,8 +49,13 @@ BOUNDARIES = (6, 13, 19)
 #: So many ids at most are broadcast to fetch texts; beyond, texts are shuffled.
 FETCHED = 1 << 19
 CHUNK_BYTES = 1 << 21
-SPELL_DOCS = 8192
+#: So many shingles at most are counted together when the common ones are sought.
+SPELL_SHINGLES = 1 << 21
+#: Share of the sets from which a shingle counts as common; at most the average size of a set over this are common.
+COMMON = 1 / 500
 SLAB = 4096
+#: Groups of more rows meet slab by slab, so many pairs at once.
+LARGE_GROUP, GRID = 256, 1 << 18
 #: So many pairs of a task are held at once.
 HELD_PAIRS = 1 << 20
 _SUBSET = 0x9E6C63D0876A9A47
@@ -104,8 +111,11 @@ def longest_reach(n: int, percent: int = PERCENT) -> int:
     return min(n, max(reach(n, m, percent) for m in range(low, low + 4)))
 
 
-def list_keys(members: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Key i stands for the neighbours i and i + 1."""
+def list_keys(members: np.ndarray, percent: int = PERCENT, common: np.ndarray | None = None) -> np.ndarray:
+    """Key i stands for the neighbours i and i + 1, of members in order of hash, those among the sorted ``common`` last."""
+    if common is not None and len(common):
+        last = common[np.minimum(np.searchsorted(common, members), len(common) - 1)] == members
+        members = np.concatenate((members[~last], members[last]))
     own = members[: longest_reach(len(members), percent)]
     return mix64(own[:-1] * U(0x9FB21C651E98DF25) + own[1:])
 
@@ -130,11 +140,18 @@ def _fine_parity(members: np.ndarray) -> bytes:
     return _parity(members, max(256, 1 << int(2 * len(members) - 1).bit_length()))
 
 
-def _parity_gap(a: bytes, b: bytes) -> int:
-    """In how many places two maps differ, the longer one folded to the shorter."""
-    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
-    folded = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-    return int(np.bitwise_count(x ^ folded).sum())
+def _parity_gaps(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """In how many places the maps of each pair differ, the longer one folded to the shorter."""
+    gaps = np.empty(len(one), np.int64)
+    lengths = np.array([(len(a), len(b)) for a, b in zip(one, two, strict=True)], np.int64).reshape(-1, 2)
+    for la, lb in np.unique(lengths, axis=0).tolist():
+        every = np.flatnonzero((lengths == (la, lb)).all(1))
+        short, step = min(la, lb), max(1, (1 << 23) // max(la, lb))
+        for at in range(0, len(every), step):
+            own = every[at : at + step].tolist()
+            fold = lambda maps, n: np.bitwise_xor.reduce(np.frombuffer(b"".join([maps[i] for i in own]), np.uint64).reshape(len(own), n // short, short // 8), axis=1)  # noqa: B023, E731
+            gaps[own] = np.bitwise_count(fold(one, la) ^ fold(two, lb)).sum(1)
+    return gaps
 
 
 def _subset_count(n: int, most: int, percent: int) -> int:
@@ -152,7 +169,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _digest(percent: int, k: int):
-    """kind 0: (id, text key, set key, size, parity maps); 1: (class, 0 to 2, list rows, pairs per mille of the documents, subset keys)."""
+    """kind 0: (id, text key, set key, size, parity maps); 1: (class, 0 to 2, list rows, pairs per mille of the documents, subset keys);
+    2: (shingle, sets that hold it) of shingles that many sets of a window hold."""
 
     def spell(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         low = 0
@@ -165,31 +183,37 @@ def _digest(percent: int, k: int):
                 keys = sum(_subset_count(len(s), high, percent) for s in own)
                 yield out(1, [number] * 3, [None] * 3, [0, 1, 2], [len(tokens), pairs, keys], [None] * 3, [None] * 3)
             low = high
+        shingle, holders = np.unique(np.concatenate(sets), return_counts=True)
+        many = holders >= max(4, COMMON * len(sets) / 2)
+        none = [None] * int(many.sum())
+        yield out(2, shingle[many].view(np.int64), none, none, holders[many], none, none)
 
     def out(kind: int, ids, texts, keys, sizes, bits, fine) -> pa.RecordBatch:
         columns = [pa.array(np.full(len(sizes), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["kind", "id", "text_key", "key", "n", "bits", "fine"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: dict[int, np.ndarray] = {}
         count = 0
         for ids, texts in _chunks(batches):
             sets = shingle_sets(texts, k)
             keys = np.array([_set_key(s) for s in sets], U).view(np.int64)
             yield out(0, *zip(*ids, strict=True), keys, [len(s) for s in sets], [_parity(s) for s in sets], [_fine_parity(s) for s in sets])
-            held += [s if len(s) <= BOUNDARIES[-1] else s[:0] for s in sets if len(s)]
-            count += len(sets)
-            if count >= SPELL_DOCS:
-                yield from spell(held)
-                held, count = [], 0
+            for key, own in zip(keys.tolist(), sets, strict=True):
+                if len(own) and key not in held:
+                    held[key] = own
+                    count += len(own)
+            if count >= SPELL_SHINGLES:
+                yield from spell(list(held.values()))
+                held, count = {}, 0
         if held:
-            yield from spell(held)
+            yield from spell(list(held.values()))
 
     return digest
 
 
-def _emitter(boundary: int, percent: int, k: int):
-    """(key, node, n, place): subset keys at place 0, list keys at that of their second shingle, from 1."""
+def _emitter(boundary: int, percent: int, k: int, common):
+    """(key, node, n, place): subset keys at place 0, list keys at that of their second shingle, from 1. common: broadcast."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _chunks(batches):
@@ -208,7 +232,7 @@ def _emitter(boundary: int, percent: int, k: int):
                     own = [mix64(x) for x in own]
                     places += [np.zeros(len(x), np.int32) for x in own]
                 if 100 * n > percent * boundary:
-                    own.append(list_keys(members, percent))
+                    own.append(list_keys(members, percent, common.value))
                     places.append(np.arange(2, len(own[-1]) + 2, dtype=np.int32))
                 if own:
                     keys += own
@@ -253,6 +277,7 @@ class _Group:
         self.key, self.node, self.n, self.place, self.component = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5))
         bits = batch.column(4).to_pylist()
         self.bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), 4)
+        self.fine = batch.column(6).to_pylist() if batch.num_columns > 6 else None
         self.percent = percent
 
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -285,18 +310,18 @@ class _Group:
 
     def across(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Members of different components."""
-        new = np.concatenate(([True], self.key[1:] != self.key[:-1]))
-        group = np.cumsum(new) - 1
-        mixed = np.zeros(group[-1] + 1, bool)
-        mixed[group[1:][(self.key[1:] == self.key[:-1]) & (self.component[1:] != self.component[:-1])]] = True
-        return self._meet(np.flatnonzero(mixed[group]), lambda a, b: self.component[a] != self.component[b])
+        return self._meet(lambda a, b: self.component[a] != self.component[b])
 
     def every(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All members."""
-        return self._meet(np.arange(len(self.key)), lambda a, b: np.ones(len(a), bool))
+        return self._meet(lambda a, b: np.ones(len(a), bool))
 
-    def _meet(self, a: np.ndarray, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Each of a with the later members of its group; sizes ascend, so those too large for a member end its search."""
+    def _meet(self, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each row with the later rows of its group; sizes ascend, so those too large for a row end its search."""
+        new = np.concatenate(([True], self.key[1:] != self.key[:-1]))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(self.key)))
+        a = np.flatnonzero(np.repeat(size <= LARGE_GROUP, size))
         step = 1
         while len(a):
             a = a[a + step < len(self.key)]
@@ -305,41 +330,73 @@ class _Group:
             ok = self.fits(other, other + step)
             yield other[ok], other[ok] + step
             step += 1
+        for low, count in zip(start[size > LARGE_GROUP].tolist(), size[size > LARGE_GROUP].tolist(), strict=True):
+            yield from self._grid(np.arange(low, low + count), wanted)
+
+    def _grid(self, rows: np.ndarray, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """One large group, slabs of rows against all later ones that are not too large. Rows of the component that has most
+        rows here have only others to meet, and are met by them."""
+        _, which, counts = np.unique(self.component[rows], return_inverse=True, return_counts=True)
+        lead = rows if wanted(rows[:1], rows[:1]).all() else rows[which != counts.argmax()]
+        n = self.n[rows].astype(np.int64)
+        led = np.isin(rows, lead, assume_unique=True)
+        step = max(1, GRID // len(rows))
+        for at in range(0, len(lead), step):
+            own = lead[at : at + step]
+            sizes = self.n[own].astype(np.int64)
+            lo = np.searchsorted(100 * n, self.percent * sizes.min())
+            hi = np.searchsorted(self.percent * n, 100 * sizes.max(), "right")
+            x, y = np.repeat(own, hi - lo), np.tile(rows[lo:hi], len(own))
+            # of two leading rows the earlier one leads
+            keep = wanted(x, y) & ((x < y) | ~np.tile(led[lo:hi], len(own)))
+            x, y = x[keep], y[keep]
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            ok = self.fits(x, y)
+            yield x[ok], y[ok]
 
 
 def _pairs(way: str, percent: int):
+    """(a, b) of rows (key, node, n, place, bits, component) sorted by key, n and node, with fine maps in a seventh column if they are to be used."""
+
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held: list[pa.RecordBatch] = []  # all of one key but for the first, which ends with it
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if rest is not None and rest.num_rows:
-                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
             key = batch.column(0).to_numpy(zero_copy_only=False)
             cut = int(np.searchsorted(key, key[-1]))
-            rest = batch.slice(cut)
-            yield from found(batch.slice(0, cut))
-        if rest is not None:
-            yield from found(rest)
+            if held and (cut or key[0] != held[-1].column(0)[-1].as_py()):
+                yield from found([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield from found([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+        if held:
+            yield from found(held)
 
-    def found(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not batch.num_rows:
-            return
-        group = _Group(batch, percent)
+    def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = _Group(pa.concat_batches(parts) if len(parts) > 1 else parts[0], percent)
         got, held = [], 0
         for a, b in getattr(group, way)():
             if len(a):
-                got.append(np.stack((np.minimum(group.node[a], group.node[b]), np.maximum(group.node[a], group.node[b])), 1))
+                got.append(np.stack((a, b), 1))
                 held += len(a)
             if held >= HELD_PAIRS:
-                yield distinct(got)
+                yield from distinct(group, got)
                 got, held = [], 0
         if got:
-            yield distinct(got)
-
-    def distinct(got: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.unique(np.concatenate(got), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
+            yield from distinct(group, got)
+
+    def distinct(group: _Group, got: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        at = np.concatenate(got)
+        ends = np.sort(group.node[at], axis=1)
+        _, first = np.unique(ends, axis=0, return_index=True)
+        if group.fine is not None:
+            n = group.n[at[first]].astype(np.int64)
+            apart = n.sum(1) - 2 * overlap(n[:, 0], n[:, 1], percent)
+            first = first[_parity_gaps(*([group.fine[i] for i in at[first, side].tolist()] for side in (0, 1))) <= apart]
+        if len(first):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[first, side])) for side in (0, 1)], ["a", "b"])
 
     return pair
 
@@ -358,7 +415,7 @@ def _finer(percent: int):
         for batch in batches:
             a, b, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             apart = n + m - 2 * overlap(n, m, percent)
-            ok = np.fromiter((_parity_gap(batch.column(4)[i].as_py(), batch.column(5)[i].as_py()) <= apart[i] for i in range(len(a))), bool, len(a))
+            ok = _parity_gaps(batch.column(4).to_pylist(), batch.column(5).to_pylist()) <= apart
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
     return sift
@@ -409,12 +466,16 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if cost < best:
             boundary, best = high, cost
 
-    emitted = texts.mapInArrow(_emitter(boundary, percent, k), "key long, node long, n int, place int")
+    # At most the average size of a set over COMMON: a few megabytes.
+    often = digest.where("kind = 2").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * total).select("id").collect()
+    common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often], np.int64).view(U)))
+    emitted = texts.mapInArrow(_emitter(boundary, percent, k, common), "key long, node long, n int, place int")
     lists = saved(emitted.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_shared_keys, "key long, node long, n int, place int"))
-    mapped = lists.join(nodes.select("node", "bits"), "node")
+    mapped = lists.join(nodes.select("node", "bits"), "node").withColumn("component", F.col("node"))
+    whole_key = ["key", "node", "n", "place", "bits", "component"]
 
-    def candidates(way: str, labelled: DataFrame) -> DataFrame:
-        ordered = labelled.select("key", "node", "n", "place", "bits", "component").repartition(parts, "key").sortWithinPartitions("key", "n", "node")
+    def candidates(way: str, met: DataFrame) -> DataFrame:
+        ordered = met.repartition(parts, "key").sortWithinPartitions("key", "n", "node")
         return ordered.mapInArrow(_pairs(way, percent), "a long, b long").distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -429,15 +490,18 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         both = second.join(kept.select(F.col("node").alias("a"), F.col("packed").alias("p_a")), "a").select("a", "b", "p_a", "p_b")
         return saved(both.mapInArrow(_verify(percent, k), "a long, b long"))
 
-    near = saved(candidates("near", mapped.withColumn("component", F.col("node"))))
+    near = saved(candidates("near", mapped.select(*whole_key)))
     links = linked(near)
     labels = components(links)
-    labelled = mapped.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    far = saved(candidates("across", labelled).join(near, ["a", "b"], "left_anti"))
+    labelled = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    fine = nodes.select("node", "bits", "fine")
+    far = saved(candidates("across", saved(labelled.join(mixed, "key", "left_semi")).join(fine, "node").select(*whole_key, "fine")).join(near, ["a", "b"], "left_anti"))
     links = links.union(linked(far))
     if count_links:
         met = near.union(far)
-        links = links.union(linked(saved(candidates("every", mapped.withColumn("component", F.col("node"))).join(met, ["a", "b"], "left_anti"))))
+        every = lists.withColumn("component", F.col("node")).join(fine, "node").select(*whole_key, "fine")
+        links = links.union(linked(saved(candidates("every", every).join(met, ["a", "b"], "left_anti"))))
     # Ids with different sets, the empty one included; first is one of the others.
     several = rows.where("id is not null").groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.when(F.col("n") > 0, F.col("node"))).alias("first"))
     several = saved(several.where("low <> high").select("id", "first")) if join_ids else None

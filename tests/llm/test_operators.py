@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -318,6 +319,62 @@ def test_ngram_join_counts_every_link(spark):
     assert {r.doc_id: r.n_links for r in ngram_join.similar_groups(documents(spark, texts), count_links=True).collect()} == want
 
 
+def mirrored_words():
+    """Two different words of 4,096 letters on which every polynomial hash modulo 2**64 agrees."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_mirrored_letters_differ(spark):
+    texts = [f"{'same ' * 12}{w}" for w in mirrored_words()]
+    rows = list(enumerate(texts))
+    assert sorted(map(tuple, substring_dedup.deduplicate(documents(spark, texts)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == slow_dedup(rows)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_groups(documents(spark, texts)).collect())
+    assert got == slow_groups(rows)
+
+
+def test_ngram_join_of_many_texts_around_one_passage(spark):
+    """A group of more than LARGE_GROUP texts that share most words and mostly do not link."""
+    rng = random.Random(13)
+    passage, texts = prose(rng, 60, 5000), []
+    for _ in range(330):
+        own = prose(rng, rng.choice((6, 9, 12, 40)), 5000)
+        texts += [f"{passage} {own}"] + [f"{passage} {own} end"] * (rng.random() < 0.1)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_groups(documents(spark, texts)).collect())
+    want = slow_groups(list(enumerate(texts)))
+    assert got == want
+    assert 300 < len({r[2] for r in want}) < len(texts)
+
+
+@pytest.mark.parametrize("way", ["across", "every"])
+def test_large_groups_meet_like_small_ones(monkeypatch, way):
+    rng = np.random.default_rng(14)
+    keys = np.sort(rng.integers(0, 6, 400))
+    n = np.concatenate([np.sort(rng.integers(20, 40, (keys == key).sum())) for key in range(6)])
+    bits = [rng.bytes(32) if i % 3 else bytes(32) for i in range(400)]
+    columns = [pa.array(keys), pa.array(np.arange(400)), pa.array(n.astype(np.int32)), pa.array(rng.integers(1, 14, 400).astype(np.int32)), pa.array(bits), pa.array(rng.integers(0, 3, 400) ** 2)]
+    batch = pa.RecordBatch.from_arrays(columns, ["key", "node", "n", "place", "bits", "component"])
+    met = []
+    for least in (10**6, 2):
+        monkeypatch.setattr(ngram_join, "LARGE_GROUP", least)
+        pairs = [p for a, b in getattr(ngram_join._Group(batch, 85), way)() for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(pairs) == len(set(pairs))
+        met.append(set(pairs))
+    assert met[0] == met[1] and len(met[0]) > 100
+
+
+def test_parity_gaps_never_exceed_the_difference():
+    rng = random.Random(15)
+    sets = [np.array(rng.sample(range(3000), rng.choice((5, 100, 400, 900))), np.uint64) for _ in range(60)]
+    pairs = [rng.sample(range(60), 2) for _ in range(300)]
+    maps = [ngram_join._fine_parity(s) for s in sets]
+    gaps = ngram_join._parity_gaps([maps[a] for a, _ in pairs], [maps[b] for _, b in pairs])
+    assert all(g <= len(set(sets[a]) ^ set(sets[b])) for g, (a, b) in zip(gaps.tolist(), pairs, strict=True))
+    assert gaps.max() > 300
+
+
 def test_ngram_join_odd_tables(spark):
     assert ngram_join.similar_groups(documents(spark, [])).count() == 0
     got = ngram_join.similar_groups(documents(spark, ["a b c d", "a b c d", "a b c d", "q"], [4, 4, None, None])).collect()
