@@ -1,19 +1,15 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Base spans come from three patterns. Beside them, long tokens that mix letters and digits are
-candidates. Every candidate value is hashed and counted by the distinct repositories and owners that
-hold it: a value that several owners hold is a copied example, one that a single owner holds looks
-live. Live-looking tokens are added as spans of kind ``owned`` where no base span overlaps them; base
-spans always stay.
+Base spans come from three patterns. Beside them, long tokens that mix letters and digits, or whose kinds of characters
+change as often as in random base64, are candidates. Every candidate value is hashed and counted by the distinct
+repositories and owners that hold it. A value of several owners is a copied example, and so is one that its single owner
+has in several repositories; every other value looks live. Tokens of fewer than COPIED_OWNERS owners are added as spans
+of kind ``owned`` where no base span overlaps them; base spans always stay.
 
-That is the contract of op6_secrets' SQL. A whole scan, which redaction uses, goes further: tokens whose kinds of
-characters change as often as in random base64 are candidates too, every value is either copied or live, a value of
-one owner is copied if several repositories hold it, and no token is left out that fewer than COPIED_OWNERS hold.
-
-DataFrame functions only. Positions follow from the pieces between matches. Texts are scanned once into
-a table of spans, which is written; counting and judging read that. A value found in a third of all
-documents costs one row per task and owner when counted, and its rows may be split where they meet its
-verdict.
+DataFrame functions only. Texts are scanned once into the gaps between matches and their lengths, which are written;
+positions are running sums over these, and overlaps are running extremes, so a text of very many matches costs no more
+a match than any other. A value found in a third of all documents costs one row per task and owner when counted, and
+its rows may be split where they meet its verdict.
 
 Null texts are empty. A null owner counts as the owner ''. Repeated rows are judged each for itself. An
 empty table gives an empty result. Only the named columns are read.
@@ -21,7 +17,7 @@ empty table gives an empty result. Only the named columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm._shared import saved
@@ -37,52 +33,54 @@ LEAST_DIGITS, LEAST_LETTERS = 4, 4
 KINDS = ("assign", "access", "hex", "owned")
 #: A value that so many owners hold is a copied example.
 COPIED_OWNERS = 3
-#: In a whole scan also a value that one owner has in so many repositories.
+#: So is a value that its only owner has in so many repositories.
 COPIED_REPOSITORIES = 3
-#: In a whole scan, percentage of a token's letters and digits after which lower case, upper case and digits change; random base64 has 64.
+#: Percentage of a token's letters and digits after which lower case, upper case and digits change; random base64 has 64.
 LEAST_CHANGES = 30
-_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+_MATCH = "array<struct<kind:int,place:int,gap:int,length:int,value:string>>"
 
 
-def _matches(text: Column, pattern: str, kind: int, value) -> Column:
-    """Spans of all matches, in order: match i starts after i + 1 gaps and i matches."""
+def _matches(text: Column, pattern: str, kind: int, value, wanted=None) -> Column:
+    """Of all matches, in order: what lies between it and the one before, its length, and the hash of its value, null if it is not wanted."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    lengths = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
 
-    def span(m: Column, i: Column) -> Column:
-        end = F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, n: a + n)
-        return F.struct((end - F.length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.sha2(value(m), 256).alias("value"))
+    def match(m: Column, i: Column) -> Column:
+        hashed = F.sha2(value(m), 256)
+        return F.struct(F.lit(kind).alias("kind"), i.alias("place"), F.get(gaps, i).alias("gap"), F.length(m).alias("length"), (hashed if wanted is None else F.when(wanted(m), hashed)).alias("value"))
 
-    return F.when(text.rlike(pattern), F.transform(found, span)).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), F.transform(found, match)).otherwise(F.array().cast(_MATCH))
 
 
-def base_spans(text: Column) -> Column:
-    """The contract's spans, by start and then kind."""
-    whole = lambda m: m
+def all_matches(text: Column) -> Column:
+    """The matches of all four kinds; those whose value is too short, and tokens that are no candidates, have no value."""
     assigned = lambda m: F.regexp_extract(m, ASSIGN, 2)
-    # A match whose value is too short is dropped after matching; its value is the rest of the match.
-    found = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0))
-    long_enough = F.transform(found, lambda m: F.length(assigned(m)) >= LEAST_ASSIGNED)
-    marked = F.zip_with(_matches(text, ASSIGN, 0, assigned), long_enough, lambda s, ok: F.when(ok, s))
-    assign = F.when(text.rlike(ASSIGN), F.filter(marked, lambda s: s.isNotNull())).otherwise(F.array().cast(_SPAN))
-    return F.array_sort(F.concat(assign, _matches(text, ACCESS, 1, whole), _matches(text, HEX, 2, whole)))
+    whole = lambda m: m
+    return F.concat(
+        _matches(text, ASSIGN, 0, assigned, lambda m: F.length(assigned(m)) >= LEAST_ASSIGNED),
+        _matches(text, ACCESS, 1, whole), _matches(text, HEX, 2, whole), _matches(text, TOKEN, 3, whole, _candidate),
+    )
 
 
-def _random_like(m: Column) -> Column:
+def _candidate(m: Column) -> Column:
+    mixed = (F.length(F.regexp_replace(m, "[^0-9]", "")) >= LEAST_DIGITS) & (F.length(F.regexp_replace(m, "[^A-Za-z]", "")) >= LEAST_LETTERS)
     plain = F.regexp_replace(m, "[^A-Za-z0-9]", "")
     runs = F.size(F.regexp_extract_all(plain, F.lit("[a-z]+|[A-Z]+|[0-9]+"), F.lit(0)))
-    return (F.length(plain) > 0) & (100 * (runs - 1) >= LEAST_CHANGES * F.length(plain))
+    return mixed | ((F.length(plain) > 0) & (100 * (runs - 1) >= LEAST_CHANGES * F.length(plain)))
 
 
-def token_spans(text: Column, base: Column, whole: bool = False) -> Column:
-    """Long tokens of letters and digits that no base span overlaps; the value is hashed as it stands."""
-    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    digits = lambda m: (F.length(F.regexp_replace(m, "[^0-9]", "")) >= LEAST_DIGITS) & (F.length(F.regexp_replace(m, "[^A-Za-z]", "")) >= LEAST_LETTERS)
-    mixed = F.transform(found, lambda m: digits(m) | _random_like(m) if whole else digits(m))
-    spans = F.zip_with(_matches(text, TOKEN, 3, lambda m: m), mixed, lambda s, ok: F.when(ok, s))
-    apart = lambda s: s.isNotNull() & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.when(text.rlike(TOKEN), F.filter(spans, apart)).otherwise(F.array().cast(_SPAN))
+def placed(matches: DataFrame) -> DataFrame:
+    """Spans of rows (_row, kind, place, gap, length, value, and more): adds start and end, leaves out matches without a value
+    and tokens that a base span overlaps. The rows of a document meet in one task, sorted; nothing else is held."""
+    at = Window.partitionBy("_row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    spans = matches.repartition("_row").withColumn("end", F.sum(F.col("gap") + F.col("length")).over(at).cast("int"))
+    spans = spans.withColumn("start", F.col("end") - F.col("length")).where("value IS NOT NULL")
+    base = F.col("kind") < 3
+    before = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("_row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
+    near = spans.withColumn("_ended", F.max(F.when(base, F.col("end"))).over(before)).withColumn("_next", F.min(F.when(base, F.col("start"))).over(after))
+    apart = (F.coalesce("_ended", F.lit(0)) <= F.col("start")) & (F.coalesce("_next", F.col("end")) >= F.col("end"))
+    return near.where(base | apart).drop("place", "gap", "length", "_ended", "_next")
 
 
 def span_list(spans: Column) -> Column:
@@ -97,31 +95,27 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner: Column | None = None, repository: Column | None = None, keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner: Column | None = None, repository: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, the columns of keep, found (array of start, kind, end, live, copied; in order).
 
-    whole: as the module says; else as op6_secrets' SQL. owner defaults to the column source, the repository to source and lang.
+    owner defaults to the column source, the repository to source and lang.
     """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     read = docs.select(F.col(id_column).alias("_id"), text.alias("_text"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep"))
-    spans = read.withColumn("base", base_spans(F.col("_text"))).withColumn("tokens", token_spans(F.col("_text"), F.col("base"), whole))
-    kept = ["_id", "owner", "repository", "base", "tokens", *["_keep"] * bool(keep)]
+    kept = ["_id", "owner", "repository", *["_keep"] * bool(keep)]
     # Written rows, so the row number is the same whenever it is read again.
-    table = saved(spans.select(*kept).withColumn("_row", F.monotonically_increasing_id()))
-    candidates = table.select("_row", "owner", "repository", F.explode(F.concat("base", "tokens")).alias("s")).select("_row", "owner", "repository", "s.*")
+    table = saved(read.select(*kept, all_matches(F.col("_text")).alias("matches")).withColumn("_row", F.monotonically_increasing_id()))
+    candidates = saved(placed(table.select("_row", "owner", "repository", F.explode("matches").alias("m")).select("_row", "owner", "repository", "m.*")))
     judged = candidates.join(ownership(candidates), "value")
-    live, copied = F.col("owners") == 1, F.col("owners") >= COPIED_OWNERS
-    known = live
-    if whole:
-        copied = copied | ((F.col("owners") == 1) & (F.col("repositories") >= COPIED_REPOSITORIES))
-        live, known = ~copied, F.col("owners") < COPIED_OWNERS
-    wanted = judged.where((F.col("kind") < 3) | known)
-    rows = wanted.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", live.alias("live"), copied.alias("copied")))).alias("found"))
+    copied = (F.col("owners") >= COPIED_OWNERS) | ((F.col("owners") == 1) & (F.col("repositories") >= COPIED_REPOSITORIES))
+    wanted = judged.where((F.col("kind") < 3) | (F.col("owners") < COPIED_OWNERS))
+    rows = wanted.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", (~copied).alias("live"), copied.alias("copied")))).alias("found"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,copied:boolean>>")
-    back = table.join(rows, "_row", "left")
-    return back.select(F.col("_id").alias(id_column), *[F.col(f"_keep.{k}").alias(k) for k in keep], "base", F.coalesce("found", empty).alias("found"))
+    found = F.coalesce("found", empty)
+    back = table.select("_row", *[k for k in kept if k not in ("owner", "repository")]).join(rows, "_row", "left")
+    return back.select(F.col("_id").alias(id_column), *[F.col(f"_keep.{k}").alias(k) for k in keep], F.filter(found, lambda s: s["kind"] < 3).alias("base"), found.alias("found"))
 
 
 def secret_table(docs: DataFrame, **columns) -> DataFrame:
@@ -153,7 +147,7 @@ def redact(text: Column, found: Column) -> Column:
 
 def redacted(docs: DataFrame, text_column: str = "text", **columns) -> DataFrame:
     """The rows of docs with all spans of the text replaced by their class; null texts stay null."""
-    found = scan(docs.withColumn("_all", F.struct(*docs.columns)), text_column=text_column, keep=("_all",), whole=True, **columns)
+    found = scan(docs.withColumn("_all", F.struct(*docs.columns)), text_column=text_column, keep=("_all",), **columns)
     text = F.col(f"_all.{text_column}")
     return found.select(*[redact(text, F.col("found")).alias(c) if c == text_column else F.col(f"_all.{c}").alias(c) for c in docs.columns])
 
@@ -168,16 +162,20 @@ def oracle_sql() -> str:
   FROM (SELECT r, regexp_extract_all(text, {p}, 0) AS m, string_split_regex(text, {p}) AS g FROM docs)) WHERE {ok}"""
 
     assigned = f"regexp_extract(m, {literal(ASSIGN)}, 2)"
-    mixed = f"length(regexp_replace(m, '[^0-9]', '', 'g')) >= {LEAST_DIGITS} AND length(regexp_replace(m, '[^A-Za-z]', '', 'g')) >= {LEAST_LETTERS}"
+    plain = "regexp_replace(m, '[^A-Za-z0-9]', '', 'g')"
+    mixed = (
+        f"(length(regexp_replace(m, '[^0-9]', '', 'g')) >= {LEAST_DIGITS} AND length(regexp_replace(m, '[^A-Za-z]', '', 'g')) >= {LEAST_LETTERS}"
+        f" OR length({plain}) > 0 AND 100 * (len(regexp_extract_all({plain}, '[a-z]+|[A-Z]+|[0-9]+')) - 1) >= {LEAST_CHANGES} * length({plain}))"
+    )
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository FROM documents),
 base AS ({kind(0, ASSIGN, assigned, f'length({assigned}) >= {LEAST_ASSIGNED}')} UNION ALL {kind(1, ACCESS, 'm', 'true')} UNION ALL {kind(2, HEX, 'm', 'true')}),
 tokens AS (SELECT * FROM ({kind(3, TOKEN, 'm', mixed)}) t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = t.r AND b.start < t.stop AND t.start < b.stop)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM tokens),
-held AS (SELECT value, count(DISTINCT owner) AS owners FROM every JOIN docs USING (r) GROUP BY value),
-named AS (SELECT e.*, owners, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS name FROM every e JOIN held USING (value)),
+held AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT [owner, repository]) AS repositories FROM every JOIN docs USING (r) GROUP BY value),
+named AS (SELECT e.*, owners, kind < 3 OR owners < {COPIED_OWNERS} AS shown, owners >= {COPIED_OWNERS} OR owners = 1 AND repositories >= {COPIED_REPOSITORIES} AS copied, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS name FROM every e JOIN held USING (value)),
 per AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h,
-  string_agg(name, ',' ORDER BY start, kind) FILTER (kind < 3) AS b, string_agg(name, ',' ORDER BY start, kind) FILTER (kind < 3 OR owners = 1) AS s,
-  count(*) FILTER (owners = 1) AS live, count(*) FILTER (owners >= {COPIED_OWNERS} AND kind < 3) AS copied FROM named GROUP BY r)
+  string_agg(name, ',' ORDER BY start, kind) FILTER (kind < 3) AS b, string_agg(name, ',' ORDER BY start, kind) FILTER (shown) AS s,
+  count(*) FILTER (shown AND NOT copied) AS live, count(*) FILTER (shown AND copied) AS copied FROM named GROUP BY r)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256,
   coalesce(s, '') AS spans, coalesce(live, 0) AS n_live, coalesce(copied, 0) AS n_copied FROM docs LEFT JOIN per USING (r)"""
