@@ -46,17 +46,17 @@ def from_wav(media: bytes) -> bytes:
         return file.readframes(file.getnframes())
 
 
-_window = np.hanning(FRAME).astype(np.float32)
+_window = np.hanning(FRAME)
 
 
 def spectral_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every frame the loudest bin of each band, and the power there. The last frame ends with the samples."""
+    """For every frame the loudest bin of each band, the lowest of equals, and the power there, as whole numbers."""
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     bins, powers = [], []
     for at in range(0, len(frames), SLAB):
-        slab = (frames[at : at + SLAB].astype(np.float32) - 128) * _window
+        slab = (frames[at : at + SLAB].astype(np.float64) - 128) * _window
         spectrum = np.fft.rfft(slab, axis=1)
-        power = spectrum.real**2 + spectrum.imag**2
+        power = np.rint(spectrum.real**2 + spectrum.imag**2)
         best = [power[:, lo:hi].argmax(1) + lo for lo, hi in BANDS]
         bins.append(np.stack(best, 1))
         powers.append(np.stack([power[np.arange(len(slab)), b] for b in best], 1))
@@ -86,8 +86,8 @@ def peak_pairs(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def media_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_media: bool = False, block: int = BLOCK) -> DataFrame:
     """One row per document: sizes and digests of text, payload and stored WAV, and the fingerprint.
 
-    ``feature`` is "peak pairs:SHA-256 of times and codes"; with_media adds the WAV bytes (``media``)
-    and the time-coded arrays (``times``, ``codes``). A narrow pass, no shuffle.
+    The fingerprint is the time-coded arrays ``times`` and ``codes``; ``feature`` is "peak pairs:SHA-256 of times
+    and codes". with_media adds the WAV bytes (``media``). A narrow pass, no shuffle.
     """
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,12 +100,12 @@ def media_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                 time, code = peak_pairs(np.frombuffer(payload, np.uint8))
                 mark = hashlib.sha256(time.astype("<i4").tobytes() + code.astype("<i4").tobytes()).hexdigest()
                 row = [len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(code)}:{mark}"]
-                rows.append(row + [media, time, code] * with_media)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())] * with_media]
+                rows.append([*row, time, code, *[media] * with_media])
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * with_media]
             columns = [pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_column, *names])
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["media", "times", "codes"] * with_media]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "codes", *["media"] * with_media]
     chosen = docs.select(F.col(id_column), F.col(text_column).cast("string").alias("_text"))
-    schema = f"`{id_column}` {chosen.schema[0].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return chosen.mapInArrow(convert, schema + ", media binary, times array<int>, codes array<int>" * with_media)
+    schema = f"`{id_column}` {chosen.schema[0].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<int>, codes array<int>"
+    return chosen.mapInArrow(convert, schema + ", media binary" * with_media)
