@@ -1,12 +1,12 @@
 """Language ID by compression: the language whose dictionary makes a text smallest.
 
 Each language has a zstandard raw-content dictionary: letters and single spaces, in lower case, of a
-bounded sample of labelled documents. A text is brought to the same form and compressed in chunks,
+bounded sample of labelled documents, from pieces spread evenly over each. A text is brought to the same form and compressed in chunks,
 whole, with every dictionary; the chunk sizes add up. The narrower the margin between the smallest
 and the next, the lower the score; a margin under ``MIN_MARGIN`` rejects.
 
 Null texts and texts without a letter are ``und`` with score 0 and are rejected. Rows without a label
-are predicted but not learned from. With no labelled row at all every text is ``und``. Equal texts
+are predicted but not learned from. Rows without an id are not held out. With no labelled row at all every text is ``und``. Equal texts
 have equal predictions; of equally small languages the first by name is taken (margin 0). Only the
 named columns are read, so further columns may have any name.
 """
@@ -18,12 +18,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The sample that dictionaries are made of: about so many documents a language, so many characters of each.
-SAMPLE_DOCS = 256
-SAMPLE_CHARS = 1024
+#: The sample that dictionaries are made of: about so many documents a language, pieces of each, characters of a piece.
+SAMPLE_DOCS, PIECES, PIECE_CHARS = 256, 8, 128
 CHUNK = 4096
 LEVEL = 6
 MIN_MARGIN = 0.002
@@ -38,23 +37,29 @@ def plain_form(text: str) -> str:
 
 def held_out(id_column: str = "doc_id"):
     """True for the quarter of documents that nothing may be learned from."""
-    return F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn_dictionaries(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """Raw dictionary content by language, from about ``sample_docs`` documents of each, chosen by a hash of the id.
+def _spread(text: Column, pieces: int, chars: int) -> Column:
+    """The whole text if it is no longer than the pieces together; else pieces at even distances, the first and the last included."""
+    piece = lambda i: F.substring(text, (i * (F.length(text) - chars) / (pieces - 1)).cast("int") + 1, F.lit(chars))
+    return F.when(F.length(text) <= pieces * chars, text).otherwise(F.concat_ws(" ", *[piece(F.lit(i)) for i in range(pieces)]))
+
+
+def learn_dictionaries(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_docs: int = SAMPLE_DOCS, pieces: int = PIECES, piece_chars: int = PIECE_CHARS) -> dict[str, bytes]:
+    """Raw dictionary content by language, from about ``sample_docs`` documents of each, chosen by a hash of id and text.
 
     Counts per language come first, then only documents under the hash bound that this gives are read.
-    What reaches the driver is at most ``sample_chars`` of each of them.
+    What reaches the driver is at most ``pieces`` times ``piece_chars`` characters of each of them.
     """
     known = labelled.where(F.col(lang_column).isNotNull() & (F.length(F.trim(F.col(text_column))) > 0))
     counts = {r[0]: r[1] for r in known.groupBy(lang_column).count().collect()}
     if not counts:
         return {}
-    spot = F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 32))
+    spot = F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(1 << 32))
     bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 32, (sample_docs << 32) // n))])
-    head = F.substring(F.col(text_column), 1, sample_chars)
-    rows = known.where(spot < bound[F.col(lang_column)]).select(F.col(lang_column), spot.alias("spot"), head.alias("head")).collect()
+    part = _spread(F.col(text_column), pieces, piece_chars)
+    rows = known.where(spot < bound[F.col(lang_column)]).select(F.col(lang_column), spot.alias("spot"), part.alias("part")).collect()
     found: dict[str, list[str]] = {}
     for lang, _, text in sorted(map(tuple, rows), key=lambda r: (r[0], r[1], r[2])):
         found.setdefault(lang, []).append(plain_form(text))
