@@ -7,8 +7,11 @@ match the targets in the least-squares sense, each domain's miss weighed by its
 the step 1 is safe: the curvature matrix is similar to a stochastic one.
 
 A round is one sum of K numbers over a small table (tokens, posteriors, rate); only these numbers reach
-the driver. The table is written again every few rounds. The classifier is fitted on a bounded sample,
-``SAMPLE`` labelled documents by a hash of the id; prediction and sums cover all documents.
+the driver. The table is written again every few rounds. The classifier is fitted on a bounded sample:
+about ``SAMPLE`` labelled documents by a hash of the id, as many of each domain where it has them, weighed so that
+each domain counts by its labels. Prediction and sums cover all documents. Rounds end when every domain's share is met
+within ``TOLERANCE`` of the largest target, or after ``ROUNDS``; ``miss`` says how far the worst share is then off, which
+also shows targets that no rates can meet.
 
 Null and empty texts have no tokens and the posteriors of an empty text; they keep the rate of their
 posteriors. Rows of equal id are fitted each for itself. A label row that is null or repeated counts as
@@ -54,19 +57,20 @@ def membership(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     known = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), domain_of(F.col("quality"), F.col("toxic")).alias("label"))
     counts = {int(r[0]): r[1] for r in known.groupBy("label").count().collect()}
-    total = sum(counts.values())
     featured = _featured(texts.withColumn("row", F.monotonically_increasing_id()), F.col("text"))
     tokens = F.size("_words").cast("long").alias("tokens")
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(min(1 << 30, (sample << 30) // max(total, 1))))
-    train = _featured(texts.join(chosen, "id"), F.col("text")).select("label", "_features")
+    each = max(1, sample // max(len(counts), 1))
+    chance = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (float(k), min(1.0, each / n))]), F.col("label")) if counts else F.lit(0.0)
+    chosen = known.withColumn("weight", 1 / chance).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < chance * (1 << 30))
+    train = _featured(texts.join(chosen, "id"), F.col("text")).select("label", "weight", "_features")
     if len(counts) > 1:
         train = saved(train)
         seen = sorted(int(r[0]) for r in train.select("label").distinct().collect())
     else:
         seen = sorted(counts)
     if len(seen) > 1:
-        # Weights come from the table itself, so that no class is drowned; classes that the sample lacks have no mass.
-        model = LogisticRegression(featuresCol="_features", labelCol="label", probabilityCol="_p", family="multinomial", maxIter=25, regParam=2e-4).fit(train)
+        # Domains without a label have no mass.
+        model = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight", probabilityCol="_p", family="multinomial", maxIter=25, regParam=2e-4).fit(train)
         p = vector_to_array(F.col("_p"))
         size = len(model.interceptVector)
         even = F.array(*[F.get(p, k) if k < size else F.lit(0.0) for k in range(len(DOMAINS))])
@@ -78,7 +82,7 @@ def membership(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Adds ``rate`` to rows of (tokens, posteriors)."""
+    """Adds ``rate`` to rows of (tokens, posteriors), and ``miss``: how far the worst domain's share is off, by the sums of the last round."""
     shares = [(targets or TARGETS).get(d, 0.0) for d in DOMAINS]
     mass = lambda rate: [F.sum(F.col("tokens") * F.get("posteriors", k) * rate) for k in range(len(DOMAINS))]
     first = members.agg(F.sum("tokens"), *mass(F.lit(1.0))).first()
@@ -96,7 +100,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, round
         if number % UNROLLED == UNROLLED - 1:
             state = saved(state)
         sums = [(x or 0.0) / total for x in state.agg(*mass(F.col("rate"))).first()]
-    return state
+    miss = max((abs(s - t) for s, t, m in zip(sums, shares, own, strict=True) if m > 0), default=0.0)
+    return state.withColumn("miss", F.lit(miss))
 
 
 def copies_of(rate: Column, key: Column) -> Column:
@@ -106,9 +111,9 @@ def copies_of(rate: Column, key: Column) -> Column:
 
 
 def mixing_table(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", targets: dict[str, float] | None = None) -> DataFrame:
-    """id, tokens, the posterior of every domain, rate and copies."""
+    """id, tokens, the posterior of every domain, rate, copies and miss."""
     fitted = fit_rates(membership(docs, labels, id_column, text_column), targets)
-    return fitted.select(F.col("id").alias(id_column), "tokens", *[F.get("posteriors", k).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", copies_of(F.col("rate"), F.col("id")).alias("copies"))
+    return fitted.select(F.col("id").alias(id_column), "tokens", *[F.get("posteriors", k).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", copies_of(F.col("rate"), F.col("id")).alias("copies"), "miss")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", targets: dict[str, float] | None = None) -> DataFrame:
