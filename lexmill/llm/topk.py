@@ -1,37 +1,48 @@
 """Exact top-k inner products by score-at-a-time over an impact-ordered index.
 
-Vectors become whole numbers, floor(scale * x). A block of candidates is indexed as posting segments:
-all (vector, component) postings whose quantised impact, the magnitude of the whole number, falls into
-one level. A block of queries takes the segments in descending impact. After each segment every score is
-known up to norm(query) * norm(what of the vector is unprocessed), by Cauchy and Schwarz; the k-th best lower
-bound rules out every vector whose upper bound is less. Processing stops when that proof leaves few
-possible members, and these are rescored exactly; without a proof it goes on to the last segment, where
-all scores are exact.
-
-Queries meet all candidates block by block, on a grid of (candidate block, query block); each cell
-returns k rows a query, and a window keeps the best k. Vectors that are null or hold null or non-finite
-components take no part. Shorter vectors count as filled up with zeros. A repeated vec_id is a candidate
-as often as it occurs, but never for a query of its own id. Ties go to the smaller vec_id. With fewer
-than k candidates all are returned; an empty table gives an empty result. Only the two named columns are
-read. Components are limited to about 2**27 in magnitude after scaling, so that int64 sums are exact.
+Vectors become whole numbers, floor(scale * x), and are dealt into blocks, those of greater norm into earlier ones. Each
+block is indexed once: its postings (component, vector, value) are grouped by quantised impact, the bit length of
+the magnitude, whole levels at a time into segments of descending impact, and written, with the norm of what of each
+vector the later segments hold.
+
+A block of queries takes a block's segments in order. After each segment every score is known up to
+norm(query) * norm(what of the vector is unprocessed), by Cauchy and Schwarz; the k-th best lower bound rules out every
+vector whose upper bound is less. The bound of the first block, which has the greatest norms, is carried to all others:
+a block that cannot reach it is not even sent to those queries. Processing stops when the proof leaves few possible
+members, and these are rescored exactly; without a proof it goes on to the last segment, where all scores are exact.
+For each block the best k a query return, and a window keeps the best k of all. A segment is accumulated as one product
+of dense arrays, as wide as the block, since single postings are slower in numpy.
+
+Vectors that are null or hold null or non-finite components take no part. Shorter vectors count as filled up with
+zeros. A repeated vec_id is a candidate as often as it occurs, but never for a query of its own id. Ties go to the
+smaller vec_id. With fewer than k candidates all are returned; an empty table gives an empty result. Only the two named
+columns are read. Scores are 64-bit: where the largest magnitudes could exceed that, ``top_k`` raises a ValueError
+before anything is scored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.llm._shared import saved
+
 SCALE, K, EVERY = 64, 20, 20
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
-#: Shares of the postings, by descending impact, after which a segment ends.
-SEGMENTS = (0.35, 0.7, 1.0)
+#: Classes of norms, from which blocks are filled in descending order.
+NORM_CLASSES = 8
+#: Least share of a block's postings in a segment; levels are joined until they have it.
+LEAST_SEGMENT = 0.25
 #: Possible members per query at which processing stops, as a multiple of k.
 FEW = 4
+_BLOCK = "block int, top double, ids binary, norms binary, segments array<struct<positions:binary,components:binary,values:binary,width:int,rest:binary>>"
+_QUERIES = "q int, length double, ids binary, matrix binary"
 
 
 def whole_vectors(embeddings: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -41,91 +52,181 @@ def whole_vectors(embeddings: DataFrame, id_column: str = "vec_id", vector_colum
     return embeddings.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull()).where(usable).select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v"))
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    """One row of a block: ids and matrix as bytes."""
-    vectors = table.column("v").to_pylist()
-    matrix = np.zeros((len(vectors), max(map(len, vectors))), np.int64)
-    for row, v in zip(matrix, vectors, strict=True):
+class Segment(NamedTuple):
+    """Postings of some impact levels, and of every vector the norm of what lower levels hold, rounded up."""
+
+    positions: np.ndarray
+    components: np.ndarray
+    values: np.ndarray
+    rest: np.ndarray
+
+
+def impact_segments(matrix: np.ndarray, least: float = LEAST_SEGMENT) -> list[Segment]:
+    """The non-zero postings of a block by descending impact level."""
+    at, component = np.nonzero(matrix)
+    value = matrix[at, component]
+    level = np.frexp(np.abs(value).astype(np.float64))[1]
+    order = np.lexsort((at, component, -level))
+    at, component, value, level = at[order], component[order], value[order], level[order]
+    ends = np.append(np.flatnonzero(level[1:] != level[:-1]) + 1, len(level)) if len(level) else []
+    left, low, out = (matrix.astype(np.float64) ** 2).sum(1), 0, []
+    for end in ends:
+        if end - low >= least * len(level) or end == len(level):
+            own = slice(low, end)
+            left -= np.bincount(at[own], value[own].astype(np.float64) ** 2, len(matrix))
+            rest = np.sqrt(np.maximum(left, 0) + 1e-9 * (matrix.astype(np.float64) ** 2).sum(1)) * (1 + 1e-6) if end < len(level) else np.zeros(len(matrix))
+            out.append(Segment(at[own].astype(np.uint32), component[own].astype(np.uint32), value[own], np.nextafter(rest.astype(np.float32), np.float32(np.inf)) if end < len(level) else rest.astype(np.float32)))
+            low = end
+    return out
+
+
+def _dense(rows: list[list[int]]) -> np.ndarray:
+    matrix = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
+    for row, v in zip(matrix, rows, strict=True):
         row[: len(v)] = v
-    kind = np.int16 if not matrix.size or np.abs(matrix).max() < 1 << 15 else np.int64
-    ids = np.array(table.column("vec_id").to_pylist(), np.int64)
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([matrix.astype(kind).tobytes()], pa.binary()), "width": pa.array([kind().itemsize], pa.int32())})
-
+    return matrix
 
-def _blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    count = max(1, math.ceil(vectors.count() / rows))
-    numbered = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-    return numbered.groupBy("block").applyInArrow(_pack, "block int, ids binary, matrix binary, width int"), count
 
-
-def _unpack(ids: bytes, matrix: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    own = np.frombuffer(ids, np.int64)
-    return own, np.frombuffer(matrix, {2: np.int16, 8: np.int64}[width]).reshape(len(own), -1).astype(np.int64)
+def _pack(table: pa.Table) -> pa.Table:
+    """The index of one block."""
+    matrix = _dense(table.column("v").to_pylist())
+    narrow = not matrix.size or np.abs(matrix).max() < 1 << 15
+    segments = [{"positions": s.positions.tobytes(), "components": s.components.astype(np.uint16 if matrix.shape[1] < 1 << 16 else np.uint32).tobytes(), "values": s.values.astype(np.int16 if narrow else np.int64).tobytes(), "width": 2 if narrow else 8, "rest": s.rest.tobytes()} for s in impact_segments(matrix)]
+    norms = np.sqrt((matrix.astype(np.float64) ** 2).sum(1)) * (1 + 1e-6)
+    kinds = pa.list_(pa.struct([("positions", pa.binary()), ("components", pa.binary()), ("values", pa.binary()), ("width", pa.int32()), ("rest", pa.binary())]))
+    ids = np.array(table.column("vec_id").to_pylist(), np.int64)
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "top": pa.array([float(norms.max(initial=0))]), "ids": pa.array([ids.tobytes()], pa.binary()), "norms": pa.array([norms.tobytes()], pa.binary()), "segments": pa.array([segments], kinds)})
 
 
-def score_at_a_time(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its best k of the block: (query id, vector ids, exact scores)."""
-    dims = max(queries.shape[1], vectors.shape[1])
-    queries = np.pad(queries, ((0, 0), (0, dims - queries.shape[1])))
-    vectors = np.pad(vectors, ((0, 0), (0, dims - vectors.shape[1])))
-    most = int(np.abs(queries).max(initial=0)) * int(np.abs(vectors).max(initial=0)) * max(dims, 1)
+def _pack_queries(table: pa.Table) -> pa.Table:
+    matrix = _dense(table.column("v").to_pylist())
+    ids = np.array(table.column("vec_id").to_pylist(), np.int64)
+    length = float(np.sqrt((matrix.astype(np.float64) ** 2).sum(1)).max(initial=0))
+    return pa.table({"q": pa.array([table.column("q")[0].as_py()], pa.int32()), "length": pa.array([length]), "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([matrix.tobytes()], pa.binary())})
+
+
+def _spot(parts: Column) -> Column:
+    """A row's part: of repeated ids each row by itself."""
+    return F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), parts)
+
+
+def build_index(vectors: DataFrame, rows: int = CANDIDATE_BLOCK, classes: int = NORM_CLASSES) -> tuple[DataFrame, int]:
+    """The written index of (vec_id, v), and its number of blocks. Block 0 is among those of the greatest norms."""
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    normed = vectors.select("vec_id", "v", norm.alias("norm"))
+    cuts = sorted(set(normed.agg(F.percentile_approx("norm", [i / classes for i in range(1, classes)], 1000)).first()[0] or []), reverse=True)
+    kind = F.lit(0)
+    for cut in cuts:
+        kind = kind + (F.col("norm") < cut).cast("int")
+    classed = normed.withColumn("kind", kind)
+    first, parts, at = {}, {}, 0
+    for number, count in sorted(map(tuple, classed.groupBy("kind").count().collect())):
+        first[number], parts[number] = at, max(1, math.ceil(count / rows))
+        at += parts[number]
+    if not at:
+        return saved(vectors.sparkSession.createDataFrame([], _BLOCK)), 0
+    known = lambda of: F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col("kind"))
+    numbered = classed.select("vec_id", "v", (known(first) + _spot(known(parts))).cast("int").alias("block"))
+    return saved(numbered.groupBy("block").applyInArrow(_pack, _BLOCK)), at
+
+
+def score_at_a_time(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, norms: np.ndarray, segments: list[Segment], k: int, bars: np.ndarray | None = None) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray, int]:
+    """For each query its best k of the block (query id, vector ids, exact scores), its k-th best score or bar so far, and the postings read.
+
+    bars: scores below which nothing is asked for.
+    """
+    wide = max([queries.shape[1], *(int(s.components.max(initial=0)) + 1 for s in segments)])
+    queries = np.pad(queries, ((0, 0), (0, wide - queries.shape[1])))
+    most = int(np.abs(queries).max(initial=0)) * max((int(np.abs(s.values).max(initial=0)) for s in segments), default=0) * max(wide, 1)
     kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
-    impact = np.abs(vectors)
-    ordered = np.sort(impact, axis=None)[::-1]
-    floors = sorted({int(ordered[min(len(ordered), math.ceil(s * len(ordered))) - 1]) if s < 1 else 0 for s in SEGMENTS}, reverse=True) if len(ordered) else [0]
-    q = queries.astype(kind)
-    q_norm = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
-    score = np.zeros((len(queries), len(vectors)), kind)
+    real = np.float32 if kind is np.float32 else np.float64
+    bar = np.full(len(queries), -np.inf) if bars is None else bars.astype(np.float64)
+    q, q_norm = queries.astype(kind), np.sqrt((queries.astype(np.float64) ** 2).sum(1)) * (1 + 1e-6)
     own = query_ids[:, None] == ids[None, :]
-    above, few = None, max(FEW * k, 1)
-    for floor in floors:
-        segment = (impact >= floor) if above is None else (impact >= floor) & (impact < above)
-        above = floor
-        score += q @ np.where(segment, vectors, 0).astype(kind).T
-        rest = np.sqrt((np.where(impact < floor, vectors, 0).astype(np.float64) ** 2).sum(1))
-        # Rounded outwards, so that a bound never excludes a member.
-        slack = (q_norm[:, None] * rest[None, :] * (1 + 1e-6)).astype(np.float64 if kind is not np.float32 else np.float32) if floor else 0
+    possible = ~own & (np.multiply.outer(q_norm, norms) + 1 >= bar[:, None])
+    score = np.zeros((len(queries), len(ids)), kind)
+    read, few = 0, max(FEW * k, 1)
+    exact = not segments
+    for s in segments:
+        if not possible.any():
+            break
+        dense = np.zeros((len(ids), wide), kind)
+        dense[s.positions, s.components] = s.values
+        score += q @ dense.T
+        read += len(s.values)
+        exact = s is segments[-1]
+        slack = 0 if exact else (np.multiply.outer(q_norm, s.rest) * (1 + 1e-6)).astype(real)
         low = np.where(own, -np.inf, score - slack)
-        if len(ids) > k:
-            bar = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
-        else:
-            bar = np.full(len(queries), -np.inf)
-        possible = (score + slack + (1 if floor else 0) >= bar[:, None]) & ~own
-        if floor == 0 or possible.sum() <= few * len(queries):
+        if len(ids) >= k:
+            bar = np.maximum(bar, np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k])
+        possible &= score + slack + (0 if exact else 1) >= bar[:, None]
+        if possible.sum() <= few * len(queries):
             break
-    found = []
+    found, ended = [], bar.copy()
     for i, query_id in enumerate(query_ids.tolist()):
         at = np.flatnonzero(possible[i])
-        exact = vectors[at] @ queries[i]
-        best = np.lexsort((ids[at], -exact))[:k]
-        found.append((query_id, ids[at[best]], exact[best]))
-    return found
+        if exact:
+            full = score[i, at].astype(np.int64)
+        else:
+            place = np.full(len(ids), -1)
+            place[at] = np.arange(len(at))
+            full = np.zeros(len(at), np.int64)
+            for s in segments:
+                to = place[s.positions]
+                use = to >= 0
+                np.add.at(full, to[use], s.values[use].astype(np.int64) * queries[i, s.components[use]])
+        best = np.lexsort((ids[at], -full))[:k]
+        found.append((query_id, ids[at[best]], full[best]))
+        if len(best) == k:
+            ended[i] = max(ended[i], float(np.nextafter(float(full[best[-1]]), -np.inf)) if abs(int(full[best[-1]])) >= 1 << 53 else full[best[-1]])
+    return found, ended, read
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: for every row of queries its k best of all vectors but its own id.
+def _unpacked(segments: list[dict]) -> list[Segment]:
+    return [Segment(np.frombuffer(s["positions"], np.uint32), np.frombuffer(s["components"], np.uint16 if len(s["components"]) * 2 == len(s["positions"]) else np.uint32), np.frombuffer(s["values"], np.int16 if s["width"] == 2 else np.int64), np.frombuffer(s["rest"], np.float32)) for s in segments]
 
-    Both have (vec_id, v) as from whole_vectors.
-    """
-    query_blocks, query_count = _blocks(queries, QUERY_BLOCK)
-    blocks, count = _blocks(vectors, CANDIDATE_BLOCK)
-    spread = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = blocks.select(F.col("block").alias("c"), spread(query_count, "q"), F.col("ids").alias("c_ids"), F.col("matrix").alias("c_matrix"), F.col("width").alias("c_width"))
-    right = query_blocks.select(F.col("block").alias("q"), spread(count, "c"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("width").alias("q_width"))
+
+def _search(k: int):
+    """Of cells (q, bars, query ids, query matrix, ids, norms, segments): q, the bars after it, and what was found."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                c, ci, cm, cw, qi, qm, qw = (batch.column(j)[i].as_py() for j in range(7))
-                ids, matrix = _unpack(ci, cm, cw)
-                query_ids, query_matrix = _unpack(qi, qm, qw)
-                found = score_at_a_time(query_matrix, query_ids, matrix, ids, k)
-                sizes = [len(x[1]) for x in found]
-                if any(sizes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in found], sizes)), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))], ["query_id", "vec_id", "score"])
-
-    cells = left.join(right, ["c", "q"]).select("c", "c_ids", "c_matrix", "c_width", "q_ids", "q_matrix", "q_width")
-    found = cells.mapInArrow(search, "query_id long, vec_id long, score long")
+                q, bars, qi, qm, ci, cn, segments = (batch.column(j)[i].as_py() for j in range(7))
+                query_ids, ids = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
+                queries = np.frombuffer(qm, np.int64).reshape(len(query_ids), -1)
+                found, ended, _ = score_at_a_time(queries, query_ids, ids, np.frombuffer(cn, np.float64), _unpacked(segments), k, None if bars is None else np.frombuffer(bars, np.float64))
+                rows = [{"query_id": x, "vec_id": v, "score": s} for x, vs, ss in found for v, s in zip(vs.tolist(), ss.tolist(), strict=True)]
+                kind = pa.list_(pa.struct([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([ended.tobytes()], pa.binary()), pa.array([float(ended.min(initial=np.inf))]), pa.array([rows], kind)], ["q", "bars", "bar", "found"])
+
+    return search
+
+
+_FOUND = "q int, bars binary, bar double, found array<struct<query_id:long,vec_id:long,score:long>>"
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score: for every row of queries its k best of all vectors but its own id.
+
+    Both have (vec_id, v) as from whole_vectors.
+    """
+    size = lambda df: df.agg(F.count("*"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))), F.max(F.size("v"))).first()
+    (_, most, wide), (asked, most_asked, _) = size(vectors), size(queries)
+    if (most or 0.0) * (most_asked or 0.0) * (wide or 0) >= float(1 << 63):
+        raise ValueError(f"components up to {most:g} and {most_asked:g} over {wide} places exceed 64-bit scores; use a smaller scale")
+    blocks, count = build_index(vectors)
+    parts = max(1, math.ceil(asked / QUERY_BLOCK))
+    query_blocks = saved(queries.select("vec_id", "v", _spot(F.lit(parts)).cast("int").alias("q")).groupBy("q").applyInArrow(_pack_queries, _QUERIES))
+    right = query_blocks.select("q", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    cell = ["q", "bars", "q_ids", "q_matrix", "ids", "norms", "segments"]
+    # The first block sets a bar for every query; a pair of blocks that cannot reach it is left out before it is sent.
+    seeds = saved(right.withColumn("block", F.lit(0)).join(blocks.where("block = 0"), "block").withColumn("bars", F.lit(None).cast("binary")).select(*cell).mapInArrow(_search(k), _FOUND))
+    asks = query_blocks.select("q", "length").join(seeds.select("q", "bar"), "q")
+    numbers = F.explode(F.sequence(F.lit(1), F.lit(count - 1))) if count > 1 else F.explode(F.array().cast("array<int>"))
+    pairs = asks.withColumn("block", numbers).join(blocks.select("block", "top"), "block").where(F.col("length") * F.col("top") * (1 + 1e-5) + 1 >= F.col("bar")).select("block", "q")
+    cells = pairs.join(blocks, "block").join(right.join(seeds.select("q", "bars"), "q"), "q").select(*cell)
+    found = seeds.select("found").union(cells.mapInArrow(_search(k), _FOUND).select("found")).select(F.inline("found"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
