@@ -2,14 +2,19 @@
 
 A window is ``window`` consecutive words. Of the hashes of its runs of ``ANCHOR`` words the least is its
 fingerprint, so equal windows have equal fingerprints at equal places, and neighbouring windows mostly share
-one. The index holds (fingerprint, document) in immutable runs, each bucketed and sorted by fingerprint.
-A new batch becomes a run, is merge-joined with the runs before it (bucket by bucket, without a shuffle of
-history), and yields the fingerprints that two documents hold; when there are ``MAX_RUNS`` runs they are
-compacted into one.
+one. The index holds (fingerprint, document) in immutable runs, each bucketed and sorted by fingerprint, and the
+packed texts of every batch. It consists of named tables of the warehouse, so it can be opened again and outlives a call.
 
-Fingerprints only nominate. Verification reads the texts: first the whole stretch of words that the
-windows of one fingerprint cover is compared by a second hash, so that most windows are settled together; where one
-fingerprint stands in different stretches, each window of one holder per stretch is compared by 128 bits.
+Adding a batch is one cycle. Its fingerprints become a run, which is merge-joined with the runs before it (bucket by bucket,
+without a shuffle of history) for the fingerprints that two documents hold. These only nominate: verification reads the
+texts of their holders. First the whole stretch of words that the windows of one fingerprint cover is compared, so that
+most windows are settled together; where one fingerprint stands in different stretches, each window of one holder per
+stretch is compared. Either compares two unrelated 64-bit hashes of every word, by which texts are taken for equal. The
+batch's documents are then judged for good; results of earlier batches are never computed again. With ``MAX_RUNS`` runs
+the runs are compacted into one.
+
+A document is judged against its own and earlier batches, so ids must not descend from batch to batch; an id that is
+smaller than one of an earlier batch does not change what that batch lost.
 
 Null texts have no words. Documents with a null id are never compared: nothing is removed from them. Rows of equal id are
 judged each for itself, never against one another. Texts of any length are whole. An empty table gives
@@ -22,6 +27,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._shared import Powers, U, mix64, rolling, saved, span_hashes, word_spans
+from lexmill.llm._shared import Powers, U, forget, mix64, rolling, saved, span_hashes, word_spans
 
 WINDOW, ANCHOR = 13, 4
 MAX_RUNS = 2
@@ -46,6 +52,12 @@ def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, start, end), counts
 
 
+def _both_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _word_hashes, with unrelated hashes of the words between the two."""
+    data, start, end, counts = word_spans(texts)
+    return span_hashes(data, start, end), span_hashes(data, start, end, seed=1), counts
+
+
 def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprints in order, with the first and last window start that each stands for."""
     grams = rolling(words, ANCHOR, 17)
@@ -115,12 +127,12 @@ def _stretches(window: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, texts in _unpacked(batch, 2):
-                words, counts = _word_hashes(texts)
+                words, others, counts = _both_hashes(texts)
                 out, at = [], 0
                 for i, n in zip(range(lo, hi), counts.tolist(), strict=True):
                     row, key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                     shared = np.sort(batch.column(3)[i].values.to_numpy(zero_copy_only=False).view(U))
-                    own = words[at : at + n]
+                    own, other = words[at : at + n], others[at : at + n]
                     at += n
                     h, first, last = anchors(own, window)
                     if not len(h):
@@ -128,7 +140,7 @@ def _stretches(window: int):
                     use = shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h
                     grams = rolling(own, ANCHOR, 17)
                     place = np.lib.stride_tricks.sliding_window_view(grams, window - ANCHOR + 1)[first].argmin(1) + first
-                    g = _stretch_hash(own, place, first, last, window)
+                    g = _stretch_hash(other, place, first, last, window)
                     k = int(use.sum())
                     out.append((h[use].view(np.int64), g[use].view(np.int64), np.full(k, key, np.int64), np.full(k, row, np.int64), first[use].astype(np.int32), last[use].astype(np.int32)))
                 if out:
@@ -180,10 +192,10 @@ def _single_windows(window: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, texts in _unpacked(batch, 2):
-                words, counts = _word_hashes(texts)
+                words, others, counts = _both_hashes(texts)
                 out, at = [], 0
                 for i, n in zip(range(lo, hi), counts.tolist(), strict=True):
-                    own = words[at : at + n]
+                    own, other = words[at : at + n], others[at : at + n]
                     at += n
                     wanted = np.zeros(n, bool)
                     for part in batch.column(3)[i].as_py():
@@ -191,7 +203,7 @@ def _single_windows(window: int):
                     start = np.flatnonzero(wanted)
                     if len(start):
                         k = len(start)
-                        out.append((rolling(own, window, 29)[start].view(np.int64), rolling(own, window, 31)[start].view(np.int64), np.full(k, batch.column(1)[i].as_py(), np.int64), np.full(k, batch.column(0)[i].as_py(), np.int64), start.astype(np.int32)))
+                        out.append((rolling(own, window, 29)[start].view(np.int64), rolling(other, window, 31)[start].view(np.int64), np.full(k, batch.column(1)[i].as_py(), np.int64), np.full(k, batch.column(0)[i].as_py(), np.int64), start.astype(np.int32)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["w1", "w2", "id", "row", "start"])
 
@@ -233,94 +245,109 @@ def _kept_words(window: int, with_text: bool):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (h, row), as bucketed tables of the warehouse."""
+    """Tables ``{name}_text_{batch}`` of (row, id, packed), bucketed by row, and ``{name}_run_{first}_{last}`` of (h, row), bucketed
+    and sorted by h, for the batches first to last. Without a name a new one is made up; an index of a known name goes on
+    where it ended. A batch whose add failed leaves its own tables behind, which the next add writes over."""
 
-    def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS):
-        self.spark, self.max_runs = spark, max_runs
+    def __init__(self, spark: SparkSession, name: str | None = None, window: int = WINDOW, max_runs: int = MAX_RUNS):
+        self.spark, self.window, self.max_runs = spark, window, max_runs
+        self.name = name or f"lexmill_{uuid.uuid4().hex}"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-
-    def _write(self, rows: DataFrame, sort: str, *by: str) -> str:
-        name = f"lexmill_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, *by).write.bucketBy(self.buckets, *by).sortBy(sort).format("parquet").saveAsTable(name)
-        return name
-
-    def add(self, rows: DataFrame) -> DataFrame:
-        """Adds a batch as a run; gives (h, row), new and historical, of fingerprints that the batch shares with
-        history or holds in two rows. To be read before the index is compacted or dropped."""
-        name = self._write(rows, "h", "h")
-        new = self.spark.table(name)
+        spans = sorted((tuple(map(int, t.split("_")[-2:])) for t in self._tables("run")), key=lambda r: (r[0], -r[1]))
+        self.runs: list[tuple[int, int]] = []
+        for first, last in spans:  # a run that was compacted lies inside the one that replaced it
+            if not self.runs or first > self.runs[-1][1]:
+                self.runs.append((first, last))
+        self.batches = self.runs[-1][1] + 1 if self.runs else 0
+
+    def _tables(self, kind: str = "") -> list[str]:
+        return [r.tableName for r in self.spark.sql(f"SHOW TABLES LIKE '{self.name}_{kind}*'").collect()]
+
+    def _run(self, run: tuple[int, int]) -> str:
+        return f"{self.name}_run_{run[0]}_{run[1]}"
+
+    def _text(self, batch: int) -> DataFrame:
+        return self.spark.table(f"{self.name}_text_{batch}")
+
+    def _write(self, name: str, rows: DataFrame, by: str) -> DataFrame:
+        rows.repartition(self.buckets, by).write.mode("overwrite").bucketBy(self.buckets, by).sortBy(by).format("parquet").saveAsTable(name)
+        return self.spark.table(name)
+
+    def _shared(self, new: DataFrame) -> DataFrame:
+        """(h, row), new and historical, of fingerprints that the new run shares with history or holds in two rows."""
         twice = new.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
         found = new.join(twice, "h", "left_semi")
         for run in self.runs:
-            old = self.spark.table(run)
+            old = self.spark.table(self._run(run))
             found = found.union(new.join(old.select("h"), "h", "left_semi")).union(old.join(new.select("h"), "h", "left_semi"))
-        self.runs.append(name)
         return found
 
+    def _holders(self, wanted: DataFrame, *columns: str) -> DataFrame:
+        """The wanted rows (row, and more) with their texts, of all batches, each batch joined by its buckets."""
+        parts = [self._text(b).join(wanted.where(F.col("row").between(b << 52, ((b + 1) << 52) - 1)), "row").select(*columns) for b in range(self.batches + 1)]
+        return reduce(DataFrame.union, parts)
+
+    def add(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, compact: bool = True) -> DataFrame:
+        """Adds a batch; id, n_words, n_removed, kept_sha256 (and kept) of its documents."""
+        window, start = self.window, self.batches << 52
+        numbered = docs.select((F.monotonically_increasing_id() + F.lit(start)).alias("row"), F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+        texts = self._write(f"{self.name}_text_{self.batches}", numbered.mapInArrow(_pack, "row long, id long, packed binary"), "row")
+        run = (self.batches, self.batches)
+        new = self._write(self._run(run), texts.where("id is not null").select("row", "packed").mapInArrow(_fingerprints(window), "h long, row long"), "h")
+        wanted = saved(self._shared(new).groupBy("row").agg(F.collect_set("h").alias("shared")))
+        stretches = self._holders(wanted, "row", "id", "packed", "shared").mapInArrow(_stretches(window), "h long, g long, id long, row long, first int, last int")
+        ordered = stretches.repartition(self.buckets, "h").sortWithinPartitions("h", "g", "id")
+        settled = saved(ordered.mapInArrow(_settle, "kind int, row long, first int, last int").where((F.col("kind") == 1) | (F.col("row") >= start)))
+        open_ranges = settled.where("kind = 1").groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
+        windows = saved(self._holders(open_ranges, "row", "id", "packed", "parts").mapInArrow(_single_windows(window), "w1 long, w2 long, id long, row long, start int"))
+        least = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+        taken = windows.where(F.col("row") >= start).join(least, ["w1", "w2"]).where("id > least").select("row", F.col("start").alias("first"), F.col("start").alias("last"))
+        ranges = settled.where("kind = 0").select("row", "first", "last").union(taken).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+        final = texts.join(ranges, "row", "left").select("row", "id", "packed", "ranges")
+        result = saved(final.mapInArrow(_kept_words(window, with_text), "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text))
+        for rows in (wanted, settled, windows):
+            forget(rows)
+        self.runs.append(run)
+        self.batches += 1
+        if compact:
+            self.compact()
+        return result.withColumnRenamed("id", id_column)
+
     def compact(self) -> None:
         """Merges all runs into one once there are max_runs of them."""
         if len(self.runs) < self.max_runs:
             return
-        rows = self.spark.table(self.runs[0])
-        for run in self.runs[1:]:
-            rows = rows.union(self.spark.table(run))
-        merged = self._write(rows, "h", "h")
-        self._drop(self.runs)
+        rows = reduce(DataFrame.union, [self.spark.table(self._run(r)) for r in self.runs])
+        merged = (self.runs[0][0], self.runs[-1][1])
+        self._write(self._run(merged), rows, "h")
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._run(run)}")
         self.runs = [merged]
 
-    def _drop(self, names: list[str]) -> None:
-        for name in names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
     def drop(self) -> None:
-        self._drop(self.runs)
-        self.runs = []
+        for name in self._tables():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs, self.batches = [], 0
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, batch_ends: tuple[float, ...] = BATCH_ENDS, with_text: bool = False) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 (and kept): each document without the words of windows that a smaller id holds.
 
-    The documents are added to the index in batches of ascending id, as they would arrive over time.
+    The documents are added to a new index in batches of ascending id, as they would arrive over time; the index is dropped at the end.
     """
-    spark = docs.sparkSession
-    index = FingerprintIndex(spark)
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    texts_name = index._write(numbered.mapInArrow(_pack, "row long, id long, packed binary"), "row", "row")
-    texts = spark.table(texts_name)
-    ends = texts.agg(F.percentile_approx("id", list(batch_ends[:-1]), 1000)).first()[0] or []
-    bounds = [None, *ends, None]
-    shared = []
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        batch = texts.where("id is not null")
-        if low is not None:
-            batch = batch.where(F.col("id") > low)
-        if high is not None:
-            batch = batch.where(F.col("id") <= high)
-        found = index.add(batch.select("row", "packed").mapInArrow(_fingerprints(window), "h long, row long"))
-        shared.append(saved(found.groupBy("row").agg(F.collect_set("h").alias("shared"))))
-        if high is not None:
-            index.compact()
-    index.drop()
-    every = shared[0]
-    for more in shared[1:]:
-        every = every.union(more)
-    wanted = every.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
-    parts = index.buckets
-    marked = texts.join(wanted, "row").select("row", "id", "packed", "shared")
-    stretches = marked.mapInArrow(_stretches(window), "h long, g long, id long, row long, first int, last int")
-    ordered = stretches.repartition(parts, "h").sortWithinPartitions("h", "g", "id")
-    settled = saved(ordered.mapInArrow(_settle, "kind int, row long, first int, last int"))
-    open_ranges = settled.where("kind = 1").groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
-    windows = texts.join(open_ranges, "row").select("row", "id", "packed", "parts").mapInArrow(_single_windows(window), "w1 long, w2 long, id long, row long, start int")
-    windows = saved(windows)
-    least = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    taken = windows.join(least, ["w1", "w2"]).where("id > least").select("row", F.col("start").alias("first"), F.col("start").alias("last"))
-    ranges = settled.where("kind = 0").select("row", "first", "last").union(taken).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    final = texts.join(ranges, "row", "left").select("row", "id", "packed", "ranges")
-    result = saved(final.mapInArrow(_kept_words(window, with_text), "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text))
-    index._drop([texts_name])
-    return result.withColumnRenamed("id", id_column)
+    key = F.col(id_column).cast("long")
+    ends = docs.agg(F.percentile_approx(key, list(batch_ends[:-1]), 1000)).first()[0] or []
+    bounds = [None, *sorted(set(ends)), None]
+    index, results = FingerprintIndex(docs.sparkSession, window=window), []
+    try:
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            batch = docs if low is None else docs.where(key > low)
+            if high is not None:
+                batch = batch.where((key <= high) | key.isNull() if low is None else key <= high)
+            results.append(index.add(batch, id_column, text_column, with_text, compact=high is not None))
+    finally:
+        index.drop()
+    return reduce(DataFrame.union, results)
 
 
 ORACLE_SQL = r"""
