@@ -11,7 +11,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 from lexmill.llm import bpe, langid, media, mixing, ngram_join, secret_scan, sharding, substring_dedup, topk, urls
@@ -105,6 +107,22 @@ def test_substring_dedup_equals_brute_force(spark):
     assert got == slow_dedup(list(zip(ids, texts, strict=True)))
 
 
+def test_substring_index_outlives_the_call(spark):
+    """Batches that arrive one by one, through an index that is opened anew each time, equal one pass over everything."""
+    rng = random.Random(22)
+    passages = [prose(rng, n) for n in (13, 30, 90)]
+    texts = [" ".join([prose(rng, rng.randrange(20)), rng.choice(passages), prose(rng, rng.randrange(20)), rng.choice(passages)]) for _ in range(40)]
+    name = f"kept_{rng.randrange(10**9)}"
+    got = []
+    for low, high in ((0, 10), (10, 11), (11, 11), (11, 30), (30, 40)):
+        index = substring_dedup.FingerprintIndex(spark, name)
+        assert len(index.runs) <= substring_dedup.MAX_RUNS
+        got += map(tuple, index.add(documents(spark, texts[low:high], range(low, high))).collect())
+    assert sorted(got) == slow_dedup(list(enumerate(texts)))
+    substring_dedup.FingerprintIndex(spark, name).drop()
+    assert not spark.sql(f"SHOW TABLES LIKE '{name}_*'").collect()
+
+
 def test_substring_dedup_empty_and_null_ids(spark):
     assert substring_dedup.deduplicate(documents(spark, [])).count() == 0
     same = "a b c d e f g h i j k l m n"
@@ -115,23 +133,45 @@ def test_substring_dedup_empty_and_null_ids(spark):
 # --- 3 ---
 
 
-def test_sharding(spark):
+def slow_shards(rows, shards=24):
+    """(id, CRC, shard) by whole-number positions in key order."""
+    ordered = sorted((key is not None, key or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8, key) for key, t in rows)
+    total, at, out = sum(r[3] for r in ordered), 0, []
+    for _, _, crc, size, key in ordered:
+        out.append((key, crc, min(shards - 1, shards * (2 * at + size) // (2 * total))))
+        at += size
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("hot", [None, "id", "row"])
+def test_sharding(spark, hot):
+    """hot: a third of the rows have one id, or are one row."""
     rng = random.Random(3)
     texts = [None, "", *["x" * rng.randrange(400) for _ in range(500)], "y" * 30_000]
-    rows = sharding.shard_table(documents(spark, texts)).collect()
-    sizes, slots = {}, {}
+    ids = list(range(len(texts)))
+    if hot:
+        texts += [rng.choice("abcdef") * 50 if hot == "id" else "same" * 20 for _ in range(250)]
+        ids += [77] * 250
+    rows = sharding.shard_table(documents(spark, texts, ids)).collect()
+    slots = {}
     for r in rows:
-        text = texts[r.doc_id] or ""
-        assert (r.size, r.text_crc32, r.grown_shard, r.law) == (len(text) + 8, zlib.crc32(text.encode()), None, "bytes")
-        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+        assert (r.grown_shard, r.law) == (None, "bytes")
         slots.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    mean = sum(sizes.values()) / 24
-    assert all(abs(n - mean) <= 400 + 8 or n > 30_000 or n < mean for n in sizes.values())
+    assert sorted(((r.doc_id, r.text_crc32, r.shard) for r in rows), key=repr) == slow_shards(zip(ids, texts, strict=True))
     assert sharding.shard_table(documents(spark, [])).count() == 0
     assert sharding.shard_table(documents(spark, ["a", "a", "b"], [7, 7, None])).count() == 3
 
 
+def test_ranges_are_even_even_of_one_key(spark):
+    sized = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 5 ELSE id END AS key", "id % 7 AS text_crc32", "id AS row", "20L AS size")
+    ranged = sharding.size_ranges(sized, 600_000, 30_000)
+    sizes = [r[0] for r in ranged.groupBy("range").agg(F.sum("size")).select("sum(size)").collect()]
+    assert len(sizes) >= 100 and max(sizes) < 3 * 600_000 / 128
+    ordered = ranged.select("range", F.struct("key", "text_crc32", "row").alias("place")).groupBy("range").agg(F.min("place").alias("a"), F.max("place").alias("b")).orderBy("range").collect()
+    assert all(tuple(x.b) < tuple(y.a) for x, y in zip(ordered, ordered[1:], strict=False))
+
+
 # --- 4 ---
 
 
@@ -145,6 +185,34 @@ def test_rates_meet_targets(spark):
         assert sum(r.tokens * r.posteriors[k] * r.rate for r in fitted) / total == pytest.approx(want, abs=2e-3)
 
 
+def test_rates_equal_brute_force(spark):
+    rng = np.random.default_rng(18)
+    tokens, p = rng.integers(0, 900, 400), rng.dirichlet([0.4, 1.5, 0.3], 400)
+    targets = dict(zip(mixing.DOMAINS, (0.3, 0.65, 0.05), strict=True))
+    fitted = mixing.fit_rates(spark.createDataFrame([(i, int(t), list(map(float, x))) for i, (t, x) in enumerate(zip(tokens, p, strict=True))], "id long, tokens long, posteriors array<double>"), targets)
+    shares, x = np.array([targets[d] for d in mixing.DOMAINS]), np.ones(400)
+    own = tokens @ p / tokens.sum()
+    for _ in range(mixing.ROUNDS):
+        miss = (tokens * x) @ p / tokens.sum() - shares
+        if np.abs(miss).max() <= mixing.TOLERANCE * shares.max():
+            break
+        x = np.maximum(0, x - p @ (miss / own))
+    rows = {r.id: r for r in fitted.collect()}
+    assert [rows[i].rate for i in range(400)] == pytest.approx(x.tolist(), abs=1e-9)
+    assert rows[0].miss == pytest.approx(np.abs((tokens * x) @ p / tokens.sum() - shares).max(), abs=1e-9)
+    unmet = mixing.fit_rates(spark.createDataFrame([(1, 10, [1.0, 0.0, 0.0]), (2, 10, [0.9, 0.1, 0.0])], "id long, tokens long, posteriors array<double>"), {"poor": 0.0, "good": 1.0}).first()
+    assert unmet.miss > 0.1
+
+
+def test_mixing_learns_a_rare_domain(spark):
+    """One label in two hundred is toxic; a sample of sixty still has as many of these as there are."""
+    rng = random.Random(19)
+    texts = [prose(rng, 30) + (" vile nasty" * 5 if i % 200 == 0 else " fine tidy" * 5) for i in range(2000)]
+    labels = spark.range(2000).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 200 = 0 AS INT) AS toxic")
+    rows = mixing.membership(documents(spark, texts), labels, sample=60).collect()
+    assert min(r.posteriors[2] for r in rows if r.id % 200 == 0) > max(r.posteriors[2] for r in rows if r.id % 200)
+
+
 def test_mixing_classifies_and_survives_odd_input(spark):
     rng = random.Random(5)
     texts = [prose(rng, 60) + (" vile nasty" * 5 if i % 3 == 0 else " fine tidy" * 5) for i in range(240)] + ODD
@@ -193,15 +261,53 @@ def test_topk_small_tables(spark):
     assert sorted(tuple(r) for r in rows) == [(0, 1, 1, 2048), (0, 2, 1, 2048)]
 
 
+def test_topk_repeated_query_ids(spark):
+    schema = "vec_id long, embedding array<float>"
+    got = topk.top_k_table(spark.createDataFrame([(0, [1.0]), (0, [2.0]), (3, [1.0])], schema)).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 3, 2 * 64 * 64), (0, 2, 3, 64 * 64)]
+
+
 def test_topk_stops_early_with_proof():
     rng = np.random.default_rng(7)
-    vectors = np.zeros((500, 8), np.int64)
-    vectors[np.arange(500), rng.integers(0, 8, 500)] = rng.integers(10, 60, 500)
-    queries = vectors[:3]
-    for q, ids, scores in topk.score_at_a_time(queries, np.array([900, 901, 902]), vectors, np.arange(500), 5):
+    vectors = rng.integers(-3, 4, (500, 8))
+    vectors[np.arange(500), rng.integers(0, 8, 500)] = rng.integers(300, 600, 500)
+    ids, queries = np.arange(500), vectors[:3] * (np.abs(vectors[:3]) > 9)
+    segments = topk.impact_segments(vectors)
+    assert sorted(zip(*(np.concatenate(x).tolist() for x in list(zip(*segments, strict=True))[:3]), strict=True)) == sorted((i, j, vectors[i, j]) for i, j in zip(*np.nonzero(vectors), strict=True))
+    norms = np.sqrt((vectors**2).sum(1)) * (1 + 1e-6)
+    found, bars, read = topk.score_at_a_time(queries, np.array([900, 901, 902]), ids, norms, segments, 5)
+    assert 0 < read < (vectors != 0).sum()
+    for q, own, scores in found:
         exact = vectors @ queries[q - 900]
         assert list(scores) == sorted(exact, reverse=True)[:5]
-        assert all(exact[i] == s for i, s in zip(ids, scores, strict=True))
+        assert all(exact[i] == s for i, s in zip(own, scores, strict=True))
+        assert bars[q - 900] == scores[-1]
+    none, _, read = topk.score_at_a_time(queries, np.array([900, 901, 902]), ids, norms, segments, 5, np.full(3, 1e9))
+    assert read == 0 and not any(len(x[1]) for x in none)
+
+
+def test_topk_over_several_blocks(spark, monkeypatch):
+    """Blocks of ten, so that bars are carried; one id repeated so often that it would fill one block."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk.build_index, "__defaults__", (10, 8))
+    rng = np.random.default_rng(16)
+    vectors = np.floor(rng.standard_normal((150, 6)) * rng.integers(1, 9, (150, 1))).astype(int)
+    ids = [7 if i % 3 == 0 else i for i in range(150)]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, v array<bigint>")
+    got = topk.top_k(table, table.where("vec_id < 40"), 5).collect()
+    want = []
+    for q in range(150):
+        if ids[q] < 40:
+            want += [(ids[q], *x) for x in sorted(((i, int(v @ vectors[q])) for i, v in zip(ids, vectors, strict=True) if i != ids[q]), key=lambda x: (-x[1], x[0]))[:5]]
+    best = {}
+    for q, i, s in want:
+        best.setdefault(q, []).append((-s, i))
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted((q, n + 1, i, -s) for q, rows in best.items() for n, (s, i) in enumerate(sorted(rows)[:5]))
+
+
+def test_topk_raises_beyond_64_bits(spark):
+    with pytest.raises(ValueError, match="64-bit"):
+        topk.top_k_table(spark.createDataFrame([(0, [1e17]), (1, [1e17])], "vec_id long, embedding array<double>"))
 
 
 # --- 6 ---
@@ -236,6 +342,23 @@ def test_secrets_by_owner(spark):
     assert red == {0: "a [EXAMPLE] [SECRET].", 1: "[EXAMPLE]", 2: "[EXAMPLE]", 3: None}
 
 
+def test_secrets_of_very_many_matches(spark):
+    text = "\n".join(f"token: abcdef{i % 7}x AKIA{'Q' * 16} 0123456789abcdef01234567 tok9Q8r7S6t5U4v3W2x1Y{i % 3}z" for i in range(4000))
+    row = secret_scan.secret_table(documents(spark, [text])).first()
+    assert row.base_sha256 == hashlib.sha256(slow_secrets(text).encode()).hexdigest()
+    assert (row.n_assign, row.n_access, row.n_hex) == (4000, 4000, 4000)
+    assert row.spans.count("owned") == 4000
+
+
+def test_tokens_that_base_spans_overlap_are_left_out(spark):
+    own = "tok9Q8r7S6t5U4v3W2x1Y0z"
+    texts = [f"token={own}", f"AKIA{'Q' * 16}{own}", f"{own} token={own} {own}", f"{own}AKIA{'Q' * 16}", f"x{own}=token:abcdefg"]
+    rows = {r.doc_id: r.spans.split(",") for r in secret_scan.secret_table(documents(spark, texts)).collect()}
+    tokens = [[s for s in rows[i] if s.startswith("owned")] for i in range(5)]
+    assert [len(t) for t in tokens] == [0, 0, 2, 0, 0]
+    assert tokens[2] == [f"owned:0:{len(own)}", f"owned:{len(texts[2]) - len(own)}:{len(texts[2])}"]
+
+
 def test_redaction_misses_no_random_token(spark):
     rng = random.Random(12)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -420,6 +543,33 @@ def test_media_round_trip(spark):
     assert media.media_table(documents(spark, [])).count() == 0
 
 
+def slow_feature(payload):
+    """Times and codes by explicit sums, one frame and bin at a time."""
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * i / 191) for i in range(192)]
+    waves = [np.exp(-2j * np.pi * k * np.arange(192) / 192) for k in range(97)]
+    peaks = []
+    for at in range(0, len(payload) - 191, 96):
+        frame = [(payload[at + i] - 128) * window[i] for i in range(192)]
+        power = [round(abs(np.dot(frame, w)) ** 2) for w in waves]
+        peaks.append([max(range(lo, hi), key=lambda b: (power[b], -b)) for lo, hi in media.BANDS])
+        peaks[-1] = [(b, power[b]) for b in peaks[-1]]
+    mean = [sum(p[k][1] for p in peaks) / len(peaks) for k in range(3)]
+    pairs = [(t, (p[a][0] << 16) | (peaks[t + gap][b][0] << 8) | gap) for t, p in enumerate(peaks) for gap in range(1, media.REACH + 1) if t + gap < len(peaks) for a in range(3) for b in range(3) if p[a][1] >= mean[a] and peaks[t + gap][b][1] >= mean[b]]
+    return sorted(pairs)
+
+
+def test_media_feature_equals_brute_force(spark):
+    rng = random.Random(20)
+    texts = [prose(rng, n) for n in (30, 90, 400)] + ["", "ab" * 400, prose(rng, 100_000)]
+    for r in media.media_table(documents(spark, texts)).collect():
+        raw = texts[r.doc_id].encode()
+        if len(raw) < 10_000:
+            assert list(zip(r.times, r.codes, strict=True)) == slow_feature(raw + b" " * (-len(raw) % 192 if raw else 192)), r.doc_id
+        mark = hashlib.sha256(np.array(r.times, "<i4").tobytes() + np.array(r.codes, "<i4").tobytes()).hexdigest()
+        assert r.feature == f"{len(r.times)}:{mark}"
+        assert r.payload_bytes == max(192, -(-len(raw) // 192) * 192)
+
+
 def test_media_peak_of_a_tone():
     tone = (128 + 100 * np.sin(2 * np.pi * 20 * np.arange(1920) / 192)).astype(np.uint8)
     bins, _ = media.spectral_peaks(tone)
@@ -438,6 +588,42 @@ def test_language_id_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_id_equals_brute_force(spark):
+    """The smallest of plain compressions with each dictionary, chunk by chunk."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    dictionaries = langid.learn_dictionaries(docs.where(~langid.held_out()))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.predict(docs, dictionaries).collect():
+        raw = regex.sub(r"[^\p{L}\p{M}]+", " ", texts[r.doc_id] or "").strip().lower().encode()
+        if not regex.search(r"\p{L}", raw.decode()):
+            assert r.lang_pred == "und"
+            continue
+        sizes = {}
+        for lang, words in dictionaries.items():
+            content = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            content.precompute_compress(level=langid.LEVEL)
+            pack = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(pack.compress(raw[i : i + langid.CHUNK])) - 9 for i in range(0, len(raw), langid.CHUNK))
+        best = min(sizes, key=lambda x: (sizes[x], x))
+        second = min(n for x, n in sizes.items() if x != best)
+        assert r.lang_pred == best
+        assert r.margin == pytest.approx((second - sizes[best]) / max(second, 1))
+
+
+def test_language_id_learns_beyond_shared_headers(spark):
+    """Documents of two languages that open with the same long header, some of them without an id."""
+    rng = random.Random(21)
+    header = "this very long notice opens every document " * 60
+    words = {"de": ["haus", "baum", "wiese", "strasse", "nachbar"], "fr": ["maison", "arbre", "chemin", "voisin", "fleur"]}
+    body = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(500))
+    rows = [(None if i % 5 == 0 else i, header + body(lang), lang, "s", 0, "x") for i in range(60) for lang in words]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert docs.where(langid.held_out().isNull()).count() == 0
+    dictionaries = langid.learn_dictionaries(docs.where(~langid.held_out()))
+    got = langid.predict(docs, dictionaries, keep=("lang",)).collect()
+    assert all(r.lang == r.lang_pred and not r.rejected for r in got)
+
+
 def test_language_id_odd_input(spark):
     docs = documents(spark, ODD + ["123 ... !", "the thing with the others"])
     rows = {r.doc_id: r for r in langid.predict(docs, {"en": b"the thing with the others and more", "fr": b"la chose avec les autres"}).collect()}
