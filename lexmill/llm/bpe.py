@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lexmill.llm._shared import U, mix64, span_hashes
 
 PACK_CHARS = 400_000
-MEMO_ENTRIES = 1 << 19
+MEMO_ENTRIES = 1 << 16
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: The code points of the Unicode property White_Space.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
