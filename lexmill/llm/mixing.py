@@ -8,7 +8,7 @@ the step 1 is safe: the curvature matrix is similar to a stochastic one.
 
 A round is one sum of K numbers over a small table (tokens, posteriors, rate); only these numbers reach
 the driver. The table is written again every few rounds. The classifier is fitted on a bounded sample:
-about ``SAMPLE`` labelled documents by a hash of the id, as many of each domain where it has them, weighed so that
+about ``SAMPLE`` labelled documents by a hash of the id, and of each domain ``LEAST`` where it has them, weighed so that
 each domain counts by its labels. Prediction and sums cover all documents. Rounds end when every domain's share is met
 within ``TOLERANCE`` of the largest target, or after ``ROUNDS``; ``miss`` says how far the worst share is then off, which
 also shows targets that no rates can meet.
@@ -35,7 +35,7 @@ from lexmill.llm._shared import saved
 DOMAINS = ("poor", "good", "toxic")
 #: Target shares of the tokens that the mixed corpus is to have, as many as the input has in all.
 TARGETS = {"poor": 0.14, "good": 0.84, "toxic": 0.02}
-SAMPLE = 8000
+SAMPLE, LEAST = 8000, 1000
 FEATURES = 1 << 16
 ROUNDS, UNROLLED, TOLERANCE = 48, 6, 1e-3
 
@@ -52,15 +52,15 @@ def _featured(docs: DataFrame, text: Column) -> DataFrame:
     return Normalizer(inputCol="_counts", outputCol="_features").transform(hashed).drop("_counts")
 
 
-def membership(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> DataFrame:
+def membership(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE, least: int = LEAST) -> DataFrame:
     """Written rows (row, id, tokens, posteriors): one per document, row numbering them."""
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     known = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), domain_of(F.col("quality"), F.col("toxic")).alias("label"))
     counts = {int(r[0]): r[1] for r in known.groupBy("label").count().collect()}
     featured = _featured(texts.withColumn("row", F.monotonically_increasing_id()), F.col("text"))
     tokens = F.size("_words").cast("long").alias("tokens")
-    each = max(1, sample // max(len(counts), 1))
-    chance = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (float(k), min(1.0, each / n))]), F.col("label")) if counts else F.lit(0.0)
+    even_chance = sample / max(sum(counts.values()), 1)
+    chance = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (float(k), min(1.0, max(even_chance, least / n)))]), F.col("label")) if counts else F.lit(0.0)
     chosen = known.withColumn("weight", 1 / chance).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < chance * (1 << 30))
     train = _featured(texts.join(chosen, "id"), F.col("text")).select("label", "weight", "_features")
     if len(counts) > 1:
