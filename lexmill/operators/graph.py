@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration by a reliable checkpoint in the cluster's shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
-    return df.checkpoint()
+from lexmill.sources.shared import saved
 
 
 def first_edges(edges: DataFrame, order: str) -> DataFrame:
@@ -32,7 +24,7 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, both_ways: bool = False
     front = seen
     for hop in range(1, hops + 1):
         new = front.select(F.col("id").alias("src")).join(steps, "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        front = _cut(new.withColumn("hops", F.lit(hop)))
+        front = saved(new.withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -47,13 +39,13 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable either way. Labels sink to neighbours' and to their own label's label."""
-    links = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    links = saved(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
     labels = nodes.select("id", F.col("id").alias("component"))
     while True:
         near = links.join(labels, links.dst == labels.id).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("low"))
         lower = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "low").alias("low"))
         far = labels.select(F.col("id").alias("low"), F.col("component").alias("far"))
-        new = _cut(lower.join(far, "low", "left").select("id", "was", F.least("low", "far").alias("component")))
+        new = saved(lower.join(far, "low", "left").select("id", "was", F.least("low", "far").alias("component")))
         labels = new.select("id", "component")
         if new.where("component <> was").isEmpty():
             return labels
@@ -67,12 +59,12 @@ def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     layer = 0
     while True:
         open_ = needs.join(left.select(F.col("id").alias("dst")), "dst", "left_semi")
-        ready = _cut(left.join(open_.select(F.col("src").alias("id")), "id", "left_anti").withColumn("layer", F.lit(layer)))
+        ready = saved(left.join(open_.select(F.col("src").alias("id")), "id", "left_anti").withColumn("layer", F.lit(layer)))
         if ready.isEmpty():
             rest = left.withColumn("layer", F.lit(None).cast("int"))
             return rest if done is None else done.unionByName(rest)
         done = ready if done is None else done.unionByName(ready)
-        left = left.join(ready, "id", "left_anti")
+        left = saved(left.join(ready, "id", "left_anti"))
         layer += 1
 
 

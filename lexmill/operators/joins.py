@@ -74,10 +74,18 @@ def tiered_lookup(candidates: DataFrame, index: DataFrame, tiers: list[tuple[lis
 
 
 def conflicts(facts: DataFrame, key: str, order: str, values: str) -> DataFrame:
-    """Pairs of facts about the same key whose value sets are disjoint and not empty."""
-    a = facts.select(key, F.col(order).alias("a"), F.col(values).alias("va")).where(F.size("va") > 0)
-    b = facts.select(key, F.col(order).alias("b"), F.col(values).alias("vb")).where(F.size("vb") > 0)
-    return a.join(b, key).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("va", "vb")).select(key, "a", "b")
+    """(key, order, n_conflicts): with how many facts about the same key each shares no value; facts without values take no part.
+
+    Facts of equal value sets are one class. Only classes that share a value meet, so the pairs that are made are those that agree.
+    """
+    own = facts.where(F.size(values) > 0).withColumn("_set", F.array_sort(F.array_distinct(values)))
+    classes = own.groupBy(key, "_set").agg(F.count("*").alias("_n"))
+    held = classes.select(key, "_set", "_n", F.explode("_set").alias("_v"))
+    other = held.select(key, "_v", F.col("_set").alias("_other"), F.col("_n").alias("_m"))
+    agree = held.join(other, [key, "_v"]).select(key, "_set", "_other", "_m").distinct().groupBy(key, "_set").agg(F.sum("_m").alias("_agree"))
+    total = classes.groupBy(key).agg(F.sum("_n").alias("_total"))
+    counted = agree.join(total, key).select(key, "_set", (F.col("_total") - F.col("_agree")).alias("n_conflicts"))
+    return own.join(counted, [key, "_set"]).select(key, order, "n_conflicts")
 
 
 def covers(item_family: Column, item_section: Column, family: Column, section: Column) -> Column:

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import lexical as L
+from lexmill.sources.shared import saved
 
 RRF_K = 60
+#: So many stated queries go to each point at once.
+QUERY_BLOCK = 1024
 
 
 def top_per(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -20,23 +23,36 @@ def top_per(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFr
 
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(term, item, tf, len) of every content token."""
-    tokens = docs.select(F.col(key).alias("item"), L.content_tokens(text).alias("t"))
-    return tokens.select("item", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "item").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    return _counted(docs.select(F.col(key).alias("item"), L.content_tokens(text).alias("t")))
+
+
+def tokenised(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """(item, t) with the content tokens of every item, written: several steps read them, one makes them."""
+    return saved(docs.select(F.col(key).alias("item"), L.content_tokens(text).alias("t")))
+
+
+def _counted(tokens: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, item, tf, len); with wanted terms, others are left out before anything is shuffled."""
+    every = tokens.select("item", F.size("t").alias("len"), F.explode("t").alias("term"))
+    every = every if wanted is None else every.join(wanted, "term", "left_semi")
+    return every.groupBy("term", "item").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, total: int | None = None, mean: float | None = None) -> DataFrame:
-    """BM25 of all items that share a term with a query; queries are (query, term). Only query terms' postings are joined."""
-    if total is None or mean is None:
-        total, mean = index.select("item", "len").distinct().agg(F.count("*"), F.avg("len")).first()
+def bm25(tokens: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 of all items that share a term with a query; tokens as from ``tokenised``, queries are (query, term).
+
+    The number of items and their mean length are one row, joined; only query terms' postings are counted and shuffled.
+    """
     wanted = queries.distinct()
-    used = index.join(wanted.select("term").distinct(), "term", "left_semi")
-    idf = F.log1p((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (mean or 1.0)))
-    weighed = used.join(term_statistics(used), "term").select("term", "item", weight.alias("w"))
+    size = tokens.where(F.size("t") > 0).agg(F.count("*").alias("total"), F.avg(F.size("t")).alias("mean"))
+    used = _counted(tokens, wanted.select("term").distinct())
+    idf = F.log1p((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    weighed = used.join(term_statistics(used), "term").join(F.broadcast(size)).select("term", "item", weight.alias("w"))
     scored = wanted.join(weighed, "term").groupBy("query", "item").agg(F.round(F.sum("w"), 9).alias("score"))
     return top_per(scored, ["query"], [F.desc("score"), F.asc("item")], k)
 
@@ -60,10 +76,13 @@ def term_hits(docs: DataFrame, key: str, text: Column, terms: list[str], k: int)
 def cosine_topk(points: DataFrame, queries: DataFrame, k: int | None, threshold: float = -1.0) -> DataFrame:
     """Exact cosine of stated queries (query, q) against all points (item, v); without k all hits, unranked.
 
-    Queries are few and stated, so they are joined as one array to each row and ranked per task first.
+    Each point meets the stated queries in blocks of QUERY_BLOCK, so what is sent to it at once has a bound.
     """
-    packed = queries.agg(F.collect_list(F.struct("query", "q")).alias("_qs"))
-    scored = points.join(F.broadcast(packed)).select("item", "v", F.explode("_qs").alias("x")).select(F.col("x.query").alias("query"), "item", F.round(L.cosine(F.col("x.q"), F.col("v")), 9).alias("score"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    packed = queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("_b")).agg(F.collect_list(F.struct("query", "q")).alias("_qs"))
+    packed = F.broadcast(packed) if blocks == 1 else packed
+    scored = points.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "_b").select("item", "v", F.explode("_qs").alias("x"))
+    scored = scored.select(F.col("x.query").alias("query"), "item", F.round(L.cosine(F.col("x.q"), F.col("v")), 9).alias("score"))
     hits = scored.where(F.col("score") >= threshold)
     return hits if k is None else top_per(hits, ["query"], [F.desc("score"), F.asc("item")], k)
 

@@ -64,10 +64,12 @@ def induced(customer: DataFrame, nation: DataFrame, region: DataFrame, orders: D
     return G.induced(edges_of(customer, nation, region, orders), keep)
 
 
-@register("connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 200 AS a, l_suppkey % 200 + 1000 AS b FROM lineitem WHERE l_orderkey % 50 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
-SELECT a AS id, least(a, min(b)) AS component FROM r GROUP BY a""", "lineitem")
+@register("connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -l_partkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, component) USING KEY (id) AS (SELECT a, least(a, min(b)) FROM u GROUP BY a UNION (SELECT u.a, min(r.component) FROM r JOIN u ON u.b = r.id JOIN recurring.r AS own ON own.id = u.a WHERE r.component < own.component GROUP BY u.a))
+SELECT id, component FROM r""", "lineitem")
 def components(lineitem: DataFrame) -> DataFrame:
-    edges = lineitem.where("l_orderkey % 50 = 0").select((F.col("l_partkey") % 200).alias("src"), (F.col("l_suppkey") % 200 + 1000).alias("dst")).distinct()
+    """Orders and parts (as negative numbers) that share lines."""
+    edges = lineitem.select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("dst")).distinct()
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     return G.components(nodes, edges)
 
@@ -132,19 +134,21 @@ def concept_laws(region: DataFrame, nation: DataFrame, customer: DataFrame) -> D
 # --- sets ---
 
 
-@register("set_differences", "SELECT list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS missing, list_sort(list_filter(b, lambda x: NOT list_contains(a, x))) AS extra, k FROM (SELECT o_orderpriority AS k, list(DISTINCT o_custkey) FILTER (o_orderstatus = 'F') AS a, list(DISTINCT o_custkey) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY 1)", "orders")
+@register("set_differences", """WITH a AS (SELECT DISTINCT o_orderpriority AS k, o_custkey FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_orderpriority AS k, o_custkey FROM orders WHERE o_orderstatus = 'O')
+SELECT k, 'missing' AS side, o_custkey FROM a WHERE (k, o_custkey) NOT IN (SELECT k, o_custkey FROM b) UNION ALL SELECT k, 'extra', o_custkey FROM b WHERE (k, o_custkey) NOT IN (SELECT k, o_custkey FROM a)""", "orders")
 def set_differences(orders: DataFrame) -> DataFrame:
-    own = lambda s: F.collect_set(F.when(F.col("o_orderstatus") == s, F.col("o_custkey")))
-    g = orders.groupBy(F.col("o_orderpriority").alias("k")).agg(own("F").alias("a"), own("O").alias("b"))
-    return g.select(F.array_sort(F.array_except("a", "b")).alias("missing"), F.array_sort(F.array_except("b", "a")).alias("extra"), "k")
+    """What only one of two sets has, one row a member: one aggregate instead of two sets and two anti-joins."""
+    has = lambda s: F.bool_or(F.col("o_orderstatus") == s)
+    g = orders.where("o_orderpriority IS NOT NULL AND o_custkey IS NOT NULL").groupBy(F.col("o_orderpriority").alias("k"), "o_custkey").agg(F.coalesce(has("F"), F.lit(False)).alias("a"), F.coalesce(has("O"), F.lit(False)).alias("b"))
+    return g.where("a <> b").select("k", F.when(F.col("a"), "missing").otherwise("extra").alias("side"), "o_custkey")
 
 
-@register("ordered_union", "SELECT o_custkey, list_distinct(list(o_orderkey % 7)) IS NOT NULL AS ok, count(DISTINCT o_orderkey % 7) AS n FROM orders GROUP BY 1", "orders")
+@register("ordered_union", "SELECT o_custkey, list(i ORDER BY seen, o_orderkey) AS items FROM (SELECT o_custkey, o_orderkey % 7 AS i, o_orderdate AS seen, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % 7 ORDER BY o_orderdate, o_orderkey) = 1) GROUP BY 1", "orders")
 def ordered_union(orders: DataFrame) -> DataFrame:
     """Expansion targets in order of appearance, each once."""
-    listed = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("l"))
-    items = F.array_distinct(F.transform("l", lambda x: x["o_orderkey"] % 7))
-    return listed.select("o_custkey", items.isNotNull().alias("ok"), F.size(items).cast("long").alias("n"))
+    first = orders.groupBy("o_custkey", (F.col("o_orderkey") % 7).alias("i")).agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("at"))
+    listed = first.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("at", "i"))).alias("l"))
+    return listed.select("o_custkey", F.transform("l", lambda x: x["i"]).alias("items"))
 
 
 @register("edges_without_loops", "SELECT DISTINCT l_partkey % 50 AS src, l_suppkey % 50 AS dst FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50", "lineitem")

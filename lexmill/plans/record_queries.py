@@ -130,9 +130,12 @@ def findings_grade(lineitem: DataFrame) -> DataFrame:
     return A.severity_score(lineitem, "l_orderkey", severity, 20.0, 5.0, [(90, "A"), (60, "B"), (0, "C")])
 
 
-@register("same_content_groups", "SELECT md5(text) AS hash, count(*) AS n, list_sort(list(doc_id)) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1", "documents")
+@register("same_content_groups", "SELECT doc_id, hash, n, first FROM (SELECT doc_id, md5(text) AS hash, count(*) OVER w AS n, min(doc_id) OVER w AS first FROM documents WINDOW w AS (PARTITION BY text)) WHERE n > 1", "documents")
 def same_content(docs: DataFrame) -> DataFrame:
-    return docs.groupBy(F.md5("text").alias("hash")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids")).where("n > 1")
+    """Members of groups of equal texts, each with the group's size and first member."""
+    hashed = docs.select("doc_id", F.md5("text").alias("hash"))
+    groups = hashed.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    return hashed.join(groups, "hash").select("doc_id", "hash", "n", "first")
 
 
 @register("tag_cloud", "SELECT trim(t) AS tag, count(*) AS n FROM (SELECT unnest(string_split(replace(p_type, ' ', ', '), ',')) AS t FROM part) WHERE trim(t) <> '' GROUP BY 1", "part")
@@ -201,9 +204,14 @@ def f_beta(labels: DataFrame) -> DataFrame:
 
 @register("pairwise_accuracy", """SELECT round(avg((p.value > n.value)::INT), 6) AS accuracy, round(avg(p.value - n.value), 6) AS margin, count(*) AS pairs FROM events p JOIN events n ON p.user_id = n.user_id WHERE p.event_type = 'purchase' AND n.event_type = 'view'""", "events")
 def pairwise(events: DataFrame) -> DataFrame:
-    p = events.where("event_type = 'purchase'").select("user_id", F.col("value").alias("pos"))
-    n = events.where("event_type = 'view'").select("user_id", F.col("value").alias("neg"))
-    return p.join(n, "user_id").agg(F.round(F.avg((F.col("pos") > F.col("neg")).cast("int")), 6).alias("accuracy"), F.round(F.avg(F.col("pos") - F.col("neg")), 6).alias("margin"), F.count("*").alias("pairs"))
+    """By ranks: a purchase wins over the user's views of less value, counted by running sums, without making the pairs."""
+    rows = events.where("event_type IN ('purchase', 'view') AND value IS NOT NULL").select("user_id", "value", (F.col("event_type") == "purchase").cast("long").alias("pos"), (F.col("event_type") == "view").cast("long").alias("neg"))
+    values = rows.groupBy("user_id", "value").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    below = F.sum("neg").over(Window.partitionBy("user_id").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
+    wins = values.withColumn("below", F.coalesce(below, F.lit(0)))
+    users = wins.groupBy("user_id").agg(F.sum(F.col("pos") * F.col("below")).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * F.col("value")).alias("sp"), F.sum(F.col("neg") * F.col("value")).alias("sn"))
+    pairs = F.sum(F.col("p") * F.col("n"))
+    return users.agg(F.round(F.sum("wins") / pairs, 6).alias("accuracy"), F.round(F.sum(F.col("sp") * F.col("n") - F.col("sn") * F.col("p")) / pairs, 6).alias("margin"), pairs.alias("pairs"))
 
 
 @register("points_per_document", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1", "lineitem")
@@ -344,18 +352,18 @@ def tiered(lineitem: DataFrame) -> DataFrame:
     return found.select("l_orderkey", "l_linenumber", "anchor", "tier", "confidence")
 
 
-@register("numeric_conflicts", """WITH f AS (SELECT source AS k, doc_id, list_distinct(regexp_extract_all(text, '\\d{3,}', 0)) AS v FROM documents WHERE n_chars < 1500)
-SELECT a.k, a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.k = b.k AND a.doc_id < b.doc_id WHERE len(a.v) > 0 AND len(b.v) > 0 AND len(list_intersect(a.v, b.v)) = 0""", "documents")
+@register("numeric_conflicts", """WITH f AS (SELECT source AS k, doc_id, list_distinct(regexp_extract_all(text, '\\d{3,}', 0)) AS v FROM documents)
+SELECT a.k, a.doc_id, count(b.doc_id) AS n_conflicts FROM f a LEFT JOIN f b ON a.k = b.k AND len(b.v) > 0 AND len(list_intersect(a.v, b.v)) = 0 WHERE len(a.v) > 0 GROUP BY 1, 2""", "documents")
 def numeric_conflicts(docs: DataFrame) -> DataFrame:
-    facts = docs.where("n_chars < 1500").select(F.col("source").alias("k"), "doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d{3,}"), F.lit(0))).alias("v"))
+    facts = docs.select(F.col("source").alias("k"), "doc_id", F.regexp_extract_all("text", F.lit(r"\d{3,}"), F.lit(0)).alias("v"))
     return J.conflicts(facts, "k", "doc_id", "v")
 
 
-@register("wildcard_cover", """SELECT l_orderkey, l_linenumber, count(*) AS covered FROM lineitem JOIN (SELECT s_nationkey % 3 AS f, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 7 END AS s FROM supplier) u ON l_partkey % 3 = u.f AND (u.s IS NULL OR l_suppkey % 7 = u.s) WHERE l_orderkey % 10 = 0 GROUP BY 1, 2""", "lineitem", "supplier")
+@register("wildcard_cover", """SELECT l_orderkey, l_linenumber, count(*) AS covered FROM lineitem JOIN (SELECT s_nationkey % 3 AS f, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 7 END AS s FROM supplier) u ON l_partkey % 3 = u.f AND (u.s IS NULL OR l_suppkey % 7 = u.s) GROUP BY 1, 2""", "lineitem", "supplier")
 def wildcard_cover(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
-    units = supplier.select((F.col("s_nationkey") % 3).alias("f"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey") % 7).alias("s"))
-    items = lineitem.where("l_orderkey % 10 = 0")
-    return items.join(units, J.covers(F.col("l_partkey") % 3, F.col("l_suppkey") % 7, F.col("f"), F.col("s"))).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("covered"))
+    """Equal units are counted first: three families and eight sections, wildcard included, whatever the input."""
+    units = supplier.select((F.col("s_nationkey") % 3).alias("f"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey") % 7).alias("s")).groupBy("f", "s").agg(F.count("*").alias("n"))
+    return lineitem.join(F.broadcast(units), J.covers(F.col("l_partkey") % 3, F.col("l_suppkey") % 7, F.col("f"), F.col("s"))).groupBy("l_orderkey", "l_linenumber").agg(F.sum("n").alias("covered"))
 
 
 @register("first_seen_lookup", "SELECT l_partkey, l_suppkey, arg_min(l_orderkey, (l_orderkey, l_linenumber)) AS body FROM lineitem GROUP BY 1, 2", "lineitem")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import lexical as L
@@ -29,7 +29,7 @@ def query_terms(benchmark: DataFrame) -> DataFrame:
 
 @register("bm25_topk", f"WITH {INDEX_SQL}, {BM25_SQL.format(k=10)} SELECT query, item, rank, round(score, 6) AS score FROM lex", "documents", "benchmark")
 def bm25_topk(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return R.bm25(R.postings(docs, "doc_id", F.col("text")), query_terms(benchmark), 10).withColumn("score", F.round("score", 6))
+    return R.bm25(R.tokenised(docs, "doc_id", F.col("text")), query_terms(benchmark), 10).withColumn("score", F.round("score", 6))
 
 
 JACCARD_SQL = """jd AS (SELECT item, count(*) AS n FROM idx GROUP BY 1), jq AS (SELECT query, count(*) AS m FROM q GROUP BY 1),
@@ -37,11 +37,12 @@ js AS (SELECT query, item, round(count(*) / (any_value(n) + any_value(m) - count
 jac AS (SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, item)::INTEGER AS rank FROM js QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, item) <= {k})"""
 
 
-def jaccard_arm(index: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """Token-set Jaccard by an inverted index: common terms are counted, set sizes are joined."""
+def jaccard_arm(tokens: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """Token-set Jaccard: common terms are counted by query terms' postings, set sizes are joined."""
     terms = terms.distinct()
-    n, m = index.groupBy("item").agg(F.count("*").alias("n")), terms.groupBy("query").agg(F.count("*").alias("m"))
-    both = terms.join(index.select("term", "item"), "term").groupBy("query", "item").agg(F.count("*").alias("c"))
+    n, m = tokens.select("item", F.size(F.array_distinct("t")).alias("n")), terms.groupBy("query").agg(F.count("*").alias("m"))
+    held = tokens.select("item", F.explode(F.array_distinct("t")).alias("term"))
+    both = terms.join(held, "term").groupBy("query", "item").agg(F.count("*").alias("c"))
     scored = both.join(n, "item").join(m, "query").select("query", "item", F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 9).alias("score"))
     return R.top_per(scored, ["query"], [F.desc("score"), F.asc("item")], k)
 
@@ -53,8 +54,8 @@ SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY score DESC, i
 
 @register("hybrid_retrieval", HYBRID_SQL, "documents", "benchmark")
 def hybrid(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Both arms over one index, fused by reciprocal rank."""
-    index = R.postings(docs, "doc_id", F.col("text")).cache()
+    """Both arms over one tokenising pass, fused by reciprocal rank."""
+    index = R.tokenised(docs, "doc_id", F.col("text"))
     terms = query_terms(benchmark).distinct()
     arms = [R.bm25(index, terms, 50).withColumn("arm", F.lit("bm25")), jaccard_arm(index, terms, 50).withColumn("arm", F.lit("jaccard"))]
     fused = R.rrf(arms[0].unionByName(arms[1]))
@@ -65,18 +66,18 @@ _COS = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda
 
 
 def dense_arm(emb: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
-    queries = emb.where("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    queries = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     return R.cosine_topk(emb.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), queries, k, threshold)
 
 
-@register("cosine_topk", f"""SELECT a.vec_id AS query, b.vec_id AS item, round({_COS}, 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 10 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 5""", "embeddings")
+@register("cosine_topk", f"""SELECT a.vec_id AS query, b.vec_id AS item, round({_COS}, 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 5""", "embeddings")
 def cosine_top(emb: DataFrame) -> DataFrame:
     return dense_arm(emb, 5).select("query", "item", F.round("score", 5).alias("score"))
 
 
-@register("dense_threshold", f"""SELECT a.vec_id AS query, b.vec_id AS item FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND b.label = 1 AND {_COS} >= 0.3""", "embeddings")
+@register("dense_threshold", f"""SELECT a.vec_id AS query, b.vec_id AS item FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.label = 1 AND {_COS} >= 0.3""", "embeddings")
 def dense_threshold(emb: DataFrame) -> DataFrame:
-    queries = emb.where("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    queries = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     return R.cosine_topk(emb.where("label = 1").select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), queries, None, 0.3).select("query", "item")
 
 
@@ -84,10 +85,14 @@ _ARMS = """arms AS (SELECT o_custkey AS query, 'a' AS arm, o_orderkey % 50 AS it
 SELECT o_custkey, 'b', o_orderkey % 50, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INTEGER FROM orders WHERE o_orderstatus <> 'P')"""
 
 
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
+
+
 def arms(orders: DataFrame) -> DataFrame:
     rows = orders.select(F.col("o_custkey").alias("query"), (F.col("o_orderkey") % 50).alias("item"), "o_totalprice", "o_orderdate", "o_orderkey", "o_orderstatus")
-    a = R.top_per(rows, ["query"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 10**6).withColumn("arm", F.lit("a"))
-    b = R.top_per(rows.where("o_orderstatus <> 'P'"), ["query"], [F.asc("o_orderdate"), F.asc("o_orderkey")], 10**6).withColumn("arm", F.lit("b"))
+    a = ranked(rows, F.desc("o_totalprice"), F.asc("o_orderkey")).withColumn("arm", F.lit("a"))
+    b = ranked(rows.where("o_orderstatus <> 'P'"), F.asc("o_orderdate"), F.asc("o_orderkey")).withColumn("arm", F.lit("b"))
     return a.unionByName(b).select("query", "arm", "item", "rank")
 
 
@@ -172,7 +177,7 @@ r AS (SELECT query, item, sum(tf * ln((n + 1) / df)) AS raw FROM h JOIN d USING
 SELECT query, item, round(0.5 * score + 0.5 * least(coalesce(raw, 0) / 10, 1.0), 6) AS score FROM p LEFT JOIN r USING (query, item)""", "documents", "benchmark")
 def pool_rerank(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     terms = query_terms(benchmark).distinct()
-    found = R.bm25(R.postings(docs, "doc_id", F.col("text")), terms, 20).drop("rank")
+    found = R.bm25(R.tokenised(docs, "doc_id", F.col("text")), terms, 20).drop("rank")
     pool = found.join(docs.select(F.col("doc_id").alias("item"), "text"), "item").select("query", "item", "score", "text")
     return R.pool_tf_idf(pool, terms).select("query", "item", F.round("score", 6).alias("score"))
 
@@ -264,7 +269,7 @@ def highlighting(conv: DataFrame) -> DataFrame:
 
 
 def ranked_pool(docs: DataFrame, benchmark: DataFrame, k: int) -> DataFrame:
-    index = R.postings(docs, "doc_id", F.col("text"))
+    index = R.tokenised(docs, "doc_id", F.col("text"))
     found = R.bm25(index, query_terms(benchmark).distinct(), k)
     return found.join(docs.select(F.col("doc_id").alias("item"), "text", "lang"), "item").select("query", "item", "score", L.content_tokens(F.col("text")).alias("tokens"), F.length("lang").alias("type_rank"), F.col("lang").alias("section"))
 
@@ -305,7 +310,7 @@ def ranking(orders: DataFrame) -> DataFrame:
 i AS (SELECT query, rank, gain, row_number() OVER (PARTITION BY query ORDER BY gain DESC) AS best FROM r)
 SELECT query, round(coalesce(sum((2 ** gain - 1) / log2(rank + 1)) FILTER (rank <= 5) / nullif(sum((2 ** gain - 1) / log2(best + 1)) FILTER (best <= 5), 0), 0), 6) AS ndcg FROM i GROUP BY 1""", "lineitem")
 def graded(lineitem: DataFrame) -> DataFrame:
-    rows = R.top_per(lineitem.select(F.col("l_orderkey").alias("query"), "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity").cast("int") % 4).alias("gain")), ["query"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], 10**6)
+    rows = ranked(lineitem.select(F.col("l_orderkey").alias("query"), "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity").cast("int") % 4).alias("gain")), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"))
     return M.graded_ndcg(rows.select("query", "rank", "gain"), 5)
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from lexmill.sources.sinks import digest
+
 ENCODINGS = ("utf-8-sig", "utf-16", "cp1252", "latin-1")
 FORMS = ("ISO date", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 
@@ -41,15 +45,13 @@ def text_files(spark: SparkSession, path: str, page_chars: int = 4000, glob: str
 
 
 def point_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Points of a JSON archive {count, sha256, points: [...]}; raises if count or digest do not hold."""
-    archive = spark.read.option("multiLine", True).json(path)
-    points = archive.select(F.explode("points").alias("p"))
-    line = F.to_json(F.col("p"))
-    said = archive.select("count", "sha256").first()
-    found = points.agg(F.count("*"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(line, 256))), ""), 256)).first()
-    if (said[0], said[1]) != (found[0], found[1]):
-        raise ValueError(f"the archive states {said[0]} points and holds {found[0]}, or its digest differs")
-    return points.select("p.*")
+    """Points of an archive that save_archive wrote; raises if count or digest do not hold."""
+    said = spark.read.schema("count long, sha256 string, schema string").json(f"{path}/manifest").first()
+    points = spark.read.schema(StructType.fromJson(json.loads(said["schema"]))).json(f"{path}/points")
+    found = digest(points).first()
+    if (said["count"], said["sha256"]) != (found["count"], found["sha256"]):
+        raise ValueError(f"the archive states {said['count']} points and holds {found['count']}, or its digest differs")
+    return points
 
 
 def typed_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -25,13 +25,19 @@ def without(rows: DataFrame, ids: DataFrame | None = None, documents: DataFrame
     raise ValueError("ids or documents must be given")
 
 
+def digest(points: DataFrame) -> DataFrame:
+    """One row (count, sha256): the digest of the sums of the rows' own digests, whatever the order of the rows."""
+    own = F.sha2(F.to_json(F.struct(*points.columns)), 256)
+    part = lambda i: F.sum(F.conv(F.substring("own", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
+    return points.select(own.alias("own")).agg(F.count("*").alias("count"), F.sha2(F.concat_ws(" ", *[part(i).cast("string") for i in range(4)]), 256).alias("sha256"))
+
+
 def save_archive(points: DataFrame, path: str) -> None:
-    """One JSON archive with the count and a digest of the points, as point_archive reads it. Refuses to be empty."""
-    line = F.to_json(F.struct(*points.columns))
-    packed = points.agg(F.count("*").alias("count"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(line, 256))), ""), 256).alias("sha256"), F.collect_list(F.struct(*points.columns)).alias("points"))
+    """An archive as point_archive reads it: the folder ``points`` of JSON lines, and ``manifest`` with their count and digest. Refuses to be empty."""
     if points.isEmpty():
         raise ValueError("there is nothing to archive")
-    packed.write.mode("overwrite").json(path)
+    points.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/points")
+    digest(points.sparkSession.read.schema(points.schema).json(f"{path}/points")).withColumn("schema", F.lit(points.schema.json())).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def save_csv(rows: DataFrame, path: str) -> None:
