@@ -110,3 +110,15 @@ def isotonic(rows: DataFrame) -> DataFrame:
 
     sums = rows.groupBy("group", "score").agg(F.sum("label").cast("double").alias("total"), F.count("label").alias("n")).where("n > 0")
     return sums.groupBy("group").applyInPandas(fit, "group string, from_score double, value double")
+
+
+def fit_temperature(rows: DataFrame, low: int = 5, high: int = 50) -> DataFrame:
+    """One row (temperature, loss): the tenth from low to high by which logits (logit, label) are divided for the least log loss.
+
+    Each task sums the losses of its rows for all tenths at once; of equal losses the lowest temperature is taken.
+    """
+    scaled = rows.where("logit IS NOT NULL AND label IS NOT NULL").withColumn("t", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    z = F.col("logit") * 10 / F.col("t")
+    loss = F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - z * F.col("label")
+    losses = scaled.groupBy("t").agg(F.round(F.avg(loss), 9).alias("loss"))
+    return losses.agg(F.min(F.struct("loss", "t")).alias("best")).select((F.col("best.t") / 10).alias("temperature"), F.col("best.loss").alias("loss"))

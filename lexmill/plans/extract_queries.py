@@ -43,10 +43,10 @@ def prose(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", F.concat(F.lit("Under section "), n, F.lit("(1) and Section "), n + 1, F.lit(" read with rule "), n % 9, F.lit(" of schedule IV, chapter 2.")).alias("t"))
 
 
-@register("section_refs", rf"SELECT p_partkey, array_to_string(list_distinct(regexp_extract_all({PROSE}, '(?i)\bsections?\s+(\d{{1,4}}(?:\([0-9a-z]+\))*)', 1)), ',') IS NOT NULL AS ok, len(regexp_extract_all({PROSE}, '(?i)\bsections?\s+(\d{{1,4}}(?:\([0-9a-z]+\))*)', 1))::INTEGER AS n FROM part", "part")
+@register("section_refs", rf"SELECT p_partkey, list_sort(list_distinct(regexp_extract_all({PROSE}, '(?i)\bsections?\s+(\d{{1,4}}(?:\([0-9a-z]+\))*)', 1))) AS sections, len(regexp_extract_all({PROSE}, '(?i)\bsections?\s+(\d{{1,4}}(?:\([0-9a-z]+\))*)', 1))::INTEGER AS n FROM part", "part")
 def section_refs(part: DataFrame) -> DataFrame:
     found = X.sections_in(F.col("t"))
-    return prose(part).select("p_partkey", found.isNotNull().alias("ok"), F.size(found).alias("n"))
+    return prose(part).select("p_partkey", F.array_sort(F.array_distinct(found)).alias("sections"), F.size(found).alias("n"))
 
 
 @register("reference_spans", f"""SELECT p_partkey, kind, confidence, raw, strpos(t, raw)::INTEGER - 1 AS start, (strpos(t, raw) - 1 + length(raw))::INTEGER AS "end" FROM (SELECT p_partkey, t, unnest(['section', 'section', 'rule', 'schedule', 'chapter', 'relation']) AS kind, unnest(['HIGH', 'HIGH', 'HIGH', 'MEDIUM', 'MEDIUM', 'LOW']) AS confidence,
@@ -77,10 +77,10 @@ def domain_votes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.get(votes, 0)["name"].alias("best"))
 
 
-@register("numeric_cores", r"SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?', 0), lambda x: regexp_replace(replace(x, ',', ''), '\.0+$', ''))) IS NOT NULL AS ok, len(list_distinct(list_transform(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?', 0), lambda x: regexp_replace(replace(x, ',', ''), '\.0+$', ''))))::INTEGER AS n FROM documents", "documents")
+@register("numeric_cores", r"SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?', 0), lambda x: regexp_replace(replace(x, ',', ''), '\.0+$', '')))) AS cores, len(list_distinct(list_transform(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?', 0), lambda x: regexp_replace(replace(x, ',', ''), '\.0+$', ''))))::INTEGER AS n FROM documents", "documents")
 def numeric_cores(docs: DataFrame) -> DataFrame:
     v = X.numerics(F.col("text"))
-    return docs.select("doc_id", v.isNotNull().alias("ok"), F.size(v).alias("n"))
+    return docs.select("doc_id", F.array_sort(v).alias("cores"), F.size(v).alias("n"))
 
 
 @register("claim_counts", None, "conversations")

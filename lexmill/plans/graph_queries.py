@@ -74,20 +74,24 @@ def components(lineitem: DataFrame) -> DataFrame:
     return G.components(nodes, edges)
 
 
-@register("topo_order", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 9 THEN NULL ELSE (s_suppkey % 10)::INTEGER END AS layer FROM supplier WHERE s_suppkey % 10 <> 9", "supplier")
-def topo(supplier: DataFrame) -> DataFrame:
-    """Each supplier needs the one before it inside its ten."""
-    nodes = supplier.where("s_suppkey % 10 <> 9").select(F.col("s_suppkey").alias("id"))
-    own = nodes.where("id % 10 > 0").select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst"))
-    real = own.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return G.layers(real, nodes).withColumn("layer", F.when(F.col("id") % 10 == 9, None).otherwise(F.col("layer")))
-
-
-@register("has_cycle", "SELECT true AS cyclic", "nation")
-def has_cycle(nation: DataFrame) -> DataFrame:
-    nodes = nation.select(F.col("n_nationkey").alias("id"))
-    edges = nodes.select(F.col("id").alias("src"), ((F.col("id") + 1) % 25).alias("dst"))
-    return G.layers(edges, nodes).agg(F.bool_or(F.col("layer").isNull()).alias("cyclic"))
+@register("topo_order", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey // 4 AS dst FROM orders WHERE o_orderkey // 4 < o_custkey), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+w(id, layer) USING KEY (id) AS (SELECT id, 0 FROM n UNION (SELECT e.src, max(w.layer) + 1 FROM w JOIN e ON e.dst = w.id JOIN recurring.w AS own ON own.id = e.src WHERE w.layer + 1 > own.layer GROUP BY e.src)) SELECT id, layer FROM w""", "orders")
+def topo(orders: DataFrame) -> DataFrame:
+    """Customers need the smaller numbers that a quarter of their order keys name."""
+    needed = F.expr("o_orderkey div 4")
+    edges = orders.select(F.col("o_custkey").alias("src"), needed.alias("dst")).where("dst < src").distinct()
+    return G.layers(edges, edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
+
+
+@register("has_cycle", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS k, o_orderkey % 5 AS src, o_orderkey // 5 % 5 AS dst FROM orders WHERE o_orderkey % 5 <> o_orderkey // 5 % 5),
+r(k, a, b) AS (SELECT * FROM e UNION SELECT r.k, r.a, e.dst FROM r JOIN e ON e.k = r.k AND e.src = r.b) SELECT k, bool_or(a = b) AS cyclic FROM r GROUP BY 1""", "orders")
+def has_cycle(orders: DataFrame) -> DataFrame:
+    """Of the small graph of each customer, all at once: whether some node has no layer."""
+    node = lambda c: F.concat_ws(":", "o_custkey", c)
+    named = orders.select("o_custkey", (F.col("o_orderkey") % 5).cast("string").alias("a"), F.expr("CAST(o_orderkey div 5 % 5 AS STRING)").alias("b"))
+    edges = named.where("a <> b").select(node("a").alias("src"), node("b").alias("dst")).distinct()
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return G.layers(edges, nodes).groupBy(F.substring_index("id", ":", 1).cast("long").alias("k")).agg(F.bool_or(F.col("layer").isNull()).alias("cyclic"))
 
 
 @register("graph_findings", f"""WITH {EDGES_SQL} SELECT * FROM (VALUES ('repeated_ids', (SELECT count(*) FROM (SELECT id FROM nodes GROUP BY id HAVING count(*) > 1))), ('unknown_type', 0), ('forbidden_type', (SELECT count(*) FROM edges WHERE type = 'BY')), ('no_source', 0), ('no_target', (SELECT count(*) FROM edges WHERE dst NOT IN (SELECT id FROM nodes))), ('loops', 0)) v("check", n)""", *TABLES)

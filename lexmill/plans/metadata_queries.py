@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import metadata as D
 from lexmill.functions import text as T
+from lexmill.operators import metrics as M
 from lexmill.plans._registering import register
 
 
@@ -115,6 +116,14 @@ def crossref(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", F.explode(F.array_distinct(sources)).alias("section"))
 
 
-@register("temperature_scaled", "SELECT o_orderkey, round(1 / (1 + exp(-(o_totalprice / 100000 - 1.5) / 2.0)), 6) AS p FROM orders", "orders")
-def temperature(orders: DataFrame) -> DataFrame:
-    return orders.select("o_orderkey", F.round(1 / (1 + F.exp(-(F.col("o_totalprice") / 100000 - 1.5) / 2.0)), 6).alias("p"))
+_LOGITS = "SELECT doc_id, ln(1 + n_chars) * 3 - 15 AS logit, quality AS label FROM documents JOIN labels USING (doc_id)"
+
+
+@register("temperature_scaled", f"""WITH r AS ({_LOGITS}), g AS (SELECT unnest(range(5, 51)) AS t),
+l AS (SELECT t, round(avg(ln(1 + exp(-abs(logit * 10 / t))) + greatest(logit * 10 / t, 0.0) - logit * 10 / t * label), 9) AS loss FROM r, g WHERE logit IS NOT NULL AND label IS NOT NULL GROUP BY t),
+b AS (SELECT t / 10 AS temperature, loss FROM l ORDER BY loss, t LIMIT 1) SELECT doc_id, temperature, round(1 / (1 + exp(-logit / temperature)), 6) AS p FROM r, b""", "documents", "labels")
+def temperature(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A logit from the length, the temperature that fits it best to the labels, and the probability that results."""
+    rows = docs.join(labels, "doc_id").select("doc_id", (F.log(1 + F.col("n_chars")) * 3 - 15).alias("logit"), F.col("quality").alias("label"))
+    fitted = rows.join(F.broadcast(M.fit_temperature(rows)))
+    return fitted.select("doc_id", "temperature", F.round(1 / (1 + F.exp(-F.col("logit") / F.col("temperature"))), 6).alias("p"))

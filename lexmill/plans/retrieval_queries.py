@@ -199,10 +199,13 @@ def lev_match(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", d.cast("long").alias("d")).where("d <= 4")
 
 
-@register("token_sets", f"SELECT doc_id, len({_tokens('text')})::BIGINT AS n, len(list_distinct({_tokens('text')}))::BIGINT AS m, array_to_string(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+', 0), lambda t: length(t) >= 3 AND t NOT IN {STOP_SQL})), ' ') IS NOT NULL AS ok FROM documents", "documents")
+_SIGNIFICANT = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+', 0), lambda t: length(t) >= 3 AND t NOT IN {STOP_SQL})"
+
+
+@register("token_sets", f"SELECT doc_id, len({_tokens('text')})::BIGINT AS n, len(list_distinct({_tokens('text')}))::BIGINT AS m, list_filter(s, lambda x, i: list_position(s, x) = i)[1:12] AS terms FROM (SELECT *, {_SIGNIFICANT} AS s FROM documents)", "documents")
 def token_sets(docs: DataFrame) -> DataFrame:
     t = L.content_tokens(F.col("text"))
-    return docs.select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("m"), F.size(L.search_terms(F.col("text"))).isNotNull().alias("ok"))
+    return docs.select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("m"), L.search_terms(F.col("text")).alias("terms"))
 
 
 _NEXT = "JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn"

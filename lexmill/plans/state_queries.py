@@ -18,10 +18,12 @@ def cdc_latest(events: DataFrame) -> DataFrame:
     return S.latest_state(events.select("user_id", "event_id", "ts", "value", op.alias("op")), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "value")
 
 
-@register("keyed_upsert", "SELECT o_custkey, max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey END) AS v FROM orders GROUP BY 1", "orders")
+@register("keyed_upsert", "SELECT o_custkey, arg_max(v, (y, new)) AS v, max(y) AS y FROM (SELECT o_custkey, year(o_orderdate)::INTEGER AS y, 1 - o_orderkey % 2 AS new, max(o_orderkey) AS v FROM orders GROUP BY 1, 2, 3) GROUP BY 1", "orders")
 def keyed_upsert(orders: DataFrame) -> DataFrame:
-    rows = orders.select("o_custkey", F.col("o_orderkey").alias("v"))
-    return sinks.upserted(rows.where("v % 2 = 1"), rows.where("v % 2 = 0"), "o_custkey", ["v"])
+    """Odd orders are the table, even ones the batch, one row a customer and year: the latest year stays, the batch's if both have it."""
+    rows = orders.groupBy("o_custkey", F.year("o_orderdate").alias("y"), (F.col("o_orderkey") % 2).alias("odd")).agg(F.max("o_orderkey").alias("v"))
+    part = lambda odd: rows.where(F.col("odd") == odd).select("o_custkey", "v", "y")
+    return sinks.upserted(part(1), part(0), "o_custkey", ["y"])
 
 
 @register("breaker_runs", """SELECT user_id, event_id, failures, failures = 3 AS trips FROM (SELECT user_id, event_id, sum(f) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS failures FROM (SELECT *, (event_type = 'view')::INT AS f, sum((event_type <> 'view')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events))""", "events")
