@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexmill.operators import graph as G
+from lexmill.operators import ingest, joins, metrics
 from lexmill.operators import retrieval as R
 from lexmill.operators.rules import Registry, Rule, SeenHashes, Stage, evaluate, run_stages
 from lexmill.plans import registry
@@ -130,3 +131,42 @@ def test_fuzzy_scores_read_whole_turns(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     (row,) = registry.QUERIES["fuzzy_scores"](spark, str(tmp_path)).collect()
     assert row.ratio == pytest.approx(50)
+
+
+def test_ingestion_can_be_run_again(spark):
+    long = "a sentence of several words that goes on for a while and then some more " * 20
+    rows = [(1, long), (2, f"  {long}"), (3, None), (4, ""), (5, "short"), (6, f"{long}and another end"), (7, long + "b" * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = ingest.ingest(docs.where("doc_id < 6"), "doc_id", "text")
+    assert {r.document for r in first.collect()} == {1}
+    later = ingest.ingest(docs, "doc_id", "text", first)
+    assert {r.document for r in later.collect()} == {6, 7}
+    assert ingest.ingest(docs, "doc_id", "text", first.unionByName(later)).count() == 0
+    assert ingest.ingest(docs.where("false"), "doc_id", "text").count() == 0
+
+
+def test_bootstrap_interval_covers_the_mean(spark):
+    rows = spark.range(4000).selectExpr("id % 2 AS grp", "CASE WHEN id % 2 = 0 THEN rand(7) ELSE rand(8) + 0.5 END AS a", "0.5D AS b").withColumnRenamed("grp", "group")
+    found = {r.group: r for r in metrics.paired_bootstrap(rows, 400).collect()}
+    assert found["0"].low < 0 < found["0"].high and not found["0"].significant
+    assert found["1"].significant and found["1"].low < found["1"].mean < found["1"].high
+    width = found["1"].high - found["1"].low
+    assert width == pytest.approx(2 * 1.96 * (1 / 12 / 2000) ** 0.5, rel=0.2)
+    assert metrics.paired_bootstrap(rows.where("false"), 10).count() == 0
+
+
+def test_isotonic_pools_violators(spark):
+    rows = spark.createDataFrame([("g", s, y) for s, y in ((1.0, 0), (2.0, 1), (2.0, 1), (3.0, 0), (4.0, 1))], "group string, score double, label int")
+    assert [(r.from_score, round(r.value, 6)) for r in metrics.isotonic(rows).orderBy("from_score").collect()] == [(1.0, 0.0), (2.0, 0.666667), (4.0, 1.0)]
+
+
+def test_cosine_of_many_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    points = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(8)], "item long, v array<double>")
+    queries = points.withColumnsRenamed({"item": "query", "v": "q"})
+    assert {(r.query, r.item) for r in R.cosine_topk(points, queries, 1).collect()} == {(i, i) for i in range(8)}
+
+
+def test_conflicts_are_counted_not_paired(spark):
+    facts = spark.createDataFrame([("k", 1, ["5"]), ("k", 2, ["5", "6"]), ("k", 3, ["7"]), ("k", 4, []), ("m", 5, ["7"])], "k string, id long, v array<string>")
+    assert {(r.id, r.n_conflicts) for r in joins.conflicts(facts, "k", "id", "v").collect()} == {(1, 1), (2, 1), (3, 2), (5, 0)}
