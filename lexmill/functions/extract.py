@@ -213,3 +213,97 @@ def difficulty(text: Column) -> Column:
     lower = F.lower(text)
     signs = [F.size(F.split(text, r"\s+")) > 12, F.size(sections_in(text)) > 1, lower.rlike(r"\band\b"), lower.rlike(r"\b(compare|versus|difference)\b"), lower.rlike(r"\b(before|after|since|until)\b"), lower.rlike(r"\b(except|unless|exempt)"), lower.rlike(r"\b(not|never|without)\b")]
     return sum((F.coalesce(s.cast("int"), F.lit(0)) for s in signs), F.lit(0))
+
+
+# --- citations of courts, statutes, sections, dates and registries ---
+
+#: Fixed values: (class, confidence, pattern, normal form) of citations, in order; case does not matter. Null: the match itself, without parentheses around it.
+CITATIONS = (
+    ("supreme_court", 0.95, r"\((\d{4})\s*SC\s*(\d+)/(\d+)\)", "$1 SC $2/$3"),
+    ("supreme_court", 0.95, r"\((\d{4})\s*Supreme\s*Court\s*(\d+)/(\d+)\)", "$1 SC $2/$3"),
+    ("supreme_court", 0.95, r"\((\d{4})\s*SC\s*(\d+)\)", "$1 SC $2"),
+    ("high_court", 0.90, r"\(Honorable\s+HC\s+(\d+)/(\d+)\)", None),
+    ("high_court", 0.90, r"\(Hon'ble\s+HC\s+(\d+)/(\d+)\)", None),
+    ("high_court", 0.90, r"\(Honorable\s+High\s*Court\s+(\d+)/(\d+)\)", None),
+    ("high_court", 0.90, r"\(HC\s+(\d+)/(\d+)\)", None),
+    ("high_court", 0.90, r"\(High\s*Court\s+(\d+)/(\d+)\)", None),
+    ("section", 0.85, r"Section\s+(\d+(?:\(\d+\))?)", "$0"),
+    ("section", 0.85, r"Clause\s+\(([a-z])\)", "$0"),
+    ("section", 0.85, r"clause\s+(\d+(?:\(\d+\))?)", "$0"),
+    ("date_reference", 0.75, r"\b(\d{2}/\d{2}/\d{4})\s*(?:to|-)\s*(\d{2}/\d{2}/\d{4})\b", "$0"),
+    ("date_reference", 0.75, r"\b(\d{1,2}\s+\w+\s+\d{4})\b", "$0"),
+    ("registry", 0.85, r"\b([A-Z]\s*\d+/\d{4})\b", "$0"),
+)
+#: Fixed values: (group of the name, pattern) of statutes, in order; case matters.
+STATUTES = (
+    (1, r"The\s+((?:Indian\s+)?[A-Z][A-Za-z]+(?:\s+(?:of|the|and|for|to|in|on|with|by|or)?\s?[A-Z][A-Za-z]+)*)(?:\s+(?:Act|Code|Statute|Law|Regulation))?"),
+    (1, r"([A-Z][A-Za-z]+(?:\s+(?:of|the|and|for|to|in|on|with|by|or)?\s?[A-Z][A-Za-z]+)*)\s+(?:Act|Statute|Law|Regulation)\b"),
+    (0, r"(?i:Constitution\s+of\s+India)"),
+)
+#: Fixed value: how amendment notices speak.
+AMENDMENT = r"(?i)(for the words|shall be substituted|the following section shall be substituted|and after the words|in the marginal heading)"
+
+
+def citations_by_class(text: Column) -> Column:
+    """Array of (kind, confidence, source, normalized): all matches of each citation pattern, patterns in order; null text gives null."""
+
+    def tagged(kind: str, confidence: float, pattern: str, form: str | None) -> Column:
+        normal = (lambda m: F.btrim(m, F.lit("()"))) if form is None else (lambda m: F.trim(F.regexp_replace(m, f"(?i)^{pattern}$", form)))
+        return F.transform(F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), m.alias("source"), normal(m).alias("normalized")))
+
+    return F.concat(*[tagged(*c) for c in CITATIONS])
+
+
+def statutes_cited(text: Column, least_words: int = 3) -> Column:
+    """Array of (kind, confidence, source): statute names of so many words at least, each once, constitutions apart.
+
+    A match that starts before the end of the one accepted last is another reading of it and is left out.
+    """
+    def named(group: int, pattern: str) -> Column:
+        return F.transform(match_spans(text, pattern, "", ""), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.trim(m["raw"]).alias("source"), F.regexp_extract(m["raw"], pattern, group).alias("name")))
+
+    found = F.concat(*[named(*s) for s in STATUTES])
+    nothing = F.struct(F.lit(-1).alias("end"), F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
+
+    def step(done: Column, m: Column) -> Column:
+        key = F.regexp_replace(F.lower(m["source"]), "^the ", "")
+        words = F.size(F.filter(F.split(m["name"], r"\s+"), lambda w: w != ""))
+        ok = (m["start"] >= done["end"]) & (words >= least_words) & ~F.array_contains(done["seen"], key)
+        return F.when(ok, F.struct(m["end"].alias("end"), F.array_append(done["seen"], key).alias("seen"), F.array_append(done["out"], m["source"]).alias("out"))).otherwise(done)
+
+    names = F.aggregate(found, nothing, step, lambda d: d["out"])
+    constitution = lambda n: F.lower(n).contains("constitution")
+    return F.transform(names, lambda n: F.struct(F.when(constitution(n), "constitution").otherwise("statutory").alias("kind"), F.when(constitution(n), 0.85).otherwise(0.80).alias("confidence"), n.alias("source")))
+
+
+def is_amendment_prose(text: Column) -> Column:
+    """Whether a text speaks of a change to a provision instead of stating one; null is not."""
+    return F.coalesce(text.rlike(AMENDMENT), F.lit(False))
+
+
+#: An ordered list, its start, and a list inside one.
+_LIST, _START, _INNER = r"(?is)<ol\b([^>]*)>(.*?)</ol>", r"(?i)(start\s*=\s*[\"']?)(\d+)([\"']?)", r"(?i)<ol\b"
+
+
+def renumbered_lists(html: Column) -> Column:
+    """``<ol class="justify" start="N">`` lists continue the numbers of the one before; texts whose first list starts elsewhere than at 1 stay."""
+    found = F.regexp_extract_all(html, F.lit(_LIST), F.lit(0))
+    gaps = F.split(html, _LIST, -1)
+
+    def step(done: Column, m: Column) -> Column:
+        attrs, inner = F.regexp_extract(m, _LIST, 1), F.regexp_extract(m, _LIST, 2)
+        items = F.size(F.regexp_extract_all(inner, F.lit(r"(?i)<li\b"), F.lit(0)))
+        counts = ~inner.rlike(_INNER) & attrs.rlike("class=(\"justify\"|'justify')") & (items > 0)
+        number = (done["last"] + 1).cast("string")
+        renewed = F.concat(F.lit("<ol"), F.regexp_replace(attrs, F.lit(_START), F.concat(F.lit("$1"), number, F.lit("$3"))), F.lit(">"), inner, F.lit("</ol>"))
+        started = attrs.rlike(_START)
+        return (
+            F.when(counts & started, F.struct((done["last"] + items).alias("last"), F.array_append(done["out"], renewed).alias("out")))
+            .when(counts, F.struct(items.alias("last"), F.array_append(done["out"], m).alias("out")))
+            .otherwise(F.struct(done["last"].alias("last"), F.array_append(done["out"], m).alias("out")))
+        )
+
+    lists = F.aggregate(found, F.struct(F.lit(0).alias("last"), F.array().cast("array<string>").alias("out")), step, lambda d: d["out"])
+    whole = F.array_join(F.zip_with(gaps, lists, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    first = F.regexp_extract(F.regexp_extract(F.get(found, 0), _LIST, 1), _START, 2)
+    return F.when(first.isin("", "1", "01"), whole).otherwise(html)

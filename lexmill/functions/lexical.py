@@ -40,6 +40,12 @@ def overlap_share(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / n)
 
 
+def token_coverage(needles: Column, text: Column) -> Column:
+    """Share of the needles, repeats included, that the lower-case text holds anywhere; 0 without needles or text."""
+    low = F.coalesce(F.lower(text), F.lit(""))
+    return F.when(F.size(needles) > 0, F.size(F.filter(needles, lambda t: low.contains(t))) / F.size(needles)).otherwise(0.0)
+
+
 def holds_phrase(text: Column, phrase: Column) -> Column:
     """Whether the words of the phrase occur in a row in the words of the text."""
     padded = lambda c: F.concat(F.lit(" "), F.array_join(words(c), " "), F.lit(" "))

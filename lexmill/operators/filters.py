@@ -79,3 +79,8 @@ def first_class(value: Column, families: list[tuple[str, list[str]]], default: s
     for name, aliases in reversed(families):
         out = F.when(any_of([value.contains(a) for a in aliases]), name).otherwise(out)
     return out
+
+
+def located(df: DataFrame, lat: str, lng: str) -> DataFrame:
+    """Rows whose two coordinates are known."""
+    return df.where(F.col(lat).isNotNull() & F.col(lng).isNotNull())

@@ -173,14 +173,15 @@ def no_holdout(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return over.agg((F.count("*") == 0).alias("clean"))
 
 
-@register("hash_split", None, "documents")
+@register("hash_split", "SELECT doc_id, source, CASE WHEN h < 80 THEN 'train' WHEN h < 90 THEN 'dev' ELSE 'test' END AS split FROM (SELECT *, ('0x' || substr(sha256(source), 1, 8))::BIGINT % 100 AS h FROM documents)", "documents")
 def hash_split(docs: DataFrame) -> DataFrame:
     """A leak-free split by a hash of the group key: all rows of a source fall into one part."""
-    part = F.pmod(F.xxhash64("source"), F.lit(100))
+    part = F.conv(F.substring(F.sha2("source", 256), 1, 8), 16, 10).cast("long") % 100
     return docs.select("doc_id", "source", F.when(part < 80, "train").when(part < 90, "dev").otherwise("test").alias("split"))
 
 
-@register("balanced_sample", None, "documents")
+@register("balanced_sample", """WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT lang, greatest(1, floor(ceil((SELECT avg(n) FROM n)) / n))::INTEGER AS times FROM n)
+SELECT doc_id, lang, unnest(generate_series(1, times))::INTEGER AS copy FROM documents JOIN t USING (lang)""", "documents")
 def balanced(docs: DataFrame) -> DataFrame:
     """Small domains are repeated up to the mean size of all."""
     n = docs.groupBy("lang").agg(F.count("*").alias("n"))

@@ -90,3 +90,61 @@ def slow_lcs(a, b):
 def test_lcs(a, b):
     assert L.lcs_length(a, b) == slow_lcs(a, b)
     assert L.ratio_of(a, b) == pytest.approx(L.ratio_of(b, a))
+
+
+CITING = "The Food Safety and Standards Act, of the Act, (2020 SC 12/34) and (hc 5/2019), Section 3(1), clause (b), 01/02/2020 - 03/04/2021, 5 May 2019; A 1234/2021, constitution of India"
+
+
+def test_citations_by_class(spark):
+    found = [(c.kind, c.normalized) for c in one(spark, X.citations_by_class(F.col("t")), t=CITING)]
+    assert found == [("supreme_court", "2020 SC 12/34"), ("high_court", "hc 5/2019"), ("section", "Section 3(1)"), ("section", "clause (b)"), ("date_reference", "01/02/2020 - 03/04/2021"), ("date_reference", "5 May 2019"), ("registry", "A 1234/2021")]
+    assert one(spark, X.citations_by_class(F.col("t")), t=None) is None
+    assert one(spark, X.citations_by_class(F.col("t")), t="") == []
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (CITING, [("statutory", "The Food Safety and Standards Act"), ("constitution", "constitution of India")]),
+    ("of the Act and the Penal Code Act", []),
+    ("Prevention of Food Adulteration Act, then Prevention of Food Adulteration Act", [("statutory", "Prevention of Food Adulteration Act")]),
+    ("The Constitution of India. Prevention of Food Adulteration Act", [("constitution", "The Constitution of India"), ("statutory", "Prevention of Food Adulteration Act")]),
+    ("The Constitution of India and Prevention of Food Adulteration Act", [("constitution", "The Constitution of India and Prevention of Food Adulteration Act")]),
+    ("", []),
+    (None, None),
+])
+def test_statutes_cited(spark, text, want):
+    got = one(spark, X.statutes_cited(F.col("t")), t=text)
+    assert (got and [(c.kind, c.source) for c in got]) == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("shall be substituted", True), ("In The Marginal Heading", True), ("shall stand", False), ("", False), (None, False)])
+def test_amendment_prose(spark, text, want):
+    assert one(spark, X.is_amendment_prose(F.col("t")), t=text) is want
+
+
+J = '<ol class="justify"'
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    (f'a{J}><li>x<li>y</ol>b{J} start="9"><li>z</ol>c', f'a{J}><li>x<li>y</ol>b{J} start="3"><li>z</ol>c'),
+    (f'{J} start="1"><li>x</ol>{J} start="12"><li>y</ol>{J} start="1"><li>z</ol>', f'{J} start="1"><li>x</ol>{J} start="2"><li>y</ol>{J} start="3"><li>z</ol>'),
+    (f'{J} start="4"><li>x</ol>{J} start="9"><li>y</ol>', f'{J} start="4"><li>x</ol>{J} start="9"><li>y</ol>'),
+    ('<ol start="1"><li>x</ol>', '<ol start="1"><li>x</ol>'),
+    ("none", "none"),
+    (None, None),
+])
+def test_renumbered_lists(spark, html, want):
+    assert one(spark, X.renumbered_lists(F.col("t")), t=html) == want
+
+
+def test_tagged_json(spark):
+    at = F.expr("timestamp '2024-05-06 07:08:09.5'")
+    assert one(spark, T.tagged_json(at, "timestamp"), t="") == '{"__type__":"datetime","value":"2024-05-06T07:08:09.500000"}'
+    assert one(spark, T.tagged_json(F.col("t")), t='a"b\nc') == '"a\\"b\\nc"'
+    assert one(spark, T.tagged_json(F.lit(7)), t="") == "7"
+    assert one(spark, T.tagged_json(F.col("t"), "date"), t=None) is None
+
+
+def test_token_coverage(spark):
+    assert one(spark, L.token_coverage(F.array(F.lit("food"), F.lit("act")), F.col("t")), t="Foods only") == 0.5
+    assert one(spark, L.token_coverage(F.array().cast("array<string>"), F.col("t")), t="x") == 0.0
+    assert one(spark, L.token_coverage(F.array(F.lit("a")), F.col("t")), t=None) == 0.0
