@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from lexmill.llm._shared import U, mix64, span_hashes
 
 PACK_CHARS = 400_000
-MEMO_ENTRIES = 1 << 16
+#: Merged pre-tokens that a worker keeps in each of two generations; about 200 bytes each.
+MEMO_ENTRIES = 1 << 17
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: The code points of the Unicode property White_Space.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -180,18 +181,25 @@ class Encoder:
         self.v = vocabulary
         self.merge = Merger(vocabulary.tokens)
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def merged(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, packed as unsigned 32-bit integers."""
-        memo, out = self.memo, []
+        """The ids of each word, packed as unsigned 32-bit integers.
+
+        When the memo is full it becomes the older generation, whose words move back when they are met
+        again, so frequent words stay and memory is bounded.
+        """
+        memo, older, out = self.memo, self.older, []
         for word in words:
             if (got := memo.get(word)) is None:
-                got = array("I", self.merge(word)).tobytes()
-                if len(memo) >= MEMO_ENTRIES:
-                    memo.clear()
+                if (got := older.get(word)) is None:
+                    got = array("I", self.merge(word)).tobytes()
                 if len(word) <= 64:
+                    if len(memo) >= MEMO_ENTRIES:
+                        memo, older = {}, memo
                     memo[word] = got
             out.append(got)
+        self.memo, self.older = memo, older
         return out
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
