@@ -130,3 +130,48 @@ def line_diff(before: pd.Series, after: pd.Series) -> pd.Series:
         return out
 
     return pd.Series([diff(a or "", b or "") for a, b in zip(before, after, strict=True)])
+
+
+def text_edges(docs: DataFrame, key: str, text: str, act: Column) -> DataFrame:
+    """(source, target, relation, evidence): an edge for every section or rule that a text names, ten characters around it as evidence.
+
+    Targets are ``act::number``, or the number where no act is known. Null ids and texts give no edges.
+    """
+    named = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("source"), act.alias("act"), F.col(text).alias("_text"))
+    rows = named.select("source", "act", "_text", F.explode(X.references_in(F.col("_text"), "HIGH")).alias("r"))
+    first = F.greatest(F.col("r.start") - 10, F.lit(0))
+    target = F.concat_ws("::", "act", F.regexp_extract("r.raw", r"(\d\S*)$", 1))
+    return rows.select("source", target.alias("target"), F.lit("refs").alias("relation"), F.substring(F.col("_text"), first + 1, F.col("r.end") + 10 - first).alias("evidence"))
+
+
+def bundle(rows: DataFrame, query: str, group: str, item: str, score: str, satisfies: Column, most: int = 5, each: int = 2) -> DataFrame:
+    """(query, group, item, part, rank): the evidence of each query in two parts.
+
+    Groups rank by their best score, ties by name. Primary are the satisfying items of the best group that has any, best first,
+    at most ``most``; related are the ``each`` best items of every other group, best groups first, at most ``most``. Equal
+    scores go by item. Ranks are cut per task before the shuffle's rows are sorted out; no group is collected.
+    """
+    own = rows.select(query, group, item, score, F.coalesce(satisfies, F.lit(False)).alias("_good"))
+    groups = own.groupBy(query, group).agg(F.max(score).alias("_best"), F.max("_good").alias("_any"))
+    chosen = groups.where("_any").groupBy(query).agg(F.min(F.struct((-F.col("_best")).alias("b"), F.col(group).alias("g")))["g"].alias("_chosen"))
+    known = own.join(groups.drop("_any"), [query, group]).join(chosen, query, "left")
+    within = F.row_number().over(Window.partitionBy(query, group).orderBy(F.desc(score), item))
+    primary = known.where((F.col(group) == F.col("_chosen")) & F.col("_good")).withColumn("rank", within).where(F.col("rank") <= most)
+    others = known.where(F.col("_chosen").isNull() | (F.col(group) != F.col("_chosen"))).withColumn("_r", within).where(F.col("_r") <= each)
+    across = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("_best"), group, "_r"))
+    related = others.withColumn("rank", across).where(F.col("rank") <= most)
+    parts = [part.select(query, group, item, F.lit(name).alias("part"), "rank") for name, part in (("primary", primary), ("related", related))]
+    return parts[0].union(parts[1])
+
+
+def task_coverage(tasks: DataFrame, chunks: DataFrame, plan: str, task: str, least: float) -> DataFrame:
+    """(plan, tasks, covered, coverage): how many tasks (plan, task, question) some chunk (task, text) covers at least so far.
+
+    A task without content tokens or without chunks is not covered.
+    """
+    needles = tasks.select(plan, task, L.content_tokens(F.col("question")).alias("_needles"))
+    joined = needles.join(chunks.select(task, "text"), task, "left")
+    hit = (F.size("_needles") > 0) & F.coalesce(L.token_coverage(F.col("_needles"), F.col("text")) >= least, F.lit(False))
+    by_task = joined.groupBy(plan, task).agg(F.max(hit).alias("_hit"))
+    covered = F.count_if("_hit")
+    return by_task.groupBy(plan).agg(F.count("*").alias("tasks"), covered.alias("covered"), F.round(covered / F.count("*"), 4).alias("coverage"))

@@ -58,9 +58,9 @@ def renumbered_lists(pages: DataFrame) -> DataFrame:
     return pages.where("html NOT LIKE '%<ol%'").select("page_id", F.md5(out).alias("hash"))
 
 
-@register("tagged_cells", """SELECT o_orderkey, '{"__type__":"datetime","value":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '"}' AS at, '{"__type__":"date","value":"' || strftime(o_orderdate, '%Y-%m-%d') || '"}' AS day,
+@register("tagged_json_cells", """SELECT o_orderkey, '{"__type__":"datetime","value":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '"}' AS at, '{"__type__":"date","value":"' || strftime(o_orderdate, '%Y-%m-%d') || '"}' AS day,
 '{"__type__":"decimal","value":"' || (o_totalprice::DECIMAL(14, 2))::VARCHAR || '"}' AS price, '{"__type__":"bytes","value":"' || base64(o_orderpriority::BLOB) || '"}' AS raw, '"' || o_orderstatus || '"' AS plain FROM orders""", "orders")
-def tagged_cells(orders: DataFrame) -> DataFrame:
+def tagged_json_cells(orders: DataFrame) -> DataFrame:
     day, at = F.to_date("o_orderdate"), F.col("o_orderdate")
     return orders.select("o_orderkey", T.tagged_json(at, "timestamp").alias("at"), T.tagged_json(day, "date").alias("day"), T.tagged_json(F.col("o_totalprice").cast("decimal(14,2)"), "decimal").alias("price"), T.tagged_json(F.col("o_orderpriority").cast("binary"), "binary").alias("raw"), T.tagged_json(F.col("o_orderstatus")).alias("plain"))
 
@@ -71,10 +71,10 @@ def located_rows(customer: DataFrame) -> DataFrame:
     return P.located(rows, "lat", "lng")
 
 
-@register("context_precision", f"""WITH q AS (SELECT conv_id, turn, {_tokens('text')} AS x, lower(text) AS low FROM conversations), a AS (SELECT * FROM q WHERE turn = 0)
+@register("half_covering_turns", f"""WITH q AS (SELECT conv_id, turn, {_tokens('text')} AS x, lower(text) AS low FROM conversations), a AS (SELECT * FROM q WHERE turn = 0)
 SELECT conv_id, count(*) AS total, count(*) FILTER (hit) AS relevant, round(count(*) FILTER (hit) / count(*), 6) AS precision FROM
 (SELECT q.conv_id, len(a.x) > 0 AND len(list_filter(a.x, lambda t: contains(q.low, t))) >= 0.5 * len(a.x) AS hit FROM q JOIN a ON q.conv_id = a.conv_id WHERE q.turn > 0) GROUP BY 1""", "conversations")
-def context_precision(conv: DataFrame) -> DataFrame:
+def half_covering_turns(conv: DataFrame) -> DataFrame:
     """Share of a conversation's later turns that hold half of the content tokens of its first."""
     first = conv.where("turn = 0").select("conv_id", L.content_tokens(F.col("text")).alias("needles"))
     hit = conv.where("turn > 0").join(first, "conv_id").select("conv_id", (L.token_coverage(F.col("needles"), F.col("text")) >= 0.5).alias("hit"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import dates as D
 from lexmill.functions import extract as X
+from lexmill.functions import identity
 from lexmill.functions import lexical as L
 from lexmill.functions import text as T
 
@@ -148,3 +149,30 @@ def test_token_coverage(spark):
     assert one(spark, L.token_coverage(F.array(F.lit("food"), F.lit("act")), F.col("t")), t="Foods only") == 0.5
     assert one(spark, L.token_coverage(F.array().cast("array<string>"), F.col("t")), t="x") == 0.0
     assert one(spark, L.token_coverage(F.array(F.lit("a")), F.col("t")), t=None) == 0.0
+
+
+def test_identity_names_the_narrowest_unit_and_makes_nothing_up(spark):
+    rows = [(1, "Act A", "Section 31(2)(a)", "it means x under rule 4.1"), (2, None, None, "Schedule IV, chapter II"), (3, "Act A", "Annex", None), (4, None, None, "")]
+    df = spark.createDataFrame(rows, "id int, act string, section string, text string")
+    got = {r["id"]: r["i"] for r in df.select("id", identity.identity(F.col("act"), F.col("section"), F.col("text")).alias("i")).collect()}
+    assert (got[1]["canonical_id"], got[1]["parent_unit"], got[1]["clause"]) == ("Act A::31(2)(a)", "Act A::31(2)", ["a"])
+    assert got[1]["cross_references"] == ["Rule 4.1"] and got[1]["has_definition"] and not got[1]["has_exception"]
+    assert got[2]["canonical_id"] == "Schedule IV" and got[2]["parent_unit"] is None
+    assert (got[3]["canonical_id"], got[3]["cross_references"], got[3]["has_definition"]) == ("Act A", [], False)
+    assert got[4]["canonical_id"] == "UNKNOWN"
+
+
+def test_a_duty_is_no_part_of_a_prohibition(spark):
+    texts = ["x" * 40 + " the seller shall not sell", "x" * 40 + " he shall  not sell but shall tell", "he shall tell", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: [(t["relation"], t["evidence"]) for t in r["t"]] for r in df.select("id", identity.semantic_tags(F.col("text")).alias("t")).collect()}
+    assert [r for r, _ in got[0]] == ["prohibits"]
+    assert [r for r, _ in got[1]] == ["prohibits", "obliges"] and got[1][1][1].endswith("but shall tell")
+    assert got[2] == got[3] == got[4] == []
+
+
+def test_a_question_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, "What is the penalty in section 5(2) of the Food Act?"), (2, None)], "id int, text string")
+    got = {r["id"]: r["u"] for r in df.select("id", identity.understood(F.col("text"), {"Food Act": []}).alias("u")).collect()}
+    assert got[1]["kind"] == "definition" and (got[1]["act"], got[1]["section"], got[1]["subsection"]) == ("Food Act", "5", "2")
+    assert got[2]["kind"] == "general" and got[2]["act"] is None and got[2]["subqueries"] == [""]

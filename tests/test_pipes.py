@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lexmill.operators import evidence, ingest, joins, metrics
 from lexmill.operators import graph as G
-from lexmill.operators import ingest, joins, metrics
 from lexmill.operators import retrieval as R
 from lexmill.operators.rules import Registry, Rule, SeenHashes, Stage, evaluate, run_stages
 from lexmill.plans import registry
+from lexmill.plans._registering import register
 from lexmill.sources import readers, sinks
 from lexmill.streaming import state, windows
 
@@ -170,3 +171,25 @@ def test_cosine_of_many_queries_in_blocks(spark, monkeypatch):
 def test_conflicts_are_counted_not_paired(spark):
     facts = spark.createDataFrame([("k", 1, ["5"]), ("k", 2, ["5", "6"]), ("k", 3, ["7"]), ("k", 4, []), ("m", 5, ["7"])], "k string, id long, v array<string>")
     assert {(r.id, r.n_conflicts) for r in joins.conflicts(facts, "k", "id", "v").collect()} == {(1, 1), (2, 1), (3, 2), (5, 0)}
+
+
+def test_bundle_takes_the_best_group_that_satisfies(spark):
+    rows = [(1, "a", 1, 9.0, False), (1, "a", 2, 8.0, None), (1, "a", 3, 7.0, False), (1, "b", 4, 5.0, True), (1, "b", 5, 5.0, True), (1, "b", 6, 4.0, False), (2, "c", 7, 1.0, False)]
+    df = spark.createDataFrame(rows, "q int, g string, i int, s double, good boolean")
+    got = sorted(tuple(r) for r in evidence.bundle(df, "q", "g", "i", "s", F.col("good")).collect())
+    assert got == [(1, "a", 1, "related", 1), (1, "a", 2, "related", 2), (1, "b", 4, "primary", 1), (1, "b", 5, "primary", 2), (2, "c", 7, "related", 1)]
+    assert evidence.bundle(df.limit(0), "q", "g", "i", "s", F.col("good")).collect() == []
+
+
+def test_task_coverage_counts_tasks_without_chunks(spark):
+    tasks = spark.createDataFrame([(0, 1, "fine for milk"), (0, 2, "licence of sellers"), (0, 3, None)], "plan int, task int, question string")
+    chunks = spark.createDataFrame([(1, "The FINE on milk"), (1, None), (3, "milk")], "task int, text string")
+    assert [tuple(r) for r in evidence.task_coverage(tasks, chunks, "plan", "task", 0.5).collect()] == [(0, 3, 1, 0.3333)]
+
+
+def test_edges_from_text_and_unique_names(spark):
+    df = spark.createDataFrame([(1, "see section 4(2) and rule 7"), (None, "section 9"), (2, None)], "id int, text string")
+    got = {(r["source"], r["target"]) for r in evidence.text_edges(df, "id", "text", F.lit("A")).collect()}
+    assert got == {(1, "A::4(2)"), (1, "A::7")}
+    with pytest.raises(ValueError, match="twice"):
+        register("bm25_topk", None, "documents")
