@@ -63,6 +63,17 @@ def test_bpe_collisions_are_settled(reference):
     assert [list(x) for x in encoder.encode(texts, trust=False)] == [list(x) for x in encoder.encode(texts)]
 
 
+def test_bpe_memo_keeps_frequent_words_and_stays_small(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 8)
+    encoder = bpe.Encoder(bpe.Vocabulary.read(VOCABULARY))
+    for i in range(40):
+        text = f"qzxvkj frequentqq rare{i}zzqx wq{i * 7}kkj"
+        ids, *_ = encoder.encode([text])
+        assert ids.tolist() == reference.encode(text)
+        assert len(encoder.memo) <= 8 and len(encoder.older) <= 8
+    assert any(b"qzxvkj" in word for word in {**encoder.memo, **encoder.older})
+
+
 def test_bpe_decodes(spark):
     rows = bpe.decode_ids(bpe.encode_table(documents(spark, ["a b", None]), VOCABULARY, with_ids=True), VOCABULARY).collect()
     assert {bytes(r.decoded) for r in rows} == {b"a b", b""}
