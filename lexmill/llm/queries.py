@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, langid, media, mixing, ngram_join, periodic, secret_scan, sharding, substring_dedup, topk, urls
+from lexmill.llm import bpe, collocations, langid, media, mixing, ngram_join, periodic, secret_scan, sharding, substring_dedup, topk, urls
 from lexmill.sources.tables import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -57,6 +57,10 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_table(read_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocation_table(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
@@ -69,6 +73,7 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_urls": op10_urls,
     "op12_periodic": op12_periodic,
+    "op13_collocations": op13_collocations,
 }
 ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
@@ -77,4 +82,5 @@ ORACLE_SQL = {
     "op6_secrets": secret_scan.oracle_sql(),
     "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op10_urls": urls.oracle_sql(),
+    "op13_collocations": collocations.oracle_sql(),
 }
