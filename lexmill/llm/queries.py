@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, collocations, langid, media, mixing, ngram_join, periodic, secret_scan, sharding, substring_dedup, topk, urls
+from lexmill.llm import bpe, collocations, langid, media, mixing, near_vectors, ngram_join, periodic, secret_scan, sharding, substring_dedup, topk, urls
 from lexmill.sources.tables import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -53,6 +53,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_table(read_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_langid": op9_langid,
     "op10_urls": op10_urls,
+    "op11_near_vectors": op11_near_vectors,
     "op12_periodic": op12_periodic,
     "op13_collocations": op13_collocations,
 }
