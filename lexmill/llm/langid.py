@@ -1,7 +1,7 @@
 """Language ID by compression: the language whose dictionary makes a text smallest.
 
 Each language has a zstandard raw-content dictionary: letters and single spaces, in lower case, of a
-bounded sample of labelled documents, from pieces spread evenly over each. A text is brought to the same form and compressed in chunks,
+bounded sample of different labelled texts, from pieces spread evenly over each. A text is brought to the same form and compressed in chunks,
 whole, with every dictionary; the chunk sizes add up. The narrower the margin between the smallest
 and the next, the lower the score; a margin under ``MIN_MARGIN`` rejects.
 
@@ -18,11 +18,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The sample that dictionaries are made of: about so many documents a language, pieces of each, characters of a piece.
-SAMPLE_DOCS, PIECES, PIECE_CHARS = 256, 8, 128
+from lexmill.llm._shared import forget, saved
+
+#: The sample that dictionaries are made of: most languages, different texts of each, pieces of a text, characters of a piece.
+LANGUAGES, SAMPLE_DOCS, PIECES, PIECE_CHARS = 256, 256, 8, 128
 CHUNK = 4096
 LEVEL = 6
 MIN_MARGIN = 0.002
@@ -46,22 +48,26 @@ def _spread(text: Column, pieces: int, chars: int) -> Column:
     return F.when(F.length(text) <= pieces * chars, text).otherwise(F.concat_ws(" ", *[piece(F.lit(i)) for i in range(pieces)]))
 
 
-def learn_dictionaries(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_docs: int = SAMPLE_DOCS, pieces: int = PIECES, piece_chars: int = PIECE_CHARS) -> dict[str, bytes]:
-    """Raw dictionary content by language, from about ``sample_docs`` documents of each, chosen by a hash of id and text.
+def learn_dictionaries(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_docs: int = SAMPLE_DOCS, pieces: int = PIECES, piece_chars: int = PIECE_CHARS, languages: int = LANGUAGES) -> dict[str, bytes]:
+    """Raw dictionary content by language, from the ``sample_docs`` different texts of each whose hashes are least.
 
-    Counts per language come first, then only documents under the hash bound that this gives are read.
-    What reaches the driver is at most ``pieces`` times ``piece_chars`` characters of each of them.
+    Texts are told apart by a 64-bit hash, so copies count once however many there are. Of more than ``languages`` languages those with most
+    different texts are learned (then the first by name). What reaches the driver is at most so many languages times texts times
+    ``pieces`` times ``piece_chars`` characters.
     """
-    known = labelled.where(F.col(lang_column).isNotNull() & (F.length(F.trim(F.col(text_column))) > 0))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_column).count().collect()}
-    if not counts:
+    known = labelled.where(F.col(lang_column).isNotNull() & (F.length(F.trim(F.col(text_column))) > 0)).select(F.col(lang_column).cast("string").alias("lang"), F.xxhash64(text_column).alias("spot"), _spread(F.col(text_column).cast("string"), pieces, piece_chars).alias("part"))
+    texts = saved(known.select("lang", "spot").distinct())
+    learned = [r[0] for r in texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    if not learned:
+        forget(texts)
         return {}
-    spot = F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(1 << 32))
-    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 32, (sample_docs << 32) // n))])
-    part = _spread(F.col(text_column), pieces, piece_chars)
-    rows = known.where(spot < bound[F.col(lang_column)]).select(F.col(lang_column), spot.alias("spot"), part.alias("part")).collect()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("spot"))
+    chosen = texts.where(F.col("lang").isin(learned)).withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "spot")
+    # At most languages * sample_docs rows of two values.
+    rows = known.join(F.broadcast(chosen), ["lang", "spot"]).groupBy("lang", "spot").agg(F.min("part").alias("part")).collect()
+    forget(texts)
     found: dict[str, list[str]] = {}
-    for lang, _, text in sorted(map(tuple, rows), key=lambda r: (r[0], r[1], r[2])):
+    for lang, _, text in sorted(map(tuple, rows)):
         found.setdefault(lang, []).append(plain_form(text))
     return {lang: " ".join(x for x in texts if x).encode() for lang, texts in found.items() if any(texts)}
 

@@ -119,5 +119,6 @@ def mixing_table(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 def mixed(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", targets: dict[str, float] | None = None) -> DataFrame:
     """The rows of docs, each as often as its copies say. Rows of equal id are taken alike."""
     rates = mixing_table(docs, labels, id_column, text_column, targets).groupBy(F.col(id_column).alias("_of")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(rates.where("_copies > 0"), F.col(id_column).eqNullSafe(F.col("_of")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("_all"), F.col(id_column).alias("_id"))
+    taken = packed.join(rates.where("_copies > 0"), F.col("_id").eqNullSafe(F.col("_of")))
+    return taken.select("_all", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_all.*")

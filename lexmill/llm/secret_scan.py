@@ -8,7 +8,7 @@ of kind ``owned`` where no base span overlaps them; base spans always stay.
 
 DataFrame functions only. Texts are scanned once into the gaps between matches and their lengths, which are written;
 positions are running sums over these, and overlaps are running extremes, so a text of very many matches costs no more
-a match than any other. A value found in a third of all documents costs one row per task and owner when counted, and
+a match than any other, to find and to redact. A value found in a third of all documents costs one row per task and owner when counted, and
 its rows may be split where they meet its verdict.
 
 Null texts are empty. A null owner counts as the owner ''. Repeated rows are judged each for itself. An
@@ -37,19 +37,23 @@ COPIED_OWNERS = 3
 COPIED_REPOSITORIES = 3
 #: Percentage of a token's letters and digits after which lower case, upper case and digits change; random base64 has 64.
 LEAST_CHANGES = 30
-_MATCH = "array<struct<kind:int,place:int,gap:int,length:int,value:string>>"
+_MATCH = "array<struct<kind:int,place:int,gap:int,more:int,length:int,value:string>>"
 
 
 def _matches(text: Column, pattern: str, kind: int, value, wanted=None) -> Column:
-    """Of all matches, in order: what lies between it and the one before, its length, and the hash of its value, null if it is not wanted."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-
-    def match(m: Column, i: Column) -> Column:
+    """Of all matches, in order: what lies between it and the one before (characters, and bytes beyond one each), its length, and the
+    hash of its value, null if it is not wanted."""
+    # Zipped before the lambda, which would split the text again for every match; what follows the last match has none.
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")
+    gaps = F.split(text, pattern, -1).alias("gap")
+
+    def match(x: Column, i: Column) -> Column:
+        m, gap = x["found"], x["gap"]
         hashed = F.sha2(value(m), 256)
-        return F.struct(F.lit(kind).alias("kind"), i.alias("place"), F.get(gaps, i).alias("gap"), F.length(m).alias("length"), (hashed if wanted is None else F.when(wanted(m), hashed)).alias("value"))
+        length = F.length(gap)
+        return F.struct(F.lit(kind).alias("kind"), i.alias("place"), length.alias("gap"), (F.octet_length(gap) - length).alias("more"), F.length(m).alias("length"), (hashed if wanted is None else F.when(wanted(m), hashed)).alias("value"))
 
-    return F.when(text.rlike(pattern), F.transform(found, match)).otherwise(F.array().cast(_MATCH))
+    return F.when(text.rlike(pattern), F.transform(F.filter(F.arrays_zip(found, gaps), lambda x: x["found"].isNotNull()), match)).otherwise(F.array().cast(_MATCH))
 
 
 def all_matches(text: Column) -> Column:
@@ -70,17 +74,17 @@ def _candidate(m: Column) -> Column:
 
 
 def placed(matches: DataFrame) -> DataFrame:
-    """Spans of rows (_row, kind, place, gap, length, value, and more): adds start and end, leaves out matches without a value
+    """Spans of rows (_row, kind, place, gap, more, length, value, and others): adds start and end, and by how much bytes are ahead, leaves out matches without a value
     and tokens that a base span overlaps. The rows of a document meet in one task, sorted; nothing else is held."""
     at = Window.partitionBy("_row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    spans = matches.repartition("_row").withColumn("end", F.sum(F.col("gap") + F.col("length")).over(at).cast("int"))
+    spans = matches.repartition("_row").withColumn("end", F.sum(F.col("gap") + F.col("length")).over(at).cast("int")).withColumn("ahead", F.sum("more").over(at).cast("int"))
     spans = spans.withColumn("start", F.col("end") - F.col("length")).where("value IS NOT NULL")
     base = F.col("kind") < 3
     before = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("_row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
     near = spans.withColumn("_ended", F.max(F.when(base, F.col("end"))).over(before)).withColumn("_next", F.min(F.when(base, F.col("start"))).over(after))
     apart = (F.coalesce("_ended", F.lit(0)) <= F.col("start")) & (F.coalesce("_next", F.col("end")) >= F.col("end"))
-    return near.where(base | apart).drop("place", "gap", "length", "_ended", "_next")
+    return near.where(base | apart).drop("place", "gap", "more", "length", "_ended", "_next")
 
 
 def span_list(spans: Column) -> Column:
@@ -96,7 +100,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner: Column | None = None, repository: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, the columns of keep, found (array of start, kind, end, live, copied; in order).
+    """One row per document: id, the columns of keep, found (array of start, kind, end, live, copied, and in bytes first, last, after; in order).
 
     owner defaults to the column source, the repository to source and lang.
     """
@@ -111,8 +115,11 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     judged = candidates.join(ownership(candidates), "value")
     copied = (F.col("owners") >= COPIED_OWNERS) | ((F.col("owners") == 1) & (F.col("repositories") >= COPIED_REPOSITORIES))
     wanted = judged.where((F.col("kind") < 3) | (F.col("owners") < COPIED_OWNERS))
-    rows = wanted.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", (~copied).alias("live"), copied.alias("copied")))).alias("found"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,copied:boolean>>")
+    # first and last are bytes, after is the last byte of all spans before, so that texts can be cut without counting characters.
+    before = Window.partitionBy("_row").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    cut = wanted.withColumn("first", F.col("start") + F.col("ahead")).withColumn("last", F.col("end") + F.col("ahead")).withColumn("after", F.coalesce(F.max("last").over(before), F.lit(0)))
+    rows = cut.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", (~copied).alias("live"), copied.alias("copied"), "first", "last", "after"))).alias("found"))
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,copied:boolean,first:int,last:int,after:int>>")
     found = F.coalesce("found", empty)
     back = table.select("_row", *[k for k in kept if k not in ("owner", "repository")]).join(rows, "_row", "left")
     return back.select(F.col("_id").alias(id_column), *[F.col(f"_keep.{k}").alias(k) for k in keep], F.filter(found, lambda s: s["kind"] < 3).alias("base"), found.alias("found"))
@@ -132,16 +139,16 @@ def secret_table(docs: DataFrame, **columns) -> DataFrame:
 
 def redact(text: Column, found: Column) -> Column:
     """The text with every span, overlapping ones as one, replaced by its class."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    mark = lambda s: F.when(s["copied"], "[EXAMPLE]").otherwise("[SECRET]")
 
-    def step(done: Column, s: Column) -> Column:
-        before = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        mark = F.when(s["copied"], "[EXAMPLE]").otherwise("[SECRET]")
-        new = F.struct(s["end"].alias("at"), F.concat(done["out"], before, mark).alias("out"))
-        longer = F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["out"].alias("out"))
-        return F.when(s["start"] >= done["at"], new).otherwise(longer)
+    def cut(raw: Column) -> Column:
+        """Matches are ASCII, so all cuts are between characters. Spans that begin before others end are part of these."""
+        before = F.transform(F.filter(found, lambda s: s["first"] >= s["after"]), lambda s: F.concat(F.substring(raw, s["after"] + 1, s["first"] - s["after"]).cast("string"), mark(s)))
+        end = F.array_max(F.transform(found, lambda s: s["last"]))
+        return F.concat(F.array_join(before, ""), F.substring(raw, end + 1, F.length(raw) - end).cast("string"))
 
-    whole = F.aggregate(found, start, step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
+    # Bound as a lambda's variable, so the text becomes bytes once.
+    whole = F.get(F.transform(F.array(text.cast("binary")), cut), 0)
     return F.when(F.size(found) > 0, whole).otherwise(text)
 
 

@@ -3,7 +3,9 @@
 Labelled page outcomes (bad or not) are counted by host, registered domain (last two names) and suffix
 (last name). The suffix rate is shrunk towards the overall rate, the domain towards its suffix, the
 host towards its domain, each by a beta-binomial prior whose strength is the method-of-moments
-estimate of its level. A page that no rule decides is blocked when the lower posterior bound of its
+estimate of its level, but never more than the labels (and prior pages) that the mean itself rests on, so a mean known
+from few labels is no certainty further down. The overall rate has a weak prior of its own, ``PRIOR_BAD`` of ``PRIOR_PAGES``
+pages, so labels of one kind leave it between 0 and 1. A page that no rule decides is blocked when the lower posterior bound of its
 host's bad rate, mean - z * deviation, is over a threshold.
 
 Only DataFrame functions are used. Counting is by host with partial aggregation, so a host with a
@@ -11,7 +13,7 @@ third of all pages costs one row per task; the pages meet their host's verdict i
 adaptive execution may split.
 
 A null url and one without ``://`` have empty host and path. Repeated page rows are judged alike, and
-each label counts once per labelled page row. With no labels nothing but rules blocks. Only named
+each label counts once per labelled page row; a null label is none. With no labels nothing but rules blocks. Only named
 columns are read, so further columns may have any name.
 """
 
@@ -20,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm._shared import saved
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path) of the production rule list.
 RULES = (
@@ -33,6 +37,8 @@ Z = 1.645
 MAX_BAD_RATE = 0.5
 #: Bounds of a prior's strength, in pages.
 WEAKEST, STRONGEST = 2.0, 1000.0
+#: What the overall rate starts from.
+PRIOR_BAD, PRIOR_PAGES = 1.0, 2.0
 
 
 def url_host(url: Column) -> Column:
@@ -81,22 +87,24 @@ def _strength(counts: DataFrame, name: str) -> DataFrame:
 
 def host_reputation(labelled: DataFrame, hosts: DataFrame, z: float = Z) -> DataFrame:
     """host, rate, bound for every row of hosts (column host); labelled has host and bad (0 or 1)."""
-    by_host = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    by_host = saved(labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")))
     by_domain = by_host.groupBy(domain_of(F.col("host")).alias("domain")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     by_suffix = by_domain.groupBy(suffix_of(F.col("domain")).alias("suffix")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # Sums and strengths are one row, whatever the input: the only thing broadcast.
-    total = by_suffix.agg((F.sum("bad") / F.sum("n")).alias("m"))
+    pages, bad = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))
+    total = by_suffix.agg(((bad + PRIOR_BAD) / (pages + PRIOR_PAGES)).alias("m"), (pages + PRIOR_PAGES).alias("w"))
     overall = total.join(_strength(by_suffix, "s_suffix")).join(_strength(by_domain, "s_domain")).join(_strength(by_host, "s_host"))
     got = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
     for counts, key, n, bad in ((by_host, "host", "n_h", "bad_h"), (by_domain, "domain", "n_d", "bad_d"), (by_suffix, "suffix", "n_s", "bad_s")):
         got = got.join(counts.select(key, F.col("n").alias(n), F.col("bad").alias(bad)), key, "left")
     got = got.join(F.broadcast(overall)).na.fill(0, ["n_h", "bad_h", "n_d", "bad_d", "n_s", "bad_s"])
-    p_s = (F.col("s_suffix") * F.col("m") + F.col("bad_s")) / (F.col("s_suffix") + F.col("n_s"))
-    got = got.withColumn("p_s", p_s)
-    got = got.withColumn("p_d", (F.col("s_domain") * F.col("p_s") + F.col("bad_d")) / (F.col("s_domain") + F.col("n_d")))
-    weight = F.col("s_host") + F.col("n_h")
-    got = got.withColumn("rate", (F.col("s_host") * F.col("p_d") + F.col("bad_h")) / weight)
-    return got.select("host", "rate", (F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (weight + 1))).alias("bound"))
+    # Each level: its prior weighs its strength, but no more than all that the level above has seen.
+    mean, seen = F.col("m"), F.col("w")
+    for strength, n, bad in (("s_suffix", "n_s", "bad_s"), ("s_domain", "n_d", "bad_d"), ("s_host", "n_h", "bad_h")):
+        got = got.withColumn("_mean", mean).withColumn("_prior", F.least(F.col(strength), seen))
+        got = got.withColumn("rate", (F.col("_prior") * F.col("_mean") + F.col(bad)) / (F.col("_prior") + F.col(n))).withColumn("weight", F.col("_prior") + F.col(n))
+        mean, seen = F.col("rate"), F.col("weight")
+    return got.select("host", "rate", (F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))).alias("bound"))
 
 
 def judge_pages(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad_rate: float = MAX_BAD_RATE, z: float = Z) -> DataFrame:
@@ -127,15 +135,12 @@ WITH parsed AS (
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 labelled AS (SELECT host, (toxic = 1)::BIGINT AS bad FROM parsed JOIN labels ON page_id = doc_id WHERE toxic IS NOT NULL),
 {group}, {strength},
-overall AS (SELECT sum(bad)::DOUBLE / sum(n) AS m FROM by_suffix),
-rated AS (
-  SELECT a.host, coalesce(h.n, 0) AS n_h, coalesce(h.bad, 0) AS bad_h, s_host.s AS s_h,
-    (s_domain.s * ((s_suffix.s * m + coalesce(s.bad, 0)) / (s_suffix.s + coalesce(s.n, 0))) + coalesce(d.bad, 0)) / (s_domain.s + coalesce(d.n, 0)) AS p_d
-  FROM (SELECT DISTINCT host, {levels['domain']} AS domain, {levels['suffix']} AS suffix FROM parsed) a
-  LEFT JOIN by_host h ON h.k = a.host LEFT JOIN by_domain d ON d.k = a.domain LEFT JOIN by_suffix s ON s.k = a.suffix, s_host, s_domain, s_suffix, overall),
-bounds AS (
-  SELECT host, rate - {Z} * sqrt(rate * (1 - rate) / (s_h + n_h + 1)) AS bound
-  FROM (SELECT *, (s_h * p_d + bad_h) / (s_h + n_h) AS rate FROM rated))
+overall AS (SELECT (coalesce(sum(bad), 0)::DOUBLE + {PRIOR_BAD}) / (coalesce(sum(n), 0) + {PRIOR_PAGES}) AS m, coalesce(sum(n), 0) + {PRIOR_PAGES} AS w FROM by_suffix),
+names AS (SELECT DISTINCT host, {levels['domain']} AS domain, {levels['suffix']} AS suffix FROM parsed),
+suffixes AS (SELECT a.*, least(x.s, w) + coalesce(c.n, 0) AS w, (least(x.s, w) * m + coalesce(c.bad, 0)) / (least(x.s, w) + coalesce(c.n, 0)) AS m FROM names a LEFT JOIN by_suffix c ON c.k = a.suffix, s_suffix x, overall),
+domains AS (SELECT a.* REPLACE (least(x.s, w) + coalesce(c.n, 0) AS w, (least(x.s, w) * m + coalesce(c.bad, 0)) / (least(x.s, w) + coalesce(c.n, 0)) AS m) FROM suffixes a LEFT JOIN by_domain c ON c.k = a.domain, s_domain x),
+hosts AS (SELECT a.* REPLACE (least(x.s, w) + coalesce(c.n, 0) AS w, (least(x.s, w) * m + coalesce(c.bad, 0)) / (least(x.s, w) + coalesce(c.n, 0)) AS m) FROM domains a LEFT JOIN by_host c ON c.k = a.host, s_host x),
+bounds AS (SELECT host, m - {Z} * sqrt(m * (1 - m) / (w + 1)) AS bound FROM hosts)
 SELECT page_id, host, path, {case(lambda v, h, p: h + p)} AS rule,
   coalesce({case(lambda v, h, p: v)}, CASE WHEN bound > {MAX_BAD_RATE} THEN 'block' ELSE 'allow' END) AS verdict, round(bound, 6) AS bound
 FROM parsed LEFT JOIN bounds USING (host)"""
