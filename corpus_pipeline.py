@@ -20,16 +20,19 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose language cannot be told: no letters, or a margin that is too narrow."""
     dictionaries = langid.learn_dictionaries(docs.where(~langid.held_out()))
-    kept = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_all"))
+    kept = docs.select("doc_id", "text", F.struct("*").alias("_all"))
     return langid.predict(kept, dictionaries, keep=("_all",)).where(~F.col("rejected")).select("_all.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one of the smallest id stays, once; different texts of one id are documents of their own."""
     groups = ngram_join.similar_groups(docs, percent=NEAR_PERCENT, k=NEAR_SHINGLE, join_ids=False)
-    stay = groups.where("kept").select("doc_id", F.col("text_key").alias("_text_key")).distinct()
-    known = docs.withColumn("_text_key", ngram_join.text_key(F.col("text"))).join(stay, ["doc_id", "_text_key"], "left_semi").dropDuplicates(["doc_id", "_text_key"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    stay = groups.where("kept").select("doc_id", "text_key").distinct()
+    packed = docs.select("doc_id", ngram_join.text_key(F.col("text")).alias("text_key"), F.struct("*").alias("_all"))
+    # Of rows equal in id and text the first by language and source.
+    order = F.struct("_all.lang", "_all.source", "_all.n_chars")
+    known = packed.join(stay, ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(F.min_by("_all", order).alias("_all"))
+    return known.select("_all").union(packed.where("doc_id is null").select("_all")).select("_all.*")
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
