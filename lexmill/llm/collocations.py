@@ -1,14 +1,14 @@
 """Phrase collocation mining: count tries of bounded depth per shard, merged by prefix range, and scored by their weakest cut.
 
-A shard is a few megabytes of texts. Its trie has a node for every phrase of at most ``DEPTH`` words, per language: level by level, a
-node is a node of the level above and a word. Tries are written as sorted rows (language, phrase, words, count), dealt by ranges of
-(language, phrase), and the sorted rows of all shards are merged and summed in one stream. In the merged trie the walk from the root to a phrase passes
+A shard is the texts of a task. Its trie has a node for every phrase of at most ``DEPTH`` words, per language: level by level, a
+node is a node of the level above and a word. Tries are cut into prefix ranges (by a hash of the first two words), serialised with the phrases
+of each in order, and the segments that all shards have of a range are merged by one task, segment by segment. In the merged trie the walk from the root to a phrase passes
 its left parts, and k suffix links lead to the right part behind the first k words; both are lookups by path.
 
-Most phrases are far too rare to matter. A first pass over the texts therefore counts all phrases in ``SLOTS`` counters for each length, by hash.
-A counter never shows less than the true count, and a part occurs at least as often as its phrase. So a shard's trie leaves out every
-phrase whose counter, or that of one of its parts, stays under the least count: nothing frequent is lost, at any size, and where the
-counters are too few for a corpus only more rows are merged. All counts of what is kept are exact.
+Most phrases are far too rare to matter. Two passes over the texts therefore count phrases in ``SLOTS`` counters for each length, by hash: first
+words and pairs, then longer phrases of pairs that may be frequent. A counter never shows less than the true count, and a part occurs at least as often
+as its phrase. So a shard's trie leaves out every phrase whose counter, or that of one of its parts, stays under the least count: nothing frequent
+is lost, at any size, and where the counters are too few for a corpus only more rows are merged. All counts of what is kept are exact.
 
 Null texts are empty; a null language is ``und``. A text is read whole; phrases never cross a piece. Repeated rows count as often as they
 occur. Equal scores go to the greater count, then to the phrase first in UTF-8 byte order. An empty table, and one without frequent phrases,
@@ -17,10 +17,12 @@ give no rows. Only the two named columns are read, so further columns may have a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,9 +34,13 @@ DEPTH, LEAST, TOP = 5, 100, 2000
 COVERED = 100
 UNDETERMINED = "und"
 #: Counters of one phrase length, a power of two; 4 bytes each in a task, one bit each in the broadcast.
-SLOTS = 1 << 22
+SLOTS = 1 << 23
 PART = 1 << 16
 CHUNK_BYTES = 8 << 20
+#: Nodes at which a task writes its trie and begins another, and at which segments are summed.
+NODES = 1 << 19
+#: Prefix ranges of the tries for each shuffle partition.
+RANGES = 4
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _NO_WORD = _BREAK.copy()
@@ -99,17 +105,33 @@ def _slot(path: np.ndarray, slots: int) -> np.ndarray:
     return (path >> U(64 - (slots.bit_length() - 1))).astype(np.int64)
 
 
-def _counters(depth: int, slots: int):
-    """(part, counts) of the counters of one task, parts numbered through all lengths, bytes of equal weight together so that they pack well."""
+def _possible(shard: Shard, depth: int, slots: int, reached: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(m, path hashes, places) of the phrases that stay within a piece and whose parts, and they themselves where their length has been
+    counted, all have counters that reach the least count."""
+    alive = np.ones(len(shard.word) + 1, bool)
+    for m, (path, whole) in enumerate(shard.path_hashes(depth), 1):
+        alive = alive[:-1] & alive[1:] & whole if m > 1 else whole
+        if m <= len(reached):
+            alive = alive & reached[m - 1][_slot(path, slots)]
+        yield m, path, np.flatnonzero(alive)
+
+
+def _bits(shared, slots: int) -> list[np.ndarray]:
+    return list(np.unpackbits(np.frombuffer(b"".join(shared.value), np.uint8)).reshape(-1, slots).astype(bool))
+
+
+def _counters(first: int, last: int, slots: int, shared):
+    """(part, counts) of one task's counters for the lengths from first to last, parts numbered through all lengths; bytes of equal weight lie
+    together, so that they pack well."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((depth, slots), np.int32)
-        some = False
+        counts, some = np.zeros((last - first + 1, slots), np.int32), False
+        reached = _bits(shared, slots)
         for shard in _shards(batches):
-            for m, (path, whole) in enumerate(shard.path_hashes(depth)):
-                slot, n = np.unique(_slot(path[whole], slots), return_counts=True) if len(path) < slots >> 6 else (slice(None), np.bincount(_slot(path[whole], slots), minlength=slots))
-                counts[m, slot] += n.astype(np.int32)
-                some = True
+            for m, path, at in _possible(shard, last, slots, reached):
+                if m >= first:
+                    np.add.at(counts[m - first], _slot(path[at], slots), 1)
+                    some = True
         if some:
             part, press = min(PART, slots), zstandard.ZstdCompressor(level=1)
             packed = [press.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in counts.reshape(-1, part)]
@@ -145,63 +167,90 @@ def _reached(least: int):
     return reach
 
 
-def _tries(depth: int, slots: int, shared):
-    """Sorted rows (lang, phrase, m, f) of each shard's trie, and (lang, null, 0, words) with all words of a language."""
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
+def prefix_range(lang: str, phrase: str, ranges: int) -> int:
+    """Phrases that begin with the same two words (or are one word) share a range, whatever follows."""
+    return zlib.crc32(f"{lang} {' '.join(phrase.split(' ', 2)[:2])}".encode()) % ranges
 
-    def rows(lang: list, phrase: list, m: list, f: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((lang, phrase, m, f), kinds, strict=True)], ["lang", "phrase", "m", "f"])
+
+def _tries(depth: int, slots: int, shared, ranges: int):
+    """Of each task's trie, cut where it has ``NODES`` nodes, a row (lang, range, words, phrases, counts) for each prefix range, its phrases sorted, one a line;
+    and with range -1 the number of all words of a language."""
+
+    def rows(trie: dict[tuple, int], words: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        parts: dict[tuple, list[str]] = {}
+        for lang, phrase in trie:
+            parts.setdefault((lang, prefix_range(lang, phrase, ranges)), []).append(phrase)
+        out = [(lang, -1, n, None, None) for lang, n in words.items()]
+        for (lang, number), phrases in parts.items():
+            phrases.sort()
+            out.append((lang, number, 0, press.compress("\n".join(phrases).encode()), np.array([trie[lang, x] for x in phrases], np.int64).tobytes()))
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        for at in range(0, len(out), 1024):
+            columns = zip(*out[at : at + 1024], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "range", "words", "phrases", "counts"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached = np.unpackbits(np.frombuffer(b"".join(shared.value), np.uint8)).reshape(depth, slots).astype(bool) if shared.value else None
+        reached, trie, words = _bits(shared, slots), {}, {}
         for shard in _shards(batches):
-            if not len(shard.word):
-                continue
-            words = np.bincount(shard.lang, minlength=len(shard.langs)).tolist()
-            yield rows(shard.langs, [None] * len(words), [0] * len(words), words)
-            order = sorted(range(len(shard.names)), key=shard.names.__getitem__)
-            names = [shard.names[i].decode() for i in order]
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            word = rank[shard.word]
-            node, parents, alive = shard.lang, [(x, None) for x in shard.langs], np.ones(len(word) + 1, bool)
-            for m, (path, whole) in enumerate(shard.path_hashes(depth)):
-                alive = alive[:-1] & whole & reached[m][_slot(path, slots)] & (alive[1:] if m else True)
-                at = np.flatnonzero(alive)
-                if not len(at):
-                    break
-                key, which, f = np.unique(node[at] * len(names) + word[at + m], return_inverse=True, return_counts=True)
-                node = np.zeros(len(alive), np.int64)
-                node[at] = which
-                parents = [(parents[k // len(names)][0], f"{up} {names[k % len(names)]}" if (up := parents[k // len(names)][1]) is not None else names[k % len(names)]) for k in key.tolist()]
-                yield rows([x for x, _ in parents], [x for _, x in parents], [m + 1] * len(key), f.tolist())
+            for lang, n in zip(shard.langs, np.bincount(shard.lang, minlength=len(shard.langs)).tolist(), strict=True):
+                words[lang] = words.get(lang, 0) + n
+            for key, f in grown(shard, reached):
+                trie[key] = trie.get(key, 0) + f
+            if len(trie) >= NODES:
+                yield from rows(trie, words)
+                trie, words = {}, {}
+        yield from rows(trie, words)
+
+    def grown(shard: Shard, reached: list[np.ndarray]) -> Iterator[tuple[tuple, int]]:
+        """The nodes of one shard, level by level."""
+        node, paths, size = shard.lang, [(lang, "") for lang in shard.langs], len(shard.names)
+        for m, path, at in _possible(shard, depth, slots, reached):
+            if not len(at):
+                break
+            key, which, counts = np.unique(node[at] * size + shard.word[at + m - 1], return_inverse=True, return_counts=True)
+            node = np.zeros(len(path), np.int64)
+            node[at] = which
+            above, names = [paths[k] for k in (key // size).tolist()], [shard.names[k].decode() for k in (key % size).tolist()]
+            paths = [(lang, f"{up} {name}" if m > 1 else name) for (lang, up), name in zip(above, names, strict=True)]
+            yield from zip(paths, counts.tolist(), strict=True)
 
     return build
 
 
 def _merged(least: int):
-    """Of rows sorted by language and phrase the sums; phrases under the least count go."""
+    """(lang, phrase, m, f): the sums of rows (lang, range, phrases, counts) that come in order of language and range; phrases under the least count go.
+
+    The segments of a range come one by one; whenever they have more rows than ``NODES`` beside the sums so far, they are summed."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None
+        press = zstandard.ZstdDecompressor()
+        last, held, more = None, [], 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("phrase").aggregate([("f", "sum")]).select(["phrase", "f_sum"]).rename_columns(["phrase", "f"])
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            kept = [r for r in rows if r[3] >= least or not r[2]]
-            lang, phrase, m, f = zip(*kept, strict=True) if kept else ((),) * 4
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(m, pa.int32()), pa.array(f, pa.int64())], ["lang", "phrase", "m", "f"])
+        def done() -> pa.RecordBatch:
+            rows = summed()
+            rows = rows.filter(pc.greater_equal(rows["f"], least)).sort_by("phrase").combine_chunks()
+            phrase, f = (rows[c].combine_chunks() if rows.num_rows else pa.array([], rows[c].type) for c in ("phrase", "f"))
+            m = pc.add(pc.count_substring(phrase, " "), 1).cast(pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([last[0]] * len(phrase), pa.string()), phrase.cast(pa.string()), m, f], ["lang", "phrase", "m", "f"])
 
         for batch in batches:
-            done = []
-            for lang, phrase, m, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last is not None and last[0] == lang and last[1] == phrase:
-                    last = (lang, phrase, m, last[3] + f)
-                else:
-                    if last is not None:
-                        done.append(last)
-                    last = (lang, phrase, m, f)
-            yield out(done)
-        if last is not None:
-            yield out([last])
+            for i in range(batch.num_rows):
+                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                if key != last:
+                    if held:
+                        yield done()
+                    last, held, more = key, [], 0
+                phrases = press.decompress(batch.column(2)[i].as_py()).decode().split("\n")
+                held.append(pa.table({"phrase": pa.array(phrases, pa.large_string()), "f": pa.array(np.frombuffer(batch.column(3)[i].as_py(), np.int64))}))
+                more += len(phrases)
+                if more >= NODES:
+                    held, more = [summed()], 0
+        if held:
+            yield done()
 
     return merge
 
@@ -215,13 +264,22 @@ def frequent_phrases(docs: DataFrame, text_column: str = "text", lang_column: st
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_column).cast("string"), F.lit(UNDETERMINED)).alias("lang"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counters = texts.mapInArrow(_counters(depth, slots), "part int, counts binary")
-    # One bit a counter: depth * slots / 8 bytes, whatever the corpus.
-    bits = counters.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_reached(least), "part int, bits binary").collect()
-    shared = spark.sparkContext.broadcast([bytes(r.bits) for r in sorted(bits, key=lambda r: r.part)])
-    tries = saved(texts.mapInArrow(_tries(depth, slots, shared), _ROWS))
-    ranges = tries.repartitionByRange(parts, "lang", "phrase").sortWithinPartitions("lang", "phrase")
-    merged = saved(ranges.mapInArrow(_merged(least), _ROWS))
+    bits: list[bytes] = []
+    for first, last in ((1, min(2, depth)), (3, depth)):
+        if first <= last:
+            known = spark.sparkContext.broadcast(bits)
+            counters = texts.mapInArrow(_counters(first, last, slots, known), "part int, counts binary")
+            # One bit a counter: depth * slots / 8 bytes in all, whatever the corpus.
+            found = counters.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_reached(least), "part int, bits binary").collect()
+            reached = {r.part: bytes(r.bits) for r in found}
+            part = min(PART, slots)
+            bits = bits + [reached.get(i, bytes(part // 8)) for i in range((last - first + 1) * slots // part)]
+    shared = spark.sparkContext.broadcast(bits)
+    ranges = RANGES * parts
+    tries = saved(texts.mapInArrow(_tries(depth, slots, shared, ranges), "lang string, range int, words long, phrases binary, counts binary"))
+    segments = tries.where("range >= 0").select("lang", "range", "phrases", "counts").repartition(parts, "lang", "range").sortWithinPartitions("lang", "range")
+    words = tries.where("range < 0").groupBy("lang").agg(F.sum("words").alias("f")).where("f > 0").select("lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("m"), "f")
+    merged = saved(segments.mapInArrow(_merged(least), _ROWS).union(words))
     forget(tries)
     return merged
 
