@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from lexmill.functions.windows import best_scores, best_window
+
 # Words that carry no content.
 STOPWORDS = ("the", "and", "for", "are", "was", "with", "that", "this", "from", "what", "which", "under", "any", "shall", "may", "not", "has", "have", "its", "who")
 
@@ -100,22 +103,6 @@ def ratio_of(a: str, b: str) -> float:
     return 200.0 * lcs_length(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
-def best_window(a: str, b: str) -> tuple[float, int, int]:
-    """The best ratio of the shorter text with a window of its length in the longer, and where that is."""
-    short, long = sorted((a, b), key=len)
-    if not short:
-        return (100.0 if not long else 0.0), 0, 0
-    best = (-1.0, 0, 0)
-    for start in range(1 - len(short), len(long)):
-        window = long[max(0, start) : start + len(short)]
-        score = ratio_of(short, window)
-        if score > best[0]:
-            best = (score, max(0, start), max(0, start) + len(window))
-        if score == 100.0:
-            break
-    return best
-
-
 def token_set_ratio_of(a: str, b: str) -> float:
     """Best of the sorted common tokens against each side's; a subset scores 100, no tokens 0."""
     x, y = set(a.split()), set(b.split())
@@ -137,10 +124,54 @@ def _pairwise(score):
     return run
 
 
+def field_scores(query: str, texts: list[str]) -> np.ndarray:
+    """The better of token-set ratio and most similar window, in lower case, for many texts at once."""
+    low = query.lower()
+    texts = [t.lower() for t in texts]
+    return np.round(np.maximum(best_scores(low, texts), [token_set_ratio_of(low, t) for t in texts]), 6) if texts else np.zeros(0)
+
+
+def _by_query(scores):
+    """A function of a query and many texts, over columns: rows of equal queries are scored together."""
+
+    @F.pandas_udf(DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.full(len(a), np.nan)
+        known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+        places: dict[str, list[int]] = {}
+        for i in known.tolist():
+            places.setdefault(a.iloc[i], []).append(i)
+        for query, at in places.items():
+            out[at] = np.round(scores(query, [b.iloc[i] for i in at]), 6)
+        return pd.Series(out).where(pd.Series(~np.isnan(out)), None).astype("float64")
+
+    return run
+
+
 ratio = _pairwise(ratio_of)
-partial_ratio = _pairwise(lambda a, b: best_window(a, b)[0])
+partial_ratio = _by_query(best_scores)
 token_set_ratio = _pairwise(token_set_ratio_of)
-field_score = _pairwise(lambda q, t: max(token_set_ratio_of(q.lower(), t.lower()), best_window(q.lower(), t.lower())[0]))
+field_score = _by_query(field_scores)
+
+
+#: Least ratio of a token with a text's most similar window for the token to count as present.
+PRESENT = 75.0
+
+
+@F.pandas_udf(DoubleType())
+def fuzzy_coverage(needles: pd.Series, text: pd.Series) -> pd.Series:
+    """Share of the needles (an array) that the text holds, letter for letter or nearly; 0 without needles, all are missing from a null text."""
+    texts = [(t or "").lower() for t in text]
+    hits, places = np.zeros(len(texts)), {}
+    for i, own in enumerate(needles):
+        for needle in own if own is not None else ():
+            if needle in texts[i]:
+                hits[i] += 1
+            else:
+                places.setdefault(needle, []).append(i)
+    for needle, at in places.items():
+        np.add.at(hits, at, best_scores(needle, [texts[i] for i in at]) >= PRESENT)
+    return pd.Series([h / len(own) if own is not None and len(own) else 0.0 for h, own in zip(hits.tolist(), needles, strict=True)])
 
 
 @F.pandas_udf(StructType([StructField("score", DoubleType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))

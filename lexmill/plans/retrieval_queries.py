@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import lexical as L
 from lexmill.functions.dates import latency_factor
+from lexmill.operators import fuzzy as Z
 from lexmill.operators import metrics as M
 from lexmill.operators import retrieval as R
 from lexmill.plans._registering import register
+from lexmill.sources.shared import shared_folder
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in L.STOPWORDS) + ")"
 _tokens = lambda x: f"list_filter(regexp_extract_all(lower({x}), '[a-z0-9_]+', 0), lambda t: t NOT IN {STOP_SQL} AND (length(t) >= 3 OR regexp_matches(t, '[0-9]')))"
@@ -257,12 +261,32 @@ def fuzzy_scores(conv: DataFrame) -> DataFrame:
     return turns(conv).select("conv_id", "turn", L.ratio(a, b).alias("ratio"), L.partial_ratio(a, b).alias("partial"), L.token_set_ratio(a, b).alias("token_set"), L.field_score(a, b).alias("field"), L.partial_alignment(a, b).alias("at"))
 
 
+def part_index(part: DataFrame) -> Z.PairIndex:
+    """Names of full weight, types of 0.7."""
+    field = lambda name, column, weight: part.select(F.col("p_partkey").alias("item"), F.lit(name).alias("field"), F.lit(weight).alias("weight"), F.col(column).alias("text"))
+    return Z.build_index(field("name", "p_name", 1.0).union(field("type", "p_type", 0.7)), f"{shared_folder(part.sparkSession)}/{uuid.uuid4().hex}")
+
+
 @register("fuzzy_search", None, "part")
 def fuzzy_search(part: DataFrame) -> DataFrame:
     """The best name or 0.7 of the type, over a threshold of 65."""
-    q = F.lit("economy brass 12")
-    score = F.greatest(L.field_score(q, F.lower("p_name")), 0.7 * L.field_score(q, F.lower("p_type")))
-    return part.select("p_partkey", score.alias("score")).where("score >= 65").orderBy(F.desc("score"), "p_partkey").limit(20)
+    asked = part.sparkSession.createDataFrame([(0, "economy brass 12")], "query int, text string")
+    return Z.search(part_index(part), asked, 20).select(F.col("item").alias("p_partkey"), "score")
+
+
+@register("fuzzy_names", None, "part")
+def fuzzy_names(part: DataFrame) -> DataFrame:
+    """Every hundredth name, its second letter missing, against all names and types."""
+    name = F.concat(F.substring("p_name", 1, 1), F.expr("substring(p_name, 3)"))
+    return Z.search(part_index(part), part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query"), name.alias("text")), 5)
+
+
+@register("fuzzy_coverage", None, "conversations")
+def fuzzy_coverage(conv: DataFrame) -> DataFrame:
+    """Share of the first turn's content tokens that each later turn holds, letter for letter or nearly."""
+    first = conv.groupBy("conv_id").agg(F.min_by("text", "turn").alias("asked"), F.min("turn").alias("first"))
+    later = conv.join(first, "conv_id").where(F.col("turn") > F.col("first"))
+    return later.select("conv_id", "turn", L.fuzzy_coverage(F.array_distinct(L.content_tokens(F.col("asked"))), F.col("text")).alias("coverage"))
 
 
 @register("highlighting", None, "conversations")
