@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lexmill.functions import extract as X
 from lexmill.functions import lexical as L
@@ -112,26 +108,6 @@ def steps_missing(said: Column, wanted: Column) -> Column:
     return F.filter(steps(wanted), lambda s: ~F.lower(said).contains(s))
 
 
-_DIFF = ArrayType(StructType([StructField("op", StringType()), StructField("line", IntegerType()), StructField("text", StringType())]))
-
-
-@F.pandas_udf(_DIFF)
-def line_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Removed and added lines, with the line number in their own text."""
-
-    def diff(a: str, b: str):
-        x, y = a.split("\n"), b.split("\n")
-        out = []
-        for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if op in ("replace", "delete"):
-                out += [{"op": "removed", "line": n, "text": x[n]} for n in range(i, j)]
-            if op in ("replace", "insert"):
-                out += [{"op": "added", "line": n, "text": y[n]} for n in range(k, m)]
-        return out
-
-    return pd.Series([diff(a or "", b or "") for a, b in zip(before, after, strict=True)])
-
-
 def text_edges(docs: DataFrame, key: str, text: str, act: Column) -> DataFrame:
     """(source, target, relation, evidence): an edge for every section or rule that a text names, ten characters around it as evidence.
 

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import lexical as L
+from lexmill.functions import linediff as D
 from lexmill.functions import text as T
 from lexmill.operators import evidence as E
 from lexmill.operators import metrics as M
 from lexmill.operators import retrieval as R
 from lexmill.plans._registering import register
+from lexmill.plans.text_queries import PRESERVED_SQL
 
 
 @register("concept_grounding", """SELECT doc_id, concept, synonym, strpos(lower(text), synonym)::INTEGER - 1 AS start, md5(substr(text, greatest(1, strpos(lower(text), synonym) - 60), least(strpos(lower(text), synonym) - 1, 60) + length(synonym) + 80)) AS evidence, CASE WHEN pos = 0 THEN 0.9 ELSE 0.75 END::DOUBLE AS confidence
@@ -96,9 +98,30 @@ def missing_steps(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", E.steps_missing(said, F.lit("1. Apply\n2. Pay the fee\n3) File form C")).alias("missing"))
 
 
-@register("cleaning_diff", None, "documents")
+_LINES = f"""SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents"""
+_KEPT = f"""SELECT doc_id, len(l) AS n, count(*) FILTER (i = 1 OR s = '' OR s <> b OR {PRESERVED_SQL}) AS kept FROM (
+  SELECT doc_id, l, i, l[i] AS x, trim(l[i]) AS s, trim(l[i - 1]) AS b FROM ({_LINES}), unnest(range(1, len(l) + 1)) r(i)) GROUP BY ALL"""
+
+
+@register("cleaning_diff", f"SELECT doc_id, (n - kept)::INTEGER AS changes FROM ({_KEPT})", "documents")
 def cleaning_diff(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.size(E.line_diff("text", T.drop_repeated_lines(F.col("text")))).alias("changes"))
+    """Lines that are gone and lines that are new."""
+    script = D.line_edits("text", T.drop_repeated_lines(F.col("text")))
+    gone = ("delete", "insert", "replace")
+    return docs.select("doc_id", script.alias("s")).select("doc_id", (D.edited_lines(F.col("s"), gone) + D.edited_lines(F.col("s"), gone, "after")).alias("changes"))
+
+
+@register("document_diff", f"SELECT doc_id, n::INTEGER AS original_lines, kept::INTEGER AS cleaned_lines, (n - kept)::INTEGER AS lines_removed, 0 AS lines_changed, kept::INTEGER AS lines_unchanged, true AS restored FROM ({_KEPT})", "documents")
+def document_diff(docs: DataFrame) -> DataFrame:
+    """The report of a text and what is left of it without repeated lines, and whether the edits restore that."""
+    text = F.coalesce("text", F.lit(""))
+    both = docs.select("doc_id", text.alias("before"), T.drop_repeated_lines(text).alias("after"))
+    s = F.col("s")
+    return both.withColumn("s", D.line_edits("before", "after")).select(
+        "doc_id", (D.edited_lines(s, ("equal", "delete", "replace"))).alias("original_lines"), D.edited_lines(s, ("equal", "insert", "replace"), "after").alias("cleaned_lines"),
+        D.edited_lines(s, ("delete",)).alias("lines_removed"), D.changed_lines(s).alias("lines_changed"), D.edited_lines(s, ("equal",)).alias("lines_unchanged"),
+        (D.applied(F.col("before"), s) == F.col("after")).alias("restored"),
+    )
 
 
 @register("cleaned_documents", None, "documents")
