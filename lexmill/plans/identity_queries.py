@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import identity as N
 from lexmill.operators import evidence as E
+from lexmill.operators import provisions as P
 from lexmill.plans._registering import register
 from lexmill.plans.retrieval_queries import _tokens
 
@@ -101,3 +102,13 @@ def task_coverage(turns: DataFrame) -> DataFrame:
     """Each first turn is a task, its plan the id's last digit; later turns of the conversation are its chunks."""
     tasks = turns.where("turn = 0").select((F.col("conv_id") % 10).alias("plan"), F.col("conv_id").alias("task"), F.col("text").alias("question"))
     return E.task_coverage(tasks, turns.where("turn > 0").select(F.col("conv_id").alias("task"), "text"), "plan", "task", 0.3)
+
+
+@register("isolated_provisions", None, "documents")
+def isolated_provisions(docs: DataFrame) -> DataFrame:
+    """Provisions of three chunks a document: its own text, and stated ones whose first provision ends in the next chunk."""
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("document"), F.coalesce("text", F.lit("")).alias("own"), F.coalesce("source", F.lit("none")).alias("source"))
+    parts = [F.col("own"), F.concat(F.lit("1. Short title.— These rules of "), F.col("source"), F.lit(" shall apply as Section 9 says.\n2. Duties.— Every seller must, provided that")), F.lit("nothing forbids it, keep records.\n1999. A year.\n4. Penalty.— Who does not is punishable.")]
+    chunks = known.select("document", F.posexplode(F.array(*parts)).alias("chunk_index", "text")).withColumn("chunk_id", F.concat_ws("#", "document", "chunk_index")).withColumn("last_section", F.lit(20))
+    found = P.isolated(chunks)
+    return found.select("document", "number", "start", "end", F.array_join("chunk_ids", ",").alias("chunk_ids"), "modality", "is_proviso", "confidence", F.md5("text").alias("text_md5"))
