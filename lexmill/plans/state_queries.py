@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.operators import enrichment as N
 from lexmill.operators.rules import Rule, evaluate
 from lexmill.plans._registering import register
 from lexmill.sources import sinks
+from lexmill.sources.shared import shared_folder
 from lexmill.streaming import state as S
 from lexmill.streaming import windows as W
+from lexmill.streaming.synced import SyncedTable
 
 
 @register("cdc_latest_state", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'click'", "events")
@@ -94,3 +99,37 @@ UNION ALL SELECT o_orderkey, 'old', 'warning', '' FROM orders WHERE o_orderdate
 def rule_findings(orders: DataFrame) -> DataFrame:
     rules = [Rule("old", "warning", F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp")), Rule("large", "error", F.col("o_totalprice") > 200000)]
     return evaluate(orders, "o_orderkey", rules)
+
+
+@register("synced_changes", """WITH c AS (SELECT user_id, event_type, event_id, value, CASE WHEN event_id % 17 = 0 THEN 'delete_parent' WHEN event_id % 5 = 0 THEN 'delete' ELSE 'upsert' END AS op FROM events),
+g AS (SELECT user_id, max(event_id) AS gone FROM c WHERE op = 'delete_parent' GROUP BY 1),
+l AS (SELECT * FROM c WHERE op <> 'delete_parent' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1)
+SELECT user_id, event_type, event_id, value FROM l LEFT JOIN g USING (user_id) WHERE op = 'upsert' AND (gone IS NULL OR event_id > gone)""", "events")
+def synced_changes(events: DataFrame) -> DataFrame:
+    """A table kept by three batches of changes that come out of order; some remove a user with all that is theirs."""
+    op = F.when(F.col("event_id") % 17 == 0, "delete_parent").when(F.col("event_id") % 5 == 0, "delete").otherwise("upsert")
+    changes = events.select("user_id", "event_type", "event_id", "value", op.alias("op"))
+    # Nothing is old enough to be forgotten.
+    table = SyncedTable(events.sparkSession, f"{shared_folder(events.sparkSession)}/{uuid.uuid4().hex}", "user_id", "event_type", "event_id", buckets=16, keep_for=1 << 40)
+    for number in (1, 0, 2):
+        table.apply(changes.where(F.col("event_id") % 3 == number))
+    return table.read()
+
+
+_CHUNK = "text || ' See section ' || ((turn * 7 + conv_id) % 9 + 1) || '.'"
+
+
+@register("enriched_chunks", f"""WITH c AS (SELECT conv_id, turn, conv_id || '#' || turn AS chunk_id, {_CHUNK} AS t, CASE WHEN turn = 0 THEN CAST(conv_id % 10 AS VARCHAR) END AS section, ((turn * 7 + conv_id) % 9 + 1)::VARCHAR AS named FROM conversations WHERE text IS NOT NULL),
+h AS (SELECT section, arg_min(chunk_id, (conv_id, turn)) AS holder FROM c WHERE section IS NOT NULL GROUP BY 1)
+SELECT conv_id AS document, chunk_id, lag(chunk_id) OVER w AS before, lead(chunk_id) OVER w AS after, named AS names, coalesce(CASE WHEN holder <> chunk_id THEN holder END, '') AS targets,
+CASE WHEN length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) < {N.LEAST_LETTERS} THEN 'FAILED' ELSE 'ENRICHED' END AS status
+FROM c LEFT JOIN h ON h.section = c.named WINDOW w AS (PARTITION BY conv_id ORDER BY turn, chunk_id)""".replace("\\\\", "\\"), "conversations")
+def enriched_chunks(conv: DataFrame) -> DataFrame:
+    """Turns as chunks, each with a stated mention behind its text; first turns hold a section. Batches are committed one by one."""
+    chunks = conv.where("text IS NOT NULL").select(
+        F.col("conv_id").alias("document"), F.concat_ws("#", "conv_id", "turn").alias("chunk_id"), F.col("turn").alias("chunk_index"), F.lit("act").alias("act"),
+        F.when(F.col("turn") == 0, (F.col("conv_id") % 10).cast("string")).alias("section"), F.expr(_CHUNK).alias("text"),
+    )
+    path = f"{shared_folder(conv.sparkSession)}/{uuid.uuid4().hex}"
+    N.run(chunks, path, 4)
+    return N.rows(conv.sparkSession, path).withColumn("names", F.array_join("names", ",")).withColumn("targets", F.array_join("targets", ","))
