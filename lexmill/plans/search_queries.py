@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators import fulltext as T
+from lexmill.operators import iterative as I
+from lexmill.operators import retrieval as R
 from lexmill.plans._registering import register
-from lexmill.sources.shared import shared_folder
+from lexmill.plans.retrieval_queries import query_terms
+from lexmill.sources.shared import saved, shared_folder
 
 _WORDS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
 
@@ -53,3 +56,16 @@ def fts_search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def fts_stemmed(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The same expressions over stems; stemming has no SQL, tests hold it against a slow search."""
     return T.search(indexed(docs, True), expressions(benchmark), 10)
+
+
+@register("iterative_retrieval", None, "documents", "benchmark")
+def iterative_retrieval(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Each passage needs evidence in three languages, its own first; a language that is missing is asked for by its most common content word."""
+    tokens = R.tokenised(docs, "doc_id", F.col("text"))
+    langs = docs.select(F.col("doc_id").alias("item"), F.col("lang").alias("kind")).where("kind IS NOT NULL")
+    common = tokens.join(langs, "item").select("kind", F.explode(F.array_distinct("t")).alias("term")).groupBy("kind", "term").agg(F.count("*").alias("n"))
+    gap_terms = saved(common.groupBy("kind").agg(F.min_by("term", F.struct(-F.col("n"), "term")).alias("term")))
+    terms = query_terms(benchmark).distinct()
+    kinds = F.posexplode(F.array(*map(F.lit, ("en", "fr", "de")))).alias("priority", "kind")
+    evidence, report = I.iterate(terms, benchmark.select(F.col("item_id").alias("query"), kinds), gap_terms, lambda asked: R.bm25(tokens, asked, 20).join(langs, "item").select("query", "item", "kind", "score"), 3, 0.9, 20, 5)
+    return evidence.join(report, "query").select("query", "item", "kind", F.round("score", 6).alias("score"), "place", "rounds", F.round("coverage", 6).alias("coverage"), F.array_join("gaps", ",").alias("gaps"))

@@ -123,7 +123,7 @@ _CHUNK = "text || ' See section ' || ((turn * 7 + conv_id) % 9 + 1) || '.'"
 h AS (SELECT section, arg_min(chunk_id, (conv_id, turn)) AS holder FROM c WHERE section IS NOT NULL GROUP BY 1)
 SELECT conv_id AS document, chunk_id, lag(chunk_id) OVER w AS before, lead(chunk_id) OVER w AS after, named AS names, coalesce(CASE WHEN holder <> chunk_id THEN holder END, '') AS targets,
 CASE WHEN length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) < {N.LEAST_LETTERS} THEN 'FAILED' ELSE 'ENRICHED' END AS status
-FROM c LEFT JOIN h ON h.section = c.named WINDOW w AS (PARTITION BY conv_id ORDER BY turn, chunk_id)""".replace("\\\\", "\\"), "conversations")
+FROM c LEFT JOIN h ON h.section = c.named WINDOW w AS (PARTITION BY conv_id ORDER BY turn, chunk_id)""", "conversations")
 def enriched_chunks(conv: DataFrame) -> DataFrame:
     """Turns as chunks, each with a stated mention behind its text; first turns hold a section. Batches are committed one by one."""
     chunks = conv.where("text IS NOT NULL").select(

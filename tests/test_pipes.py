@@ -193,3 +193,62 @@ def test_edges_from_text_and_unique_names(spark):
     assert got == {(1, "A::4(2)"), (1, "A::7")}
     with pytest.raises(ValueError, match="twice"):
         register("bm25_topk", None, "documents")
+
+
+def test_iterative_retrieval_equals_a_loop_per_query(spark):
+    import random
+
+    from lexmill.operators import iterative
+
+    rng = random.Random(3)
+    words = "food act rule penalty appeal licence water milk".split()
+    kinds = ["statute", "penalty", "procedure", "power"]
+    items = [(i, rng.choice(kinds), rng.sample(words, rng.randrange(1, 5))) for i in range(60)]
+    asked = {q: rng.sample(words, 2) for q in range(12)} | {50: ["nowhere"]}
+    needs = {q: kinds[: rng.randrange(5)] for q in asked}
+    extra = {"statute": ["act"], "penalty": ["penalty", "appeal"], "procedure": ["rule"], "power": ["nowhere"]}
+
+    def found(terms):
+        hits = [(len(set(terms) & set(w)), i, k) for i, k, w in items if set(terms) & set(w)]
+        return sorted(hits, key=lambda h: (-h[0], h[1]))[:6]
+
+    def evidence(pool):
+        pool = sorted(pool, key=lambda h: (-h[0], h[1]))[:8]
+        seen, first, rest = set(), [], []
+        for h in pool:
+            (rest if h[2] in seen else first).append(h)
+            seen.add(h[2])
+        return pool, (first + rest)[:5]
+
+    want = {}
+    for q, terms in asked.items():
+        pool, own = evidence(found(terms))
+        gaps, rounds = [], 1
+        for _ in range(2):
+            missing = [k for k in needs[q] if k not in {h[2] for h in own}]
+            if not missing or 1 - len(missing) / len(needs[q]) >= 0.7:
+                break
+            best = {}
+            for n, i, k in pool + found(terms + extra[missing[0]]):
+                best[i] = max(best.get(i, (0, i, k)), (n, i, k))
+            pool, own = evidence(best.values())
+            gaps.append(missing[0])
+            rounds += 1
+        missing = [k for k in needs[q] if k not in {h[2] for h in own}]
+        want[q] = (rounds, round(1 - len(missing) / len(needs[q]), 6) if needs[q] else 1.0, gaps, [(i, k, n) for n, i, k in own])
+
+    corpus = spark.createDataFrame([(i, k, w) for i, k, ws in items for w in ws], "item long, kind string, term string")
+
+    def fetch(terms):
+        score = terms.distinct().join(corpus, "term").groupBy("query", "item", "kind").agg(F.count("*").cast("double").alias("score"))
+        return R.top_per(score, ["query"], [F.desc("score"), F.asc("item")], 6).drop("rank")
+
+    queries = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query long, term string")
+    required = spark.createDataFrame([(q, k, p) for q, ks in needs.items() for p, k in enumerate(ks)], "query long, kind string, priority int")
+    gap_terms = spark.createDataFrame([(k, t) for k, ts in extra.items() for t in ts], "kind string, term string")
+    evidence_rows, report = iterative.iterate(queries, required, gap_terms, fetch, 3, 0.7, 8, 5)
+    got = {r.query: [r.rounds, round(r.coverage, 6), list(r.gaps), []] for r in report.collect()}
+    for r in evidence_rows.orderBy("query", "place").collect():
+        got[r.query][3].append((r.item, r.kind, r.score))
+    assert {q: tuple(x) for q, x in got.items()} == want
+    assert len({x[0] for x in want.values()}) == 3
