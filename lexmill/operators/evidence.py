@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import extract as X
 from lexmill.functions import lexical as L
+from lexmill.operators.phrases import occurrences
 
 
 def grounding(docs: DataFrame, key: str, text: str, synonyms: DataFrame, limit: int) -> DataFrame:
     """(key, concept, synonym, start, evidence, confidence): the first hit of each synonym, in synonym order, so many per concept.
 
-    synonyms is a small stated table (concept, pos, synonym). The first synonym of a concept has confidence 0.9, others 0.75.
+    synonyms is a stated table (concept, pos, synonym), of any size. The first synonym of a concept has confidence 0.9, others 0.75.
     """
-    hits = docs.select(key, text).join(F.broadcast(synonyms), F.lower(F.col(text)).contains(F.lower("synonym")))
-    found = hits.withColumn("start", F.expr(f"position(lower(synonym), lower(`{text}`)) - 1"))
-    around = F.expr(f"substring(`{text}`, greatest(1, start - 59), least(start, 60) + length(synonym) + 80)")
+    stated = synonyms.sparkSession.createDataFrame([(i, r.concept, r.pos, r.synonym) for i, r in enumerate(synonyms.select("concept", "pos", "synonym").collect())], "id int, concept string, pos int, synonym string")
+    found = occurrences(docs, key, text, stated.select("id", F.col("synonym").alias("phrase")), whole_words=False, around=(60, 80)).join(stated, "id")
     rank = F.row_number().over(Window.partitionBy(key, "concept").orderBy("pos"))
-    kept = found.withColumn("evidence", around).withColumn("_r", rank).where(F.col("_r") <= limit)
-    return kept.select(key, "concept", "synonym", "start", "evidence", F.when(F.col("pos") == 0, 0.9).otherwise(0.75).alias("confidence"))
+    kept = found.withColumn("_r", rank).where(F.col("_r") <= limit)
+    return kept.select(key, "concept", "synonym", F.col("first").cast("int").alias("start"), F.col("around").alias("evidence"), F.when(F.col("pos") == 0, 0.9).otherwise(0.75).alias("confidence"))
 
 
 def linked_references(refs: DataFrame, targets: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import metadata as D
 from lexmill.functions import text as T
 from lexmill.operators import metrics as M
+from lexmill.operators import phrases as P
 from lexmill.plans._registering import register
 
 
@@ -127,3 +128,43 @@ def temperature(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.join(labels, "doc_id").select("doc_id", (F.log(1 + F.col("n_chars")) * 3 - 15).alias("logit"), F.col("quality").alias("label"))
     fitted = rows.join(F.broadcast(M.fit_temperature(rows)))
     return fitted.select("doc_id", "temperature", F.round(1 / (1 + F.exp(-F.col("logit") / F.col("temperature"))), 6).alias("p"))
+
+
+_FIELDS = {"title": "", "version": "Latest", "date": "", "authority": "", "gazette_number": "", "notification_number": "", "language": "english", "jurisdiction": "India", "state": "", "country": "India", "document_type": "Notification", "amendment_status": "Original", "effective_date": ""}
+_STATES = "Andhra Pradesh,Arunachal Pradesh,Assam,Bihar,Chhattisgarh,Goa,Gujarat,Haryana,Himachal Pradesh,Jharkhand,Karnataka,Kerala,Madhya Pradesh,Maharashtra,Manipur,Meghalaya,Mizoram,Nagaland,Odisha,Punjab,Rajasthan,Sikkim,Tamil Nadu,Telangana,Tripura,Uttar Pradesh,Uttarakhand,West Bengal"
+#: Rules of this table's own; a domain brings its own table, of any length.
+FIELD_RULES = [
+    P.Rule("title", "named act", "pattern", r"\b(?!The )((?:[A-Z][a-z]+,? (?:and |of )?)+(?:Act|Rules|Regulations|Order), \d{4})", 0.9),
+    P.Rule("title", "capital act", "pattern", r"\b(?:THE )?([A-Z][A-Z &]+ (?:ACT|RULES|REGULATIONS|ORDER)), \d{4}", 0.85),
+    P.Rule("version", "edition", "pattern", r"(?i)\b(\d+(?:st|nd|rd|th)) amendment", 0.8, None, "amendment"),
+    P.Rule("date", "dated", "pattern", r"(?i)\bdated(?: the)? (\d{1,2}(?:st|nd|rd|th)? [a-z]+,? \d{4})", 0.9, None, "dated"),
+    P.Rule("date", "numbers", "pattern", r"\b(\d{4}-\d{2}-\d{2})\b", 0.7),
+    *[P.Rule("authority", name, "phrase", name, 0.9, name) for name in ("Food Safety and Standards Authority", "Ministry of Health", "Bureau of Standards", "Ministry of Commerce", "Legislative Department")],
+    P.Rule("gazette_number", "gazette", "pattern", r"(?i)\bgazette[^\n]{0,40}?no\.? ?([\w/-]*\d[\w/-]*)", 0.85, None, "gazette"),
+    P.Rule("notification_number", "file", "pattern", r"(?i)\bnotification no\.? ?([\w./-]*\d[\w/-]*)", 0.85, None, "notification no"),
+    *[P.Rule("language", name, "phrase", word, 0.8, name) for name, word in (("hindi", "rajpatra"), ("french", "journal officiel"), ("german", "bundesgesetzblatt"))],
+    *[P.Rule("state", s, "phrase", s, 0.9, s) for s in _STATES.split(",")],
+    *[P.Rule("jurisdiction", s, "phrase", f"Government of {s}", 0.9, s) for s in _STATES.split(",")],
+    *[P.Rule("document_type", name, "phrase", word, c, name) for name, word, c in (("Act", "act", 0.6), ("Rules", "rules", 0.7), ("Regulation", "regulations", 0.75), ("Judgment", "petitioner", 0.8), ("Circular", "circular", 0.7))],
+    *[P.Rule("amendment_status", name, "phrase", word, 0.8, name) for name, word in (("Repealed", "hereby repealed"), ("Amended", "as amended by"), ("Amended", "amendment"))],
+    P.Rule("effective_date", "force", "pattern", r"(?i)\bcome[s]? into force on(?: the)? (\d{1,2}(?:st|nd|rd|th)? [a-z]+,? \d{4}|\d{4}-\d{2}-\d{2})", 0.9, None, "into force on"),
+]
+
+
+@register("document_metadata", None, "documents")
+def document_metadata(docs: DataFrame) -> DataFrame:
+    """Thirteen fields of every document; every third one has a stated notice behind its text."""
+    notice = F.concat(F.lit("\nThe Food Safety and Standards Act, 2006. Notification No. F-"), F.col("doc_id"), F.lit(" dated the 5th August, 2020 of the Ministry of Health, Government of Kerala; as amended by the 3rd amendment it shall come into force on 2021-01-01."))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, notice).otherwise(""))
+    return P.metadata(docs.select("doc_id", text.alias("text")), "doc_id", "text", FIELD_RULES, _FIELDS)
+
+
+_PHRASES = "SELECT item_id AS id, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[2:4], ' ') AS phrase FROM benchmark"
+
+
+@register("phrase_occurrences", f"""SELECT doc_id, id, strpos(lower(text), phrase) - 1 AS first, (length(text) - length(replace(lower(text), phrase, ''))) // length(phrase) AS n FROM documents, ({_PHRASES}) WHERE phrase <> '' AND contains(lower(text), phrase)""", "documents", "benchmark")
+def phrase_occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Words 2 to 4 of every passage in all texts, by one walk along each."""
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 2, 3)
+    phrases = benchmark.select(F.col("item_id").alias("id"), F.array_join(words, " ").alias("phrase"))
+    return P.occurrences(docs, "doc_id", "text", phrases, whole_words=False).drop("around")
