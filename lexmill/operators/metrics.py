@@ -61,6 +61,15 @@ def mcnemar_counts(rows: DataFrame, a: Column, b: Column) -> DataFrame:
     return n.withColumn("statistic", F.when(F.col("only_a") + F.col("only_b") > 0, F.round(gap * gap / (F.col("only_a") + F.col("only_b")), 6)))
 
 
+def exact_binomial(one: Column, other: Column) -> Column:
+    """The two-sided exact p that two counts come from a fair coin: twice the tail of the smaller, at most 1, and 1 without any.
+    Terms are kept as logarithms, each from the one before, so no binomial coefficient leaves the range of doubles."""
+    n, least = one + other, F.least(one, other).cast("int")
+    start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("tail"))
+    step = lambda s, i: F.struct((s["log"] + F.log((n - i).cast("double") / (i + 1))).alias("log"), (s["tail"] + F.exp(s["log"] - n * math.log(2))).alias("tail"))
+    return F.least(F.lit(1.0), 2 * F.aggregate(F.sequence(F.lit(0), least), start, step, lambda s: s["tail"]))
+
+
 #: Chances that a Poisson count of mean one is at most 0, 1, 2 and so on.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 

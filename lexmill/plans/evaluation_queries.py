@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import lexical as L
+from lexmill.operators import audit as A
 from lexmill.operators import ingest as I
+from lexmill.operators import scheduling as C
 from lexmill.plans._registering import register
 from lexmill.plans.retrieval_queries import _tokens
 from lexmill.sources.shared import saved
@@ -112,3 +114,56 @@ def both_labels_known(docs: DataFrame, labels: DataFrame) -> DataFrame:
 SELECT l_orderkey, any_value(best[2]) AS floor, min(l_tax) FILTER (l_tax >= best[2]) AS level FROM lineitem JOIN b USING (l_orderkey) GROUP BY 1""", "lineitem")
 def restrained_level(lineitem: DataFrame) -> DataFrame:
     return I.restrained_level(lineitem, "l_orderkey", "l_tax", F.col("l_returnflag") == "R", F.col("l_quantity"))
+
+
+#: (kind, task, cost, needs) of the questions of each priority.
+PLAN_RULES = (
+    ("1-URGENT", "understand", 1, []), ("1-URGENT", "retrieve", 3, ["understand"]), ("1-URGENT", "answer", 2, ["retrieve"]), ("1-URGENT", "cite", 1, ["answer"]),
+    ("2-HIGH", "understand", 1, []), ("2-HIGH", "retrieve", 3, ["understand"]), ("2-HIGH", "expand", 2, ["understand"]), ("2-HIGH", "rank", 1, ["retrieve", "expand"]),
+    ("2-HIGH", "answer", 2, ["rank"]), ("2-HIGH", "check", 4, ["retrieve"]), ("2-HIGH", "finish", 1, ["answer", "check"]),
+    ("3-MEDIUM", "retrieve", 2, []), ("3-MEDIUM", "answer", 1, ["retrieve", "translate"]),
+    ("4-NOT SPECIFIED", "understand", 1, []), ("4-NOT SPECIFIED", "retrieve", 5, ["understand"]), ("4-NOT SPECIFIED", "expand", 2, ["understand"]), ("4-NOT SPECIFIED", "rank", 2, ["expand"]), ("4-NOT SPECIFIED", "finish", 1, ["retrieve", "rank"]),
+    ("5-LOW", "answer", 1, []),
+)
+_RULES = ", ".join(f"('{k}', '{t}', {c}, {needs!r})" if needs else f"('{k}', '{t}', {c}, []::VARCHAR[])" for k, t, c, needs in PLAN_RULES)
+
+
+@register("plan_schedule", f"""WITH RECURSIVE r AS (SELECT * FROM (VALUES {_RULES}) v(kind, task, cost, needs)),
+t AS (SELECT o_orderkey AS plan, task, (cost + CASE WHEN task = 'retrieve' THEN o_orderkey % 4 ELSE 0 END)::INTEGER AS cost, needs FROM orders JOIN r ON kind = o_orderpriority),
+e AS (SELECT a.plan, a.task, a.need FROM (SELECT plan, task, unnest(needs) AS need FROM t) a JOIN t b ON b.plan = a.plan AND b.task = a.need),
+f(plan, task, wave, fin) AS (SELECT plan, task, 0, cost FROM t WHERE (plan, task) NOT IN (SELECT (plan, task) FROM e) UNION SELECT e.plan, e.task, wave + 1, fin + t.cost FROM f JOIN e ON e.plan = f.plan AND e.need = f.task JOIN t ON t.plan = e.plan AND t.task = e.task),
+b(plan, task, rest) AS (SELECT plan, task, 0 FROM t UNION SELECT e.plan, e.need, rest + t.cost FROM b JOIN e ON e.plan = b.plan AND e.task = b.task JOIN t ON t.plan = b.plan AND t.task = b.task),
+g AS (SELECT plan, task, max(wave) AS wave, max(fin) AS fin FROM f GROUP BY 1, 2), l AS (SELECT plan, task, max(rest) AS rest FROM b GROUP BY 1, 2), w AS (SELECT plan, max(fin) AS whole FROM g GROUP BY 1)
+SELECT plan, task, cost, wave, (fin - cost)::BIGINT AS start, fin::BIGINT AS end, (whole - rest - fin)::BIGINT AS slack, whole = rest + fin AS critical FROM t JOIN g USING (plan, task) JOIN l USING (plan, task) JOIN w USING (plan)""", "orders")
+def plan_schedule(orders: DataFrame) -> DataFrame:
+    """Each order is a question whose priority says which tasks it takes; retrieving takes longer for some."""
+    rules = orders.sparkSession.createDataFrame(list(PLAN_RULES), "kind string, task string, cost int, needs array<string>")
+    tasks, edges = C.planned(orders.select(F.col("o_orderkey").alias("plan"), F.col("o_orderpriority").alias("kind")), rules)
+    cost = F.col("cost") + F.when(F.col("task") == "retrieve", F.col("plan") % 4).otherwise(0)
+    return C.scheduled(tasks.withColumn("cost", cost.cast("int")), edges)
+
+
+@register("audit_increments", f"""WITH c AS (SELECT *, coalesce(text, '') AS t FROM documents)
+SELECT count(*) AS total_chunks, count(*) FILTER (NOT regexp_matches(t, '\\S')) AS empty_chunks, count(*) FILTER (regexp_matches(t, '\\S') AND length(t) < {A.SHORT}) AS unusually_short_chunks, count(*) FILTER (length(t) > {A.LONG}) AS unusually_long_chunks,
+count(*) FILTER (lang IS NULL) AS missing_language, min(length(t))::BIGINT AS least_chars, max(length(t))::BIGINT AS most_chars, round(sum(length(t))::DOUBLE / count(*), 1) AS mean_chars, true AS ranks_within, true AS counts_within FROM c""", "documents")
+def audit_increments(docs: DataFrame) -> DataFrame:
+    """Four increments are audited by themselves and merged; estimates are held against the whole table, within their stated errors."""
+    rows = saved(A.increments(docs, F.pmod(F.xxhash64("doc_id"), F.lit(4)), "doc_id", "source", "text", {"language": F.col("lang")}))
+    found = saved(A.report(A.merged(rows)))
+    chars = F.length(F.coalesce("text", F.lit("")))
+    share = lambda q: F.abs(F.count_if(chars <= F.col(f"char_p{q}")) / F.count("*") - q / 100) <= A.RANK_ERROR + 1 / F.count("*")
+    # One row, joined to every document for its ranks.
+    near = docs.join(F.broadcast(found.select("char_p50", "char_p90", "different_ids", "different_documents"))).groupBy("char_p50", "char_p90", "different_ids", "different_documents").agg(
+        (share(50) & share(90)).alias("ranks_within"), F.count_distinct("doc_id").alias("ids"), F.count_distinct("source").alias("sources"),
+    )
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= A.COUNT_ERROR * F.col(b) + 1
+    checked = near.select("ranks_within", (close("different_ids", "ids") & close("different_documents", "sources")).alias("counts_within"))
+    kept = ["total_chunks", "empty_chunks", "unusually_short_chunks", "unusually_long_chunks", "missing_language", "least_chars", "most_chars", "mean_chars"]
+    return found.select(*kept).join(F.broadcast(checked))
+
+
+@register("audit_exemplars", f"""WITH c AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT 'unusually_long_chunks' AS metric, doc_id AS chunk_id, substr(t, 1, 140) AS snippet FROM c WHERE length(t) > {A.LONG}
+UNION ALL SELECT 'unusually_short_chunks', doc_id, substr(t, 1, 140) FROM c WHERE regexp_matches(t, '\\S') AND length(t) < {A.SHORT} UNION ALL SELECT 'empty_chunks', doc_id, t FROM c WHERE NOT regexp_matches(t, '\\S'))
+SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY chunk_id, snippet)::INTEGER AS rank, chunk_id, snippet FROM m QUALIFY row_number() OVER (PARTITION BY metric ORDER BY chunk_id, snippet) <= {A.EXEMPLARS}""", "documents")
+def audit_exemplars(docs: DataFrame) -> DataFrame:
+    return A.exemplars(docs, "doc_id", "text", {}).where("metric IN ('unusually_long_chunks', 'unusually_short_chunks', 'empty_chunks')")

@@ -354,6 +354,16 @@ def mcnemar(labels: DataFrame) -> DataFrame:
     return M.mcnemar_counts(labels, F.col("quality") == 1, F.col("toxic") == 1)
 
 
+@register("mcnemar_exact", """WITH c AS (SELECT lang, count(*) FILTER (quality = 1 AND toxic <> 1) AS a, count(*) FILTER (quality <> 1 AND toxic = 1) AS b FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+t AS (SELECT *, unnest(range(0, least(a, b) + 1)) AS i FROM c)
+SELECT lang, a AS only_a, b AS only_b, round(least(1.0, 2 * sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2)))), 9) AS p FROM t GROUP BY ALL""", "labels", "documents")
+def mcnemar_exact(labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of each language the discordant labels and the exact p."""
+    a, b = F.col("quality") == 1, F.col("toxic") == 1
+    counts = labels.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"))
+    return counts.withColumn("p", F.round(M.exact_binomial(F.col("only_a"), F.col("only_b")), 9))
+
+
 @register("bootstrap_interval", None, "events")
 def bootstrap(events: DataFrame) -> DataFrame:
     return M.paired_bootstrap(events.select(F.col("event_type").alias("group"), F.col("value").alias("a"), F.lit(0.5).alias("b")), 200)
