@@ -154,3 +154,33 @@ def test_nothing_to_apply(spark, tmp_path):
     table = SyncedTable(spark, str(tmp_path), "doc", "chunk", "n")
     assert table.apply(spark.createDataFrame([(None, "a", 1, "x", "upsert")], ROWS))["version"] == 0
     assert table.apply(spark.createDataFrame([], ROWS).where(F.lit(False)))["version"] == 0
+
+
+def test_a_lookup_of_few_ids_opens_few_files(spark, tmp_path):
+    from lexmill.sources import lookup as K
+
+    path = str(tmp_path / "t")
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "k string, v string")
+    many = rows(*[(str(i), f"v{i}") for i in range(500)], ("7", "a7"), (None, "none"))
+    table = K.build_lookup({"second": rows(("x", None), ("7", "own")), "first": many}, path, "k", 32)
+    ids = spark.createDataFrame([("7",), ("x",), ("499",), ("gone",), (None,), ("7",)], "id string")
+    assert sorted(map(tuple, table.payloads(ids).collect())) == [("499", "first", '{"k":"499","v":"v499"}'), ("7", "first", '{"k":"7","v":"a7"}'), ("x", "second", '{"k":"x","v":null}')]
+    assert sorted((r.id, r.collection) for r in table.all_of(ids).collect()) == [("499", "first"), ("7", "first"), ("7", "second"), ("x", "second")]
+    found = table.all_of(ids)
+    found.collect()
+    scans = [m for m in _scans(found) if "numFiles" in m]
+    assert scans and sum(m["numFiles"] for m in scans) <= 4 < len(os.listdir(path)) // 4
+    every = table.all_of(spark.range(3000).selectExpr("cast(id AS string) AS id"))
+    assert every.count() == 501
+
+
+def _scans(df):
+    """Metrics of the scans of a DataFrame that has run."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    leaves, out = plan.collectLeaves(), []
+    for i in range(leaves.size()):
+        metrics = leaves.apply(i).metrics()
+        names = metrics.keys().toSeq()
+        out.append({names.apply(k): metrics.apply(names.apply(k)).value() for k in range(names.size())})
+    return out
