@@ -16,8 +16,11 @@ of dense arrays, as wide as the block, since single postings are slower in numpy
 Vectors that are null or hold null or non-finite components take no part. Shorter vectors count as filled up with
 zeros. A repeated vec_id is a candidate as often as it occurs, but never for a query of its own id. Ties go to the
 smaller vec_id. With fewer than k candidates all are returned; an empty table gives an empty result. Only the two named
-columns are read. Scores are 64-bit: where the largest magnitudes could exceed that, ``top_k`` raises a ValueError
-before anything is scored.
+columns are read.
+
+Scores of the index are 64-bit. Vectors with components so large that a product could exceed that do not enter it: what they take part in is
+scored in whole numbers of any length, block against block, and ranked together with the rest. Such a score that is no 64-bit number is
+returned as the nearest one; its rank is exact. A table of such vectors alone is a plain product in Python's numbers, about a thousand times slower.
 """
 
 from __future__ import annotations
@@ -41,15 +44,20 @@ NORM_CLASSES = 8
 LEAST_SEGMENT = 0.25
 #: Possible members per query at which processing stops, as a multiple of k.
 FEW = 4
+#: Vectors of a block that is scored in numbers of any length.
+LARGE_BLOCK = 256
 _BLOCK = "block int, top double, ids binary, norms binary, segments array<struct<positions:binary,components:binary,values:binary,width:int,rest:binary>>"
 _QUERIES = "q int, length double, ids binary, matrix binary"
 
 
 def whole_vectors(embeddings: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, v array<bigint>) of the vectors that take part."""
+    """(vec_id, v array<bigint>, raw array<double>) of the vectors that take part; raw only where v would not be exact, null elsewhere."""
     usable = F.forall(vector_column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     v = F.transform(vector_column, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-    return embeddings.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull()).where(usable).select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v"))
+    doubles = F.col(vector_column).cast("array<double>")
+    large = F.exists(doubles, lambda x: F.abs(x) * scale >= float(1 << 52))
+    kept = embeddings.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull()).where(usable)
+    return kept.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v"), F.when(large, doubles).alias("raw"))
 
 
 class Segment(NamedTuple):
@@ -206,15 +214,81 @@ def _search(k: int):
 _FOUND = "q int, bars binary, bar double, found array<struct<query_id:long,vec_id:long,score:long>>"
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+def whole(x: float, scale: int) -> int:
+    """floor(scale * x), exactly."""
+    return int(x) * scale if abs(x) >= 1 << 53 else math.floor(scale * x)
+
+
+def _key(score: int) -> str:
+    """Text that sorts as the numbers do."""
+    digits = str(abs(score))
+    return f"1{len(digits):05d}{digits}" if score >= 0 else f"0{99999 - len(digits):05d}{digits.translate(str.maketrans('0123456789', '9876543210'))}"
+
+
+def _key_column(score: Column) -> Column:
+    digits = F.regexp_replace(score.cast("string"), "-", "")
+    above = F.concat(F.lit("1"), F.lpad(F.length(digits).cast("string"), 5, "0"), digits)
+    below = F.concat(F.lit("0"), F.lpad((99999 - F.length(digits)).cast("string"), 5, "0"), F.translate(digits, "0123456789", "9876543210"))
+    return F.when(score >= 0, above).otherwise(below)
+
+
+def _any_length(k: int, scale: int):
+    """(query_id, vec_id, score, key) of cells (queries, candidates) of arrays (vec_id, v, raw, large); pairs without a large vector are left out."""
+    most, least = (1 << 63) - 1, -(1 << 63)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = lambda r: [whole(x, scale) for x in r["raw"]] if r["raw"] is not None else r["v"]
+        for batch in batches:
+            for queries, candidates in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                known = [(c["vec_id"], numbers(c), c["large"]) for c in candidates]
+                rows = []
+                for q in queries:
+                    own = numbers(q)
+                    found = sorted(((-sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v, large in known if i != q["vec_id"] and (large or q["large"])))[:k]
+                    rows += [(q["vec_id"], i, max(least, min(most, -s)), _key(-s)) for s, i in found]
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "vec_id", "score", "key"])
+
+    return score
+
+
+def _large_pairs(vectors: DataFrame, queries: DataFrame, k: int, scale: int) -> DataFrame:
+    """The best k of every query among the pairs that hold a large vector: large queries meet all vectors, the other queries large ones."""
+
+    def blocks(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        count = max(1, math.ceil(rows.count() / LARGE_BLOCK))
+        dealt = rows.withColumn(name, _spot(F.lit(count)).cast("int"))
+        return saved(dealt.groupBy(name).agg(F.collect_list(F.struct("vec_id", "v", "raw", "large")).alias(f"{name}s"))), count
+
+    parts = []
+    for asked, known in ((queries.where("large"), vectors), (queries.where("NOT large"), vectors.where("large"))):
+        (q, _), (c, count) = blocks(asked, "q"), blocks(known, "c")
+        parts.append(q.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(c, "c").select("qs", "cs").mapInArrow(_any_length(k, scale), "query_id long, vec_id long, score long, key string"))
+    return parts[0].union(parts[1])
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: for every row of queries its k best of all vectors but its own id.
 
-    Both have (vec_id, v) as from whole_vectors.
+    Both have (vec_id, v, raw) as from whole_vectors; raw may be left out.
     """
-    size = lambda df: df.agg(F.count("*"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))), F.max(F.size("v"))).first()
-    (_, most, wide), (asked, most_asked, _) = size(vectors), size(queries)
-    if (most or 0.0) * (most_asked or 0.0) * (wide or 0) >= float(1 << 63):
-        raise ValueError(f"components up to {most:g} and {most_asked:g} over {wide} places exceed 64-bit scores; use a smaller scale")
+    wide = max(1, *[df.agg(F.max(F.size("v"))).first()[0] or 0 for df in (vectors, queries)])
+    limit = math.isqrt(((1 << 63) - 1) // wide)
+    large = F.col("raw").isNotNull() | F.exists("v", lambda x: (x > limit) | (x < -limit))
+    vectors, queries = ((df if "raw" in df.columns else df.withColumn("raw", F.lit(None).cast("array<double>"))).withColumn("large", large) for df in (vectors, queries))
+    small = _indexed(vectors.where("NOT large").select("vec_id", "v"), queries.where("NOT large").select("vec_id", "v"), k)
+    if vectors.union(queries).where("large").isEmpty():
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return small.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    every = small.withColumn("key", _key_column(F.col("score"))).unionByName(_large_pairs(vectors, queries, k, scale))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id"))
+    return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _indexed(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best k of every query in each block that may hold one of its best k, by the index."""
+    asked = queries.count()
     blocks, count = build_index(vectors)
     parts = max(1, math.ceil(asked / QUERY_BLOCK))
     query_blocks = saved(queries.select("vec_id", "v", _spot(F.lit(parts)).cast("int").alias("q")).groupBy("q").applyInArrow(_pack_queries, _QUERIES))
@@ -226,9 +300,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     numbers = F.explode(F.sequence(F.lit(1), F.lit(count - 1))) if count > 1 else F.explode(F.array().cast("array<int>"))
     pairs = asks.withColumn("block", numbers).join(blocks.select("block", "top"), "block").where(F.col("length") * F.col("top") * (1 + 1e-5) + 1 >= F.col("bar")).select("block", "q")
     cells = pairs.join(blocks, "block").join(right.join(seeds.select("q", "bars"), "q"), "q").select(*cell)
-    found = seeds.select("found").union(cells.mapInArrow(_search(k), _FOUND).select("found")).select(F.inline("found"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return seeds.select("found").union(cells.mapInArrow(_search(k), _FOUND).select("found")).select(F.inline("found"))
 
 
 def top_k_table(embeddings: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:

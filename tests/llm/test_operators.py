@@ -6,6 +6,7 @@ import random
 import re
 import wave
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -316,9 +317,21 @@ def test_topk_over_several_blocks(spark, monkeypatch):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted((q, n + 1, i, -s) for q, rows in best.items() for n, (s, i) in enumerate(sorted(rows)[:5]))
 
 
-def test_topk_raises_beyond_64_bits(spark):
-    with pytest.raises(ValueError, match="64-bit"):
-        topk.top_k_table(spark.createDataFrame([(0, [1e17]), (1, [1e17])], "vec_id long, embedding array<double>"))
+def test_topk_of_components_of_any_size(spark, monkeypatch):
+    """Scores beyond 64 bits rank exactly and are returned as the nearest 64-bit number; other vectors are not touched by them."""
+    monkeypatch.setattr(topk, "LARGE_BLOCK", 7)
+    rng = random.Random(2)
+    vectors = {i: [rng.uniform(-3, 3) for _ in range(4)] for i in range(30)}
+    vectors |= {i: [rng.choice([1e17, -1e17, 1e300, -1.7e308, 5e9, 2.0**53 + 2, 0.25]) for _ in range(4)] for i in range(30, 50)}
+    vectors |= {50: [1e17, 1e17, 0.0], 51: [1e17, 1e17]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    exact = {i: [(Fraction(x) * 64).__floor__() for x in v] for i, v in vectors.items()}
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k_table(df, every=5, k=6).collect())
+    want = []
+    for q in range(0, 52, 5):
+        scores = sorted((-sum(a * b for a, b in zip(exact[q], exact[i], strict=False)), i) for i in exact if i != q)[:6]
+        want += [(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores, 1)]
+    assert got == want
 
 
 # --- 6 ---
