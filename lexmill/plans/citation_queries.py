@@ -34,11 +34,11 @@ def citation_classes(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.explode("c").alias("c")).select("doc_id", "c.*")
 
 
-@register("statute_citations", "SELECT doc_id, 'statutory' AS kind, 0.8::DOUBLE AS confidence, 'Food Safety and ' || upper(lang[1]) || substr(lang, 2) || ' Act' AS source FROM documents WHERE regexp_matches(lang, '^[a-z]{2,}$')", "documents")
+@register("statute_citations", r"SELECT doc_id, 'statutory' AS kind, 0.8::DOUBLE AS confidence, 'Food Safety and ' || upper(lang[1]) || substr(lang, 2) || ' Act' AS source FROM documents WHERE regexp_matches(lang, '^[a-z]{2,}$')", "documents")
 def statute_citations(docs: DataFrame) -> DataFrame:
-    """Statutes named after a document's language, once each though named twice; a bare "the Act" is none."""
+    """Statutes that a whole text and a stated sentence behind it name: one after the document's language, once though named twice; a bare "the Act" is none."""
     name = F.concat(F.lit(" Food Safety and "), F.initcap("lang"), F.lit(" Act"))
-    text = F.concat(F.lit("under"), name, F.lit("; of the Act. and"), name, F.lit(", not"), F.lower(name))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" under"), name, F.lit("; of the Act. and"), name, F.lit(", not"), F.lower(name))
     return docs.where("lang RLIKE '^[a-z]{2,}$'").select("doc_id", F.explode(X.statutes_cited(text)).alias("c")).select("doc_id", "c.*")
 
 
@@ -50,12 +50,12 @@ def amendment_prose(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", X.is_amendment_prose(F.concat(F.coalesce("text", F.lit("")), tail)).alias("amends"))
 
 
-@register("renumbered_lists", """SELECT page_id, md5(html || '<ol class="justify"><li>a<li>b</ol><ol><li>c</ol><ol class="justify" start="3"><li>d</ol><ol class="justify" start=''7''></ol>') AS hash FROM pages WHERE html NOT LIKE '%<ol%'""", "pages")
+@register("renumbered_lists", """SELECT page_id, md5(html || '<ol class="justify"><li>a<li>b</ol><ol><li>c</ol><ol class="justify" start="3"><li>d</ol><ol class="justify" start=''7''></ol>') AS hash FROM pages""", "pages")
 def renumbered_lists(pages: DataFrame) -> DataFrame:
-    """Pages without lists of their own, with four behind: two that count, one of another class, an empty one."""
+    """Every page, its own lists included, with four behind: two that count, one of another class, an empty one."""
     lists = """<ol class="justify"><li>a<li>b</ol><ol><li>c</ol><ol class="justify" start="9"><li>d</ol><ol class="justify" start='7'></ol>"""
     out = X.renumbered_lists(F.concat("html", F.lit(lists)))
-    return pages.where("html NOT LIKE '%<ol%'").select("page_id", F.md5(out).alias("hash"))
+    return pages.select("page_id", F.md5(out).alias("hash"))
 
 
 @register("tagged_json_cells", """SELECT o_orderkey, '{"__type__":"datetime","value":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '"}' AS at, '{"__type__":"date","value":"' || strftime(o_orderdate, '%Y-%m-%d') || '"}' AS day,

@@ -82,12 +82,12 @@ def retrieval_verdict(turns: DataFrame) -> DataFrame:
 
 
 @register("fallback_queries", f"""WITH b AS (SELECT item_id, list_distinct({_tokens('text')}) AS d, {_tokens('text')} AS t FROM benchmark)
-SELECT item_id, unnest(['head', 'tail', 'rare']) AS kind, unnest([array_to_string(t[1:5], ' '), array_to_string(t[-5:], ' '), (SELECT x FROM (SELECT unnest(d) AS x) ORDER BY length(x) DESC, x LIMIT 1)]) AS query FROM b WHERE len(t) >= 5""", "benchmark")
+SELECT item_id, unnest(['head', 'tail', 'rare']) AS kind, unnest([array_to_string(t[1:5], ' '), array_to_string(t[greatest(1, len(t) - 4):], ' '), (SELECT x FROM (SELECT unnest(d) AS x) ORDER BY length(x) DESC, x LIMIT 1)]) AS query FROM b WHERE len(t) > 0""", "benchmark")
 def fallback_queries(benchmark: DataFrame) -> DataFrame:
-    """Three queries to fall back on: the first five tokens, the last five, and the longest one."""
-    tokens = benchmark.select("item_id", L.content_tokens(F.col("text")).alias("t")).where(F.size("t") >= 5)
+    """Three queries to fall back on: the first five tokens, the last five, and the longest one; all there are of shorter items."""
+    tokens = benchmark.select("item_id", L.content_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     longest = F.array_min(F.transform("t", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))["x"]
-    parts = {"head": F.array_join(F.slice("t", 1, 5), " "), "tail": F.array_join(F.slice("t", -5, 5), " "), "rare": longest}
+    parts = {"head": F.array_join(F.slice("t", 1, 5), " "), "tail": F.array_join(F.slice("t", F.greatest(F.lit(1), F.size("t") - 4), F.lit(5)), " "), "rare": longest}
     return tokens.select("item_id", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), q.alias("query")) for k, q in parts.items()])))
 
 
