@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexmill.functions import lexical as L
 from lexmill.sources.shared import saved
 
 RRF_K = 60
-#: So many stated queries go to each point at once.
-QUERY_BLOCK = 1024
+#: Vectors of a block of queries, and of points.
+QUERY_BLOCK, POINT_BLOCK = 1024, 4096
 
 
 def top_per(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -73,17 +76,50 @@ def term_hits(docs: DataFrame, key: str, text: Column, terms: list[str], k: int)
     return docs.select(F.col(key).alias("item"), hits.alias("hits")).where(F.col("hits") >= (1 if len(terms) < 3 else 2)).orderBy(F.desc("hits"), "item").limit(k)
 
 
+def _matrices(rows: DataFrame, item: str, vector: str, block: int) -> tuple[DataFrame, int]:
+    """Written blocks (size, b, ids, rows) of unit vectors of one size, as matrices, and into how many parts each size is dealt.
+    Vectors that are null or hold nulls take no part; a zero vector stays zero, so its cosines are 0."""
+    known = rows.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())).select(F.col(item).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    parts = max(1, -(-known.count() // block))
+    kind = known.schema["id"].dataType.simpleString()
+
+    def pack(table: pa.Table) -> pa.Table:
+        vectors = np.array(table.column("v").to_pylist(), np.float64).reshape(table.num_rows, -1)
+        length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        units = vectors / np.where(length > 0, length, 1)[:, None]
+        ids = pa.array([table.column("id").combine_chunks().to_pylist()], pa.list_(table.schema.field("id").type))
+        return pa.table({"size": table.column("size").slice(0, 1), "b": table.column("b").slice(0, 1), "ids": ids, "rows": pa.array([units.tobytes()], pa.binary())})
+
+    dealt = known.withColumn("size", F.size("v")).withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int"))
+    return saved(dealt.groupBy("size", "b").applyInArrow(pack, f"size int, b int, ids array<{kind}>, rows binary")), parts
+
+
 def cosine_topk(points: DataFrame, queries: DataFrame, k: int | None, threshold: float = -1.0) -> DataFrame:
-    """Exact cosine of stated queries (query, q) against all points (item, v); without k all hits, unranked.
+    """Exact cosine of stated queries (query, q) against all points (item, v) of their size; without k all hits, unranked.
 
-    Each point meets the stated queries in blocks of QUERY_BLOCK, so what is sent to it at once has a bound.
+    Queries and points are packed into matrices of unit vectors, norms once a vector; each pair of blocks is one product, of which a query passes on its
+    best k, or all hits over the threshold, which are then as many as there are. Scores are rounded to nine places.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    packed = queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("_b")).agg(F.collect_list(F.struct("query", "q")).alias("_qs"))
-    packed = F.broadcast(packed) if blocks == 1 else packed
-    scored = points.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "_b").select("item", "v", F.explode("_qs").alias("x"))
-    scored = scored.select(F.col("x.query").alias("query"), "item", F.round(L.cosine(F.col("x.q"), F.col("v")), 9).alias("score"))
-    hits = scored.where(F.col("score") >= threshold)
+    asked, _ = _matrices(queries, "query", "q", QUERY_BLOCK)
+    known, parts = _matrices(points, "item", "v", POINT_BLOCK)
+    q_kind, i_kind = asked.schema["ids"].dataType.elementType, known.schema["ids"].dataType.elementType
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, queries_, own, items, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = (np.frombuffer(x, np.float64).reshape(-1, size) if size else np.zeros((len(ids), 0)) for x, ids in ((own, queries_), (rows, items)))
+                scores = np.round(a @ b.T, 9)
+                if k is not None and k < len(items):
+                    # All that tie with the k-th go on; a window breaks ties by item.
+                    least = np.maximum(np.partition(scores, len(items) - k, axis=1)[:, len(items) - k], threshold)
+                else:
+                    least = np.full(len(queries_), threshold)
+                i, j = np.nonzero(scores >= least[:, None])
+                columns = [pa.array([queries_[x] for x in i.tolist()], to_arrow_type(q_kind)), pa.array([items[x] for x in j.tolist()], to_arrow_type(i_kind)), pa.array(scores[i, j])]
+                yield pa.RecordBatch.from_arrays(columns, ["query", "item", "score"])
+
+    cells = asked.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(known.select("size", F.col("b").alias("p"), F.col("ids").alias("items"), F.col("rows").alias("points")), ["size", "p"])
+    hits = cells.select("size", "ids", "rows", "items", "points").mapInArrow(meet, f"query {q_kind.simpleString()}, item {i_kind.simpleString()}, score double")
     return hits if k is None else top_per(hits, ["query"], [F.desc("score"), F.asc("item")], k)
 
 
@@ -152,7 +188,14 @@ def _per_query(df: DataFrame, schema: str, pick: Callable[[pd.DataFrame], pd.Dat
     return df.groupBy("query").applyInPandas(pick, schema)
 
 
-def mmr(pool: DataFrame, k: int, balance: float = 0.7, head: int = 200) -> DataFrame:
+def _within(pool: DataFrame, k: int, slack: float) -> DataFrame:
+    """Rows whose score is at most ``slack`` under the k-th best of their query. Of the k best one is always left to choose, so where other terms are worth no
+    more than the slack, no other row can ever be chosen before it."""
+    least = top_per(pool.select("query", "item", "score"), ["query"], [F.desc("score"), F.asc("item")], k).where(F.col("rank") == k).select("query", (F.col("score") - slack - 1e-9).alias("_least"))
+    return pool.join(least, "query", "left").where(F.col("_least").isNull() | (F.col("score") >= F.col("_least"))).drop("_least")
+
+
+def mmr(pool: DataFrame, k: int, balance: float = 0.7) -> DataFrame:
     """Maximal marginal relevance over (query, item, score, tokens): relevance against the most similar one chosen, by Jaccard."""
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
@@ -168,14 +211,15 @@ def mmr(pool: DataFrame, k: int, balance: float = 0.7, head: int = 200) -> DataF
                 worst[i] = max(worst[i], len(sets[i] & sets[best]) / union if union else 0.0)
         return pd.DataFrame({"query": rows["query"][chosen], "item": rows["item"][chosen], "rank": range(1, len(chosen) + 1)})
 
-    cut = top_per(pool, ["query"], [F.desc("score"), F.asc("item")], head).select("query", "item", "score", "tokens")
+    cut = _within(pool, k, (1 - balance) / balance).select("query", "item", "score", "tokens")
     return _per_query(cut, "query long, item long, rank int", pick)
 
 
-def evidence_set(pool: DataFrame, most: int, least: int, head: int = 200) -> DataFrame:
+def evidence_set(pool: DataFrame, most: int, least: int) -> DataFrame:
     """Greedy choice over (query, item, score, type_rank, tokens): 0.6 score + 0.02 type + 0.2 new tokens - 0.3 redundancy.
 
-    The best starts; items over 0.9 redundant are passed over once ``least`` are chosen; the set is filled up to ``least``.
+    The best starts; items over 0.9 redundant are passed over once ``least`` are chosen; the set is filled up to ``least``. Any item of the
+    pool may come up in the end, so a query's whole pool, what retrieval left of it, is looked at.
     """
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
@@ -193,11 +237,10 @@ def evidence_set(pool: DataFrame, most: int, least: int, head: int = 200) -> Dat
             held |= sets[best]
         return pd.DataFrame({"query": rows["query"][chosen], "item": rows["item"][chosen], "rank": range(1, len(chosen) + 1)})
 
-    cut = top_per(pool, ["query"], [F.desc("score"), F.asc("item")], head).select("query", "item", "score", "type_rank", "tokens")
-    return _per_query(cut, "query long, item long, rank int", pick)
+    return _per_query(pool.select("query", "item", "score", "type_rank", "tokens"), "query long, item long, rank int", pick)
 
 
-def with_family(pool: DataFrame, k: int, bonus: float = 0.2, head: int = 200) -> DataFrame:
+def with_family(pool: DataFrame, k: int, bonus: float = 0.2) -> DataFrame:
     """Prefers parents and children (by section prefix) of what is chosen: (query, item, score, section)."""
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
@@ -209,5 +252,5 @@ def with_family(pool: DataFrame, k: int, bonus: float = 0.2, head: int = 200) ->
             chosen.append(best)
         return pd.DataFrame({"query": rows["query"][chosen], "item": rows["item"][chosen], "rank": range(1, len(chosen) + 1)})
 
-    cut = top_per(pool, ["query"], [F.desc("score"), F.asc("item")], head).select("query", "item", "score", "section")
+    cut = _within(pool, k, bonus).select("query", "item", "score", "section")
     return _per_query(cut, "query long, item long, rank int", pick)
