@@ -37,8 +37,12 @@ def decoded(raw: pd.Series) -> pd.Series:
 def text_files(spark: SparkSession, path: str, page_chars: int = 4000, glob: str = "*.{txt,md}") -> DataFrame:
     """(path, page, text, error): whole files, decoded, in pages at form feeds or after so many characters."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    text = files.select("path", decoded("content").alias("text"))
-    pages = text.select("path", F.posexplode(F.split("text", "\f")).alias("sheet", "text"))
+    return paged(files.select("path", decoded("content").alias("text")), page_chars)
+
+
+def paged(texts: DataFrame, page_chars: int = 4000) -> DataFrame:
+    """(path, sheet, part, text, error) of rows (path, text)."""
+    pages = texts.select("path", F.posexplode(F.split("text", "\f")).alias("sheet", "text"))
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / page_chars)).cast("int")), lambda i: i)
     cut = pages.select("path", "sheet", F.explode(pieces).alias("part"), "text").withColumn("text", F.expr(f"substring(text, part * {page_chars} + 1, {page_chars})"))
     return cut.select("path", "sheet", "part", "text", F.when(F.trim("text") == "", "empty page").alias("error"))
@@ -70,9 +74,9 @@ def typed_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return raw.select(*[cell(f) for f in schema.fields])
 
 
-def loose_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """JSON whose keys may lack quotes."""
-    reader = spark.read.option("multiLine", True).option("allowUnquotedFieldNames", True).option("allowSingleQuotes", True)
+def loose_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """JSON whose keys may lack quotes; with lines, one value a line, so large files are read in parts."""
+    reader = spark.read.option("multiLine", not lines).option("allowUnquotedFieldNames", True).option("allowSingleQuotes", True)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
