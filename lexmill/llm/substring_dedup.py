@@ -10,8 +10,9 @@ without a shuffle of history) for the fingerprints that two documents hold. Thes
 texts of their holders. First the whole stretch of words that the windows of one fingerprint cover is compared, so that
 most windows are settled together; where one fingerprint stands in different stretches, each window of one holder per
 stretch is compared. Either compares two unrelated 64-bit hashes of every word, by which texts are taken for equal. The
-batch's documents are then judged for good; results of earlier batches are never computed again. With ``MAX_RUNS`` runs
-the runs are compacted into one.
+batch's documents are then judged for good; results of earlier batches are never computed again. Runs are compacted by size: the newest
+are merged as long as the run before them has at most ``RATIO`` times their rows. So runs shrink by that ratio from the oldest on, there are as
+many as the logarithm of the history, and a row is rewritten as often at most, not once for every batch. A compaction shuffles the rows that it merges.
 
 A document is judged against its own and earlier batches, so ids must not descend from batch to batch; an id that is
 smaller than one of an earlier batch does not change what that batch lost.
@@ -24,7 +25,6 @@ an empty result. Only the two named columns are read, so further columns may hav
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -38,12 +38,11 @@ from pyspark.sql import functions as F
 from lexmill.llm._shared import Powers, U, forget, mix64, rolling, saved, span_hashes, word_spans
 
 WINDOW, ANCHOR = 13, 4
-MAX_RUNS = 2
+RATIO = 2.0
 #: Shares of the documents, by id, at which the query's batches end.
 BATCH_ENDS = (0.25, 0.5, 1.0)
 CHUNK_BYTES = 1 << 21
 _powers = Powers(0xA0761D6478BD642F)
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,16 +57,32 @@ def _both_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return span_hashes(data, start, end), span_hashes(data, start, end, seed=1), counts
 
 
-def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints in order, with the first and last window start that each stands for."""
+def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """For every place the place of the least of the next ``width`` values, the leftmost of equals; by doubling."""
+    least, place, have = values, np.arange(len(values)), 1
+    while have < width:
+        step = min(have, width - have)
+        lower = least[step:] < least[:-step]
+        least, place, have = np.where(lower, least[step:], least[:-step]), np.where(lower, place[step:], place[:-step]), have + step
+    return place
+
+
+def anchors(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end the fingerprints in order: text, hash, place, and the first and last window start that each stands for,
+    all places counted from the first word of all."""
+    ends = np.cumsum(counts)
     grams = rolling(words, ANCHOR, 17)
     width = window - ANCHOR + 1
     if len(grams) < width:
-        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # argmin takes the leftmost of equals
-    place = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(1) + np.arange(len(grams) - width + 1)
-    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    return grams[place[first]], first, np.append(first[1:], len(place)) - 1
+        return (np.zeros(0, np.int64), np.zeros(0, U), *[np.zeros(0, np.int64)] * 3)
+    place = _leftmost_least(grams, width)
+    text = np.repeat(np.arange(len(counts)), counts)[: len(place)]
+    # Windows that reach into the next text are none.
+    start = np.flatnonzero(np.arange(len(place)) + window <= ends[text])
+    place, text = place[start], text[start]
+    new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (text[1:] != text[:-1]))))[: len(place)]
+    last = start[np.append(new[1:], len(start)) - 1] if len(start) else start
+    return text[new], grams[place[new]], place[new], start[new], last
 
 
 def _stretch_hash(words: np.ndarray, print_place: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
@@ -109,14 +124,12 @@ def _fingerprints(window: int):
             rows = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, texts in _unpacked(batch, 1):
                 words, counts = _word_hashes(texts)
-                found, owners, at = [], [], 0
-                for row, n in zip(rows[lo:hi].tolist(), counts.tolist(), strict=True):
-                    own = np.unique(anchors(words[at : at + n], window)[0])
-                    found.append(own)
-                    owners.append(np.full(len(own), row, np.int64))
-                    at += n
-                if found:
-                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(found)), pa.array(np.concatenate(owners))], ["h", "row"])
+                text, h, *_ = anchors(words, counts, window)
+                order = np.lexsort((h, text))
+                text, h = text[order], h[order]
+                once = np.concatenate(([True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])))[: len(h)]
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([_long(h[once]), pa.array(rows[lo:hi][text[once]])], ["h", "row"])
 
     return emit
 
@@ -126,25 +139,20 @@ def _stretches(window: int):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, hi, texts in _unpacked(batch, 2):
                 words, others, counts = _both_hashes(texts)
-                out, at = [], 0
-                for i, n in zip(range(lo, hi), counts.tolist(), strict=True):
-                    row, key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                    shared = np.sort(batch.column(3)[i].values.to_numpy(zero_copy_only=False).view(U))
-                    own, other = words[at : at + n], others[at : at + n]
-                    at += n
-                    h, first, last = anchors(own, window)
-                    if not len(h):
-                        continue
-                    use = shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h
-                    grams = rolling(own, ANCHOR, 17)
-                    place = np.lib.stride_tricks.sliding_window_view(grams, window - ANCHOR + 1)[first].argmin(1) + first
-                    g = _stretch_hash(other, place, first, last, window)
-                    k = int(use.sum())
-                    out.append((h[use].view(np.int64), g[use].view(np.int64), np.full(k, key, np.int64), np.full(k, row, np.int64), first[use].astype(np.int32), last[use].astype(np.int32)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h", "g", "id", "row", "first", "last"])
+                text, h, place, first, last = anchors(words, counts, window)
+                lists = batch.column(3).slice(lo, hi - lo)
+                owner = np.repeat(np.arange(hi - lo), lists.value_lengths().to_numpy(zero_copy_only=False))
+                # A fingerprint of one text that another text of the chunk shares must not count: the text goes into the hash.
+                of = lambda x, t: mix64(x ^ (t.astype(U) * U(0x9E3779B97F4A7C15)))
+                use = np.isin(of(h, text), of(lists.flatten().to_numpy(zero_copy_only=False).view(U), owner))
+                if use.any():
+                    text, h, place, first, last = (x[use] for x in (text, h, place, first, last))
+                    g = _stretch_hash(others, place, first, last, window)
+                    begins = (np.cumsum(counts) - counts)[text]
+                    yield pa.RecordBatch.from_arrays([_long(h), _long(g), pa.array(keys[lo:hi][text]), pa.array(rows[lo:hi][text]), pa.array((first - begins).astype(np.int32)), pa.array((last - begins).astype(np.int32))], ["h", "g", "id", "row", "first", "last"])
 
     return emit
 
@@ -191,21 +199,21 @@ def _single_windows(window: int):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, hi, texts in _unpacked(batch, 2):
                 words, others, counts = _both_hashes(texts)
-                out, at = [], 0
-                for i, n in zip(range(lo, hi), counts.tolist(), strict=True):
-                    own, other = words[at : at + n], others[at : at + n]
-                    at += n
-                    wanted = np.zeros(n, bool)
-                    for part in batch.column(3)[i].as_py():
-                        wanted[part["first"] : part["last"] + 1] = True
-                    start = np.flatnonzero(wanted)
-                    if len(start):
-                        k = len(start)
-                        out.append((rolling(own, window, 29)[start].view(np.int64), rolling(other, window, 31)[start].view(np.int64), np.full(k, batch.column(1)[i].as_py(), np.int64), np.full(k, batch.column(0)[i].as_py(), np.int64), start.astype(np.int32)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["w1", "w2", "id", "row", "start"])
+                begins = np.cumsum(counts) - counts
+                lists = batch.column(3).slice(lo, hi - lo)
+                owner = np.repeat(np.arange(hi - lo), lists.value_lengths().to_numpy(zero_copy_only=False))
+                parts = lists.flatten()
+                edge = np.zeros(len(words) + 1, np.int64)
+                for name, step, more in (("first", 1, 0), ("last", -1, 1)):
+                    np.add.at(edge, begins[owner] + parts.field(name).to_numpy(zero_copy_only=False) + more, step)
+                start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                if len(start):
+                    text = np.searchsorted(begins + counts, start, "right")
+                    one, two = (rolling(x, window, seed)[start] for x, seed in ((words, 29), (others, 31)))
+                    yield pa.RecordBatch.from_arrays([_long(one), _long(two), pa.array(keys[lo:hi][text]), pa.array(rows[lo:hi][text]), pa.array((start - begins[text]).astype(np.int32))], ["w1", "w2", "id", "row", "start"])
 
     return emit
 
@@ -216,7 +224,7 @@ def _kept_words(window: int, with_text: bool):
         for batch in batches:
             totals, removed, digests, kept_texts = [], [], [], []
             for i in range(batch.num_rows):
-                words = _WORDS.findall(tool.decompress(batch.column(2)[i].as_py()))
+                words = tool.decompress(batch.column(2)[i].as_py()).split()  # at space and bytes 9 to 13
                 ranges = batch.column(3)[i].as_py()
                 gone = 0
                 if ranges:
@@ -249,8 +257,8 @@ class FingerprintIndex:
     and sorted by h, for the batches first to last. Without a name a new one is made up; an index of a known name goes on
     where it ended. A batch whose add failed leaves its own tables behind, which the next add writes over."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, window: int = WINDOW, max_runs: int = MAX_RUNS):
-        self.spark, self.window, self.max_runs = spark, window, max_runs
+    def __init__(self, spark: SparkSession, name: str | None = None, window: int = WINDOW, ratio: float = RATIO):
+        self.spark, self.window, self.ratio = spark, window, ratio
         self.name = name or f"lexmill_{uuid.uuid4().hex}"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         spans = sorted((tuple(map(int, t.split("_")[-2:])) for t in self._tables("run")), key=lambda r: (r[0], -r[1]))
@@ -283,8 +291,10 @@ class FingerprintIndex:
         return found
 
     def _holders(self, wanted: DataFrame, *columns: str) -> DataFrame:
-        """The wanted rows (row, and more) with their texts, of all batches, each batch joined by its buckets."""
-        parts = [self._text(b).join(wanted.where(F.col("row").between(b << 52, ((b + 1) << 52) - 1)), "row").select(*columns) for b in range(self.batches + 1)]
+        """The wanted rows (row, and more) with their texts, each batch that has any joined by its buckets."""
+        # At most one number a batch.
+        held = sorted(r[0] for r in wanted.select(F.shiftright("row", 52)).distinct().collect()) or [self.batches]
+        parts = [self._text(b).join(wanted.where(F.col("row").between(b << 52, ((b + 1) << 52) - 1)), "row").select(*columns) for b in held]
         return reduce(DataFrame.union, parts)
 
     def add(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, compact: bool = True) -> DataFrame:
@@ -298,14 +308,14 @@ class FingerprintIndex:
         stretches = self._holders(wanted, "row", "id", "packed", "shared").mapInArrow(_stretches(window), "h long, g long, id long, row long, first int, last int")
         ordered = stretches.repartition(self.buckets, "h").sortWithinPartitions("h", "g", "id")
         settled = saved(ordered.mapInArrow(_settle, "kind int, row long, first int, last int").where((F.col("kind") == 1) | (F.col("row") >= start)))
-        open_ranges = settled.where("kind = 1").groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
+        open_ranges = saved(settled.where("kind = 1").groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("parts")))
         windows = saved(self._holders(open_ranges, "row", "id", "packed", "parts").mapInArrow(_single_windows(window), "w1 long, w2 long, id long, row long, start int"))
         least = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
         taken = windows.where(F.col("row") >= start).join(least, ["w1", "w2"]).where("id > least").select("row", F.col("start").alias("first"), F.col("start").alias("last"))
         ranges = settled.where("kind = 0").select("row", "first", "last").union(taken).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
         final = texts.join(ranges, "row", "left").select("row", "id", "packed", "ranges")
         result = saved(final.mapInArrow(_kept_words(window, with_text), "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text))
-        for rows in (wanted, settled, windows):
+        for rows in (wanted, settled, open_ranges, windows):
             forget(rows)
         self.runs.append(run)
         self.batches += 1
@@ -314,15 +324,20 @@ class FingerprintIndex:
         return result.withColumnRenamed("id", id_column)
 
     def compact(self) -> None:
-        """Merges all runs into one once there are max_runs of them."""
-        if len(self.runs) < self.max_runs:
+        """Merges the newest runs while the one before them is not much larger."""
+        sizes = [self.spark.table(self._run(r)).count() for r in self.runs]  # from the files' footers
+        first, total = len(self.runs) - 1, sizes[-1] if sizes else 0
+        while first > 0 and sizes[first - 1] <= self.ratio * total:
+            first -= 1
+            total += sizes[first]
+        old = self.runs[first:]
+        if len(old) < 2:
             return
-        rows = reduce(DataFrame.union, [self.spark.table(self._run(r)) for r in self.runs])
-        merged = (self.runs[0][0], self.runs[-1][1])
-        self._write(self._run(merged), rows, "h")
-        for run in self.runs:
+        merged = (old[0][0], old[-1][1])
+        self._write(self._run(merged), reduce(DataFrame.union, [self.spark.table(self._run(r)) for r in old]), "h")
+        for run in old:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._run(run)}")
-        self.runs = [merged]
+        self.runs = [*self.runs[:first], merged]
 
     def drop(self) -> None:
         for name in self._tables():

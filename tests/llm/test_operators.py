@@ -128,13 +128,36 @@ def test_substring_index_outlives_the_call(spark):
     got = []
     for low, high in ((0, 10), (10, 11), (11, 11), (11, 30), (30, 40)):
         index = substring_dedup.FingerprintIndex(spark, name)
-        assert len(index.runs) <= substring_dedup.MAX_RUNS
+        sizes = [spark.table(index._run(r)).count() for r in index.runs]
+        assert all(a > substring_dedup.RATIO * b for a, b in zip(sizes, sizes[1:], strict=False) if b)
         got += map(tuple, index.add(documents(spark, texts[low:high], range(low, high))).collect())
     assert sorted(got) == slow_dedup(list(enumerate(texts)))
     substring_dedup.FingerprintIndex(spark, name).drop()
     assert not spark.sql(f"SHOW TABLES LIKE '{name}_*'").collect()
 
 
+def test_compaction_rewrites_few_rows(spark, monkeypatch):
+    """Ten equal batches: each row is rewritten as often as its run doubles, not with every batch."""
+    written, write = [], substring_dedup.FingerprintIndex._write
+
+    def noted(self, name, rows, by):
+        table = write(self, name, rows, by)
+        if "_run_" in name:
+            written.append(table.count())
+        return table
+
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "_write", noted)
+    rng = random.Random(3)
+    index = substring_dedup.FingerprintIndex(spark)
+    texts = [prose(rng, 60) for _ in range(40)]
+    for batch in range(10):
+        index.add(documents(spark, texts[4 * batch : 4 * batch + 4], range(4 * batch, 4 * batch + 4)))
+    total = sum(spark.table(index._run(r)).count() for r in index.runs)
+    index.drop()
+    assert index.runs == [] and total > 0
+    assert sum(written) <= 4.5 * total
+
+
 def test_substring_dedup_empty_and_null_ids(spark):
     assert substring_dedup.deduplicate(documents(spark, [])).count() == 0
     same = "a b c d e f g h i j k l m n"
