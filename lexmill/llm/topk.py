@@ -304,7 +304,7 @@ def _indexed(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def top_k_table(embeddings: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
-    vectors = whole_vectors(embeddings)
+    vectors = saved(whole_vectors(embeddings))
     return top_k(vectors, vectors.where(F.col("vec_id") % every == 0), k)
 
 
