@@ -47,7 +47,7 @@ def ingest(docs: DataFrame, key: str, text: str, records: DataFrame | None = Non
     return kept.select("document", "doc_hash", "place", "chunk_hash", F.length("chunk").alias("n_chars"), "chunk")
 
 
-def token_coverage(needles: Column, haystack: Column) -> Column:
+def distinct_coverage(needles: Column, haystack: Column) -> Column:
     """Share of the distinct needles (an array) that are in the haystack; 0 without needles."""
     own = F.array_distinct(needles)
     return F.when(F.size(own) > 0, F.size(F.array_intersect(own, haystack)) / F.size(own)).otherwise(0.0)

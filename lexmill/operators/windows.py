@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,20 +65,28 @@ def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def chained(df: DataFrame, by: list[str], order: list[str], fields: list[str]) -> DataFrame:
-    """Adds prev_hash and curr_hash, SHA-256 of the hash before and the row's fields.
+    """(by, pos, order, curr_hash): SHA-256 of the hash before and the row's fields.
 
-    A hash needs the one before, so each group is folded in order; groups stay apart and run in parallel.
+    A hash needs the one before, so the rows of a group pass one task in order; it holds nothing but the last hash. Groups run in parallel.
     """
-    item = F.struct(*order, F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]).alias("_line"))
-    folded = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = F.sha2(F.concat(acc["last"], x["_line"]), 256)
-        return F.struct(new.alias("last"), F.concat(acc["all"], F.array(new)).alias("all"))
-
-    hashes = F.aggregate("_items", start, step, lambda acc: acc["all"])
-    return folded.select(*by, F.posexplode(F.arrays_zip("_items", hashes.alias("h"))).alias("pos", "x")).select(*by, "pos", *[F.col(f"x._items.{o}").alias(o) for o in order], F.col("x.h").alias("curr_hash"))
+    line = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+    rows = df.select(*by, *order, line.alias("_line")).repartition(*by).sortWithinPartitions(*by, *order, "_line")
+    keys, names = len(by), [*by, "pos", *order, "curr_hash"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, pos = None, "", -1
+        for batch in batches:
+            hashes, places = [], []
+            for own, text in zip(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if own != key:
+                    key, last, pos = own, "", -1
+                last, pos = hashlib.sha256((last + text).encode()).hexdigest(), pos + 1
+                hashes.append(last)
+                places.append(pos)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keys], pa.array(places, pa.int32()), *batch.columns[keys:-1], pa.array(hashes, pa.string())], names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(fold, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "pos int", *[f"`{c}` {kinds[c]}" for c in order], "curr_hash string"]))
 
 
 def chain_intact(df: DataFrame, by: list[str], order: list[str], line: Column, prev: str, curr: str) -> DataFrame:

@@ -43,13 +43,13 @@ _COVER = "CASE WHEN len(list_distinct(q)) > 0 THEN len(list_intersect(list_disti
 
 @register("token_coverage", f"WITH {_ASKED} SELECT conv_id, turn, round({_COVER}, 9) AS coverage FROM asked", "conversations")
 def token_coverage(turns: DataFrame) -> DataFrame:
-    return I.asked(turns).select("conv_id", "turn", F.round(I.token_coverage(F.col("q"), F.col("t")), 9).alias("coverage"))
+    return I.asked(turns).select("conv_id", "turn", F.round(I.distinct_coverage(F.col("q"), F.col("t")), 9).alias("coverage"))
 
 
 @register("context_precision", f"WITH {_ASKED} SELECT conv_id, count(*) AS turns, count(*) FILTER ({_COVER} >= 0.1) AS covering, round(avg(({_COVER} >= 0.1)::INT), 9) AS precision FROM asked GROUP BY 1", "conversations")
 def context_precision(turns: DataFrame) -> DataFrame:
     """Share of turns that cover so much of the first; a tenth here, as invented prose repeats few words."""
-    covers = I.token_coverage(F.col("q"), F.col("t")) >= 0.1
+    covers = I.distinct_coverage(F.col("q"), F.col("t")) >= 0.1
     return I.asked(turns).groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(covers).alias("covering"), F.round(F.avg(covers.cast("int")), 9).alias("precision"))
 
 
@@ -59,7 +59,7 @@ _FEATURES = f"round(0.6 * ({_COVER}) + 0.3 / turn + 0.1 * least(n_chars, 500) /
 @register("feature_rerank", f"WITH {_ASKED} SELECT conv_id, turn, {_FEATURES} AS score, row_number() OVER (PARTITION BY conv_id ORDER BY {_FEATURES} DESC, turn)::INTEGER AS rank FROM asked WHERE turn > 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY {_FEATURES} DESC, turn) <= 3", "conversations")
 def feature_rerank(turns: DataFrame) -> DataFrame:
     """Weighted features of each turn: coverage of the question, earliness, length. The best three stay."""
-    score = F.round(0.6 * I.token_coverage(F.col("q"), F.col("t")) + 0.3 / F.col("turn") + 0.1 * F.least(F.col("n_chars"), F.lit(500)) / 500, 9)
+    score = F.round(0.6 * I.distinct_coverage(F.col("q"), F.col("t")) + 0.3 / F.col("turn") + 0.1 * F.least(F.col("n_chars"), F.lit(500)) / 500, 9)
     scored = I.asked(turns).where("turn > 0").select("conv_id", "turn", score.alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn"))).where("rank <= 3")
 
@@ -67,7 +67,7 @@ def feature_rerank(turns: DataFrame) -> DataFrame:
 @register("coverage_order", f"WITH {_ASKED} SELECT conv_id, list(turn ORDER BY round(({_COVER}) / turn, 9) DESC, turn) AS turns FROM asked WHERE turn > 0 GROUP BY 1", "conversations")
 def coverage_order(turns: DataFrame) -> DataFrame:
     """Turns of each conversation by coverage times relevance, their earliness."""
-    priority = F.round(I.token_coverage(F.col("q"), F.col("t")) / F.col("turn"), 9)
+    priority = F.round(I.distinct_coverage(F.col("q"), F.col("t")) / F.col("turn"), 9)
     listed = I.asked(turns).where("turn > 0").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct((-priority).alias("p"), "turn"))).alias("l"))
     return listed.select("conv_id", F.transform("l", lambda x: x["turn"]).alias("turns"))
 
@@ -76,7 +76,7 @@ def coverage_order(turns: DataFrame) -> DataFrame:
 max({_COVER}) > 0 AND max(n_chars) >= 200 AND count(*) FILTER (role = 'assistant') > 0 AS answerable FROM asked GROUP BY 1""", "conversations")
 def retrieval_verdict(turns: DataFrame) -> DataFrame:
     """Failure codes of each conversation, and whether it has none."""
-    flags = I.asked(turns).groupBy("conv_id").agg((F.max(I.token_coverage(F.col("q"), F.col("t"))) == 0).alias("nothing_covered"), (F.max("n_chars") < 200).alias("too_short"), (F.count_if(F.col("role") == "assistant") == 0).alias("no_answer"))
+    flags = I.asked(turns).groupBy("conv_id").agg((F.max(I.distinct_coverage(F.col("q"), F.col("t"))) == 0).alias("nothing_covered"), (F.max("n_chars") < 200).alias("too_short"), (F.count_if(F.col("role") == "assistant") == 0).alias("no_answer"))
     codes = F.concat_ws(",", *[F.when(F.col(c), c) for c in ("nothing_covered", "too_short", "no_answer")])
     return flags.select("conv_id", codes.alias("failures"), (codes == "").alias("answerable"))
 

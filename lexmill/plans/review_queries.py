@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.operators import provision_features as V
 from lexmill.operators import review as R
 from lexmill.plans._registering import register
 
@@ -66,3 +67,31 @@ def answer_reviews(conv: DataFrame) -> DataFrame:
     found = R.answer_reviews(answers)
     joined = lambda c: F.array_join(c, ",").alias(c)
     return found.select("query", joined("missing_forms"), joined("extra_forms"), F.size("missing_steps").alias("missing_steps"), joined("recommendations"))
+
+
+_WORDS = V.Vocabulary(("cumin", "ginger", "masala", "milk", "mixed masala", "ice cream"), ("cocktail", "paste"), ("black", "white"), ("pan", "garam"), ("whole", "powder", "ground"))
+_KINDS = ("2.9.8: Cumin (Zeera) 1. Cumin whole means the dried fruit. ", "(i) Moisture not more than 10.0 percent by weight. ", "2.3.22: Ginger Cocktail shall conform to the standards. ", "Whoever sells is liable to a fine. ", "")
+
+
+def provision_pool(conv: DataFrame) -> DataFrame:
+    """Turns as a conversation's pool, each with a stated provision before its text; the question turns on the conversation's number."""
+    kind = F.col("turn") % 5
+    opening = F.get(F.array(*map(F.lit, _KINDS)), kind.cast("int"))
+    intents = F.array(*map(F.lit, ("food_standard", "definition", "penalty", "parameter_specific_standard")))
+    intent = F.get(intents, (F.col("conv_id") % 4).cast("int"))
+    return conv.select(
+        F.col("conv_id").alias("query"), F.col("turn").alias("item"), (F.length("text") % 97 / 97.0).alias("score"), F.lit(None).cast("double").alias("ce"), F.concat(opening, F.coalesce("text", F.lit(""))).alias("text"), F.lit("Food rules").alias("title"),
+        F.when(kind < 2, "2.9.8").when(kind == 2, "2.3.22").alias("clause"), F.when(kind == 3, "51").alias("section"), F.when(kind < 3, kind % 2).cast("int").alias("position"), (kind == 1).alias("parent_in_context"),
+        F.when(F.col("conv_id") % 3 < 2, "cumin").alias("entity"), intent.alias("intent"), F.when(intent == "penalty", "penalty").when(intent == "definition", "definition").otherwise("standard").alias("wanted"), F.array(F.lit("moisture")).alias("parameters"),
+    )
+
+
+@register("provision_fields", None, "conversations")
+def provision_fields(conv: DataFrame) -> DataFrame:
+    return V.provision_metadata(provision_pool(conv), _WORDS).select("query", "item", "commodity", "document_role", "provision_type", "section_key", "table", "has_measurement", "row_count")
+
+
+@register("legal_reranked", None, "conversations")
+def legal_reranked(conv: DataFrame) -> DataFrame:
+    """The best three turns by all legal features; tests/test_provision_features.py has the rules."""
+    return V.legal_rerank(V.provision_metadata(provision_pool(conv), _WORDS), _WORDS, 3)
