@@ -43,10 +43,15 @@ def prose(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", F.concat(F.lit("Under section "), n, F.lit("(1) and Section "), n + 1, F.lit(" read with rule "), n % 9, F.lit(" of schedule IV, chapter 2.")).alias("t"))
 
 
-@register("section_refs", rf"SELECT p_partkey, list_sort(list_distinct(regexp_extract_all({PROSE}, '(?i)\bsections?\s+(\d{{1,4}}(?:\([0-9a-z]+\))*)', 1))) AS sections, len(regexp_extract_all({PROSE}, '(?i)\bsections?\s+(\d{{1,4}}(?:\([0-9a-z]+\))*)', 1))::INTEGER AS n FROM part", "part")
-def section_refs(part: DataFrame) -> DataFrame:
-    found = X.sections_in(F.col("t"))
-    return prose(part).select("p_partkey", F.array_sort(F.array_distinct(found)).alias("sections"), F.size(found).alias("n"))
+#: Documents name no sections, dates or sources, so each is read with stated ones behind its text.
+_NAMED = "coalesce(text, '') || ' Under section ' || (doc_id % 90) || '(1) and Sections ' || (doc_id % 7 + 1) || '(2)(b) as of ' || CASE doc_id % 3 WHEN 0 THEN '2021-03-' || (10 + doc_id % 19) WHEN 1 THEN (1 + doc_id % 28) || '/7/1999' ELSE '3 May 2010 and 3 May 2010' END || ', as [' || (doc_id % 50) || '] and [Source ' || (doc_id % 5) || '] and [' || (doc_id % 50) || '] say.'"
+_FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+@register("section_refs", rf"WITH d AS (SELECT doc_id, regexp_extract_all({_NAMED}, '(?i)\bsections?\s+(\d{{1,4}}(?:\([0-9a-z]+\))*)', 1) AS s FROM documents) SELECT doc_id, list_sort(list_distinct(s)) AS sections, len(s)::INTEGER AS n FROM d", "documents")
+def section_refs(docs: DataFrame) -> DataFrame:
+    found = X.sections_in(F.expr(_NAMED))
+    return docs.select("doc_id", F.array_sort(F.array_distinct(found)).alias("sections"), F.size(found).alias("n"))
 
 
 @register("reference_spans", f"""SELECT p_partkey, kind, confidence, raw, strpos(t, raw)::INTEGER - 1 AS start, (strpos(t, raw) - 1 + length(raw))::INTEGER AS "end" FROM (SELECT p_partkey, t, unnest(['section', 'section', 'rule', 'schedule', 'chapter', 'relation']) AS kind, unnest(['HIGH', 'HIGH', 'HIGH', 'MEDIUM', 'MEDIUM', 'LOW']) AS confidence,
@@ -95,23 +100,28 @@ def claim_support(conv: DataFrame) -> DataFrame:
     return claim.join(evidence, ["conv_id", "turn"]).select("conv_id", "turn", "i", X.supports(F.col("claim"), F.col("evidence")).alias("supported"))
 
 
-@register("citation_numbers", r"SELECT p_partkey, [p_size, p_size + 2]::INTEGER[] AS cited FROM part", "part")
-def citation_numbers(part: DataFrame) -> DataFrame:
-    n = F.col("p_size")
-    t = F.concat(F.lit("as ["), n, F.lit("] and [Source "), n + 2, F.lit("] and ["), n, F.lit("] say"))
-    return part.select("p_partkey", X.citations(t).alias("cited"))
+@register("citation_numbers", rf"WITH d AS (SELECT doc_id, list_transform(regexp_extract_all({_NAMED}, '\[(?:Source )?(\d+)\]', 1), lambda x: x::INTEGER) AS c FROM documents) SELECT doc_id, {_FIRST.format('c')} AS cited FROM d", "documents")
+def citation_numbers(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", X.citations(F.expr(_NAMED)).alias("cited"))
+
+
+_DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}[/.-]\d{1,2}[/.-]\d{4}|\d{1,2}\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}"
+
+
+@register("date_candidates", f"WITH d AS (SELECT doc_id, regexp_extract_all({_NAMED}, '{_DATE}', 0) AS f FROM documents) SELECT doc_id, {_FIRST.format('f')}[1:10] AS found FROM d", "documents")
+def date_candidates(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", X.date_candidates(F.expr(_NAMED)).alias("found"))
 
 
-@register("date_candidates", "SELECT o_orderkey, [strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%d/%m/%Y')] AS found FROM orders", "orders")
-def date_candidates(orders: DataFrame) -> DataFrame:
-    d = F.col("o_orderdate")
-    t = F.concat(F.lit("on "), F.date_format(d, "yyyy-MM-dd"), F.lit(", that is "), F.date_format(d, "dd/MM/yyyy"), F.lit("; again "), F.date_format(d, "yyyy-MM-dd"))
-    return orders.select("o_orderkey", X.date_candidates(t).alias("found"))
+_SCRIPTS = "CASE doc_id % 4 WHEN 0 THEN repeat('खाद्य सुरक्षा ', (length(text) // 8 + 3)::INT) WHEN 1 THEN repeat('খাদ্য ', (length(text) // 5 + 3)::INT) WHEN 2 THEN 'খাদ্য खाद्य ' ELSE '' END || coalesce(text, '')"
 
 
-@register("script_language", r"SELECT doc_id, 'English' AS language, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) = 0 THEN 0.5 ELSE 0.95 END::DOUBLE AS confidence FROM documents", "documents")
+@register("script_language", rf"""WITH d AS (SELECT doc_id, {_SCRIPTS} AS t FROM documents), c AS (SELECT doc_id, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS l, length(regexp_replace(t, '[^\x{{0900}}-\x{{097F}}]', '', 'g')) AS h, length(regexp_replace(t, '[^\x{{0980}}-\x{{09FF}}]', '', 'g')) AS b FROM d)
+SELECT doc_id, CASE WHEN l + h + b = 0 OR 2 * l > l + h + b THEN 'English' WHEN h >= b THEN 'Hindi' ELSE 'Bengali' END AS language, CASE WHEN l + h + b = 0 THEN 0.5 ELSE round(least(0.95, greatest(l, h, b) / (l + h + b)), 6) END::DOUBLE AS confidence FROM c""", "documents")
 def script_language(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", X.script_of(F.col("text")).alias("s")).select("doc_id", "s.language", "s.confidence")
+    """Half of the texts have as much or more of another script before them."""
+    text = F.expr(_SCRIPTS.replace("::INT", "").replace("length(text) // 8 + 3", "int(length(text) div 8 + 3)").replace("length(text) // 5 + 3", "int(length(text) div 5 + 3)"))
+    return docs.select("doc_id", X.script_of(text).alias("s")).select("doc_id", "s.language", "s.confidence")
 
 
 @register("chunk_quality", r"""SELECT doc_id, q, CASE WHEN q >= 0.85 THEN 'A' WHEN q >= 0.7 THEN 'B' WHEN q >= 0.5 THEN 'C' WHEN q >= 0.3 THEN 'D' ELSE 'F' END AS grade FROM (SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.7::DOUBLE - 0.3::DOUBLE * (length(text) < 50)::INT - 0.1::DOUBLE * (length(text) > 4000)::INT - 0.1::DOUBLE * (NOT regexp_matches(text, '[.!?;:]\s*$'))::INT + 0.2::DOUBLE * regexp_matches(text, '(?i)\bsection\s+\d')::INT)), 6) AS q FROM documents)""", "documents")

@@ -17,14 +17,29 @@ def notice(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", "p_size", text.alias("t"))
 
 
-@register("rule_entities", "SELECT p_partkey, unnest(['statute', 'case', 'organization', 'person']) AS type, unnest([0.9, 0.85, 0.8, 0.7])::DOUBLE AS confidence, unnest(['The Food Safety Act, 2006', 'Nair v. Acme', 'Food Safety Authority', 'Mr. Ravi Nair']) AS value FROM part", "part")
-def rule_entities(part: DataFrame) -> DataFrame:
-    return notice(part).select("p_partkey", F.explode(D.entities(F.col("t"))).alias("e")).select("p_partkey", "e.*")
+_NOTICE = "coalesce(text, '') || ' The Food Safety Act, 20' || (10 + doc_id % 80) || ' notification. Mr. Ravi Nair v. Acme of the Food Safety Authority, batch ' || doc_id || '.'"
+_ENTITIES = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS type, {confidence}::DOUBLE AS confidence, unnest(list_distinct(regexp_extract_all(t, '{pattern}', 0))) AS value FROM d" for kind, confidence, pattern in D.ENTITIES)
 
 
-@register("document_types", "SELECT p_partkey, 'act' AS kind, 2006 AS year, 0.9::DOUBLE AS confidence FROM part", "part")
-def document_types(part: DataFrame) -> DataFrame:
-    return notice(part).select("p_partkey", D.document_type(F.col("t")).alias("d")).select("p_partkey", "d.*")
+def noticed(docs: DataFrame) -> DataFrame:
+    """Whole texts with a stated notice behind them."""
+    return docs.select("doc_id", F.expr(_NOTICE).alias("t"))
+
+
+@register("rule_entities", f"WITH d AS (SELECT doc_id, {_NOTICE} AS t FROM documents) {_ENTITIES}", "documents")
+def rule_entities(docs: DataFrame) -> DataFrame:
+    return noticed(docs).select("doc_id", F.explode(D.entities(F.col("t"))).alias("e")).select("doc_id", "e.*")
+
+
+_HEADS = "CASE doc_id % 6 WHEN 0 THEN 'Rules of 1987. ' WHEN 1 THEN 'NOTIFICATION no 5 ' WHEN 2 THEN 'The petitioner says in 2003: ' WHEN 3 THEN 'Regulation 1750 ' ELSE '' END || coalesce(text, '')"
+
+
+@register("document_types", rf"""WITH d AS (SELECT doc_id, lower(substr({_HEADS}, 1, 500)) AS h FROM documents),
+k AS (SELECT doc_id, h, CASE WHEN regexp_matches(h, '\bact\b') THEN 'act' WHEN regexp_matches(h, '\brules\b') THEN 'rules' WHEN regexp_matches(h, '\bregulations?\b') THEN 'regulations' WHEN regexp_matches(h, '\bnotification\b') THEN 'notification' WHEN regexp_matches(h, '\b(judgment|petitioner)\b') THEN 'judgment' ELSE 'other' END AS kind, nullif(regexp_extract(h, '\b((?:18|19|20)\d{{2}})\b', 1), '')::INTEGER AS year FROM d)
+SELECT doc_id, kind, year, CASE WHEN kind = 'other' THEN 0.3 WHEN year IS NULL THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence FROM k""", "documents")
+def document_types(docs: DataFrame) -> DataFrame:
+    """By the opening of each text, two thirds of them behind a stated one."""
+    return docs.select("doc_id", D.document_type(F.expr(_HEADS)).alias("d")).select("doc_id", "d.*")
 
 
 @register("validated_fields", "SELECT p_partkey, 'batch' AS name, p_size::VARCHAR AS value, 0.7::DOUBLE AS confidence FROM part UNION ALL SELECT p_partkey, 'maker', 'Zed', 0.2::DOUBLE FROM part", "part")
