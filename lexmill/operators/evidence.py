@@ -96,10 +96,11 @@ def sparse_vectors(index: DataFrame, buckets: int = 1 << 20, k1: float = 1.2, b:
 
 def renumbered_lines(text: Column) -> Column:
     """List markers such as ``3.`` at line starts, numbered anew from 1."""
-    own = F.split(text, "\n")
-    marked = F.transform(own, lambda x: x.rlike(r"^\s*\d+\.\s").cast("int"))
-    number = lambda i: F.aggregate(F.slice(marked, 1, i + 1), F.lit(0), lambda s, x: s + x).cast("string")
-    return F.array_join(F.transform(own, lambda x, i: F.when(x.rlike(r"^\s*\d+\.\s"), F.concat(F.regexp_extract(x, r"^\s*", 0), number(i), F.regexp_replace(x, r"^\s*\d+", ""))).otherwise(x)), "\n")
+    marker = r"(?m)^\s*\d+(?=\.[^\S\n])"
+    found, gaps = F.regexp_extract_all(text, F.lit(marker), F.lit(0)).alias("found"), F.split(text, marker, -1).alias("gap")
+    # A gap before each marker, and one behind the last; zipped, so that the text is split once.
+    part = lambda x, i: F.concat(x["gap"], F.coalesce(F.concat(F.regexp_extract(x["found"], r"^\s*", 0), (i + 1).cast("string")), F.lit("")))
+    return F.array_join(F.transform(F.arrays_zip(found, gaps), part), "")
 
 
 def steps_missing(said: Column, wanted: Column) -> Column:

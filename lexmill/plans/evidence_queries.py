@@ -86,16 +86,27 @@ def sparse_vectors(docs: DataFrame) -> DataFrame:
     return E.sparse_vectors(R.postings(docs, "doc_id", F.col("text")))
 
 
-@register("renumbered_paragraphs", "SELECT p_partkey, '1. a' || chr(10) || 'x' || chr(10) || '2. b ' || p_size || chr(10) || '3. c' AS t FROM part", "part")
-def renumbered(part: DataFrame) -> DataFrame:
-    raw = F.concat(F.lit("4. a\nx\n7. b "), F.col("p_size"), F.lit("\n9. c"))
-    return part.select("p_partkey", E.renumbered_lines(raw).alias("t"))
+_LISTED = "'4. a' || chr(10) || 'x' || chr(10) || '  7. b ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || '9. c' || chr(10) || '3.'"
 
 
-@register("missing_steps", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN ['file form c'] ELSE [] END AS missing FROM part", "part")
-def missing_steps(part: DataFrame) -> DataFrame:
-    said = F.when(F.col("p_size") % 2 == 0, "First apply, then pay the fee.").otherwise("Apply, pay the fee, file form C.")
-    return part.select("p_partkey", E.steps_missing(said, F.lit("1. Apply\n2. Pay the fee\n3) File form C")).alias("missing"))
+@register("renumbered_paragraphs", rf"""WITH l AS (SELECT doc_id, i, l[i] AS x, regexp_matches(l[i], '^\s*\d+\.\s') AS m FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split({_LISTED}, chr(10)) AS l FROM documents))),
+n AS (SELECT *, sum(m::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l)
+SELECT doc_id, md5(string_agg(CASE WHEN m THEN regexp_extract(x, '^\s*') || k::INT || regexp_replace(x, '^\s*\d+', '') ELSE x END, chr(10) ORDER BY i)) AS hash FROM n GROUP BY 1""", "documents")
+def renumbered(docs: DataFrame) -> DataFrame:
+    """Whole texts between stated items of a list."""
+    return docs.select("doc_id", F.md5(E.renumbered_lines(F.expr(_LISTED.replace("chr(10)", "char(10)")))).alias("hash"))
+
+
+_WANTED = "'1. Apply' || chr(10) || '2. ' || coalesce(substr(text, 30, 12), 'none') || chr(10) || '3) File form ' || doc_id % 3"
+_DONE = "coalesce(text, '') || CASE doc_id % 2 WHEN 0 THEN ' First APPLY, then file form 1.' ELSE ' File form 2.' END"
+
+
+@register("missing_steps", rf"""WITH d AS (SELECT doc_id, lower({_DONE}) AS said, list_transform(regexp_extract_all({_WANTED}, '(?m)^\s*\d+[.)]\s*(.+)$', 1), lambda x: lower(trim(x))) AS w FROM documents)
+SELECT doc_id, array_to_string(list_filter(w, lambda x: NOT contains(said, x)), '|') AS missing FROM d""", "documents")
+def missing_steps(docs: DataFrame) -> DataFrame:
+    """Three steps, the second taken from the text itself, against the whole text."""
+    wanted = F.expr(_WANTED.replace("chr(10)", "char(10)"))
+    return docs.select("doc_id", F.array_join(E.steps_missing(F.expr(_DONE), wanted), "|").alias("missing"))
 
 
 _LINES = f"""SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents"""

@@ -152,9 +152,14 @@ def subqueries(part: DataFrame) -> DataFrame:
     return prose(part).select("p_partkey", X.subqueries(F.col("t")).alias("parts"))
 
 
-@register("query_difficulty", r"SELECT p_partkey, (len(regexp_split_to_array(t, '\s+')) > 12)::INT + 1 + 1 AS score FROM (SELECT p_partkey, " + PROSE + " AS t FROM part)", "part")
-def query_difficulty(part: DataFrame) -> DataFrame:
-    return prose(part).select("p_partkey", X.difficulty(F.col("t")).alias("score"))
+_SIGNS = [r"\band\b", r"\b(compare|versus|difference)\b", r"\b(before|after|since|until)\b", r"\b(except|unless|exempt)", r"\b(not|never|without)\b"]
+_ASKED = "coalesce(substr(text, 1, 60), '') || CASE doc_id % 5 WHEN 0 THEN ' Under section 3 AND Section 4 unless it is not so' WHEN 1 THEN ' compare section 9 before' WHEN 2 THEN ' without difference' ELSE '' END"
+
+
+@register("query_difficulty", rf"WITH d AS (SELECT doc_id, {_ASKED} AS t FROM documents) SELECT doc_id, (len(regexp_split_to_array(t, '\s+')) > 12)::INT + (len(regexp_extract_all(t, '(?i)\bsections?\s+(\d{{1,4}}(?:\([0-9a-z]+\))*)', 1)) > 1)::INT + " + " + ".join(f"regexp_matches(lower(t), '{p}')::INT" for p in _SIGNS) + " AS score FROM d", "documents")
+def query_difficulty(docs: DataFrame) -> DataFrame:
+    """The opening words of each document as a question, three in five with stated ones behind."""
+    return docs.select("doc_id", X.difficulty(F.expr(_ASKED)).alias("score"))
 
 
 @register("document_chunks", "SELECT doc_id, c::INTEGER AS chunk, (c * 900)::INTEGER AS start, md5(substr(text, c * 900 + 1, 1000)) AS digest FROM (SELECT doc_id, text, unnest(range(0, greatest(0, floor((length(text) - 101) / 900))::BIGINT + 1)) AS c FROM documents)", "documents")

@@ -42,11 +42,14 @@ def document_types(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", D.document_type(F.expr(_HEADS)).alias("d")).select("doc_id", "d.*")
 
 
-@register("validated_fields", "SELECT p_partkey, 'batch' AS name, p_size::VARCHAR AS value, 0.7::DOUBLE AS confidence FROM part UNION ALL SELECT p_partkey, 'maker', 'Zed', 0.2::DOUBLE FROM part", "part")
-def validated_fields(part: DataFrame) -> DataFrame:
+@register("validated_fields", f"""WITH d AS (SELECT doc_id, {_NOTICE} AS t, lang, source FROM documents), f AS (SELECT doc_id, t, unnest(['batch', 'language', 'source']) AS name, unnest([doc_id::VARCHAR, lang, source]) AS value, unnest([0.6, 0.4, 0.95])::DOUBLE AS c FROM d)
+SELECT doc_id, name, value, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, c + CASE WHEN contains(t, value) THEN 0.1 ELSE -0.2 END::DOUBLE)), 6) AS confidence FROM f WHERE value IS NOT NULL""", "documents")
+def validated_fields(docs: DataFrame) -> DataFrame:
+    """Fields of each document's row, held against its whole text."""
     field = lambda n, v, c: F.struct(F.lit(n).alias("name"), v.alias("value"), F.lit(c).alias("confidence"))
-    fields = F.array(field("batch", F.col("p_size").cast("string"), 0.6), field("maker", F.lit("Zed"), 0.4))
-    return notice(part).select("p_partkey", F.explode(D.agreeing(fields, F.col("t"))).alias("f")).select("p_partkey", "f.*")
+    fields = F.array(field("batch", F.col("doc_id").cast("string"), 0.6), field("language", F.col("lang"), 0.4), field("source", F.col("source"), 0.95))
+    rows = docs.select("doc_id", F.expr(_NOTICE).alias("t"), fields.alias("f"))
+    return rows.select("doc_id", F.explode(D.agreeing(F.col("f"), F.col("t"))).alias("f")).select("doc_id", "f.*").where("value IS NOT NULL")
 
 
 @register("toc_html", None, "pages")
