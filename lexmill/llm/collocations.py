@@ -288,10 +288,6 @@ def _part(phrase: Column, first: Column, count: Column) -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), first, count), " ")
 
 
-def _whole(x: Column, digits: int) -> Column:
-    return x.cast(f"decimal({digits},0)")
-
-
 def scored(trie: DataFrame) -> DataFrame:
     """lang, phrase, m, a, k, l, r, n, score of every phrase of two words or more, by its lowest cut."""
     nodes = trie.where("m > 0")
