@@ -151,24 +151,43 @@ def score_at_a_time(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray,
     bar = np.full(len(queries), -np.inf) if bars is None else bars.astype(np.float64)
     q, q_norm = queries.astype(kind), np.sqrt((queries.astype(np.float64) ** 2).sum(1)) * (1 + 1e-6)
     own = query_ids[:, None] == ids[None, :]
-    possible = ~own & (np.multiply.outer(q_norm, norms) + 1 >= bar[:, None])
     score = np.zeros((len(queries), len(ids)), kind)
-    read, few = 0, max(FEW * k, 1)
-    exact = not segments
+    read, few, exact = 0, max(FEW * k, 1), not segments
+    possible = ~own
+    if not (q_norm * norms.max(initial=0) + 1 >= bar).any():
+        possible[:] = False
+        segments = []
+
+    def bounded(slack) -> np.ndarray:
+        return ~own & (score + slack + (0 if exact else 1) >= bar[:, None])
+
+    def raised(slack) -> np.ndarray:
+        """Bars by the k-th best lower bound."""
+        if len(ids) < k:
+            return bar
+        return np.maximum(bar, np.partition(np.where(own, -np.inf, score - slack), len(ids) - k, axis=1)[:, len(ids) - k])
+
+    few_enough = few * len(queries)
+    some = slice(None, None, max(1, len(ids) // 128))
     for s in segments:
-        if not possible.any():
-            break
         dense = np.zeros((len(ids), wide), kind)
         dense[s.positions, s.components] = s.values
         score += q @ dense.T
         read += len(s.values)
         exact = s is segments[-1]
-        slack = 0 if exact else (np.multiply.outer(q_norm, s.rest) * (1 + 1e-6)).astype(real)
-        low = np.where(own, -np.inf, score - slack)
-        if len(ids) >= k:
-            bar = np.maximum(bar, np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k])
-        possible &= score + slack + (0 if exact else 1) >= bar[:, None]
-        if possible.sum() <= few * len(queries):
+        if exact:
+            possible = bounded(0)
+            if possible.sum() > 4 * few_enough:
+                bar = raised(0)
+                possible = bounded(0)
+            break
+        # Bounds cost as much as the product: with bars from an earlier block they are taken of all vectors only if some show that it pays.
+        if bars is not None and (score[:, some] + np.multiply.outer(q_norm, s.rest[some]) + 1 >= bar[:, None]).mean() * len(ids) > 4 * few:
+            continue
+        slack = (np.multiply.outer(q_norm, s.rest) * (1 + 1e-6)).astype(real)
+        bar = raised(slack)
+        possible = bounded(slack)
+        if possible.sum() <= few_enough:
             break
     found, ended = [], bar.copy()
     for i, query_id in enumerate(query_ids.tolist()):
