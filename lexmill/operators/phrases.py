@@ -193,3 +193,59 @@ def metadata(docs: DataFrame, key: str, text: str, rules: list[Rule], defaults:
     method = F.when(F.size("_best") > 0, "regex").otherwise("default")
     scored = F.when((F.size("_best") == 0) & (F.col("_default") == ""), 0.0).otherwise(field_score(value, method, F.col("_best"), F.col("_length")))
     return met.select(key, "field", value.alias("value"), method.alias("method"), scored.alias("score"))
+
+
+class TagRule(NamedTuple):
+    """A semantic edge wherever a pattern matches. needs: a phrase in lower case without which it cannot. outside: a relation whose matches it must not overlap.
+    apart: a pattern that must not stand within ``window`` letters of the match."""
+
+    relation: str
+    concept: str
+    confidence: float
+    pattern: str
+    needs: str | None = None
+    outside: str | None = None
+    apart: str | None = None
+    window: int = 60
+
+
+def semantic_edges(docs: DataFrame, key: str, text: str, rules: list[TagRule], least: float = 0.7, shortest: int = 40) -> DataFrame:
+    """(key, relation, concept, confidence, evidence, place): of each relation and concept the first rule of the table, in its order, that matches, at its first
+    match that the rule allows. Evidence is the match with 60 letters before and 80 behind, white space collapsed.
+
+    The table may hold thousands of rules; together they are at most ``BLOCK`` letters. Null and short texts have no edges.
+    """
+    if sum(len(r.pattern) for r in rules) > BLOCK:
+        raise ValueError("the rules are more than one block; precedence needs them together")
+    kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rules if r.confidence >= least])
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [TagRule(*r) for r in shared.value]
+        needed = list(dict.fromkeys(r.needs for r in own if r.needs))
+        automaton = _automaton(needed)
+        compiled = [(re.compile(r.pattern), re.compile(r.apart) if r.apart else None) for r in own]
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                body = t.as_py() or ""
+                if len(body.strip()) < shortest:
+                    continue
+                met = {needed[i] for i, _, _ in _hits(automaton, _lowered(body), False)}
+                seen, spans = set(), {}
+                for r, (pattern, apart) in zip(own, compiled, strict=True):
+                    if (r.relation, r.concept) in seen or (r.needs and r.needs not in met):
+                        continue
+                    barred = spans.get(r.outside, ())
+                    for m in pattern.finditer(body):
+                        if any(m.start() < e and s < m.end() for s, e in barred) or (apart and apart.search(body[max(0, m.start() - r.window) : m.end() + r.window])):
+                            continue
+                        seen.add((r.relation, r.concept))
+                        spans.setdefault(r.relation, []).append((m.start(), m.end()))
+                        rows.append((k, r.relation, r.concept, r.confidence, " ".join(body[max(0, m.start() - 60) : m.end() + 80].split()), m.start()))
+                        break
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], [key, "relation", "concept", "confidence", "evidence", "place"])
+
+    return docs.select(F.col(key), F.col(text).cast("string").alias("_text")).mapInArrow(tag, f"`{key}` {kind}, relation string, concept string, confidence double, evidence string, place int")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import identity as N
 from lexmill.operators import evidence as E
+from lexmill.operators import phrases as H
 from lexmill.operators import provisions as P
 from lexmill.plans._registering import register
 from lexmill.plans.retrieval_queries import _tokens
@@ -112,3 +113,28 @@ def isolated_provisions(docs: DataFrame) -> DataFrame:
     chunks = known.select("document", F.posexplode(F.array(*parts)).alias("chunk_index", "text")).withColumn("chunk_id", F.concat_ws("#", "document", "chunk_index")).withColumn("last_section", F.lit(20))
     found = P.isolated(chunks)
     return found.select("document", "number", "start", "end", F.array_join("chunk_ids", ",").alias("chunk_ids"), "modality", "is_proviso", "confidence", F.md5("text").alias("text_md5"))
+
+
+# Wording of prohibitions, penalties, offences, powers, permissions, duties, procedures, definitions, exemptions and declarations.
+EDGE_RULES = [
+    H.TagRule("PROHIBITS", "Prohibition", 0.9, r"(?i)\bshall\s+not\b", "shall"), H.TagRule("PROHIBITS", "Prohibition", 0.85, r"(?i)\bno\s+person\s+shall\b", "person"), H.TagRule("PROHIBITS", "Prohibition", 0.85, r"(?i)\bprohibited\b", "prohibited"),
+    H.TagRule("PROHIBITS", "Prohibition", 0.8, r"(?i)\bit\s+shall\s+be\s+unlawful\b", "unlawful"), H.TagRule("PROHIBITS", "Prohibition", 0.8, r"(?i)\bmust\s+not\b", "must"), H.TagRule("PROHIBITS", "Prohibition", 0.72, r"(?i)\bprohibition\s+(?:against|of|on)\b", "prohibition"),
+    H.TagRule("PRESCRIBES_PENALTY", "Penalty", 0.95, r"(?i)(?:punishable|punished)\s*with\s*(?:imprisonment|fine|both)", "punish"), H.TagRule("PRESCRIBES_PENALTY", "Penalty", 0.9, r"(?i)imprisonment\s*(?:for|of|which\s*may\s*extend)", "imprisonment"),
+    H.TagRule("PRESCRIBES_PENALTY", "Penalty", 0.85, r"(?i)fine\s*(?:which\s*may\s*extend|not\s*exceeding)", "fine"), H.TagRule("PRESCRIBES_PENALTY", "Penalty", 0.85, r"(?i)penalty\s*(?:of|for)", "penalty"),
+    H.TagRule("PRESCRIBES_PENALTY", "Penalty", 0.72, r"(?i)\b(?:rupees|Rs\.?|/-)(?![A-Za-z])", None, None, r"(?i)\b(?:fees?|charges?\s+(?:for|payable|levied|collected)|tax(?:es)?|rent(?:al)?|refund(?:able)?|remuneration|honorarium|non-refundable|compounding)\b"),
+    H.TagRule("CREATES_OFFENCE", "Offence", 0.9, r"(?i)shall\s*be\s*guilty\s*of\s*an\s*offence", "guilty"), H.TagRule("CREATES_OFFENCE", "Offence", 0.85, r"(?i)\bcommits?\s+an\s+offence\b", "offence"), H.TagRule("CREATES_OFFENCE", "Offence", 0.7, r"(?i)\boffence\b", "offence"),
+    H.TagRule("GRANTS_POWER_TO", "Power", 0.8, r"(?i)\bpower\s+to\b", "power"), H.TagRule("GRANTS_POWER_TO", "Power", 0.8, r"(?i)\bempowered\b", "empowered"), H.TagRule("GRANTS_POWER_TO", "Power", 0.8, r"(?i)\bauthori[sz]ed\s+to\b", "authori"),
+    H.TagRule("GRANTS_PERMISSION", "Permission", 0.8, r"(?i)\bmay\s+be\s+(?:granted|permitted|allowed)\b", "may"), H.TagRule("GRANTS_PERMISSION", "Permission", 0.7, r"(?i)\blicen[cs]e\b", "licen"),
+    H.TagRule("IMPOSES_DUTY", "Obligation", 0.7, r"(?i)\bshall\b", "shall", "PROHIBITS"), H.TagRule("IMPOSES_DUTY", "Obligation", 0.8, r"(?i)\bduty\s+to\b", "duty"), H.TagRule("IMPOSES_DUTY", "Duty", 0.8, r"(?i)\bit\s+shall\s+be\s+the\s+duty\b", "duty"),
+    H.TagRule("PRESCRIBES", "Procedure", 0.8, r"(?i)\bin\s+the\s+prescribed\s+manner\b", "prescribed"), H.TagRule("PRESCRIBES", "Procedure", 0.75, r"(?i)\bprocedure\b", "procedure"),
+    H.TagRule("DEFINES", "Definition", 0.85, r"(?i)\bis\s+said\s+to\s+be\b", "said"), H.TagRule("DEFINES", "Definition", 0.85, r"(?i)\bmeans\b(?!\s+to\s+mean)", "means"), H.TagRule("DEFINES", "Definition", 0.8, r"(?i)\b(?:refers\s+to|includes)\b"),
+    H.TagRule("EXEMPTS", "Exemption", 0.85, r"(?i)\bshall\s+not\s+apply\b", "apply"), H.TagRule("EXEMPTS", "Exemption", 0.8, r"(?i)\bshall\s+be\s+exempt\b", "exempt"), H.TagRule("EXEMPTS", "Exemption", 0.7, r"(?i)\bnotwithstanding\b", "notwithstanding"),
+    H.TagRule("DECLARES", "DeclarativeRule", 0.8, r"(?i)\b(?:shall|is|are)\s+(?:be\s+)?deemed\s+(?:to\s+be|an?|that)\b", "deemed"), H.TagRule("DECLARES", "DeclarativeRule", 0.8, r"(?i)\bshall\s+be\s+(?:construed|interpreted)\b", "shall"),
+]
+_LAWS = "coalesce(text, '') || CASE doc_id % 6 WHEN 0 THEN ' No person shall sell it; it shall be kept clean.' WHEN 1 THEN ' Whoever does is punishable with fine of Rs. 500.' WHEN 2 THEN ' A processing fee of Rs. 1,000 is due.' WHEN 3 THEN ' Milk means the secretion, and the officer has power to inspect.' WHEN 4 THEN ' This shall not apply, notwithstanding the rest.' ELSE '' END"
+
+
+@register("semantic_edges", None, "documents")
+def semantic_edges(docs: DataFrame) -> DataFrame:
+    """Edges by a table of thirty rules, with stated provisions behind each text."""
+    return H.semantic_edges(docs.select("doc_id", F.expr(_LAWS).alias("text")), "doc_id", "text", EDGE_RULES).withColumn("evidence", F.md5("evidence"))

@@ -59,3 +59,21 @@ def test_patterns_are_tried_only_where_they_can_match(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a1 b2 c"), (2, "b3")], "k long, t string")
     found = {(r.k, r.value) for r in P.candidates(df, "k", "t", rules).collect()}
     assert found == {(1, "1"), (1, "c")}
+
+
+def test_semantic_edges_follow_the_table(spark):
+    """A rule bars with its own match only, so the second "shall" of the last text is free."""
+    rules = [
+        P.TagRule("prohibits", "prohibition", 0.9, r"(?i)\bshall\s+not\b", "shall"), P.TagRule("prohibits", "prohibition", 0.8, r"(?i)\bprohibited\b", "prohibited"),
+        P.TagRule("penalises", "penalty", 0.72, r"(?i)\bRs\.?(?![A-Za-z])", "rs", None, r"(?i)\bfees?\b"), P.TagRule("obliges", "duty", 0.7, r"(?i)\bshall\b", "shall", "prohibits"), P.TagRule("weak", "x", 0.5, "a"),
+    ]
+    texts = {
+        1: "No one shall not sell, though each   of them SHALL keep records of it.", 2: "It is prohibited. They shall pay a fee of Rs. 100 and nothing more here.", 3: "Whoever does that is liable to pay Rs. 500, as is said in the schedule to this.",
+        4: "shall not", 5: None, 6: "They shall not, they shall not, and that is all that there is to be said.",
+    }
+    df = spark.createDataFrame(list(texts.items()), "k long, t string")
+    got = {}
+    for r in P.semantic_edges(df, "k", "t", rules).collect():
+        got.setdefault(r.k, {})[r.relation] = (r.place, r.confidence)
+        assert r.evidence in " ".join(texts[r.k].split())
+    assert got == {1: {"prohibits": (7, 0.9), "obliges": (texts[1].index("SHALL"), 0.7)}, 2: {"prohibits": (6, 0.8), "obliges": (texts[2].index("shall"), 0.7)}, 3: {"penalises": (texts[3].index("Rs"), 0.72)}, 6: {"prohibits": (5, 0.9), "obliges": (texts[6].rindex("shall"), 0.7)}}
