@@ -255,7 +255,7 @@ def citations_by_class(text: Column) -> Column:
 
 
 def statutes_cited(text: Column, least_words: int = 3) -> Column:
-    """Array of (kind, confidence, source): statute names of so many words at least, each once, constitutions apart.
+    """Array of (kind, confidence, source): statute names of so many different words at least, each once, constitutions apart.
 
     A match that starts before the end of the one accepted last is another reading of it and is left out.
     """
@@ -267,7 +267,8 @@ def statutes_cited(text: Column, least_words: int = 3) -> Column:
 
     def step(done: Column, m: Column) -> Column:
         key = F.regexp_replace(F.lower(m["source"]), "^the ", "")
-        words = F.size(F.filter(F.split(m["name"], r"\s+"), lambda w: w != ""))
+        # One word over and over ("The The The The") names nothing.
+        words = F.size(F.array_distinct(F.filter(F.split(F.lower(m["name"]), r"\s+"), lambda w: w != "")))
         ok = (m["start"] >= done["end"]) & (words >= least_words) & ~F.array_contains(done["seen"], key)
         return F.when(ok, F.struct(m["end"].alias("end"), F.array_append(done["seen"], key).alias("seen"), F.array_append(done["out"], m["source"]).alias("out"))).otherwise(done)
 

@@ -176,3 +176,8 @@ def test_a_question_is_parsed_once(spark):
     got = {r["id"]: r["u"] for r in df.select("id", identity.understood(F.col("text"), {"Food Act": []}).alias("u")).collect()}
     assert got[1]["kind"] == "definition" and (got[1]["act"], got[1]["section"], got[1]["subsection"]) == ("Food Act", "5", "2")
     assert got[2]["kind"] == "general" and got[2]["act"] is None and got[2]["subqueries"] == [""]
+
+
+def test_a_word_said_over_and_over_is_no_statute(spark):
+    got = one(spark, X.statutes_cited(F.col("t")), t="The The The The The The; Food Food Food Act under Food Safety and En Act")
+    assert [c.source for c in got] == ["Food Safety and En Act"]
