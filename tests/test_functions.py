@@ -1,5 +1,7 @@
 """Values worked out by hand."""
 
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -181,3 +183,13 @@ def test_a_question_is_parsed_once(spark):
 def test_a_word_said_over_and_over_is_no_statute(spark):
     got = one(spark, X.statutes_cited(F.col("t")), t="The The The The The The; Food Food Food Act under Food Safety and En Act")
     assert [c.source for c in got] == ["Food Safety and En Act"]
+
+
+def test_long_texts_are_cleaned_in_linear_time(spark):
+    """A list that a lambda takes from outside is made once a text, not once a line."""
+    body = [f"line {i} of the text" for i in range(4000)]
+    text = "\n".join(x for i, line in enumerate(body) for x in (*["FOOD AUTHORITY"] * (i % 1000 == 0), line, line))
+    start = time.monotonic()
+    got = one(spark, T.drop_repeated_lines(T.drop_running_titles(F.col("t"))), t=text)
+    assert got == "\n".join(body)
+    assert time.monotonic() - start < 30
