@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from lexmill.functions.windows import best_scores, best_window
+from lexmill.functions.windows import best_scores, best_window, best_windows
 
 # Words that carry no content.
 STOPWORDS = ("the", "and", "for", "are", "was", "with", "that", "this", "from", "what", "which", "under", "any", "shall", "may", "not", "has", "have", "its", "who")
@@ -179,6 +179,25 @@ def partial_alignment(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([best_window(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["score", "start", "end"])
 
 
+@F.pandas_udf(StructType([*[StructField(n, DoubleType()) for n in ("ratio", "partial", "token_set", "field")], StructField("at", StructType([StructField("score", DoubleType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))]))
+def all_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The four similarities and the alignment of each pair; all windows of a pair are compared once, and once more where case matters."""
+    both = [(x or "", y or "") for x, y in zip(a, b, strict=True)]
+    # Windows with case, then without it.
+    low = [(x.lower(), y.lower()) for x, y in both]
+    places = best_windows(both + low)
+    rows = []
+    for i, ((x, y), lower, at) in enumerate(zip(both, low, places, strict=False)):
+        if a.iloc[i] is None or b.iloc[i] is None:
+            rows.append((None, None, None, None, at))
+            continue
+        field = max(places[len(both) + i][0], token_set_ratio_of(*lower))
+        rows.append((*(round(s, 6) for s in (ratio_of(x, y), at[0], token_set_ratio_of(x, y), field)), at))
+    names = ["ratio", "partial", "token_set", "field"]
+    out = pd.DataFrame([r[:4] for r in rows], columns=names, dtype="float64")
+    return out.assign(at=pd.Series([dict(zip(("score", "start", "end"), r[4], strict=True)) for r in rows], dtype=object))
+
+
 def match_spans(query: str, text: str, least: float = 60.0) -> list[tuple[int, int]]:
     """Where the query's terms stand, else each term's most similar word; grown to whole words and merged."""
     found, lower = [], text.lower()

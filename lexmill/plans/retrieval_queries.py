@@ -257,8 +257,9 @@ def highlight_exact(pages: DataFrame) -> DataFrame:
 
 @register("fuzzy_scores", None, "conversations")
 def fuzzy_scores(conv: DataFrame) -> DataFrame:
-    a, b = F.col("ta"), F.col("tb")
-    return turns(conv).select("conv_id", "turn", L.ratio(a, b).alias("ratio"), L.partial_ratio(a, b).alias("partial"), L.token_set_ratio(a, b).alias("token_set"), L.field_score(a, b).alias("field"), L.partial_alignment(a, b).alias("at"))
+    # A pair costs milliseconds and a row little to move: all cores get their share, however few bytes the join left.
+    rows = turns(conv).repartition(max(64, 4 * conv.sparkSession.sparkContext.defaultParallelism))
+    return rows.select("conv_id", "turn", L.all_scores("ta", "tb").alias("s")).select("conv_id", "turn", "s.*")
 
 
 def part_index(part: DataFrame) -> Z.PairIndex:

@@ -87,3 +87,21 @@ def test_fuzzy_coverage(spark):
     got = [r[0] for r in df.select(L.fuzzy_coverage(F.col("n"), F.col("t"))).collect()]
     want = [sum(slow_window(x, t or "")[0] >= 75 for x in n or []) / len(n) if n else 0.0 for n, t in rows]
     assert got == want == [1.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_pairs_together_equal_each(monkeypatch):
+    rng = random.Random(4)
+    pairs = [tuple("".join(rng.choice("abc é中") for _ in range(rng.randrange(n))) for n in (20, 40)) for _ in range(200)]
+    want = [W.best_window(a, b) for a, b in pairs]
+    assert W.best_windows(pairs) == want
+    monkeypatch.setattr(W, "HELD", 100)
+    assert W.best_windows(pairs) == want
+
+
+def test_pairs_are_not_combed_one_by_one(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [("".join(rng.choice("abcd") for _ in range(90)), "".join(rng.choice("abcd") for _ in range(99))) for _ in range(40)]
+    assert len(list(W._groups(pairs))) == 1
+    df = spark.createDataFrame([*pairs, (None, "x"), ("", ""), ("Ab", "aB c")], "a string, b string")
+    own = df.select(L.ratio("a", "b"), L.partial_ratio("a", "b"), L.token_set_ratio("a", "b"), L.field_score("a", "b"), L.partial_alignment("a", "b")).collect()
+    assert [tuple(r[0]) for r in df.select(L.all_scores("a", "b")).collect()] == [tuple(r) for r in own]
