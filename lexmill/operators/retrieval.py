@@ -48,15 +48,17 @@ def term_statistics(index: DataFrame) -> DataFrame:
 def bm25(tokens: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of all items that share a term with a query; tokens as from ``tokenised``, queries are (query, term).
 
-    The number of items and their mean length are one row, joined; only query terms' postings are counted and shuffled.
+    The number of items and their mean length are one row, joined. Items are dealt out once, before they are taken apart: their terms are
+    counted, weighed and summed where they lie, and of each query a task passes on its best k. Queries are stated, they and their terms' counts are broadcast.
     """
     wanted = queries.distinct()
+    dealt = tokens.repartition("item")
     size = tokens.where(F.size("t") > 0).agg(F.count("*").alias("total"), F.avg(F.size("t")).alias("mean"))
-    used = _counted(tokens, wanted.select("term").distinct())
+    used = _counted(dealt, F.broadcast(wanted.select("term").distinct()))
     idf = F.log1p((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    weighed = used.join(term_statistics(used), "term").join(F.broadcast(size)).select("term", "item", weight.alias("w"))
-    scored = wanted.join(weighed, "term").groupBy("query", "item").agg(F.round(F.sum("w"), 9).alias("score"))
+    weighed = used.join(F.broadcast(term_statistics(used)), "term").join(F.broadcast(size)).select("term", "item", weight.alias("w"))
+    scored = weighed.join(F.broadcast(wanted), "term").groupBy("query", "item").agg(F.round(F.sum("w"), 9).alias("score"))
     return top_per(scored, ["query"], [F.desc("score"), F.asc("item")], k)
 
 

@@ -83,7 +83,8 @@ def faithful(conv: DataFrame) -> DataFrame:
 
 @register("sparse_vectors", None, "documents")
 def sparse_vectors(docs: DataFrame) -> DataFrame:
-    return E.sparse_vectors(R.postings(docs, "doc_id", F.col("text")))
+    # Dealt out by document, texts are moved once; terms are counted, hashed and gathered where they lie.
+    return E.sparse_vectors(R.postings(docs.select("doc_id", "text").repartition("doc_id"), "doc_id", F.col("text")))
 
 
 _LISTED = "'4. a' || chr(10) || 'x' || chr(10) || '  7. b ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || '9. c' || chr(10) || '3.'"

@@ -60,3 +60,26 @@ def test_selections_equal_plain_greedy(spark, seed):
     assert ranked(R.mmr(pool, 5).collect()) == {q: greedy(x, 5, mmr_value) for q, x in own.items()}
     assert ranked(R.with_family(pool, 5).collect()) == {q: greedy(x, 5, family_value) for q, x in own.items()}
     assert ranked(R.evidence_set(pool, 6, 3).collect()) == {q: evidence(x, 6, 3) for q, x in own.items()}
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_sparse_vectors_move_texts_once(spark):
+    from lexmill.plans import registry
+
+    assert _shuffles(registry.QUERIES["sparse_vectors"](spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_bm25_moves_items_once(spark):
+    """Beside the items, only term counts and each task's best of a query are moved."""
+    from lexmill.operators import retrieval as R
+
+    tokens = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a"]), (3, [])], "item long, t array<string>")
+    queries = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "query long, term string")
+    found = R.bm25(tokens, queries, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(term" in line and "item" in line]
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(query" in line and "item" in line.split("]")[0].split("ENSURE")[0]]
+    assert sorted((r.query, r.item, r.rank) for r in found.collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1)]
