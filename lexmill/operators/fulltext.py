@@ -22,6 +22,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -181,25 +182,99 @@ def _bounds(parts: DataFrame, terms: DataFrame, blocks: DataFrame) -> DataFrame:
     return positive.select("query", "part").distinct().join(there, ["query", "part"]).join(possible, ["query", "range"]).groupBy("query", "range").agg(F.sum("most").alias("bound"))
 
 
-def _scored(index: TextIndex, parts: DataFrame, terms: DataFrame, cells: DataFrame, mean: float) -> DataFrame:
-    """(query, item, score) of the items that match, in the cells (query, range)."""
+def _scored(index: TextIndex, parts: DataFrame, terms: DataFrame, cells: DataFrame, mean: float, k: int) -> DataFrame:
+    """(query, item, score) of the k best items of each range that match, in the cells (query, range).
+
+    The postings of a range meet its queries in one task: every posting is moved once, however many queries want it. A range has RANGE_ITEMS items at most.
+    """
     # Numbers of ranges: a few bytes each, one for RANGE_ITEMS items.
     ranges = [r[0] for r in cells.select("range").distinct().collect()]
     names = [r[0] for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]
     read = index.postings().where(F.col("range").isin(ranges))
-    read = read.where(F.col("term").isin(names)) if len(names) <= PUSHED else read
-    met = read.join(terms.join(cells, "query"), ["term", "range"])
-    single = met.where("kind <> 'phrase'").groupBy("query", "part", "item").agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
-    begins = F.transform("positions", lambda p: p - F.col("offset"))
-    together = met.where("kind = 'phrase'").groupBy("query", "part", "item").agg(F.first("size").alias("size"), F.first("len").alias("len"), F.sum("idf").alias("idf"), F.collect_list(begins).alias("begins")).where(F.size("begins") == F.col("size"))
-    starts = F.aggregate(F.slice("begins", 2, F.size("begins")), F.get("begins", F.lit(0)), F.array_intersect)
-    phrases = together.withColumn("tf", F.size(starts)).where("tf > 0").select("query", "part", "item", (F.col("idf") * weight(F.col("tf"), F.col("len"), F.lit(mean))).alias("score"))
-    hits = single.union(phrases)
-    asked = parts.where("NOT negated").groupBy("query", "alternative").agg(F.count_distinct("part").alias("asked"))
-    per = hits.join(parts.select("query", "alternative", "negated", "part").distinct(), ["query", "part"]).groupBy("query", "alternative", "item").agg(F.count_if(~F.col("negated")).alias("got"), F.count_if("negated").alias("no"))
-    matched = per.join(asked, ["query", "alternative"]).where("got = asked AND no = 0").select("query", "item").distinct()
-    counted = hits.join(parts.where("NOT negated").select("query", "part").distinct(), ["query", "part"])
-    return counted.join(matched, ["query", "item"]).groupBy("query", "item").agg(F.round(F.sum("score"), 9).alias("score"))
+    read = read.where(F.col("term").isin(names)) if len(names) <= PUSHED else read.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    # The stated queries: what each alternative asks for, and the terms of each part.
+    asked, idf = defaultdict(lambda: defaultdict(list)), {}
+    for r in parts.select("query", "alternative", "negated", "part").distinct().collect():
+        asked[r.query][r.alternative].append((r.negated, r.part))
+    wanted = defaultdict(dict)
+    for r in terms.select("query", "part", "kind", "size", "offset", "term", "idf").distinct().collect():
+        wanted[r.query].setdefault(r.part, (r.kind, r.size, []))[2].append((r.offset, r.term))
+        idf[r.term] = r.idf
+    plan = index.spark.sparkContext.broadcast(({q: dict(own) for q, own in asked.items()}, dict(wanted), idf))
+    here = cells.groupBy("range").agg(F.collect_set("query").alias("queries"))
+    query_kind = cells.schema["query"].dataType
+
+    def meet(key: tuple, postings: pa.Table, own: pa.Table) -> pa.Table:
+        queries = own.column("queries")[0].as_py() if own.num_rows else []
+        found = _best_of_range(postings, queries, *plan.value, mean, k)
+        kinds = [own.schema.field("queries").type.value_type, postings.schema.field("item").type, pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], ["query", "item", "score"])
+
+    both = read.select("range", "term", "item", "tf", "len", "positions", "w").groupBy("range").cogroup(here.groupBy("range"))
+    scored = both.applyInArrow(meet, f"query {query_kind.simpleString()}, item {index.item_kind}, score double")
+    return scored.withColumn("score", F.round("score", 9))
+
+
+def _best_of_range(postings: pa.Table, queries: list, asked: dict, wanted: dict, idf: dict, mean: float, k: int) -> tuple[list, list, list]:
+    """Queries, items and scores of the k best matches of each query among the postings of one range."""
+    out: tuple[list, list, list] = ([], [], [])
+    if not postings.num_rows:
+        return out
+    postings = postings.sort_by([("term", "ascending"), ("item", "ascending")]).combine_chunks()
+    items, place = np.unique(np.array(postings.column("item").to_pylist()), return_inverse=True)
+    names, first = np.unique(np.array(postings.column("term").to_pylist(), object), return_index=True)
+    ends = [*first[1:].tolist(), postings.num_rows]
+    at = {name: slice(b, e) for name, b, e in zip(names.tolist(), first.tolist(), ends, strict=True)}
+    w, length = postings.column("w").to_numpy(), np.zeros(len(items))
+    length[place] = postings.column("len").to_numpy()
+    positions = postings.column("positions").combine_chunks()
+    bounds, flat = positions.offsets.to_numpy(), positions.values.to_numpy()
+    # Places in the range: item and position in one number.
+    stride = int(length.max()) + 1
+
+    def spots(term: str, offset: int) -> np.ndarray:
+        span = at[term]
+        counts = np.diff(bounds[span.start : span.stop + 1])
+        where = flat[bounds[span.start] : bounds[span.stop]].astype(np.int64) - offset
+        return (np.repeat(place[span], counts) * stride + where)[where >= 0]
+
+    def score(kind: str, size: int, own: list) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all items, and which of them hold the part."""
+        total, held = np.zeros(len(items)), np.zeros(len(items), bool)
+        if kind == "phrase":
+            if len({o for o, t in own if t in at}) == size:
+                starts = None
+                for offset, term in sorted(own):
+                    here = spots(term, offset)
+                    starts = here if starts is None else np.intersect1d(starts, here, assume_unique=True)
+                tf = np.bincount(starts // stride, minlength=len(items))
+                held = tf > 0
+                total = np.where(held, sum(idf[t] for _, t in sorted(own)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)), 0.0)
+        else:
+            for _, term in sorted(own):
+                if term in at:
+                    total[place[at[term]]] += idf[term] * w[at[term]]
+                    held[place[at[term]]] = True
+        return total, held
+
+    nothing = np.zeros(len(items)), np.zeros(len(items), bool)
+    for query in queries:
+        found = {part: score(kind, size, own) for part, (kind, size, own) in wanted.get(query, {}).items()}
+        match, total = np.zeros(len(items), bool), np.zeros(len(items))
+        for own in asked[query].values():
+            yes, no = [p for negated, p in own if not negated], [p for negated, p in own if negated]
+            match |= np.logical_and.reduce([found.get(p, nothing)[1] for p in yes]) & ~np.logical_or.reduce([found.get(p, nothing)[1] for p in no] or [nothing[1]])
+        if not match.any():
+            continue
+        for part in sorted({p for own in asked[query].values() for negated, p in own if not negated}):
+            total += found.get(part, nothing)[0]
+        hits = np.flatnonzero(match)
+        # Items stand in their order, so a stable sort leaves ties to the smaller one.
+        best = hits[np.argsort(-np.round(total[hits], 9), kind="stable")[:k]]
+        out[0].extend([query] * len(best))
+        out[1].extend(items[best].tolist())
+        out[2].extend(total[best].tolist())
+    return out
 
 
 def search(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
@@ -212,10 +287,10 @@ def search(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     terms = saved(wanted.join(idf, "term"))
     cells = saved(_bounds(parts, terms, blocks))
     order = [F.desc("score"), F.asc("item")]
-    first = top_per(cells, ["query"], [F.desc("bound"), F.asc("range")], 1).select("query", "range")
-    found = saved(top_per(_scored(index, parts, terms, first, mean), ["query"], order, k))
+    first = saved(top_per(cells, ["query"], [F.desc("bound"), F.asc("range")], 1).select("query", "range"))
+    found = saved(top_per(_scored(index, parts, terms, first, mean, k), ["query"], order, k))
     # Bars and bounds are rounded apart: what could only tie is read.
     bars = found.where(F.col("rank") == k).select("query", (F.col("score") - 1e-6).alias("bar"))
     more = saved(cells.join(first, ["query", "range"], "left_anti").join(bars, "query", "left").where("bar IS NULL OR bound >= bar").select("query", "range"))
-    rest = _scored(index, parts, terms, more, mean)
+    rest = _scored(index, parts, terms, more, mean, k)
     return top_per(found.select("query", "item", "score").union(rest.select("query", "item", "score")), ["query"], order, k).select("query", "item", "rank", "score")
