@@ -84,3 +84,10 @@ def test_rules_make_tasks_and_edges(spark):
     tasks, edges = C.planned(spark.createDataFrame([(1, "q"), (2, "other")], "plan long, kind string"), rules)
     assert sorted(map(tuple, tasks.collect())) == [(1, "a", 1), (1, "b", 2)]
     assert list(map(tuple, edges.collect())) == [(1, "b", "a")]
+
+
+def test_plans_are_moved_once(spark):
+    tasks = spark.createDataFrame([(1, "a", 2), (1, "b", 3), (None, "a", 1), (2, None, 1)], "plan long, task string, cost int")
+    found = C.scheduled(tasks, spark.createDataFrame([(1, "b", "a"), (1, "b", "a")], "plan long, task string, need string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, "a", 2, 0, 0, 2, 0, True), (1, "b", 3, 1, 2, 5, 0, True), (2, None, 1, *[None] * 5), (None, "a", 1, *[None] * 5)], key=repr)
