@@ -62,7 +62,8 @@ def membership(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     even_chance = sample / max(sum(counts.values()), 1)
     chance = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (float(k), min(1.0, max(even_chance, least / n)))]), F.col("label")) if counts else F.lit(0.0)
     chosen = known.withColumn("weight", 1 / chance).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < chance * (1 << 30))
-    train = _featured(texts.join(chosen, "id"), F.col("text")).select("label", "weight", "_features")
+    # The chosen ids are about as many as the sample: they go to the texts, not the texts to them.
+    train = _featured(texts.join(F.broadcast(chosen), "id"), F.col("text")).select("label", "weight", "_features")
     if len(counts) > 1:
         train = saved(train)
         seen = sorted(int(r[0]) for r in train.select("label").distinct().collect())
