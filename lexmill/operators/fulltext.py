@@ -111,9 +111,10 @@ def build_index(docs: DataFrame, path: str, key: str, text: Column, stemmed: boo
         at += parts[number]
     known = lambda of: F.element_at(F.create_map(*[F.lit(x) for pair in (of or {0: 1}).items() for x in pair]), place)
     numbered = items.withColumn("range", known(first) + F.pmod(F.xxhash64("item"), known(parts)).cast("int"))
-    postings = numbered.select("range", "item", "len", F.explode("terms").alias("t")).select("range", "t.term", "item", F.size("t.positions").alias("tf"), "len", "t.positions")
+    # Items are dealt out whole and taken apart where their range is written.
+    postings = numbered.repartition("range").select("range", "item", "len", F.explode("terms").alias("t")).select("range", "t.term", "item", F.size("t.positions").alias("tf"), "len", "t.positions")
     postings = postings.withColumn("w", weight(F.col("tf"), F.col("len"), F.lit(float(mean or 1))))
-    postings.repartition("range").sortWithinPartitions("range", "term", "item").write.partitionBy("range").parquet(f"{path}/postings")
+    postings.sortWithinPartitions("range", "term", "item").write.partitionBy("range").parquet(f"{path}/postings")
     index = TextIndex(docs.sparkSession, path, stemmed, kind)
     if at:
         index.postings().groupBy("term", "range").agg(F.count("*").alias("n"), F.max("w").alias("top")).repartitionByRange("term").sortWithinPartitions("term", "range").write.parquet(f"{path}/blocks")
