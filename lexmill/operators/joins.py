@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.sources.shared import saved
+
 
 def merged_series(left: DataFrame, right: DataFrame, key: str, names: list[str]) -> DataFrame:
     """Two grouped series side by side, missing values 0."""
@@ -73,19 +75,47 @@ def tiered_lookup(candidates: DataFrame, index: DataFrame, tiers: list[tuple[lis
     return out.select(*candidates.columns, first("v").alias("anchor"), tier.alias("tier"), confidence.alias("confidence"))
 
 
+#: Facts that hold a value, beyond which they are counted by subsets instead of met one by one; most such values of a set that is treated so.
+OFTEN, SUBSETS = 100, 12
+
+
 def conflicts(facts: DataFrame, key: str, order: str, values: str) -> DataFrame:
     """(key, order, n_conflicts): with how many facts about the same key each shares no value; facts without values take no part.
 
-    Facts of equal value sets are one class. Only classes that share a value meet, so the pairs that are made are those that agree.
+    Facts of equal value sets are one class; what is counted is those that agree. Values that few classes of a key hold let these
+    meet, at most OFTEN each. Over the values that many hold, inclusion and exclusion of a set's subsets counts without pairs. A set
+    with more than SUBSETS such values meets every class that shares a value: pairs, but each is made once and none is held.
+    A null key has no conflicts, a null order is none that others conflict with, and facts of one order count together.
     """
-    own = facts.where(F.size(values) > 0).withColumn("_set", F.array_sort(F.array_distinct(values)))
-    classes = own.groupBy(key, "_set").agg(F.count("*").alias("_n"))
-    held = classes.select(key, "_set", "_n", F.explode("_set").alias("_v"))
-    other = held.select(key, "_v", F.col("_set").alias("_other"), F.col("_n").alias("_m"))
-    agree = held.join(other, [key, "_v"]).select(key, "_set", "_other", "_m").distinct().groupBy(key, "_set").agg(F.sum("_m").alias("_agree"))
+    own = saved(facts.select(key, order, F.array_sort(F.array_distinct(F.array_compact(values))).alias("_set")).where(F.size("_set") > 0))
+    classes = saved(own.where(F.col(key).isNotNull()).groupBy(key, "_set").agg(F.count(order).alias("_n")).withColumn("_id", F.monotonically_increasing_id()))
+    held = classes.select(key, "_id", F.explode("_set").alias("_v"))
+    often = held.groupBy(key, "_v").count().where(F.col("count") > OFTEN).select(key, "_v")
+    heavy = held.join(often, [key, "_v"]).groupBy("_id").agg(F.array_sort(F.collect_list("_v")).alias("_often"))
+    none = F.array().cast(own.schema["_set"].dataType)
+    marked = saved(classes.join(heavy, "_id", "left").withColumn("_often", F.coalesce("_often", none)).withColumn("_wide", F.size("_often") > SUBSETS))
+    narrow, wide = marked.where("NOT _wide"), marked.where("_wide")
+
+    sets = narrow.where(F.size("_often") > 0).groupBy(key, "_often").agg(F.sum("_n").alias("_n"))
+    grown = F.aggregate("_often", F.array(none), lambda done, v: F.concat(done, F.transform(done, lambda t: F.concat(t, F.array(v)))))
+    subsets = sets.select(key, "_often", "_n", F.explode(grown).alias("_t")).where(F.size("_t") > 0)
+    holding = subsets.groupBy(key, "_t").agg(F.sum("_n").alias("_m"))
+    signed = F.when(F.size("_t") % 2 == 1, F.col("_m")).otherwise(-F.col("_m"))
+    counted = narrow.join(subsets.join(holding, [key, "_t"]).groupBy(key, "_often").agg(F.sum(signed).alias("_m")), [key, "_often"]).select("_id", "_m")
+
+    # The first value that two sets share stands for the pair, so no pair is made twice.
+    first = F.get(F.array_intersect("_set", "_set2"), 0) == F.col("_v")
+    other = lambda rows: rows.select(key, "_v", *[F.col(c).alias(c + "2") for c in ("_id", "_n", "_set", "_often", "_wide")])
+    seldom = narrow.withColumn("_v", F.explode(F.array_except("_set", "_often")))
+    met = seldom.join(other(seldom), [key, "_v"]).where(~F.arrays_overlap("_often", "_often2") & first).select("_id", F.col("_n2").alias("_m"))
+    pairs = wide.withColumn("_v", F.explode("_set")).join(other(marked.withColumn("_v", F.explode("_set"))), [key, "_v"]).where(first)
+    ways = F.array(F.struct("_id", F.col("_n2").alias("_m")), F.struct(F.when(~F.col("_wide2"), F.col("_id2")).alias("_id"), F.col("_n").alias("_m")))
+    widely = pairs.select(F.explode(ways).alias("_p")).select("_p.*").where("_id IS NOT NULL")
+
+    agree = counted.union(met).union(widely).groupBy("_id").agg(F.sum("_m").alias("_agree"))
     total = classes.groupBy(key).agg(F.sum("_n").alias("_total"))
-    counted = agree.join(total, key).select(key, "_set", (F.col("_total") - F.col("_agree")).alias("n_conflicts"))
-    return own.join(counted, [key, "_set"]).select(key, order, "n_conflicts")
+    against = classes.join(agree, "_id").join(total, key).select(key, "_set", (F.col("_total") - F.col("_agree")).alias("_against"))
+    return own.join(against, [key, "_set"], "left").groupBy(key, order).agg(F.sum(F.coalesce("_against", F.lit(0))).alias("n_conflicts"))
 
 
 def covers(item_family: Column, item_section: Column, family: Column, section: Column) -> Column:

@@ -173,6 +173,20 @@ def test_conflicts_are_counted_not_paired(spark):
     assert {(r.id, r.n_conflicts) for r in joins.conflicts(facts, "k", "id", "v").collect()} == {(1, 1), (2, 1), (3, 2), (5, 0)}
 
 
+def test_conflicts_of_values_that_many_hold(spark, monkeypatch):
+    """Seldom values, subsets of frequent ones, and sets with too many of these, against all pairs; null keys, null and repeated orders."""
+    monkeypatch.setattr(joins, "OFTEN", 3)
+    monkeypatch.setattr(joins, "SUBSETS", 2)
+    rows = [("k", i, sorted({str(i % 3), str(i % 4), str(i % 7), str(i * i % 11), *("x" for _ in range(i % 2))})[: i % 6]) for i in range(40)]
+    rows += [("k", 7, ["9", None]), ("k", None, ["0"]), (None, 50, ["0"]), (None, 51, ["0", "1"]), ("m", 52, ["1", "1"]), ("m", 53, None)]
+    want = {}
+    for k, i, v in rows:
+        if v:
+            want[k, i] = want.get((k, i), 0) + sum(k is not None and k == m and j is not None and bool(w) and not set(v) & set(w) for m, j, w in rows)
+    got = joins.conflicts(spark.createDataFrame(rows, "k string, id long, v array<string>"), "k", "id", "v").collect()
+    assert len(got) == len(want) and {(r.k, r.id): r.n_conflicts for r in got} == want
+
+
 def test_bundle_takes_the_best_group_that_satisfies(spark):
     rows = [(1, "a", 1, 9.0, False), (1, "a", 2, 8.0, None), (1, "a", 3, 7.0, False), (1, "b", 4, 5.0, True), (1, "b", 5, 5.0, True), (1, "b", 6, 4.0, False), (2, "c", 7, 1.0, False)]
     df = spark.createDataFrame(rows, "q int, g string, i int, s double, good boolean")
