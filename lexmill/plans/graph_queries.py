@@ -69,9 +69,7 @@ r(id, component) USING KEY (id) AS (SELECT a, least(a, min(b)) FROM u GROUP BY a
 SELECT id, component FROM r""", "lineitem")
 def components(lineitem: DataFrame) -> DataFrame:
     """Orders and parts (as negative numbers) that share lines."""
-    edges = lineitem.select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("dst")).distinct()
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    return G.components(nodes, edges)
+    return G.components(None, lineitem.select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("dst")))
 
 
 @register("topo_order", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey // 4 AS dst FROM orders WHERE o_orderkey // 4 < o_custkey), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e),

@@ -87,6 +87,22 @@ def test_components_of_a_long_path(spark):
     assert {r.component for r in G.components(nodes, edges).collect()} == {0}
 
 
+def test_components_move_ever_fewer_links(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(G, "saved", lambda df, keep=G.saved: rows.append((out := keep(df)).count()) or out)
+    pairs = sorted({(i * 37 % 300 + 1, -(i * i % 23) - 1 - 23 * (i * 37 % 300 // 150)) for i in range(900)} | {(500, 500), (501, 502), (502, 503), (504, 503), (7, 7)})
+    low = {x: x for p in pairs for x in p}
+    for _ in low:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    edges = spark.createDataFrame([*pairs, (None, 600), *pairs[:50]], "src long, dst long")
+    got = G.components(None, edges).collect()
+    assert len(got) == len(low) and {r.id: r.component for r in got} == low
+    assert sum(rows) < 2 * len(pairs)
+    some = spark.createDataFrame([(1,), (700,)], "id long")
+    assert {r.id: r.component for r in G.components(some, edges).collect()} == {1: low[1], 700: 700}
+
+
 def test_reach(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 3)], "src long, dst long")
     assert sorted(map(tuple, G.reach(edges, spark.createDataFrame([(1,)], "id long"), 2).collect())) == [(1, 0), (2, 1), (3, 1), (4, 2)]
