@@ -59,30 +59,36 @@ REFERENCES = (
 )
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once a row however often it is used; inside array functions Spark computes it again at each use."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def match_spans(text: Column, pattern: str, kind: str, confidence: str) -> Column:
     """Array of (start, end, kind, confidence, raw) of a pattern's matches: match i follows i + 1 gaps and i matches."""
+    later = lambda done, p: F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + F.length(p["gap"]) + F.length(p["m"])
+
+    def spans(parts: Column) -> Column:
+        ends = F.aggregate(parts, F.array().cast("array<int>"), lambda done, p: F.concat(done, F.array(later(done, p))))
+        return F.zip_with(parts, ends, lambda p, end: F.struct((end - F.length(p["m"])).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), p["m"].alias("raw")))
+
+    # A text without a match is not split.
+    parts = lambda found: F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
+    return bound(found, lambda x: F.when(F.size(x) > 0, bound(parts(x), spans)).when(x.isNotNull(), F.array().cast(_SPANS)))
 
-    def span(m: Column, i: Column) -> Column:
-        end = F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda s, x: s + x)
-        return F.struct((end - F.length(m)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), m.alias("raw"))
 
-    return F.transform(found, span)
+_SPANS = "array<struct<start:int,end:int,kind:string,confidence:string,raw:string>>"
 
 
 def references_in(text: Column, least: str = "LOW") -> Column:
     """All references by start; of overlapping ones the kind that REFERENCES lists first stays."""
     order = ("HIGH", "MEDIUM", "LOW")
     kept = [r for r in REFERENCES if order.index(r[1]) <= order.index(least)]
-    out = None
-    for kind, confidence, pattern in kept:
-        own = match_spans(text, pattern, kind, confidence)
-        if out is None:
-            out = own
-        else:
-            out = F.concat(out, _apart(own, out))
-    return F.array_sort(out)
+    # Each kind is bound before the next is held against it.
+    rest = lambda out, kinds: out if not kinds else bound(out, lambda before: rest(F.concat(before, _apart(bound_spans(kinds[0]), before)), kinds[1:]))
+    bound_spans = lambda r: match_spans(text, r[2], r[0], r[1])
+    return F.array_sort(rest(bound_spans(kept[0]), kept[1:]))
 
 
 def _apart(own: Column, before: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import extract as X
 from lexmill.operators import segment as S
 from lexmill.plans._registering import register
+from lexmill.sources.tables import spread
 
 
 def cited(part: DataFrame):
@@ -39,8 +40,9 @@ PROSE = "('Under section ' || p_size || '(1) and Section ' || (p_size + 1) || '
 
 
 def prose(part: DataFrame) -> DataFrame:
+    """A few megabytes of keys become dear texts, so they are dealt out to all cores."""
     n = F.col("p_size")
-    return part.select("p_partkey", F.concat(F.lit("Under section "), n, F.lit("(1) and Section "), n + 1, F.lit(" read with rule "), n % 9, F.lit(" of schedule IV, chapter 2.")).alias("t"))
+    return spread(part.select("p_partkey", "p_size")).select("p_partkey", F.concat(F.lit("Under section "), n, F.lit("(1) and Section "), n + 1, F.lit(" read with rule "), n % 9, F.lit(" of schedule IV, chapter 2.")).alias("t"))
 
 
 #: Documents name no sections, dates or sources, so each is read with stated ones behind its text.

@@ -153,6 +153,15 @@ def test_token_coverage(spark):
     assert one(spark, L.token_coverage(F.array(F.lit("a")), F.col("t")), t=None) == 0.0
 
 
+def test_each_pattern_of_references_is_searched_once_a_text(spark):
+    df = spark.range(1).select(F.col("id").cast("string").alias("t"))
+    plan = df.select(X.references_in(F.col("t")).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == plan.count("split(") == len(X.REFERENCES)
+    t = "Rule 4 of section 3(1), sections 12 and rules 7(a)"
+    assert [(r["start"], r["end"], r["raw"]) for r in one(spark, X.references_in(F.col("t")), t=t)] == [(0, 6, "Rule 4"), (10, 22, "section 3(1)"), (24, 35, "sections 12"), (40, 50, "rules 7(a)")]
+    assert one(spark, X.references_in(F.col("t")), t=None) is None and one(spark, X.references_in(F.col("t")), t="none") == []
+
+
 def test_identity_names_the_narrowest_unit_and_makes_nothing_up(spark):
     rows = [(1, "Act A", "Section 31(2)(a)", "it means x under rule 4.1"), (2, None, None, "Schedule IV, chapter II"), (3, "Act A", "Annex", None), (4, None, None, "")]
     df = spark.createDataFrame(rows, "id int, act string, section string, text string")
