@@ -102,23 +102,30 @@ def semantic_tags(text: Column, rules: tuple = TAGS, least: float = 0.7, shortes
     A rule that must stay out of a relation takes its first match that overlaps none of that relation's. Evidence is the match
     with 60 characters before and 80 behind, white space collapsed. Null and short texts have no tags.
     """
-    found: dict[tuple[str, str], Column] = {}
-    for relation, concept, confidence, pattern, out_of in rules:
-        if confidence < least:
-            continue
-        barred = [span for (r, _), span in found.items() if r == out_of]
-        if barred:
-            spans = X.match_spans(text, pattern, relation, "")
-            free = F.filter(spans, _outside(barred))
-            hit = F.when(F.size(free) > 0, F.struct(F.get(free, 0)["start"].alias("start"), F.get(free, 0)["end"].alias("end"), F.lit(confidence).alias("confidence")))
-        else:
-            start = F.regexp_instr(text, F.lit(pattern)) - 1
-            hit = F.when(start >= 0, F.struct(start.alias("start"), (start + F.length(F.regexp_extract(text, pattern, 0))).alias("end"), F.lit(confidence).alias("confidence")))
-        key = (relation, concept)
-        found[key] = F.coalesce(found[key], hit) if key in found else hit
-    tags = []
-    for (relation, concept), s in found.items():
-        first = F.greatest(s["start"] - 60, F.lit(0))
-        evidence = F.trim(F.regexp_replace(F.substring(text, first + 1, s["end"] + 80 - first), r"\s+", " "))
-        tags.append(F.when(s.isNotNull(), F.struct(F.lit(relation).alias("relation"), F.lit(concept).alias("concept"), s["confidence"].alias("confidence"), evidence.alias("evidence"))))
-    return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) >= shortest, F.array_compact(F.array(*tags))).otherwise(F.array_compact(F.array(F.when(F.lit(False), tags[0]))))
+    wanted = [r for r in rules if r[2] >= least]
+    none = F.array().cast("array<struct<relation:string,concept:string,confidence:double,evidence:string>>")
+    return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) >= shortest, _tagged(text, wanted, {})).otherwise(none)
+
+
+def _tagged(text: Column, rules: list[tuple], found: dict[tuple[str, str], Column]) -> Column:
+    """The tags of what is found so far and of further rules; each rule's match is bound before the next is looked for."""
+    if not rules:
+        return F.array_compact(F.array(*[_tag(text, relation, concept, s) for (relation, concept), s in found.items()]))
+    (relation, concept, confidence, pattern, out_of), rest = rules[0], rules[1:]
+    span = lambda start, end: F.struct(start.alias("start"), end.alias("end"), F.lit(confidence).cast("double").alias("confidence"))
+    barred = [s for (r, _), s in found.items() if r == out_of]
+    if barred:
+        free = F.get(F.filter(X.match_spans(text, pattern, relation, ""), _outside(barred)), 0)
+        hit = X.bound(free, lambda m: F.when(m.isNotNull(), span(m["start"], m["end"])))
+    else:
+        hit = X.bound(F.regexp_instr(text, F.lit(pattern)), lambda at: F.when(at > 0, span(at - 1, at - 1 + F.length(F.regexp_extract(text, pattern, 0)))))
+    key = (relation, concept)
+    # A later rule of the same tag is looked for only where the earlier ones are not found.
+    hit = F.coalesce(found[key], hit) if key in found else hit
+    return X.bound(hit, lambda s: _tagged(text, rest, found | {key: s}))
+
+
+def _tag(text: Column, relation: str, concept: str, s: Column) -> Column:
+    first = F.greatest(s["start"] - 60, F.lit(0))
+    evidence = F.trim(F.regexp_replace(F.substring(text, first + 1, s["end"] + 80 - first), r"\s+", " "))
+    return F.when(s.isNotNull(), F.struct(F.lit(relation).alias("relation"), F.lit(concept).alias("concept"), s["confidence"].alias("confidence"), evidence.alias("evidence")))

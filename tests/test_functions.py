@@ -182,6 +182,12 @@ def test_a_duty_is_no_part_of_a_prohibition(spark):
     assert got[2] == got[3] == got[4] == []
 
 
+def test_each_pattern_of_tags_is_looked_for_once_a_text(spark):
+    df = spark.range(1).select(F.col("id").cast("string").alias("t"))
+    plan = df.select(identity.semantic_tags(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_instr(") == len(identity.TAGS) - 1 and plan.count("regexp_extract_all(") == plan.count("split(") == 1
+
+
 def test_a_question_is_parsed_once(spark):
     df = spark.createDataFrame([(1, "What is the penalty in section 5(2) of the Food Act?"), (2, None)], "id int, text string")
     got = {r["id"]: r["u"] for r in df.select("id", identity.understood(F.col("text"), {"Food Act": []}).alias("u")).collect()}
