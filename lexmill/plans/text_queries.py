@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.plans._registering import register
+from lexmill.sources.shared import saved
 
 WHITE_SQL = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -90,7 +91,8 @@ def new_vs_seen(docs: DataFrame) -> DataFrame:
 @register("duplicate_documents", f"""WITH h AS (SELECT doc_id, sha256({collapse_sql('text')}) AS hash FROM documents)
 SELECT doc_id FROM h a WHERE EXISTS (SELECT 1 FROM h b WHERE a.hash = b.hash AND b.doc_id < a.doc_id)""", "documents")
 def duplicate_documents(docs: DataFrame) -> DataFrame:
-    hashed = docs.select("doc_id", T.content_hash(F.col("text")).alias("hash"))
+    """Texts are read and hashed once; their hashes are kept for both uses."""
+    hashed = saved(docs.select("doc_id", T.content_hash(F.col("text")).alias("hash")))
     first = hashed.groupBy("hash").agg(F.min("doc_id").alias("first_id"))
     return hashed.join(first, "hash").where("doc_id > first_id").select("doc_id")
 

@@ -182,6 +182,14 @@ def test_a_duty_is_no_part_of_a_prohibition(spark):
     assert got[2] == got[3] == got[4] == []
 
 
+def test_collapsing_leaves_single_spaces_alone(spark):
+    import re
+
+    for t in (" ", "", "a b", " a  b\n", "\n a\t\tb \n c", "a\u3000b \xa0 c", "\xa0", "a\u2003 b", "a \u2028b c d  "):
+        assert one(spark, T.collapse_white(F.col("t")), t=t) == re.sub(f"{T.WHITE}+", " ", t).strip(" ")
+    assert re.findall(T.UNEVEN_WHITE, "a b  c\nd e") == ["  ", "\n"]
+
+
 def test_each_pattern_of_tags_is_looked_for_once_a_text(spark):
     df = spark.range(1).select(F.col("id").cast("string").alias("t"))
     plan = df.select(identity.semantic_tags(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
