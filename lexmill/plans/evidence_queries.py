@@ -118,9 +118,9 @@ _KEPT = f"""SELECT doc_id, len(l) AS n, count(*) FILTER (i = 1 OR s = '' OR s <>
 @register("cleaning_diff", f"SELECT doc_id, (n - kept)::INTEGER AS changes FROM ({_KEPT})", "documents")
 def cleaning_diff(docs: DataFrame) -> DataFrame:
     """Lines that are gone and lines that are new."""
-    script = D.line_edits("text", T.drop_repeated_lines(F.col("text")))
+    both = docs.select("doc_id", F.col("text").alias("before"), T.drop_repeated_lines(F.col("text")).alias("after"))
     gone = ("delete", "insert", "replace")
-    return docs.select("doc_id", script.alias("s")).select("doc_id", (D.edited_lines(F.col("s"), gone) + D.edited_lines(F.col("s"), gone, "after")).alias("changes"))
+    return D.with_edits(both, "before", "after", "s").select("doc_id", (D.edited_lines(F.col("s"), gone) + D.edited_lines(F.col("s"), gone, "after")).alias("changes"))
 
 
 @register("document_diff", f"SELECT doc_id, n::INTEGER AS original_lines, kept::INTEGER AS cleaned_lines, (n - kept)::INTEGER AS lines_removed, 0 AS lines_changed, kept::INTEGER AS lines_unchanged, true AS restored FROM ({_KEPT})", "documents")
@@ -129,7 +129,7 @@ def document_diff(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     both = docs.select("doc_id", text.alias("before"), T.drop_repeated_lines(text).alias("after"))
     s = F.col("s")
-    return both.withColumn("s", D.line_edits("before", "after")).select(
+    return D.with_edits(both, "before", "after", "s").select(
         "doc_id", (D.edited_lines(s, ("equal", "delete", "replace"))).alias("original_lines"), D.edited_lines(s, ("equal", "insert", "replace"), "after").alias("cleaned_lines"),
         D.edited_lines(s, ("delete",)).alias("lines_removed"), D.changed_lines(s).alias("lines_changed"), D.edited_lines(s, ("equal",)).alias("lines_unchanged"),
         (D.applied(F.col("before"), s) == F.col("after")).alias("restored"),

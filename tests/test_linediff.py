@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import linediff as D
+from lexmill.functions.text import drop_repeated_lines
+from lexmill.plans import registry
 
 
 def restored(before, script, after):
@@ -63,3 +65,21 @@ def test_columns(spark):
     assert [r.after for r in out] == [a or "" for _, a in rows]
     assert [r.changed for r in out] == [0, 1, 1, 0, 0, 1]
     assert [r.gone for r in out] == [1, 0, 0, 0, 0, 0]
+
+
+def test_edits_of_texts_that_were_dealt_out(spark):
+    """A UDF's call over this expression was left in the plan."""
+    rows = [(1, "a\na\nb"), (2, None), (3, ""), (4, "x\n\n\n1. x\n1. x\ny\ny\ny")]
+    docs = spark.createDataFrame(rows, "doc_id long, before string").repartition(8)
+    out = D.with_edits(docs.withColumn("after", drop_repeated_lines(F.col("before"))), "before", "after", "s")
+    gone = out.select("doc_id", D.edited_lines(F.col("s"), ("delete",)).alias("gone"), D.applied(F.col("before"), F.col("s")).alias("text"), F.coalesce("after", F.lit("")).alias("want"))
+    got = {r.doc_id: (r.gone, r.text == r.want) for r in gone.collect()}
+    assert got == {1: (1, True), 2: (0, True), 3: (0, True), 4: (2, True)}
+
+
+@pytest.mark.parametrize("name, column", [("cleaning_diff", "changes"), ("document_diff", "lines_removed")])
+def test_queries_over_texts_that_were_dealt_out(spark, tmp_path, name, column):
+    rows = [(1, "a\na\nb"), (2, None), (3, ""), (4, "x\n\n\n1. x\n1. x\ny\ny\ny")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r[column] for r in registry.QUERIES[name](spark, str(tmp_path)).select("doc_id", column).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 2}
