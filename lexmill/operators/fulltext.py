@@ -1,16 +1,20 @@
 """Full-text search over a written positional index: terms, phrases, prefixes, OR and NOT, ranked by BM25.
 
-The index is three Parquet tables in one folder:
+The index is four Parquet tables in one folder:
 
-* ``postings`` (term, item, tf, len, positions, w), in folders by ``range`` and in order of term inside. A range holds items of like
-  length, about ``RANGE_ITEMS`` of them; w is the term's BM25 weight in the item, without its idf.
-* ``blocks`` (term, range, n, top): how many postings a term has in a range, and the greatest w.
+* ``postings`` (term, w, items, tfs, positions), in folders by ``range`` and in order of term inside: a term's items in a range, as places in its list of
+  items, how often each holds the term and, one after the other, where. A range holds items of like length, about ``RANGE_ITEMS`` of them and
+  ``RANGE_WORDS`` words; w is the term's greatest BM25 weight there, without its idf.
+* ``blocks`` (term, range, n, top, df): how many items of a range hold a term, the greatest w, and how many items of all ranges hold it.
+* ``ranges`` (range, items): items and their lengths.
 * ``totals``: items and their mean length.
 
-A search first reads the blocks of its terms: document frequencies, and for each query and range the most that an item there could
-score. The best range of each query is read; the k-th best score found is a bar that all other ranges must be able
+A search first reads the blocks of its terms: for each query and range the most that an item there could score.
+The best range of each query is read; the k-th best score found is a bar that all other ranges must be able
 to reach. Only those are read then, the rest not even opened. As items of a range are of like length, bounds are close.
 
+The terms that a prefix begins may be most of the vocabulary. They are never listed: in a range they lie side by side, and their idf comes with the range.
+
 Scores: a term gives idf * w; a prefix gives that of every term it begins; a phrase gives the sum of its terms' idf, weighted by how often the
 phrase occurs. Each part of a query counts once, parts of any alternative count for every match. Negated parts only exclude.
 """
@@ -19,13 +23,15 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.stemming import stem
@@ -34,6 +40,7 @@ from lexmill.sources.shared import saved
 
 K1, B = 1.2, 0.75
 RANGE_ITEMS = 1 << 16
+RANGE_WORDS = 1 << 21
 #: Classes of length.
 CLASSES = 64
 #: Distinct terms up to which a scan gets them as a filter.
@@ -46,9 +53,14 @@ def analysed(text: str | None, stemmed: bool) -> list[str]:
     """Runs of letters and digits, in lower case and without accents, stemmed on request."""
     text = (text or "").lower()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+        text = unicodedata.normalize("NFD", text)
+        for mark in filter(unicodedata.combining, set(text)):
+            text = text.replace(mark, "")
     words = _WORD.findall(text)
-    return [stem(w) for w in words] if stemmed else words
+    if stemmed:
+        stems = {w: stem(w) for w in set(words)}
+        words = [stems[w] for w in words]
+    return words
 
 
 def alternatives(expression: str | None, stemmed: bool) -> list[list[tuple[bool, str, list[str]]]]:
@@ -71,56 +83,76 @@ def alternatives(expression: str | None, stemmed: bool) -> list[list[tuple[bool,
     return out
 
 
-def _postings(stemmed: bool):
-    """(item, len, terms: array of term, positions) of rows (item, text)."""
-    kind = pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32()))]))
+def _words(stemmed: bool):
+    """(item, len, words) of rows (item, text): how many words, and these joined by spaces."""
 
     def analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lens, every = [], []
-            for text in batch.column(1):
-                words = analysed(text.as_py(), stemmed)
-                at = defaultdict(list)
-                for i, w in enumerate(words):
-                    at[w].append(i)
-                lens.append(len(words))
-                every.append([{"term": w, "positions": p} for w, p in at.items()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lens, pa.int32()), pa.array(every, kind)], ["item", "len", "terms"])
+            every = [analysed(text.as_py(), stemmed) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, every), pa.int32()), pa.array(map(" ".join, every), pa.string())], ["item", "len", "words"])
 
     return analyse
 
 
-def weight(tf: Column, length: Column, mean: Column) -> Column:
+def weight(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _postings(mean: float):
+    """The postings of the rows (item, len, words) of a range."""
+
+    def listed(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("item", "ascending"), ("len", "ascending")])
+        length = rows.column("len").to_numpy()
+        coded = pc.list_flatten(pc.split_pattern(rows.column("words").combine_chunks(), " ")).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        rank = np.empty(len(order), np.int32)
+        rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+        word = rank[coded.indices.to_numpy()]
+        by = np.argsort(word, kind="stable")
+        word, place = word[by], np.repeat(np.arange(len(length), dtype=np.int32), length)[by]
+        spot = (np.arange(len(by)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)[by]
+        # First words of every posting, first postings of every term.
+        new = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+        first = np.flatnonzero(np.diff(word[new], prepend=-1) != 0)
+        tf, place = np.diff(np.append(new, len(by))).astype(np.int32), place[new]
+        ends, spots = np.append(first, len(new)).astype(np.int32), np.append(new[first], len(by)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(at, of) for at, of in ((ends, place), (ends, tf), (spots, spot))]
+        number = pa.array(np.full(len(first), key[0].as_py(), np.int32))
+        return pa.table([number, coded.dictionary.take(order), np.maximum.reduceat(weight(tf, length[place], mean), first), *lists], ["range", "term", "w", "items", "tfs", "positions"])
+
+    return listed
+
+
 def build_index(docs: DataFrame, path: str, key: str, text: Column, stemmed: bool = True, range_items: int = RANGE_ITEMS, classes: int = CLASSES) -> TextIndex:
     """Writes the index of the texts; rows without an id or without a word are not in it. Ids are expected to be unique."""
     rows = docs.select(F.col(key).alias("item"), text.cast("string").alias("text")).where("item IS NOT NULL")
     kind = rows.schema["item"].dataType.simpleString()
-    items = saved(rows.mapInArrow(_postings(stemmed), f"item {kind}, len int, terms array<struct<term:string,positions:array<int>>>").where("len > 0"))
+    items = saved(rows.mapInArrow(_words(stemmed), f"item {kind}, len int, words string").where("len > 0"))
     total, mean, cuts = items.agg(F.count("*"), F.avg("len"), F.percentile_approx("len", [i / classes for i in range(1, classes)], 10_000)).first()
+    mean = float(mean or 1)
     place = F.lit(0)
     for cut in sorted(set(cuts or [])):
         place = place + (F.col("len") > cut).cast("int")
-    # Equal lengths are one class, however many; a class has as many ranges as its items need.
-    counts = sorted(map(tuple, items.groupBy(place.alias("c")).count().collect()))
+    # Equal lengths are one class, however many; a class has as many ranges as its items and words need.
+    counts = sorted(map(tuple, items.groupBy(place.alias("c")).agg(F.count("*"), F.sum("len")).collect()))
     first, parts, at = {}, {}, 0
-    for number, count in counts:
-        first[number], parts[number] = at, math.ceil(count / range_items)
+    for number, count, words in counts:
+        first[number], parts[number] = at, max(math.ceil(count / range_items), math.ceil(words / RANGE_WORDS))
         at += parts[number]
     known = lambda of: F.element_at(F.create_map(*[F.lit(x) for pair in (of or {0: 1}).items() for x in pair]), place)
     numbered = items.withColumn("range", known(first) + F.pmod(F.xxhash64("item"), known(parts)).cast("int"))
     # Items are dealt out whole and taken apart where their range is written.
-    postings = numbered.repartition("range").select("range", "item", "len", F.explode("terms").alias("t")).select("range", "t.term", "item", F.size("t.positions").alias("tf"), "len", "t.positions")
-    postings = postings.withColumn("w", weight(F.col("tf"), F.col("len"), F.lit(float(mean or 1))))
-    postings.sortWithinPartitions("range", "term", "item").write.partitionBy("range").parquet(f"{path}/postings")
+    made = numbered.groupBy("range").applyInArrow(_postings(mean), "range int, term string, w double, items array<int>, tfs array<int>, positions array<int>")
+    made.write.partitionBy("range").parquet(f"{path}/postings")
+    numbered.groupBy("range").agg(F.array_sort(F.collect_list(F.struct("item", "len"))).alias("items")).write.parquet(f"{path}/ranges")
     index = TextIndex(docs.sparkSession, path, stemmed, kind)
     if at:
-        index.postings().groupBy("term", "range").agg(F.count("*").alias("n"), F.max("w").alias("top")).repartitionByRange("term").sortWithinPartitions("term", "range").write.parquet(f"{path}/blocks")
+        held = index.postings().select("term", "range", F.size("items").cast("long").alias("n"), F.col("w").alias("top"))
+        held.withColumn("df", F.sum("n").over(Window.partitionBy("term"))).write.parquet(f"{path}/blocks")
     else:
-        docs.sparkSession.createDataFrame([], "term string, range int, n long, top double").write.parquet(f"{path}/blocks")
-    docs.sparkSession.createDataFrame([(total, float(mean or 1))], "items long, mean double").write.parquet(f"{path}/totals")
+        docs.sparkSession.createDataFrame([], "term string, range int, n long, top double, df long").write.parquet(f"{path}/blocks")
+    docs.sparkSession.createDataFrame([(total, mean)], "items long, mean double").write.parquet(f"{path}/totals")
     return index
 
 
@@ -131,11 +163,13 @@ class TextIndex:
         self.spark, self.path, self.stemmed, self.item_kind = spark, path, stemmed, item_kind
 
     def postings(self) -> DataFrame:
-        kinds = f"term string, item {self.item_kind}, tf int, len int, positions array<int>, w double, range int"
-        return self.spark.read.schema(kinds).parquet(f"{self.path}/postings")
+        return self.spark.read.schema("term string, w double, items array<int>, tfs array<int>, positions array<int>, range int").parquet(f"{self.path}/postings")
 
     def blocks(self) -> DataFrame:
-        return self.spark.read.schema("term string, range int, n long, top double").parquet(f"{self.path}/blocks")
+        return self.spark.read.schema("term string, range int, n long, top double, df long").parquet(f"{self.path}/blocks")
+
+    def ranges(self) -> DataFrame:
+        return self.spark.read.schema(f"range int, items array<struct<item:{self.item_kind},len:int>>").parquet(f"{self.path}/ranges")
 
     def totals(self) -> DataFrame:
         return self.spark.read.schema("items long, mean double").parquet(f"{self.path}/totals")
@@ -158,140 +192,159 @@ def query_parts(queries: DataFrame, stemmed: bool) -> DataFrame:
     return queries.select("query", "expression").mapInArrow(split, f"query {kind}, alternative int, negated boolean, part string, kind string, terms array<string>")
 
 
-def _wanted_terms(index: TextIndex, parts: DataFrame) -> DataFrame:
-    """(query, part, kind, size, offset, term): the indexed terms that a part needs, at its offsets if it is a phrase."""
-    once = parts.select("query", "part", "kind", "terms").distinct()
-    plain = once.where("kind <> 'prefix'").select("query", "part", "kind", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
-    begins = once.where("kind = 'prefix'").select("query", "part", "kind", F.get("terms", F.lit(0)).alias("begin"))
-    known = index.blocks().select("term").distinct()
-    # One letter in common makes it an equi-join.
-    begun = begins.join(known, (F.substring("begin", 1, 1) == F.substring("term", 1, 1)) & F.startswith("term", "begin"))
-    return plain.union(begun.select("query", "part", "kind", F.lit(1).alias("size"), F.lit(0).alias("offset"), "term"))
+def _needs(parts: DataFrame) -> DataFrame:
+    """(part, kind, size, offset, length, key): the terms of a part, at their offsets, of length 0; or the letters that its terms begin with, and how many."""
+    once = parts.select("part", "kind", "terms").distinct()
+    plain = once.where("kind <> 'prefix'").select("part", "kind", F.size("terms").alias("size"), F.lit(0).alias("length"), F.posexplode("terms").alias("offset", "key"))
+    begins = once.where("kind = 'prefix'").select("part", "kind", F.lit(1).alias("size"), F.get("terms", F.lit(0)).alias("key"))
+    return plain.unionByName(begins.withColumn("length", F.length("key")).withColumn("offset", F.lit(0)))
+
+
+def _key(length: int) -> Column:
+    return F.substring("term", 1, length) if length else F.col("term")
 
 
-def _bounds(parts: DataFrame, terms: DataFrame, blocks: DataFrame) -> DataFrame:
+def _wanted(rows: DataFrame, needs: DataFrame, lengths: list[int]) -> DataFrame:
+    """The rows whose term is needed. The needs are those of the stated queries, and broadcast."""
+    wanted = F.lit(False)
+    for length in lengths:
+        own = needs.where(F.col("length") == length).select(F.col("key").alias(f"_{length}")).distinct()
+        rows = rows.join(F.broadcast(own), _key(length) == F.col(f"_{length}"), "left")
+        wanted = wanted | F.col(f"_{length}").isNotNull()
+    return rows.where(wanted).drop(*[f"_{length}" for length in lengths])
+
+
+def _bounds(parts: DataFrame, needs: DataFrame, lengths: list[int], blocks: DataFrame) -> DataFrame:
     """(query, range, bound): the most that an item of the range could score, for ranges that hold all positive parts of some alternative."""
-    here = terms.join(blocks, "term")
-    best = here.groupBy("query", "part", "range").agg(
-        F.first("kind").alias("kind"), F.first("size").alias("size"), F.count_distinct("offset").alias("found"),
+    keys = F.explode(F.array(*[F.struct(F.lit(n).alias("length"), _key(n).alias("key")) for n in lengths]))
+    here = blocks.select("range", "top", "idf", keys.alias("k")).select("range", "top", "idf", "k.*").join(F.broadcast(needs), ["length", "key"])
+    best = here.groupBy("part", "range").agg(
+        F.first("kind").alias("kind"), F.first("size").alias("size"), F.count("*").alias("found"),
         F.sum(F.col("idf") * F.col("top")).alias("each"), F.sum("idf").alias("idf"), F.min("top").alias("least"),
     )
-    there = best.where("kind <> 'phrase' OR found = size").select("query", "part", "range", F.when(F.col("kind") == "phrase", F.col("idf") * F.col("least")).otherwise(F.col("each")).alias("most"))
+    there = saved(best.where("kind <> 'phrase' OR found = size").select("part", "range", F.when(F.col("kind") == "phrase", F.col("idf") * F.col("least")).otherwise(F.col("each")).alias("most")))
     positive = parts.where("NOT negated").select("query", "alternative", "part").distinct()
     asked = positive.groupBy("query", "alternative").agg(F.count("*").alias("asked"))
-    possible = positive.join(there, ["query", "part"]).groupBy("query", "alternative", "range").agg(F.count("*").alias("got")).join(asked, ["query", "alternative"]).where("got = asked").select("query", "range").distinct()
-    return positive.select("query", "part").distinct().join(there, ["query", "part"]).join(possible, ["query", "range"]).groupBy("query", "range").agg(F.sum("most").alias("bound"))
+    possible = positive.join(there, "part").groupBy("query", "alternative", "range").agg(F.count("*").alias("got")).join(asked, ["query", "alternative"]).where("got = asked").select("query", "range").distinct()
+    return positive.select("query", "part").distinct().join(there, "part").join(possible, ["query", "range"]).groupBy("query", "range").agg(F.sum("most").alias("bound"))
 
 
-def _scored(index: TextIndex, parts: DataFrame, terms: DataFrame, cells: DataFrame, mean: float, k: int) -> DataFrame:
+def _scored(index: TextIndex, parts: DataFrame, needs: DataFrame, lengths: list[int], blocks: DataFrame, cells: DataFrame, mean: float, k: int, digits: int) -> DataFrame:
     """(query, item, score) of the k best items of each range that match, in the cells (query, range).
 
-    The postings of a range meet its queries in one task: every posting is moved once, however many queries want it. A range has RANGE_ITEMS items at most.
+    The postings of a range meet its queries in one task: every posting is moved once, however many queries want it. A range has about RANGE_ITEMS items
+    and RANGE_WORDS words.
     """
     # Numbers of ranges: a few bytes each, one for RANGE_ITEMS items.
     ranges = [r[0] for r in cells.select("range").distinct().collect()]
-    names = [r[0] for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]
-    read = index.postings().where(F.col("range").isin(ranges))
-    read = read.where(F.col("term").isin(names)) if len(names) <= PUSHED else read.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     # The stated queries: what each alternative asks for, and the terms of each part.
-    asked, idf = defaultdict(lambda: defaultdict(list)), {}
+    asked = defaultdict(lambda: defaultdict(list))
     for r in parts.select("query", "alternative", "negated", "part").distinct().collect():
         asked[r.query][r.alternative].append((r.negated, r.part))
-    wanted = defaultdict(dict)
-    for r in terms.select("query", "part", "kind", "size", "offset", "term", "idf").distinct().collect():
-        wanted[r.query].setdefault(r.part, (r.kind, r.size, []))[2].append((r.offset, r.term))
-        idf[r.term] = r.idf
-    plan = index.spark.sparkContext.broadcast(({q: dict(own) for q, own in asked.items()}, dict(wanted), idf))
-    here = cells.groupBy("range").agg(F.collect_set("query").alias("queries"))
+    own = defaultdict(list)
+    for r in needs.orderBy("part", "offset").collect():
+        own[r.part].append((r.kind, r.key))
+    plan = index.spark.sparkContext.broadcast(({q: dict(a) for q, a in asked.items()}, dict(own)))
+    read = index.postings().where(F.col("range").isin(ranges))
+    names = {key for every in own.values() for _, key in every}
+    read = read.where(F.col("term").isin(list(names))) if lengths == [0] and len(names) <= PUSHED else _wanted(read, needs, lengths)
+    # Only phrases need the places.
+    placed = needs.where("kind = 'phrase'").select(F.col("key").alias("term"), F.lit(True).alias("placed")).distinct()
+    read = read.join(F.broadcast(placed), "term", "left").select("range", "term", "items", "tfs", F.when(F.col("placed"), F.col("positions")).alias("positions"))
+    here = index.ranges().join(cells.groupBy("range").agg(F.collect_set("query").alias("queries")), "range")
+    here = here.unionByName(_wanted(blocks.where(F.col("range").isin(ranges)), needs, lengths).select("range", "term", "idf"), allowMissingColumns=True)
     query_kind = cells.schema["query"].dataType
 
     def meet(key: tuple, postings: pa.Table, own: pa.Table) -> pa.Table:
-        queries = own.column("queries")[0].as_py() if own.num_rows else []
-        found = _best_of_range(postings, queries, *plan.value, mean, k)
-        kinds = [own.schema.field("queries").type.value_type, postings.schema.field("item").type, pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], ["query", "item", "score"])
+        range_ = own.filter(pc.is_valid(own.column("items"))).combine_chunks()
+        found: list = [[], pa.array([], own.schema.field("items").type.value_type.field("item").type), []]
+        if range_.num_rows and postings.num_rows:
+            found = _best_of_range(postings, own.filter(pc.is_valid(own.column("term"))), range_, *plan.value, mean, k, digits)
+        return pa.table([pa.array(found[0], own.schema.field("queries").type.value_type), found[1], pa.array(found[2], pa.float64())], ["query", "item", "score"])
 
-    both = read.select("range", "term", "item", "tf", "len", "positions", "w").groupBy("range").cogroup(here.groupBy("range"))
+    both = read.groupBy("range").cogroup(here.groupBy("range"))
     scored = both.applyInArrow(meet, f"query {query_kind.simpleString()}, item {index.item_kind}, score double")
-    return scored.withColumn("score", F.round("score", 9))
+    return scored.withColumn("score", F.round("score", digits))
 
 
-def _best_of_range(postings: pa.Table, queries: list, asked: dict, wanted: dict, idf: dict, mean: float, k: int) -> tuple[list, list, list]:
+def _best_of_range(postings: pa.Table, weights: pa.Table, range_: pa.Table, asked: dict, needs: dict, mean: float, k: int, digits: int) -> list:
     """Queries, items and scores of the k best matches of each query among the postings of one range."""
-    out: tuple[list, list, list] = ([], [], [])
-    if not postings.num_rows:
-        return out
-    postings = postings.sort_by([("term", "ascending"), ("item", "ascending")]).combine_chunks()
-    items, place = np.unique(np.array(postings.column("item").to_pylist()), return_inverse=True)
-    names, first = np.unique(np.array(postings.column("term").to_pylist(), object), return_index=True)
-    ends = [*first[1:].tolist(), postings.num_rows]
-    at = {name: slice(b, e) for name, b, e in zip(names.tolist(), first.tolist(), ends, strict=True)}
-    w, length = postings.column("w").to_numpy(), np.zeros(len(items))
-    length[place] = postings.column("len").to_numpy()
-    positions = postings.column("positions").combine_chunks()
-    bounds, flat = positions.offsets.to_numpy(), positions.values.to_numpy()
+    items = range_.column("items").chunk(0).flatten()
+    count, length = len(items), items.field("len").to_numpy()
+    postings = postings.sort_by("term").combine_chunks()
+    names = postings.column("term").to_pylist()
+    idf = weights.column("idf").to_numpy()[pc.index_in(postings.column("term"), weights.column("term").combine_chunks()).to_numpy()]
+    lists = postings.column("items").chunk(0)
+    ends, place, tfs = lists.offsets.to_numpy(), lists.values.to_numpy(), postings.column("tfs").chunk(0).values.to_numpy()
+    each = weight(tfs, length[place], mean) * np.repeat(idf, np.diff(ends))
     # Places in the range: item and position in one number.
     stride = int(length.max()) + 1
 
-    def spots(term: str, offset: int) -> np.ndarray:
-        span = at[term]
-        counts = np.diff(bounds[span.start : span.stop + 1])
-        where = flat[bounds[span.start] : bounds[span.stop]].astype(np.int64) - offset
-        return (np.repeat(place[span], counts) * stride + where)[where >= 0]
+    def of(begin: str, end: str) -> tuple[int, int]:
+        return bisect_left(names, begin), bisect_left(names, end)
+
+    def spots(at: int, offset: int) -> np.ndarray:
+        span = slice(ends[at], ends[at + 1])
+        where = postings.column("positions")[at].values.to_numpy().astype(np.int64) - offset
+        return (np.repeat(place[span].astype(np.int64), tfs[span]) * stride + where)[where >= 0]
 
-    def score(kind: str, size: int, own: list) -> tuple[np.ndarray, np.ndarray]:
+    def score(part: str) -> tuple[np.ndarray, np.ndarray]:
         """Scores of all items, and which of them hold the part."""
-        total, held = np.zeros(len(items)), np.zeros(len(items), bool)
-        if kind == "phrase":
-            if len({o for o, t in own if t in at}) == size:
+        total, held, own = np.zeros(count), np.zeros(count, bool), needs[part]
+        if own[0][0] == "phrase":
+            at = [of(key, f"{key}\0") for _, key in own]
+            if all(b < e for b, e in at):
                 starts = None
-                for offset, term in sorted(own):
-                    here = spots(term, offset)
+                for offset, (b, _) in enumerate(at):
+                    here = spots(b, offset)
                     starts = here if starts is None else np.intersect1d(starts, here, assume_unique=True)
-                tf = np.bincount(starts // stride, minlength=len(items))
+                tf = np.bincount(starts // stride, minlength=count)
                 held = tf > 0
-                total = np.where(held, sum(idf[t] for _, t in sorted(own)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)), 0.0)
+                total = np.where(held, sum(idf[b] for b, _ in at) * weight(tf, length, mean), 0.0)
         else:
-            for _, term in sorted(own):
-                if term in at:
-                    total[place[at[term]]] += idf[term] * w[at[term]]
-                    held[place[at[term]]] = True
+            (kind, key) = own[0]
+            b, e = of(key, f"{key}\U0010ffff" if kind == "prefix" else f"{key}\0")
+            span = slice(ends[b], ends[e])
+            total = np.bincount(place[span], weights=each[span], minlength=count)
+            held[place[span]] = True
         return total, held
 
-    nothing = np.zeros(len(items)), np.zeros(len(items), bool)
-    for query in queries:
-        found = {part: score(kind, size, own) for part, (kind, size, own) in wanted.get(query, {}).items()}
-        match, total = np.zeros(len(items), bool), np.zeros(len(items))
+    queries: list = []
+    chosen: list = []
+    scores: list = []
+    for query in range_.column("queries")[0].as_py():
+        found = {part: score(part) for part in sorted({p for own in asked[query].values() for _, p in own})}
+        match, total = np.zeros(count, bool), np.zeros(count)
         for own in asked[query].values():
             yes, no = [p for negated, p in own if not negated], [p for negated, p in own if negated]
-            match |= np.logical_and.reduce([found.get(p, nothing)[1] for p in yes]) & ~np.logical_or.reduce([found.get(p, nothing)[1] for p in no] or [nothing[1]])
+            match |= np.logical_and.reduce([found[p][1] for p in yes]) & ~np.logical_or.reduce([np.zeros(count, bool), *[found[p][1] for p in no]])
         if not match.any():
             continue
         for part in sorted({p for own in asked[query].values() for negated, p in own if not negated}):
-            total += found.get(part, nothing)[0]
+            total += found[part][0]
         hits = np.flatnonzero(match)
         # Items stand in their order, so a stable sort leaves ties to the smaller one.
-        best = hits[np.argsort(-np.round(total[hits], 9), kind="stable")[:k]]
-        out[0].extend([query] * len(best))
-        out[1].extend(items[best].tolist())
-        out[2].extend(total[best].tolist())
-    return out
+        best = hits[np.argsort(-np.round(total[hits], digits), kind="stable")[:k]]
+        queries.extend([query] * len(best))
+        chosen.extend(best.tolist())
+        scores.extend(total[best].tolist())
+    return [queries, items.field("item").take(pa.array(chosen, pa.int64())), scores]
 
 
-def search(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
-    """(query, item, rank, score): the k best matches of every row (query, expression); equal scores in order of item."""
+def search(index: TextIndex, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """(query, item, rank, score): the k best matches of every row (query, expression) by rounded score; equal ones in order of item. Six digits at least."""
     items, mean = index.totals().first()
     parts = saved(query_parts(queries, index.stemmed))
-    wanted = _wanted_terms(index, parts)
-    blocks = saved(index.blocks().join(wanted.select("term").distinct(), "term", "left_semi"))
-    idf = blocks.groupBy("term").agg(F.log1p((F.lit(items) - F.sum("n") + 0.5) / (F.sum("n") + 0.5)).alias("idf"))
-    terms = saved(wanted.join(idf, "term"))
-    cells = saved(_bounds(parts, terms, blocks))
+    needs = saved(_needs(parts))
+    # How many letters prefixes have: a few numbers.
+    lengths = sorted(r[0] for r in needs.select("length").distinct().collect()) or [0]
+    blocks = index.blocks().withColumn("idf", F.log1p((F.lit(items) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    cells = saved(_bounds(parts, needs, lengths, blocks))
+    scored = lambda of: _scored(index, parts, needs, lengths, blocks, of, mean, k, digits)
     order = [F.desc("score"), F.asc("item")]
     first = saved(top_per(cells, ["query"], [F.desc("bound"), F.asc("range")], 1).select("query", "range"))
-    found = saved(top_per(_scored(index, parts, terms, first, mean, k), ["query"], order, k))
+    found = saved(top_per(scored(first), ["query"], order, k))
     # Bars and bounds are rounded apart: what could only tie is read.
     bars = found.where(F.col("rank") == k).select("query", (F.col("score") - 1e-6).alias("bar"))
     more = saved(cells.join(first, ["query", "range"], "left_anti").join(bars, "query", "left").where("bar IS NULL OR bound >= bar").select("query", "range"))
-    rest = _scored(index, parts, terms, more, mean, k)
-    return top_per(found.select("query", "item", "score").union(rest.select("query", "item", "score")), ["query"], order, k).select("query", "item", "rank", "score")
+    return top_per(found.select("query", "item", "score").union(scored(more).select("query", "item", "score")), ["query"], order, k).select("query", "item", "rank", "score")

@@ -50,7 +50,7 @@ SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY score DESC, i
 
 @register("fts_search", FTS_SQL, "documents", "benchmark")
 def fts_search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return T.search(indexed(docs, False), expressions(benchmark), 10).withColumn("score", F.round("score", 6))
+    return T.search(indexed(docs, False), expressions(benchmark), 10, digits=6)
 
 
 @register("fts_stemmed", None, "documents", "benchmark")
