@@ -248,15 +248,18 @@ def _scored(index: TextIndex, parts: DataFrame, needs: DataFrame, lengths: list[
     read = index.postings().where(F.col("range").isin(ranges))
     names = {key for every in own.values() for _, key in every}
     read = read.where(F.col("term").isin(list(names))) if lengths == [0] and len(names) <= PUSHED else _wanted(read, needs, lengths)
-    # Only phrases need the places.
+    # Only phrases need the positions. What a row lacks is an empty list: Spark's writer of Arrow batches goes over a run of null lists again at each row.
+    none = F.array()
     placed = needs.where("kind = 'phrase'").select(F.col("key").alias("term"), F.lit(True).alias("placed")).distinct()
-    read = read.join(F.broadcast(placed), "term", "left").select("range", "term", "items", "tfs", F.when(F.col("placed"), F.col("positions")).alias("positions"))
+    read = read.join(F.broadcast(placed), "term", "left").select("range", "term", "items", "tfs", F.when(F.col("placed"), F.col("positions")).otherwise(none.cast("array<int>")).alias("positions"))
     here = index.ranges().join(cells.groupBy("range").agg(F.collect_set("query").alias("queries")), "range")
-    here = here.unionByName(_wanted(blocks.where(F.col("range").isin(ranges)), needs, lengths).select("range", "term", "idf"), allowMissingColumns=True)
+    kinds = here.schema
+    idf = _wanted(blocks.where(F.col("range").isin(ranges)), needs, lengths).select("range", "term", "idf", *[none.cast(kinds[c].dataType).alias(c) for c in ("items", "queries")])
+    here = here.unionByName(idf, allowMissingColumns=True)
     query_kind = cells.schema["query"].dataType
 
     def meet(key: tuple, postings: pa.Table, own: pa.Table) -> pa.Table:
-        range_ = own.filter(pc.is_valid(own.column("items"))).combine_chunks()
+        range_ = own.filter(pc.is_null(own.column("term"))).combine_chunks()
         found: list = [[], pa.array([], own.schema.field("items").type.value_type.field("item").type), []]
         if range_.num_rows and postings.num_rows:
             found = _best_of_range(postings, own.filter(pc.is_valid(own.column("term"))), range_, *plan.value, mean, k, digits)

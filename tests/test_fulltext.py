@@ -80,6 +80,38 @@ def test_ranges_that_cannot_win_are_not_opened(spark, tmp_path):
     assert T.search(index, queries, 10).collect() == want
 
 
+def test_terms_of_a_prefix_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(60)]
+    index = T.build_index(spark.createDataFrame(docs, "id long, body string"), str(tmp_path), "id", F.col("body"), False, 20, 3)
+    queries = spark.createDataFrame([(1, "w* NOT w3*"), (2, "w7x1 OR w5*")], "query long, expression string")
+    frame, rows = type(queries), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: rows.append(collect(df)) or rows[-1])
+    found = T.search(index, queries, 100)
+    assert max(map(len, rows)) < 50
+    got = {(r.query, r.item) for r in collect(found)}
+    assert got == {(1, i) for i in range(60) if i != 3 and not 30 <= i < 40} | {(2, i) for i in (7, 5, *range(50, 60))}
+
+
+def test_ranges_hold_few_words(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "RANGE_WORDS", 200)
+    docs = corpus(random.Random(9), 150)
+    index = T.build_index(spark.createDataFrame(docs, "id long, body string"), str(tmp_path), "id", F.col("body"), False, 1 << 16, 5)
+    words = sum(len(T.analysed(t, False)) for _, t in docs)
+    assert index.ranges().count() >= words / 200
+    queries = spark.createDataFrame([(1, '"quick brown" OR slee* NOT dog')], "query long, expression string")
+    want = slow(docs, '"quick brown" OR slee* NOT dog', 20, False)
+    assert [r.item for r in T.search(index, queries, 20).orderBy("rank").collect()] == [i for i, _ in want]
+
+
+def test_equal_rounded_scores_are_in_order_of_item(spark, tmp_path):
+    docs = [(1, "fox " + "a " * 1_000_000), (2, "fox " + "a " * 999_999)]
+    index = T.build_index(spark.createDataFrame(docs, "id long, body string"), str(tmp_path), "id", F.col("body"), False)
+    queries = spark.createDataFrame([(1, "fox")], "query long, expression string")
+    ranked = lambda digits: [r.item for r in T.search(index, queries, 2, digits).orderBy("rank").collect()]
+    assert (ranked(6), ranked(9)) == ([1, 2], [2, 1])
+
+
 def test_index_of_nothing(spark, tmp_path):
     index = T.build_index(spark.createDataFrame([(1, None), (None, "x")], "id long, body string"), str(tmp_path), "id", F.col("body"))
     queries = spark.createDataFrame([(1, "x")], "query long, expression string")
