@@ -80,9 +80,10 @@ def test_ranges_that_cannot_win_are_not_opened(spark, tmp_path):
     assert T.search(index, queries, 10).collect() == want
 
 
-def test_terms_of_a_prefix_stay_off_the_driver(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_terms_of_a_prefix_stay_off_the_driver(spark, tmp_path, monkeypatch, stemmed):
     docs = [(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(60)]
-    index = T.build_index(spark.createDataFrame(docs, "id long, body string"), str(tmp_path), "id", F.col("body"), False, 20, 3)
+    index = T.build_index(spark.createDataFrame(docs, "id long, body string"), str(tmp_path), "id", F.col("body"), stemmed, 20, 3)
     queries = spark.createDataFrame([(1, "w* NOT w3*"), (2, "w7x1 OR w5*")], "query long, expression string")
     frame, rows = type(queries), []
     collect = frame.collect
